@@ -10,9 +10,9 @@ documents; the sums name every shingle that can be frequent; a second pass count
 Each text gets BANDS * ROWS consistent weighted samples (Ioffe 2010); texts that share all
 samples of a band are candidates. A pair is a link when its weighted Jaccard similarity,
 computed from both whole sets, is at least SIMILARITY; classes are the connected components.
-Candidates are not expanded into all pairs: each bucket first tests its members against a
-few leaders, and pairs already inside one component need no test. Every pair left over, of
-two components in one bucket, is then tested, so no link among candidates is lost.
+Candidates are not expanded into all pairs: each bucket tests its members against two pivots;
+pairs already inside one component, and pairs that the triangle inequality rules out, need no
+test. Every other pair of a bucket is tested, so no link among candidates is lost.
 
 Defined results: equal texts share a class (copies take part once, as one text); texts
 without words, and null, are each alone in their class; a class is named by its smallest
@@ -35,13 +35,11 @@ from .common import free_name, materialize, text_key, text_of
 from .shingles import counted, mix, shingles, slices
 
 SIMILARITY = 0.8
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 28, 6
 #: Document frequencies under this share of the corpus count as this share.
 RARE = 0.001
 #: Error of the first frequency pass, as a share of the documents.
 SLACK = RARE / 4
-#: Leaders by round, for each bucket that is still in several components.
-LEADERS = (1, 4)
 #: Candidate texts whose keys are broadcast (some 50 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 200_000
 #: Random variates for each sample; shingles pick theirs by hash.
@@ -233,10 +231,10 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([weighted_jaccard(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-def links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are similar enough."""
+def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b and their weighted Jaccard similarity j."""
     left, right = sets.withColumnsRenamed({"tid": "a", "weighted": "wa"}), sets.withColumnsRenamed({"tid": "b", "weighted": "wb"})
-    return pairs.join(right, "b").join(left, "a").where(_similarity("wa", "wb") >= similarity).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", _similarity("wa", "wb").alias("j"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -273,19 +271,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     if not chosen.where("n > 1").isEmpty():  # repeated rows
         picked = picked.where("n = 1").union(picked.where("n > 1").dropDuplicates(["tid"]))
     sets = materialize(weighted_sets(picked, model), "sets")
-    found, tested, labels = None, None, None
-    for leaders in (*LEADERS, None):
-        pairs = _pairs(members, labels, leaders)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        new = links(pairs, sets, similarity)
-        found = materialize(new if found is None else found.union(new), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = components(found)
-    return _classes(sketched, labels)
+    return _classes(sketched, _labels(members, sets, similarity))
 
 
 def _shared_buckets(sketched: DataFrame) -> DataFrame:
@@ -295,45 +281,47 @@ def _shared_buckets(sketched: DataFrame) -> DataFrame:
     return rows.join(several, "bucket")
 
 
-def _pairs(members: DataFrame, labels: DataFrame | None, leaders: int | None) -> DataFrame:
-    """a < b, pairs of a bucket in different components: each bucket's members with its first
-    leaders, one for each component at most; or with every other member (leaders is None)."""
-    rows = members.withColumn("comp", F.col("tid")) if labels is None else members.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
-    if labels is not None:  # buckets that have become one component are done
-        rows = materialize(rows, "members")
-        split = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-        rows = materialize(rows.join(split, "bucket", "left_semi"), "members")
-    if leaders is None:
-        heads = rows
-    elif leaders == 1:
-        heads = rows.groupBy("bucket").agg(F.min(F.struct("tid", "comp")).alias("h")).select("bucket", "h.*")
-    else:
-        # Leaders by a new order each round; the bucket's smallest hashes, found by a mergeable aggregate.
-        order = F.struct(F.xxhash64("tid", F.lit(leaders)).alias("o"), "tid", "comp")
-        heads = _smallest(rows.select("bucket", order.alias("h")), leaders)
-    heads = heads.select("bucket", F.col("tid").alias("head"), F.col("comp").alias("hcomp"))
-    joined = rows.join(heads, "bucket").where("comp != hcomp")
-    return joined.select(F.least("tid", "head").alias("a"), F.greatest("tid", "head").alias("b")).distinct()
-
-
-def _smallest(rows: DataFrame, n: int) -> DataFrame:
-    """The n smallest h of each bucket, by n rounds of min: each task combines before the shuffle."""
-    taken = None
-    for _ in range(n):
-        left = rows if taken is None else rows.join(taken.groupBy("bucket").agg(F.max("h").alias("last")), "bucket").where("h > last").drop("last")
-        nxt = left.groupBy("bucket").agg(F.min("h").alias("h"))
-        taken = nxt if taken is None else taken.union(nxt)
-    return taken.select("bucket", "h.tid", "h.comp")
-
-
-def _classes(sketched: DataFrame, labels: DataFrame | None) -> DataFrame:
-    alone = F.size("bands") == 0
-    rows = sketched.select("doc_id", "tid", alone.alias("alone"))
-    if labels is None:
-        rows = rows.withColumn("comp", F.col("tid"))
-    else:
-        rows = rows.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
-    rows = materialize(rows, "labelled")
+def _labels(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """node, comp of the texts that have links. members: bucket, tid.
+
+    1 - weighted Jaccard is a metric, so two texts whose distances to a common pivot differ by
+    more than 1 - similarity are no link. Each bucket takes its smallest key as first pivot and
+    the text farthest from that as second; of what remains, only pairs in different components
+    and within reach by both pivots are tested. That leaves out no link.
+    """
+    reach = 1 - similarity + 1e-9
+    heads = members.groupBy("bucket").agg(F.min("tid").alias("head"))
+    star = materialize(members.join(heads, "bucket"), "star")
+    scored = materialize(similarities(star.where("tid != head").select(F.col("head").alias("a"), F.col("tid").alias("b")).distinct(), sets), "scored")
+    labels = components(scored.where(F.col("j") >= similarity))
+    rows = star.join(scored.select(F.col("a").alias("head"), F.col("b").alias("tid"), (1 - F.col("j")).alias("d1")), ["head", "tid"], "left").select("bucket", "tid", F.coalesce("d1", F.lit(0.0)).alias("d1"))
+    rows = _split(rows, labels)
+    heads = rows.groupBy("bucket").agg(F.max(F.struct("d1", "tid")).alias("h")).select("bucket", F.col("h.tid").alias("head"))
+    star = materialize(rows.join(heads, "bucket").withColumns({"a": F.least("tid", "head"), "b": F.greatest("tid", "head")}), "star")
+    fresh = star.where("tid != head").select("a", "b").distinct().join(scored, ["a", "b"], "left_anti")
+    scored = scored.union(materialize(similarities(fresh, sets), "scored"))
+    labels = components(scored.where(F.col("j") >= similarity))
+    rows = star.join(scored.select("a", "b", (1 - F.col("j")).alias("d2")), ["a", "b"], "left").select("bucket", "tid", "d1", F.coalesce("d2", F.lit(0.0)).alias("d2"))
+    rows = _split(rows, labels).withColumn("step", F.floor(F.col("d1") / reach).cast("int"))
+    other = rows.select("bucket", F.col("tid").alias("y"), F.col("comp").alias("ycomp"), F.col("d1").alias("y1"), F.col("d2").alias("y2"), F.explode(F.expr("array(step - 1, step, step + 1)")).alias("step"))
+    near = (F.col("tid") < F.col("y")) & (F.col("comp") != F.col("ycomp")) & (F.abs(F.col("d1") - F.col("y1")) <= reach) & (F.abs(F.col("d2") - F.col("y2")) <= reach)
+    rest = rows.join(other, ["bucket", "step"]).where(near).select(F.col("tid").alias("a"), F.col("y").alias("b")).distinct().join(scored, ["a", "b"], "left_anti")
+    last = materialize(similarities(rest, sets), "scored")
+    if last.where(F.col("j") >= similarity).isEmpty():
+        return labels
+    return components(scored.union(last).where(F.col("j") >= similarity))
+
+
+def _split(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with comp, of the buckets that are in several components."""
+    rows = materialize(rows.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("comp", F.coalesce("comp", "tid")), "members")
+    split = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    return materialize(rows.join(split, "bucket", "left_semi"), "members")
+
+
+def _classes(sketched: DataFrame, labels: DataFrame) -> DataFrame:
+    rows = sketched.select("doc_id", "tid", (F.size("bands") == 0).alias("alone"))
+    rows = materialize(rows.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("comp", F.coalesce("comp", "tid")), "labelled")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tid"))
     names = rows.where(~F.col("alone")).groupBy("comp").agg(first.alias("f")).select("comp", F.col("f.doc_id").alias("class_id"), F.col("f.tid").alias("class_tid"))
     named = rows.where(~F.col("alone")).join(names, "comp").select("doc_id", "tid", "class_id", "class_tid")

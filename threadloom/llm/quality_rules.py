@@ -57,9 +57,10 @@ transform(array(transform(_w, x -> xxhash64(x))), g ->
 """
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper."""
-    return (
+def with_statistics(docs: DataFrame, distinct: bool = False) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper,
+    base_failed; with distinct also n_distinct_words."""
+    counted = (
         docs.withColumn("_t", text_of())
         .withColumn("_w", F.expr(_WORDS))
         .withColumn("n_words", F.size("_w").cast("long"))
@@ -71,8 +72,10 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         .withColumn("n_dup_lines", (F.col("_l.n") - F.col("_l.d")).cast("long"))
         .withColumn("n_repeat_words", F.expr(_REPEATS))
         .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-        .drop("_t", "_w", "_l")
     )
+    if distinct:
+        counted = counted.withColumn("n_distinct_words", F.size(F.array_distinct("_w")).cast("long"))
+    return counted.drop("_t", "_w", "_l")
 
 
 #: The judged ratios, as expressions over the statistics.
