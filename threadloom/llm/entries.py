@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
-from . import classifier, near_dedup, pii, quality_rules
+from . import classifier, mixing, near_dedup, pii, quality_rules, token_planes
+from .common import documents, scratch
+
+#: Where the public tokenizer files are; a parameter, as they are never copied.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "")
+
+
+def tokenizer_path(name: str) -> str:
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +40,18 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs))
 
 
+def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "planes")
+    token_planes.write_corpus(documents(spark, sf_dir), path, tokenizer_path("byte_bpe_50k.json"))
+    return token_planes.corpus_digest(spark, path)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_quality_rules, op7_pii, op9_near_dedup, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_token_planes, op3_mixing, op8_quality_rules, op7_pii, op9_near_dedup, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
