@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, mixing, near_dedup, pii, quality_rules, token_planes
+from . import classifier, html_text, mixing, near_dedup, pii, quality_rules, sentence_spans, sentencepiece_codec, token_planes, topk
 from .common import documents, scratch
 
 #: Where the public tokenizer files are; a parameter, as they are never copied.
@@ -46,13 +46,44 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.corpus_digest(spark, path)
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integers(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return topk.top_k(vectors, vectors.where("id % 100 = 0"), 10)
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.clean(documents(spark, sf_dir)).select("doc_id", "text", "n_sentences", "n_removed", "first_ids")
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_planes, op3_mixing, op8_quality_rules, op7_pii, op9_near_dedup, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_token_planes, op2_exact_top_k, op3_mixing, op4_sentencepiece, op5_sentence_spans, op6_html_text, op8_quality_rules, op7_pii, op9_near_dedup, op10_quality_classifier)}
+
+
+#: Vectors as integers, all pairs of a query and another vector, and the ten best.
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS vec FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.vec, c.vec), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.vec) = len(c.vec)
+), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_exact_top_k": OP2_SQL}
