@@ -17,6 +17,7 @@ empty table gives an empty folder and an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +36,8 @@ from .wordwise import WordEncoder
 BLOCK = 1 << 16
 LEVEL = 3
 END_ID = 0
+#: Words encoded in one go.
+ROW = 64
 #: Bytes of text in a part, about.
 PART_BYTES = 32 << 20
 
@@ -80,10 +83,23 @@ def byte_bpe_encoder(path: str, threads: int = 2) -> WordEncoder:
         def texts(many: list[str]) -> list[list[int]]:
             return [e.ids for e in own.encode_batch_fast(many, add_special_tokens=False)]
 
-        def words(many: list[str]) -> list[list[int]]:
-            return texts([w[1:] if w[:1] == "\x01" else w if w == "\n" else f" {w}" for w in many])
+        begins = np.zeros(own.get_vocab_size(), bool)  # ids of tokens that start with a space
+        begins[[i for t, i in own.get_vocab().items() if t[:1] == "\u0120"]] = True
 
-        import re
+        def words(many: list[str]) -> list[list[int]]:
+            """Words after a space go to the encoder in rows of ROW, half the work of one by one;
+            a space within a row is where a word's first id is."""
+            out: list[list[int]] = [[]] * len(many)
+            plain = [i for i, w in enumerate(many) if w and w != "\n" and w[0] != "\x01"]
+            rows = [plain[at : at + ROW] for at in range(0, len(plain), ROW)]
+            for row, ids in zip(rows, texts([" " + " ".join(many[i] for i in row) for row in rows])):
+                cuts = [*np.flatnonzero(begins[ids]).tolist(), len(ids)]
+                for i, a, b in zip(row, cuts, cuts[1:], strict=False) if len(cuts) == len(row) + 1 else ():
+                    out[i] = ids[a:b]
+            left = [i for i, ids in enumerate(out) if not ids]
+            for i, ids in zip(left, texts([many[i][1:] if many[i][:1] == "\x01" else many[i] if many[i] == "\n" else f" {many[i]}" for i in left])):
+                out[i] = ids
+            return out
 
         _encoders[key] = WordEncoder(words, texts, True, "|".join(map(re.escape, special)) or "(?!)")
     return _encoders[key]
