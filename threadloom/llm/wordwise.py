@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 #: Marks a word that no space precedes: the first of a text and of a line.
 BARE = "\x01"
 #: Words remembered, at most; beyond that the memory starts anew.
-MEMORY = 300_000
+MEMORY = 600_000
 #: Characters of text taken at once.
 PART = 4 << 20
 
@@ -32,7 +32,7 @@ class WordEncoder:
     def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], encode_texts: Callable[[list[str]], list[list[int]]], first_bare: bool, whole: str = "(?!)"):
         self.encode_words, self.encode_texts, self.first_bare = encode_words, encode_texts, first_bare
         self.odd = re.compile(rf"[^\S \n]|\x01|[ \n][ \n]|{whole}")
-        self.memory: dict[str, list[int]] = {}
+        self._forget()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids as uint32 and how many each text has."""
@@ -56,15 +56,10 @@ class WordEncoder:
         start = BARE if self.first_bare else ""
         words = pc.split_pattern(pa.array([start + t.replace("\n", " \n \x01") if t else BARE for t in marked], pa.large_string()), " ")
         flat = words.flatten().dictionary_encode()
-        known = flat.dictionary.to_pylist()
-        ids = self._words(known)
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.fromiter((x for w in ids for x in w), np.uint32, int(length.sum()))
-        at = flat.indices.to_numpy()
-        begin = (np.cumsum(length) - length)[at]
-        n = length[at]
+        at = self._words(flat.dictionary.to_pylist())[flat.indices.to_numpy()]
+        begin, n = self.starts[at], self.sizes[at]
         ends = np.cumsum(n)
-        out = pool[np.repeat(begin - (ends - n), n) + np.arange(int(n.sum()))]
+        out = self.pool[np.repeat(begin - (ends - n), n) + np.arange(int(n.sum()))]
         edges = np.concatenate([[0], ends])[np.asarray(words.offsets) - np.asarray(words.offsets)[0]]
         sizes = np.diff(edges)
         if odd:
@@ -74,13 +69,22 @@ class WordEncoder:
             out = np.concatenate(pieces)
         return out, sizes
 
-    def _words(self, words: list[str]) -> list[list[int]]:
-        new = [w for w in words if w not in self.memory]
-        if len(self.memory) + len(new) > MEMORY:
-            self.memory.clear()
+    def _words(self, words: list[str]) -> np.ndarray:
+        """Places of the words' ids in starts and sizes; what is new is encoded and remembered."""
+        new = [w for w in words if w not in self.places]
+        if len(self.places) + len(new) > MEMORY:
+            self._forget()
             new = words
-        self.memory.update(zip(new, self.encode_words(new) if new else []))
-        found = [self.memory[w] for w in words]
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
-        return found
+        if new:
+            found = self.encode_words(new)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            ends = len(self.pool) + np.cumsum(sizes)
+            self.places.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+            self.pool = np.concatenate([self.pool, np.fromiter((x for w in found for x in w), np.uint32, int(sizes.sum()))])
+            self.starts, self.sizes = np.concatenate([self.starts, ends - sizes]), np.concatenate([self.sizes, sizes])
+        return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.pool = np.zeros(0, np.uint32)
+        self.starts = self.sizes = np.zeros(0, np.int64)
