@@ -13,8 +13,8 @@ to four bits each, AGREE must be equal (a pair at the wanted similarity passes b
 1 in 10,000). A candidate is a link when its weighted Jaccard similarity, computed from both
 whole sets, is at least SIMILARITY; classes are the connected components.
 
-Buckets are not expanded into all pairs. First each bucket's members meet its smallest key;
-then, in buckets that are still in several components, the members outside the largest one
+Buckets are not expanded into all pairs. First each bucket's members meet its smallest key,
+then those outside its largest component some more members of that; then, in buckets that are still in several components, the members outside the largest one
 meet all members of other components. So every candidate pair is either tested or already
 inside one component. For the tests, texts that candidates connect form families, families
 are cut into chunks of bounded size, and a task gets the sets of one pair of chunks once.
@@ -42,6 +42,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 28, 6
 #: Samples in a print and how many must agree: at similarity 0.8 it is 130 on average, with a deviation of 5.
 PRINT, AGREE = 160, 111
+#: Heads of each bucket in the second round, at most.
+HEADS = 16
 #: Texts and bytes of sets in a chunk, about; a task holds two chunks.
 CHUNK_TEXTS, CHUNK_BYTES = 1_500, 16 << 20
 #: Document frequencies under this share of the corpus count as this share.
@@ -328,17 +330,34 @@ def _labels(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     tested = materialize(star.select(F.col("head").alias("a"), F.col("tid").alias("b")).distinct(), "pairs")
     found = materialize(links(tested, sets, similarity), "links")
     labels = components(found)
-    rows = materialize(members.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("comp", F.coalesce("comp", "tid")), "members")
-    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("bucket", F.col("m.comp").alias("main"))
-    split = materialize(rows.join(largest, "bucket"), "members")
-    heads = split.where("comp != main").select("bucket", F.col("tid").alias("head"), F.col("comp").alias("hcomp"), F.col("print").alias("hprint"))
+    # Some more heads from each bucket's largest component: most members that belong to it find it here.
+    split = _split(members, labels)
+    order = F.xxhash64("tid", F.lit(SEED))
+    heads = split.where("comp = main").groupBy("bucket", F.pmod(order, F.lit(HEADS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "tid", "print")).alias("h")).select("bucket", F.col("h.tid").alias("head"), F.col("h.print").alias("hprint"))
+    star = split.where("comp <> main").join(heads, "bucket").where(close)
+    fresh = materialize(_untested(star, tested), "pairs")
+    if not fresh.isEmpty():
+        tested, found = tested.union(fresh), found.union(materialize(links(fresh, sets, similarity), "links"))
+        labels = components(found)
+        split = _split(split.select("bucket", "tid", "print"), labels)
+    heads = split.where("comp <> main").select("bucket", F.col("tid").alias("head"), F.col("comp").alias("hcomp"), F.col("print").alias("hprint"))
     rest = split.join(heads, "bucket").where((F.col("comp") != F.col("hcomp")) & ((F.col("comp") == F.col("main")) | (F.col("tid") < F.col("head"))) & close)
-    fresh = materialize(rest.select(F.least("tid", "head").alias("a"), F.greatest("tid", "head").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    fresh = materialize(_untested(rest, tested), "pairs")
     if fresh.isEmpty():
         return labels
-    more = materialize(links(fresh, sets, similarity), "links")
-    return components(found.union(more))
+    return components(found.union(materialize(links(fresh, sets, similarity), "links")))
+
+
+def _untested(star: DataFrame, tested: DataFrame) -> DataFrame:
+    return star.select(F.least("tid", "head").alias("a"), F.greatest("tid", "head").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+
+
+def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members with comp and main, its bucket's largest component, of the buckets in several components."""
+    rows = materialize(members.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("comp", F.coalesce("comp", "tid")), "members")
+    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("bucket", F.col("m.comp").alias("main"))
+    return materialize(rows.join(largest, "bucket"), "members")
 
 
 def _classes(sketched: DataFrame, labels: DataFrame) -> DataFrame:
