@@ -32,6 +32,7 @@ from .wordwise import WordEncoder
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
+PART_CHARS = 1 << 20
 
 
 @dataclass
@@ -191,6 +192,16 @@ def codec(path: str, threads: int = 2) -> Codec:
     return _codecs[key]
 
 
+def _parts(frame: pd.DataFrame, column: str) -> Iterator[pd.DataFrame]:
+    """Runs of rows of some PART_CHARS of text: ids as Python numbers take many times their text."""
+    ends = np.cumsum(frame[column].str.len().to_numpy(np.int64))
+    at = 0
+    while at < len(frame):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_CHARS, "right")))
+        yield frame.iloc[at:end].copy()
+        at = end
+
+
 def encode(docs: DataFrame, path: str, threads: int = 2) -> DataFrame:
     """docs without text, with ids, n_ids, n_bytes (ids of byte fallback), ids_crc32 and parity."""
     new = {"ids": "array<int>", "n_ids": "long", "n_bytes": "long", "ids_crc32": "long", "parity": "boolean"}
@@ -198,7 +209,7 @@ def encode(docs: DataFrame, path: str, threads: int = 2) -> DataFrame:
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"{k} {v}" for k, v in new.items())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (part for whole in frames for part in _parts(whole, "text_")):
             own = codec(path, threads)
             ids, sizes, same = own.encode(frame.pop("text_").tolist())
             parts = np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
@@ -224,7 +235,7 @@ def round_trip(docs: DataFrame, path: str, threads: int = 2) -> DataFrame:
     """doc_id, n_ids, n_bytes, ids_crc32, parity and whether decoding gives the text back."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (part for whole in frames for part in _parts(whole, "text")):
             own, texts = codec(path, threads), frame["text"].tolist()
             ids, sizes, same = own.encode(texts)
             parts = np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
