@@ -197,7 +197,13 @@ def _folding() -> tuple[str, str]:
 def fold(c: Column) -> Column:
     """Lower case without diacritics."""
     marked, plain = _folding()
-    return F.translate(F.lower(c), marked, plain)
+    low = F.lower(c)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, marked, plain)).otherwise(low)
+
+
+def n_tokens(c: Column) -> Column:
+    """How many word tokens a text has (folding keeps their number)."""
+    return F.regexp_count(c, F.lit(r"[\p{L}\p{N}]+"))
 
 
 def tokens(c: Column) -> Column:

@@ -87,7 +87,7 @@ def term_stats(docs: DataFrame, id_column: str = "id", text: str = "content") ->
 
 def corpus_size(docs: DataFrame, text: str = "content") -> DataFrame:
     """One row: n_docs, avg_len."""
-    return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(X.tokens(F.col(text)))).alias("avg_len"))
+    return docs.agg(F.count("*").alias("n_docs"), F.avg(X.n_tokens(F.col(text))).alias("avg_len"))
 
 
 def idf(df: Column, n: Column) -> Column:
