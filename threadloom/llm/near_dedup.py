@@ -42,6 +42,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 28, 6
 #: Samples in a print and how many must agree: at similarity 0.8 it is 130 on average, with a deviation of 5.
 PRINT, AGREE = 160, 111
+#: Of one bit of each sample, how many must agree before all four are looked at: 144 on average, deviation 4.
+AGREE_BITS = 129
+#: Members of a bucket that are compared at once.
+BLOCK = 4_096
 #: Heads of each bucket in the second round, at most.
 HEADS = 16
 #: Texts and bytes of sets in a chunk, about; a task holds two chunks.
@@ -340,14 +344,74 @@ def _labels(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
         tested, found = tested.union(fresh), found.union(materialize(links(fresh, sets, similarity), "links"))
         labels = components(found)
         split = _split(split.select("bucket", "tid", "print"), labels)
-    heads = split.where("comp <> main").select("bucket", F.col("tid").alias("head"), F.col("comp").alias("hcomp"), F.col("print").alias("hprint"))
-    rest = split.join(heads, "bucket").where((F.col("comp") != F.col("hcomp")) & ((F.col("comp") == F.col("main")) | (F.col("tid") < F.col("head"))) & close)
-    fresh = materialize(_untested(rest, tested), "pairs")
+    fresh = materialize(_untested(_all_close(split), tested), "pairs")
     if fresh.isEmpty():
         return labels
     return components(found.union(materialize(links(fresh, sets, similarity), "links")))
 
 
+def _all_close(split: DataFrame) -> DataFrame:
+    """tid, head: every close pair of a bucket's members in different components, one of them
+    (head) outside the largest. Buckets are cut into blocks of bounded size; a task takes pairs
+    of blocks one after another and compares all their prints at once: first one bit of each
+    sample by a matrix product, then all four bits of the pairs that this leaves."""
+    counts = split.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("comp") != F.col("main")) / BLOCK).cast("int").alias("headblocks")).withColumnRenamed("bucket", "_bucket")
+    rows = split.join(counts, F.col("bucket") == F.col("_bucket")).withColumn("order", F.xxhash64("tid"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod("order", F.col(n)).cast("int")
+    columns = ["bucket", "block", "headblock", "is_head", "tid", "comp", "print"]
+    members = rows.withColumn("block", own("blocks")).withColumn("headblock", each("headblocks")).withColumn("is_head", F.lit(False))
+    heads = rows.where("comp <> main").withColumn("headblock", own("headblocks")).withColumn("block", each("blocks")).withColumn("is_head", F.lit(True))
+    key = ["bucket", "block", "headblock"]
+    dealt = members.select(*columns).union(heads.select(*columns)).repartition(*key).sortWithinPartitions(*key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if left is None else pa.concat_tables([left, table]).combine_chunks()
+            keys = np.stack([table.column(k).to_numpy().astype(np.int64) for k in key])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            left = table.slice(int(cuts[-1])) if len(cuts) else table
+            if len(cuts):
+                yield from _close_pairs(table.slice(0, int(cuts[-1])), np.concatenate([[0], cuts]))
+        if left is not None and len(left):
+            yield from _close_pairs(left, np.array([0, len(left)]))
+
+    return dealt.mapInArrow(run, "tid binary, head binary")
+
+
+def _close_pairs(table: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The close pairs within each run of rows, edges[i] to edges[i + 1]."""
+    tids = table.column("tid").combine_chunks()
+    comp = table.column("comp").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    head = table.column("is_head").to_numpy()
+    prints = table.column("print").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, PRINT // 16)
+    ones = np.uint64(0x1111111111111111)
+    for a, b in zip(edges[:-1], edges[1:]):
+        h, m = a + np.flatnonzero(head[a:b]), a + np.flatnonzero(~head[a:b])
+        if not len(h) or not len(m):
+            continue
+        signs = _signs(prints[m])
+        for at in range(0, len(h), 512):
+            part = h[at : at + 512]
+            near = (_signs(prints[part]) @ signs.T >= 2 * AGREE_BITS - PRINT) & (comp[part][:, None] != comp[m])
+            i, j = np.nonzero(near)
+            for k in range(0, len(i), 1 << 17):
+                x, y = part[i[k : k + (1 << 17)]], m[j[k : k + (1 << 17)]]
+                differ = prints[x] ^ prints[y]
+                differ |= differ >> np.uint64(1)
+                differ |= differ >> np.uint64(2)
+                same = PRINT - np.bitwise_count(differ & ones).sum(1, dtype=np.int64) >= AGREE
+                yield pa.RecordBatch.from_arrays([tids.take(pa.array(y[same])), tids.take(pa.array(x[same]))], ["tid", "head"])
+
+
+def _signs(prints: np.ndarray) -> np.ndarray:
+    """One bit of each sample as 1 or -1."""
+    bits = (prints[:, :, None] >> (np.arange(16, dtype=np.uint64) * np.uint64(4))) & np.uint64(1)
+    return bits.reshape(len(prints), PRINT).astype(np.float32) * 2 - 1
+
+
 def _untested(star: DataFrame, tested: DataFrame) -> DataFrame:
     return star.select(F.least("tid", "head").alias("a"), F.greatest("tid", "head").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
 
