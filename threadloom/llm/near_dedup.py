@@ -252,33 +252,80 @@ def agree(p: str, q: str) -> Column:
     return F.lit(PRINT) - F.expr(differ)
 
 
-def links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links among the pairs (a, b), enough to connect all that are connected by links."""
-    sized = sets.select("tid", F.octet_length("weighted").alias("bytes"))
-    family = components(pairs).withColumnsRenamed({"node": "tid", "comp": "family"}).join(sized, "tid")
-    chunks = family.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / CHUNK_TEXTS, F.sum("bytes") / CHUNK_BYTES)).cast("int").alias("chunks"))
-    placed = materialize(family.join(chunks, "family").select("tid", "family", F.pmod(F.xxhash64("tid"), F.col("chunks")).cast("int").alias("chunk")), "placed")
+def links(pairs: DataFrame, sets: DataFrame, similarity: float, labels: DataFrame | None = None) -> DataFrame:
+    """Links among the pairs (a, b), enough to connect all that are connected by links, given
+    that the nodes of labels (node, comp) are connected within their comp already."""
+    tids = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
+    if labels is None:
+        known = tids.withColumn("comp", F.col("tid"))
+    else:
+        known = tids.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
+    known = materialize(known, "known")
+    # Families: components that the pairs connect.
+    between = pairs
+    if labels is not None:
+        of = known.select(F.col("tid").alias("t"), F.col("comp").alias("c"))
+        between = pairs.join(of.withColumnsRenamed({"t": "a", "c": "ca"}), "a").join(of.withColumnsRenamed({"t": "b", "c": "cb"}), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    family = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("family"))
+    sized = known.join(family, "comp").join(sets.select("tid", F.octet_length("weighted").alias("bytes")), "tid")
+    chunks = sized.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / CHUNK_TEXTS, F.sum("bytes") / CHUNK_BYTES)).cast("int").alias("chunks"))
+    placed = materialize(sized.join(chunks, "family").select("tid", "comp", "family", F.pmod(F.xxhash64("tid"), F.col("chunks")).cast("int").alias("chunk")), "placed")
     key = ["family", "lo", "hi"]
-    dealt = pairs.join(placed.withColumnsRenamed({"tid": "a", "chunk": "ca"}), "a").join(placed.select(F.col("tid").alias("b"), F.col("chunk").alias("cb")), "b")
+    dealt = pairs.join(placed.select(F.col("tid").alias("a"), "family", F.col("chunk").alias("ca")), "a").join(placed.select(F.col("tid").alias("b"), F.col("chunk").alias("cb")), "b")
     dealt = materialize(dealt.select("family", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi"), "a", "b"), "dealt")
     wanted = dealt.select(*[F.col(k).alias(f"{k}_") for k in key], F.explode(F.array("a", "b")).alias("tid")).distinct()
+    texts = wanted.join(placed.select("tid", "comp"), "tid").join(sets, "tid")
 
     def test(key: tuple, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        of, up, found = dict(zip(sets["tid"], sets["weighted"])), {}, []
-
-        def top(x: bytes) -> bytes:
-            while x in up:
-                x = up[x]
-            return x
-
-        for a, b in zip(pairs["a"], pairs["b"]):
-            x, y = top(a), top(b)
-            if x != y and weighted_jaccard(of[a], of[b]) >= similarity:
-                up[y] = x
-                found.append((a, b))
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return dealt.groupBy(*key).cogroup(wanted.join(sets, "tid").groupBy(*[f"{k}_" for k in key])).applyInPandas(test, "a binary, b binary")
+        return pd.DataFrame(_tested(pairs, sets, similarity), columns=["a", "b"])
+
+    return dealt.groupBy(*key).cogroup(texts.groupBy(*[f"{k}_" for k in key])).applyInPandas(test, "a binary, b binary")
+
+
+def _tested(pairs: pd.DataFrame, sets: pd.DataFrame, similarity: float) -> list[tuple[bytes, bytes]]:
+    """The links of one pair of chunks that connect something new. A text's weights are laid out
+    by shingle, and its partners' sets are looked up in them many at a time."""
+    tids = sets["tid"].tolist()
+    place = {t: i for i, t in enumerate(tids)}
+    flat = np.frombuffer(b"".join(sets["weighted"]), np.uint64)
+    starts = np.concatenate([[0], np.cumsum([len(x) // 8 for x in sets["weighted"]])]).astype(np.int64)
+    w = (flat & np.uint64(0xFFFF)).astype(np.uint16).view(np.float16).astype(np.float64)
+    code = np.unique(flat >> np.uint64(16), return_inverse=True)[1]
+    total = np.array([w[a:b].sum() for a, b in zip(starts[:-1], starts[1:])])
+    laid, up, first, found = np.zeros(int(code.max(initial=-1)) + 1), list(range(len(tids))), {}, []
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, c in enumerate(sets["comp"]):
+        up[i] = top(first.setdefault(c, i))
+    a, b = (np.fromiter(map(place.__getitem__, pairs[k]), np.int64, len(pairs)) for k in ("a", "b"))
+    busy = np.bincount(np.concatenate([a, b]), minlength=len(tids))
+    a, b = np.where(busy[a] >= busy[b], a, b), np.where(busy[a] >= busy[b], b, a)
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    cuts = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]]) if len(a) else np.zeros(1, np.int64)
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        x = int(a[lo])
+        own = slice(starts[x], starts[x + 1])
+        laid[code[own]] = w[own]
+        for at in range(lo, hi, 64):
+            ys = np.array([y for y in b[at : min(at + 64, hi)].tolist() if top(y) != top(x)], np.int64)
+            if not len(ys):
+                continue
+            n = starts[ys + 1] - starts[ys]
+            ends = np.cumsum(n)
+            rows = np.repeat(starts[ys] - (ends - n), n) + np.arange(ends[-1])
+            shared = np.add.reduceat(np.minimum(laid[code[rows]], w[rows]), ends - n)
+            for y in ys[shared >= similarity * (total[x] + total[ys] - shared)].tolist():
+                if top(y) != top(x):
+                    up[top(y)] = top(x)
+                    found.append((tids[x], tids[y]))
+        laid[code[own]] = 0
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -341,13 +388,13 @@ def _labels(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     star = split.where("comp <> main").join(heads, "bucket").where(close)
     fresh = materialize(_untested(star, tested), "pairs")
     if not fresh.isEmpty():
-        tested, found = tested.union(fresh), found.union(materialize(links(fresh, sets, similarity), "links"))
+        tested, found = tested.union(fresh), found.union(materialize(links(fresh, sets, similarity, labels), "links"))
         labels = components(found)
         split = _split(split.select("bucket", "tid", "print"), labels)
     fresh = materialize(_untested(_all_close(split), tested), "pairs")
     if fresh.isEmpty():
         return labels
-    return components(found.union(materialize(links(fresh, sets, similarity), "links")))
+    return components(found.union(materialize(links(fresh, sets, similarity, labels), "links")))
 
 
 def _all_close(split: DataFrame) -> DataFrame:
