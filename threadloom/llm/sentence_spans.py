@@ -130,7 +130,6 @@ def clean(docs: DataFrame) -> DataFrame:
     names = {c: free_name(docs, c) for c in ("key", "_doc", "_key", "found", "first_ids", "hit")}
     gone = materialize(repeated(docs.select("doc_id", text_key().alias("key"), text_of().alias("text"))), "repeated")
     gone = gone.select(*[F.col(c).alias(names[c]) for c in ("_doc", "_key", "found", "first_ids")], F.lit(True).alias(names["hit"]))
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_DOCS // 10 else gone
     joined = docs.withColumn(names["key"], text_key()).join(gone, F.col("doc_id").eqNullSafe(F.col(names["_doc"])) & (F.col(names["key"]) == F.col(names["_key"])), "left")
 
     @F.pandas_udf("text string, n_sentences int, n_removed int")
