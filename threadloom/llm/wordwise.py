@@ -18,6 +18,9 @@ import pyarrow.compute as pc
 
 #: Marks a word that no space precedes: the first of a text and of a line.
 BARE = "\x01"
+#: White space beside white space, and white space other than a space or a line's end.
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
+_OTHER = re.compile("[\x01\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Words remembered, at most; beyond that the memory starts anew.
 MEMORY = 600_000
 #: Characters of text taken at once.
@@ -31,7 +34,7 @@ class WordEncoder:
 
     def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], encode_texts: Callable[[list[str]], list[list[int]]], first_bare: bool, whole: str = "(?!)"):
         self.encode_words, self.encode_texts, self.first_bare = encode_words, encode_texts, first_bare
-        self.odd = re.compile(rf"[^\S \n]|\x01|[ \n][ \n]|{whole}")
+        self.whole = re.compile(whole)
         self._forget()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,14 +52,14 @@ class WordEncoder:
         return (np.concatenate(parts), np.concatenate(sizes)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def _part(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        odd = [i for i, t in enumerate(texts) if self.odd.search(t)]
+        odd = [i for i, t in enumerate(texts) if any(p in t for p in _PAIRS) or _OTHER.search(t) or self.whole.search(t)]
         marked = texts if not odd else list(texts)
         for i in odd:
             marked[i] = ""
         start = BARE if self.first_bare else ""
         words = pc.split_pattern(pa.array([start + t.replace("\n", " \n \x01") if t else BARE for t in marked], pa.large_string()), " ")
         flat = words.flatten().dictionary_encode()
-        at = self._words(flat.dictionary.to_pylist())[flat.indices.to_numpy()]
+        at = self._words(flat.dictionary.to_numpy(zero_copy_only=False).tolist())[flat.indices.to_numpy()]
         begin, n = self.starts[at], self.sizes[at]
         ends = np.cumsum(n)
         out = self.pool[np.repeat(begin - (ends - n), n) + np.arange(int(n.sum()))]
