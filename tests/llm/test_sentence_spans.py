@@ -1,3 +1,5 @@
+import random
+
 from threadloom.llm import sentence_spans as ss
 
 
@@ -37,3 +39,30 @@ def test_edges(spark):
     two = (2, "Other start.\nOther end.", 1)
     assert got == [(0, passage, 0), (1, "Own start. Own end.", 1), two, two, (3, "", 0), (4, "", 0), (5, rows[4][1], 0), (6, "", 2)]
     assert ss.clean(docs.drop("removed").limit(0)).count() == 0
+
+
+def listed(words):
+    """Every run, kept by the rule alone: first sentence and number of sentences."""
+    runs = {(i, j - i): sum(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)}
+    long = {r for r, n in runs.items() if n >= 30}
+    shortest = {(i, n) for i, n in long if (i, n - 1) not in long or (i + 1, n - 1) not in long}
+    return sorted(shortest | {(i, n) for (i, n), w in runs.items() if n == 3 and w >= 20})
+
+
+def test_spans_are_every_run():
+    rng = random.Random(5)
+    for words in [[35, 10, 12], [9, 24, 13, 7], [40], [29], [], *([rng.randint(1, 40) for _ in range(rng.randint(0, 12))] for _ in range(2000))]:
+        assert ss.spans([(0, 0, "", n) for n in words]) == listed(words)
+
+
+def test_whole_passages_go(spark):
+    rng, rows, own = random.Random(6), [], []
+    for k in range(60):
+        sizes = [[35, 10, 12], [9, 24, 13, 7], [24, 15, 8, 4, 4]][k] if k < 3 else []
+        while not sizes or k >= 3 and sum(sizes) <= 50:
+            sizes.append(rng.randint(4, 24))
+        passage = " ".join(" ".join(f"p{k}x{i}x{w}" for w in range(n)) + "." for i, n in enumerate(sizes))
+        rows += [(2 * k, f"Start {k} a. {passage} End {k} a."), (2 * k + 1, f"Start {k} b. {passage} End {k} b.")]
+        own += [rows[-2], (2 * k + 1, f"Start {k} b. End {k} b.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in ss.clean(docs).collect()) == own

@@ -1,9 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (at line ends, and after . ! ? before white space). Every run of
-SPAN consecutive sentences is a span; so that no long passage falls between, a run of fewer
-sentences that has MIN_WORDS words already is a span too: from each sentence the shortest run
-that reaches MIN_WORDS words, and the run of SPAN sentences where it has SPAN_WORDS words.
+SPAN consecutive sentences that has SPAN_WORDS words is a span; so that no long passage falls
+between, the shortest runs that reach MIN_WORDS words, one from each sentence onwards and one
+back from each sentence, are spans too. These cover every sentence of a repeated passage of
+MIN_WORDS words or more.
 Spans are compared without regard to white space. Of equal spans the first in corpus order
 (doc_id, then place) stays; sentences covered by any other are removed.
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import xxhash
@@ -54,16 +56,19 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
 
 def spans(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int]]:
     """First sentence and number of sentences of every span."""
-    out, n = set(), len(found)
+    out, n, end, back = set(), len(found), 0, 0
+    upto = [0, *accumulate(s[3] for s in found)]
     for i in range(n):
-        words, j = 0, i
-        while j < n and words < MIN_WORDS:
-            words += found[j][3]
-            j += 1
-            if j - i == SPAN and words >= SPAN_WORDS:
-                out.add((i, SPAN))
-        if words >= MIN_WORDS:
-            out.add((i, j - i))
+        if i + SPAN <= n and upto[i + SPAN] - upto[i] >= SPAN_WORDS:
+            out.add((i, SPAN))
+        while end < n and upto[end] - upto[i] < MIN_WORDS:
+            end += 1
+        if upto[end] - upto[i] >= MIN_WORDS:
+            out.add((i, end - i))
+        while upto[i + 1] - upto[back + 1] >= MIN_WORDS:
+            back += 1
+        if upto[i + 1] - upto[back] >= MIN_WORDS:
+            out.add((back, i + 1 - back))
     return sorted(out)
 
 
