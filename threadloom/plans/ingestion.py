@@ -187,11 +187,27 @@ def stream_ingest(spark, sf):
     return spark.read.parquet(f"{store}/{state['n']}")
 
 
-@query("SELECT least(count(*), 50) AS n FROM (SELECT DISTINCT session_id, content FROM messages WHERE length(trim(regexp_replace(content, '\\s+', ' ', 'g'))) >= 12)")
-def stream_vectors(spark, sf):
-    """Vector top-up: fifty new texts a pass at most."""
+def topped_up(spark: SparkSession, sf: str) -> DataFrame:
+    """The store after a vector top-up of the whole stream."""
     out = shared(spark, "topup")
     corpus = stream(spark, sf).select("session_id", X.content_hash(F.col("content")).alias("content_hash"), F.col("id").alias("msg_id"), F.col("content").alias("text")).where(F.length("text") >= V.LEAST_LENGTH)
-    none = spark.createDataFrame([], "session_id string, content_hash string, msg_id long")
-    streams.stream_vectors(corpus, hashed, lambda: none, lambda rows, n: rows.write.parquet(f"{out}/{n}"), shared(spark, "vectors")).awaitTermination()
-    return spark.read.parquet(f"{out}/*").agg(F.countDistinct("session_id", "content_hash").alias("n"))
+    schema = "session_id string, content_hash string, msg_id long, vec array<float>"
+    spark.createDataFrame([], schema).write.parquet(f"{out}/first")
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.parquet(f"{out}/{number}")
+
+    streams.stream_vectors(corpus, hashed, lambda: spark.read.schema(schema).parquet(f"{out}/*"), write, shared(spark, "vectors")).awaitTermination()
+    return spark.read.schema(schema).parquet(f"{out}/*")
+
+
+@query("SELECT DISTINCT session_id, left(sha1(content), 16) AS content_hash FROM messages WHERE length(content) >= 12")
+def stream_vectors_all(spark, sf):
+    """Vector top-up: every text of the stream."""
+    return topped_up(spark, sf).select("session_id", "content_hash")
+
+
+@query("SELECT least(count(*), 50) AS n FROM (SELECT DISTINCT session_id, content FROM messages WHERE length(trim(regexp_replace(content, '\\s+', ' ', 'g'))) >= 12)")
+def stream_vectors(spark, sf):
+    """Vector top-up of the whole stream; its SQL tells the number of texts up to fifty only."""
+    return topped_up(spark, sf).agg(F.least(F.countDistinct("session_id", "content_hash"), F.lit(50)).alias("n"))

@@ -50,12 +50,14 @@ def stream_tail(messages: DataFrame, n: int = 5) -> DataFrame:
     return messages.select("session_id", "id").groupBy("session_id").applyInPandasWithState(tail, "session_id string, ids string", "held array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
-def stream_vectors(corpus: DataFrame, embed: Callable, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str, max_new: int = 50) -> StreamingQuery:
-    """Each batch of corpus rows gets vectors for what the store lacks, max_new at most."""
+def stream_vectors(corpus: DataFrame, embed: Callable, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Each batch of corpus rows gets vectors for all that the store lacks, as no later batch
+    brings a row again; of equal texts in a session the later row counts."""
 
     def each(batch: DataFrame, number: int) -> None:
-        todo = vectors.vector_delta(batch.drop("text"), read(), max_new).where("action = 'embed'")
-        write(vectors.embed_corpus(batch.join(todo.select("session_id", "content_hash"), ["session_id", "content_hash"], "left_semi"), embed), number)
+        rows = batch.groupBy("session_id", "content_hash").agg(F.max("msg_id").alias("msg_id"), F.max_by("text", "msg_id").alias("text"))
+        todo = vectors.vector_delta(rows.drop("text"), read()).where("action = 'embed'")
+        write(vectors.embed_corpus(rows.join(todo.select("session_id", "content_hash"), ["session_id", "content_hash"], "left_semi"), embed), number)
 
     return corpus.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
