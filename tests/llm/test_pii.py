@@ -70,3 +70,28 @@ def test_added_spans():
     text = "x 4111.1111.1111.1111 y"
     assert pii.candidates(text) == [(2, 2, 21), (2, 3, 21)] or (2, 2, 21) in pii.candidates(text)
     assert pii.redacted("a b@c.dd 1.2.3.4", [(2, 0, 8), (9, 1, 16)]) == "a [EMAIL] [IP]"
+
+
+def test_rare_kinds_are_met(spark):
+    """Phones in 1 of 100 documents, a sample of 1 in 15: looser forms of theirs are found."""
+    rng = random.Random(4)
+    number = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    rows = [(i, f"note {number(3)} mail u{number(5)}@mail.example.com about order {number(8)} of today") for i in range(6000)]
+    rows[::100] = [(i, f"note {number(3)} call phone +1 303 555 {number(4)} about it today") for i in range(0, 6000, 100)]
+    rows.append((6000, "note 123 call phone 1-303-555-4127 about it today"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(docs, sample_docs=400)
+    assert model.thresholds[3] <= 1
+    got = {r.doc_id: r.spans for r in pii.find(docs, model).where("doc_id = 6000 OR doc_id % 100 = 1").collect()}
+    assert got.pop(6000) == "phone:20:34"
+    assert all(s.count(":") == 2 for s in got.values())
+    again = pii.fit(docs.repartition(7), sample_docs=400)
+    assert (again.thresholds == model.thresholds).all() and (again.trees.leaf == model.trees.leaf).all()
+
+
+def test_threshold_moves_by_degrees():
+    import numpy as np
+
+    told = lambda right, wrong: pii.threshold(np.full(right + wrong, 0.9), np.array([1.0] * right + [0.0] * wrong))
+    assert told(0, 0) == told(0, 20) and abs(told(0, 0) - pii.PRECISION) < 1e-6
+    assert told(2000, 0) < 0.9 < told(10, 0) < 1

@@ -4,10 +4,17 @@ Generators propose spans of four kinds, which may overlap: the base patterns, an
 forms of them (numbers with other separators or without a plus sign, dotted numbers out of
 range, mail addresses that spell out the at sign). Base matches always stay. The looser
 spans are scored by boosted trees over the form of the span and its surroundings, fitted on
-at most SAMPLE_DOCS documents of the same corpus: base matches, also rewritten into looser
-forms, against the other candidates. Each kind has the lowest threshold at which calibrated
-scores of held-out candidates reach PRECISION; accepted spans that overlap a base span or a
-better span are dropped.
+at most SAMPLE_DOCS distinct texts of the same corpus: base matches, also rewritten into looser
+forms, against the other candidates. The sample is stratified: of the texts with base matches
+of a kind, and of those with candidates of a kind, the first of each by hash, so a rare kind is
+met at any corpus size; of their rows too the first by hash of each kind and label. Each kind
+has the lowest threshold at which held-out looser forms reach PRECISION, against the candidates
+of the sample (whose share of right ones is not the corpus's own). A threshold t starts with
+PRIOR_ROWS rows of precision t, as calibrated scores claim: without evidence of a kind its
+threshold is PRECISION itself, and evidence moves it by degrees. It is above 1 only where the
+evidence says that no score is precise enough. Candidates outside base matches count as wrong
+ones in fitting, as nothing tells which are right, so precision is rather under-estimated.
+Accepted spans that overlap a base span or a better span are dropped.
 
 Positions count code points, ends are exclusive. Defined results: a null text counts as
 empty and has no spans; texts are searched whole, in linear time; repeated rows are judged
@@ -20,21 +27,26 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, calibrated
+from .common import materialize
 
 #: Kinds in the order that breaks ties of spans with one start.
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the trees are fitted on, at most (chosen by hash), and candidates of them.
+#: Texts that the trees are fitted on, at most (chosen by hash), and candidates of them.
 SAMPLE_DOCS = 20_000
 SAMPLE_SPANS = 50_000
 #: Share of held-out accepted candidates that must be right, by kind.
 PRECISION = 0.98
+#: Rows that a threshold's own claim counts for beside the held-out rows.
+PRIOR_ROWS = 20
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
 
@@ -141,44 +153,74 @@ def loosened(text: str, span: Span) -> list[tuple[str, Span]]:
 @dataclass
 class Model:
     trees: Trees
-    #: Least score of each kind; above 1 where no threshold is precise enough.
+    #: Least score of each kind; above 1 where the evidence is that no threshold is precise enough.
     thresholds: np.ndarray
 
 
+def strata(text: str) -> int:
+    """Bits: k where text has base matches of kind k, len(KINDS) + k where it has candidates."""
+    return sum({1 << s[1] for s in base_spans(text)} | {1 << len(KINDS) + s[1] for s in candidates(text)})
+
+
+def fitting_rows(text: str) -> list[tuple[int, int, bool, list[float]]]:
+    """Kind, label, whether the form is a looser one, and features, of what a text is fitted on."""
+    base, rows = base_spans(text), []
+    for span in base:
+        rows.append((span[1], 1, False, describe(text, span)))
+        rows += [(span[1], 1, t[s[0] : s[2]] != text[span[0] : span[2]], describe(t, s)) for t, s in loosened(text, span)]
+    sure = [(a, b) for a, _, b in base]
+    return rows + [(s[1], 0, True, describe(text, s)) for s in candidates(text) if not any(a < s[2] and s[0] < b for a, b in sure)]
+
+
+def sample(docs: DataFrame, sample_docs: int) -> DataFrame:
+    """h (hash) and text of the distinct texts of each stratum that come first by hash."""
+    hashed = docs.select(F.xxhash64("text").alias("h"), "text").where("text RLIKE '[0-9@]|(?i)[(\\\\[{]at[)\\\\]}]'")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = pd.DataFrame({"h": frame["h"], "kinds": [strata(t) for t in frame["text"]]})
+            yield frame[frame["kinds"] > 0]
+
+    found = materialize(hashed.mapInPandas(run, "h long, kinds int").distinct(), "pii-strata")
+    each, taken = max(1, sample_docs // (2 * len(KINDS))), F.lit(False)
+    for bit in range(2 * len(KINDS)):
+        own = F.col("kinds").bitwiseAND(1 << bit) != 0
+        last = found.where(own).orderBy("h").limit(each).agg(F.max("h")).first()[0]
+        taken = taken if last is None else taken | (own & (F.col("h") <= last))
+    few = found.where(taken).select("h")
+    return hashed.join(F.broadcast(few), "h", "left_semi").distinct()
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Trees from a bounded sample of docs; without any candidates, a model that adds nothing."""
-    n = docs.count()
-    share = min(1.0, sample_docs / max(n, 1))
-    few = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).where("text RLIKE '[0-9@]'")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for text in frame["text"]:
-                base = base_spans(text)
-                for span in base:
-                    rows += [(describe(t, s), 1) for t, s in [(text, span), *loosened(text, span)]]
-                sure = [(a, b) for a, _, b in base]
-                rows += [(describe(text, s), 0) for s in candidates(text) if not any(a < s[2] and s[0] < b for a, b in sure)]
-            yield pd.DataFrame({"x": [x for x, _ in rows], "y": [float(y) for _, y in rows]})
-
-    rows = few.mapInPandas(run, "x array<double>, y double").limit(SAMPLE_SPANS).toPandas()
+            rows = [(f"{h} {i}", *r) for h, text in zip(frame["h"], frame["text"]) for i, r in enumerate(fitting_rows(text))]
+            yield pd.DataFrame({"r": [xxhash.xxh3_64_intdigest(r[0]) - 2**63 for r in rows], "k": [r[1] for r in rows], "y": [float(r[2]) for r in rows], "loose": [r[3] for r in rows], "x": [r[4] for r in rows]})
+
+    full = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    every = materialize(sample(full, sample_docs).mapInPandas(run, "r long, k int, y double, loose boolean, x array<double>"), "pii-rows")
+    each = SAMPLE_SPANS // (2 * len(KINDS))
+    parts = [every.where((F.col("k") == k) & (F.col("y") == y)).orderBy("r", "x").limit(each) for k in range(len(KINDS)) for y in (0.0, 1.0)]
+    rows = reduce(DataFrame.unionAll, parts).toPandas()
     if not len(rows):
         return Model(Trees(np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 2)), 0.0), np.full(len(KINDS), 2.0))
-    x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy()
-    order = np.lexsort((y, *x.T))
-    x, y = x[order], y[order]
+    x, y, loose = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(), rows["loose"].to_numpy(bool)
+    order = np.lexsort((loose, y, *x.T))
+    x, y, loose = x[order], y[order], loose[order]
     trees, held = calibrated(x, y, np.arange(len(y)) % 3, rounds=40)
-    thresholds = np.full(len(KINDS), 2.0)
-    for k in range(len(KINDS)):
-        own = x[:, k] == 1
-        for t in np.linspace(0.99, 0.5, 50):
-            told = own & (held >= t)
-            if told.sum() >= 20 and y[told].mean() >= PRECISION:
-                thresholds[k] = t
-            elif told.sum() >= 20:
-                break
-    return Model(trees, thresholds)
+    return Model(trees, np.array([threshold(held[own], y[own]) for own in (loose & (x[:, k] == 1) for k in range(len(KINDS)))]))
+
+
+def threshold(held: np.ndarray, y: np.ndarray) -> float:
+    """The lowest score from which on PRECISION holds for a kind's held-out looser forms."""
+    found = 2.0
+    for t in np.linspace(0.99, 0.5, 50):
+        told = held >= t
+        if (y[told].sum() + PRIOR_ROWS * t) / (told.sum() + PRIOR_ROWS) >= PRECISION - 1e-9:
+            found = t
+    return found
 
 
 def select(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span]]]:
