@@ -14,3 +14,24 @@ def test_vectors_of_all_texts(spark, tmp_path):
     got = [(r.session_id, r.content_hash) for r in spark.read.parquet(f"{store}/*").collect()]
     want = {(r.session_id, r.content_hash) for r in spark.read.parquet(source).select("session_id", "content_hash").collect()}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_results_are_files_of_the_last_batch(spark, tmp_path):
+    """Three batches; each session has its last row, and nothing passes through a memory sink."""
+    source, schema = f"file://{tmp_path}/in", "session_id string, id long, uuid string, ts double"
+    for first in (0, 8, 16):
+        spark.range(first, first + 8).selectExpr("IF(id < 8, 'a', IF(id % 2 = 0, 'b', 'c')) AS session_id", "id", "concat('u', id % 12) AS uuid", "double(id) AS ts").coalesce(1).write.mode("append").parquet(source)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    read = spark.read.parquet(source)
+
+    def run(plan, mode, name, keys=()):
+        got = streams.run_once(spark, plan, f"file://{tmp_path}/{name}", mode, f"file://{tmp_path}/{name}-state", keys)
+        assert got.inputFiles() and got.columns == plan.columns
+        return sorted(tuple(r) for r in got.collect())
+
+    ids = {s: sorted(r.id for r in read.where(f"session_id = '{s}'").collect()) for s in "abc"}
+    assert run(streams.stream_tail(rows, 3), "update", "tail", ["session_id"]) == [(s, ",".join(map(str, ids[s][-3:]))) for s in "abc"]
+    for mode in ("update", "complete"):
+        assert run(streams.stream_activity(rows), mode, mode, ["session_id"]) == [(s, float(ids[s][-1]), len(ids[s])) for s in "abc"]
+    assert run(streams.stream_dedup(rows).select("session_id", "uuid"), "append", "dedup") == sorted({(r.session_id, r.uuid) for r in read.collect()})
+    assert run(streams.stream_activity(rows.where("id < 0")), "update", "none", ["session_id"]) == []

@@ -159,18 +159,17 @@ def stream(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT session_id, uuid FROM messages")
 def stream_dedup(spark, sf):
     twice = stream(spark, sf).withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
-    return streams.run_once(spark, streams.stream_dedup(twice).select("session_id", "uuid"), "dedup_" + uuid.uuid4().hex, "append", shared(spark, "dedup"))
+    return streams.run_once(spark, streams.stream_dedup(twice).select("session_id", "uuid"), shared(spark, "dedup-rows"), "append", shared(spark, "dedup"))
 
 
 @query("SELECT session_id, max(ts) AS last_ts, count(*) AS n FROM messages GROUP BY session_id")
 def stream_activity(spark, sf):
-    return streams.run_once(spark, streams.stream_activity(stream(spark, sf)), "activity_" + uuid.uuid4().hex, "complete", shared(spark, "activity"))
+    return streams.run_once(spark, streams.stream_activity(stream(spark, sf)), shared(spark, "activity-rows"), "complete", shared(spark, "activity"), ["session_id"])
 
 
 @query("SELECT session_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM (SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS n FROM messages) WHERE n <= 3 GROUP BY session_id")
 def stream_tail(spark, sf):
-    rows = streams.run_once(spark, streams.stream_tail(stream(spark, sf), 3), "tail_" + uuid.uuid4().hex, "update", shared(spark, "tail"))
-    return rows.groupBy("session_id").agg(F.max("ids").alias("ids"))
+    return streams.run_once(spark, streams.stream_tail(stream(spark, sf), 3), shared(spark, "tail-rows"), "update", shared(spark, "tail"), ["session_id"])
 
 
 @query("SELECT session_id, id, content FROM messages")

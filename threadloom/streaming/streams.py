@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..operators import merging, vectors
 
@@ -62,8 +63,20 @@ def stream_vectors(corpus: DataFrame, embed: Callable, read: Callable[[], DataFr
     return corpus.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_once(spark: SparkSession, rows: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a streaming plan over what is there now and gives its result."""
-    done = rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.table(name)
+def run_once(spark: SparkSession, rows: DataFrame, path: str, mode: str, checkpoint: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Runs a streaming plan over what is there now and gives its result. Each batch is written
+    to path, which executors share; in update and complete mode the last batch's row of each
+    key counts."""
+    if mode != "append" and not keys:
+        raise ValueError(f"mode {mode} needs keys")
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_no={number}")
+
+    spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{path}/batch_no=-1")  # a result without any batch
+    rows.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(StructType([*rows.schema]).add("batch_no", "long")).parquet(path)
+    if mode == "append":
+        return found.drop("batch_no")
+    last = found.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), "batch_no").alias("last"))
+    return last.select(*[F.col(c) if c in keys else F.col("last")[c].alias(c) for c in rows.columns])
