@@ -37,3 +37,20 @@ def test_edges(spark):
     got = ht.main_texts(pages).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 20), (1, 0), (2, 0), (3, 4), (3, 79_999), (4, 0)]
     assert ht.main_texts(pages.limit(0)).count() == 0
+
+
+def test_marked_wrappers_of_the_page():
+    text = " ".join(f"Sentence {i} of the article says a good many words." for i in range(12))
+    side = "<div class=sidebar><p>Side text of a few words.</p></div>"
+    for kind in ("class='content has-sidebar'", "class=layout-with-sidebar-right", "id=no-comments", "class=main-side"):
+        for inner in (f"<article><p>{text}</p></article>", f"<div><p>{text}</p></div>"):
+            assert ht.extract(f"<html><body><div {kind}><div class=nav><a href=/>Home</a></div>{inner}{side}</div></body></html>") == text
+    assert ht.extract(f"<body><form action=x><div class=menu><a href=/>Home</a></div><div><p>{text}</p></div>{side}<input name=q></form></body>") == text
+
+
+def test_comments_do_not_count_as_article():
+    text = "The article is short, but it is the article of this page."
+    said = "".join(f"<article class='comment'><p>Reader {i} writes a long remark about it, and then some more words.</p></article>" for i in range(9))
+    assert ht.extract(f"<body><article><p>{text}</p>{said}</article></body>") == text
+    assert ht.extract(f"<body><article><p>{text}</p><section class=comments>{said}</section></article></body>") == text
+    assert ht.extract(f"<body><article><p>{text}</p></article><section class=comments>{said.replace('article', 'div')}</section></body>") == text

@@ -5,9 +5,13 @@ Liao, 2011): C/T * log(C/LC * T/LT) to the base ln(LC/(C-LC) * C + LCb/Cb * C +
 and T count a node's characters and tags, LC and LT those inside links and b is the body. The
 sums of its children's densities are compared over all nodes; from the node of the largest
 sum, the smallest density on the path up to the body is the threshold, and the highest
-ancestor-or-self whose density reaches it is the main subtree. Within it, and before densities
-are counted, parts that are never article text are left out: by element (scripts, styles,
-forms, navigation, footers and the like) and by words in class, id and role.
+ancestor-or-self whose density reaches it is the main subtree; but an article or main element
+around the node of the largest sum, or a sole one with half of the subtree's text, is taken
+instead. Within it, and before densities are counted, parts that are never article text are
+left out: by element (scripts, styles, navigation, footers and the like), and forms and what
+words in class, id and role mark. A form or marked part stays, and is judged by its density, if
+it has more text outside links than what is around it and in no such part, and most of the text
+of article and main elements, or of the page if there are none: it is a wrapper of the page.
 
 Defined results: a null page is empty; text of a page without tags is taken as a whole; every
 page is read whole in one pass, whatever its errors; a page without text gives the empty
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-DROPPED = frozenset("script style textarea title noscript template iframe xmp noembed noframes nav footer aside form button select input option label dialog menu svg math canvas object applet audio video head".split())
+DROPPED = frozenset("script style textarea title noscript template iframe xmp noembed noframes nav footer aside button select input option label dialog menu svg math canvas object applet audio video head".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that end an open p, and which open elements a new one of the same kind ends.
 BLOCKS = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -48,13 +52,14 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "link")
+    __slots__ = ("name", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "link", "doubtful", "own")
 
     def __init__(self, name: str, parent: Node | None, dropped: bool, link: bool):
         self.name, self.parent, self.dropped, self.link = name, parent, dropped, link
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.doubtful, self.own = False, 0
 
 
 def _in_article(node: Node | None) -> bool:
@@ -77,11 +82,54 @@ def _unwanted(name: str, attributes: str, within: Node) -> bool:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if key in ("class", "id", "role") and (MARKED.search(value) or HEADERS.search(value) and not _in_article(within)):
-            return True
     return False
 
 
+def _doubtful(name: str, attributes: str, within: Node) -> bool:
+    """Forms and marked parts; an article or main is marked only within another."""
+    if name == "form":
+        return True
+    if not attributes or name in ("html", "body") or name in ("article", "main") and not _in_article(within):
+        return False
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id", "role"):
+            value = m[2] or m[3] or m[4] or ""
+            if MARKED.search(value) or HEADERS.search(value) and not _in_article(within):
+                return True
+    return False
+
+
+def settle(nodes: list[Node]) -> None:
+    """Counts the text of nodes, and drops the doubtful ones that are no wrappers of the page."""
+    for node in nodes:
+        node.own = 0 if node.dropped else sum(len(_SPACE.sub("", html.unescape(c))) for c in node.children if isinstance(c, str))
+    if not any(n.doubtful and not n.dropped for n in nodes):
+        return
+    place = {id(n): i for i, n in enumerate(nodes)}
+    up = [place[id(n.parent)] if n.parent else 0 for n in nodes]
+    plain = [0 if n.link else n.own for n in nodes]  # text outside links
+    total, named = sum(plain), [False] * len(nodes)
+    held, direct, bar = [0] * len(nodes), plain[:], [0] * len(nodes)  # nearest doubtful node, its text that no other has
+    for i, n in enumerate(nodes):
+        named[i] = n.name in ("article", "main") or i > 0 and named[up[i]]
+        held[i] = i if n.doubtful or not i else held[up[i]]
+        if held[i] != i:
+            direct[held[i]] += plain[i]
+    for i, n in enumerate(nodes):
+        if n.doubtful and i:
+            bar[i] = max(bar[held[up[i]]], direct[held[up[i]]])
+    told = [p if m else 0 for p, m in zip(plain, named)]
+    most, gone = sum(told) / 2, [False] * len(nodes)
+    for i in range(len(nodes) - 1, -1, -1):
+        inside = 0 if i and named[up[i]] else told[i]  # parts of an article don't hold it
+        gone[i] = nodes[i].doubtful and not (plain[i] > bar[i] and (inside > most if most else 2 * plain[i] > total))
+        if i:
+            told[up[i]] += told[i]
+            plain[up[i]] += 0 if gone[i] else plain[i]
+    for i, n in enumerate(nodes):
+        n.dropped = n.dropped or gone[i] or i > 0 and nodes[up[i]].dropped
+
+
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The root and all nodes, parents first."""
     root = Node("", None, False, False)
@@ -128,6 +176,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             if last:
                 close_to(last.parent)
         node = Node(name, here, here.dropped or _unwanted(name, m[3], here), here.link or name == "a")
+        node.doubtful = not node.dropped and _doubtful(name, m[3], here)
         here.children.append(node)
         nodes.append(node)
         if name in RAW and not m[3].endswith("/"):
@@ -143,10 +192,9 @@ def main_node(root: Node, nodes: list[Node]) -> Node:
     for node in reversed(nodes):
         if node.dropped:
             continue
-        own = sum(len(_SPACE.sub("", html.unescape(c))) for c in node.children if isinstance(c, str))
-        node.chars += own
+        node.chars += node.own
         if node.link:
-            node.link_chars += own
+            node.link_chars += node.own
         if node.parent:
             up = node.parent
             up.chars += node.chars
@@ -210,6 +258,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root, nodes = parse(page.replace("\0", ""))
+    settle(nodes)
     return text_of_tree(main_node(root, nodes))
 
 
