@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -68,16 +70,36 @@ def embed_corpus(corpus: DataFrame, embed: Callable[[list[str]], list[list[float
 def vector_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 5_000) -> DataFrame:
     """query_id, vec_id, similarity (nine decimals), rank: the k most similar vectors of equal
     length for each query (query_id, qvec), by similarity, then larger id. Norms are taken once
-    a vector; queries are broadcast up to most_queries rows and met in blocks beyond that."""
+    a vector. Queries are broadcast: in one block up to most_queries rows, beyond that in hash
+    blocks of about as many, one at a time, whose results are written to the shared folder. Each
+    task keeps its k best of each query before they are shuffled."""
     norm = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     unit = lambda c: F.when(norm(c) == 0, 1.0).otherwise(F.sqrt(norm(c)))
     held = vectors.select("vec_id", "vec", F.size("vec").alias("dim"), unit(F.col("vec")).alias("norm"))
     asked = queries.select("query_id", "qvec", F.size("qvec").alias("dim"), unit(F.col("qvec")).alias("qnorm"))
-    few = asked.limit(most_queries + 1).count() <= most_queries
     dot = F.aggregate(F.zip_with("vec", "qvec", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    rows = held.join(F.broadcast(asked) if few else asked, "dim").select("query_id", "vec_id", F.round(dot / (F.col("norm") * F.col("qnorm")), 9).alias("similarity"))
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("vec_id"))
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    def met(block: DataFrame) -> DataFrame:
+        rows = held.join(F.broadcast(block), "dim").select("query_id", "vec_id", F.round(dot / (F.col("norm") * F.col("qnorm")), 9).alias("similarity"))
+        return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    blocks = -(-asked.count() // most_queries)
+    if blocks <= 1:
+        return met(asked)
+    spark, path = vectors.sparkSession, _shared(vectors.sparkSession, "knn")
+    for i in range(blocks):
+        met(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).write.parquet(f"{path}/block={i}")
+    return spark.read.schema(met(asked).schema).parquet(*[f"{path}/block={i}" for i in range(blocks)])
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        local = spark.sparkContext.master.startswith("local")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-vectors-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_vectors"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def rrf_fuse(keyword: DataFrame, vector: DataFrame, limit: int | None = None) -> DataFrame:
