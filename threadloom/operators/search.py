@@ -121,9 +121,10 @@ def prefix_search(docs: DataFrame, prefixes: DataFrame, id_column: str = "id", t
     """query_id, id, n: how many words of a text begin with the query's prefix (query_id, prefix).
     Each word meets the prefixes of its own first letters only."""
     p = prefixes.select("query_id", X.fold(F.col("prefix")).alias("prefix"))
-    lengths = [r[0] for r in p.select(F.length("prefix")).distinct().limit(64).collect()]
-    words = docs.select(F.col(id_column).alias("id"), F.explode(X.tokens(F.col(text))).alias("term"))
-    starts = words.select("id", F.explode(F.array(*[F.when(F.length("term") >= n, F.left("term", F.lit(n))) for n in lengths]) if lengths else F.array().cast("array<string>")).alias("prefix"))
+    lengths = p.agg(F.collect_set(F.length("prefix")).alias("lengths"))  # one row
+    words = docs.select(F.col(id_column).alias("id"), F.explode(X.tokens(F.col(text))).alias("term")).join(F.broadcast(lengths))
+    fit = F.filter("lengths", lambda n: n <= F.length("term"))
+    starts = words.select("id", F.explode(F.transform(fit, lambda n: F.left("term", n))).alias("prefix"))
     return starts.join(small(p), "prefix").groupBy("query_id", "id").agg(F.count("*").alias("n"))
 
 

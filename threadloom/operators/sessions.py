@@ -175,9 +175,9 @@ def resolve_refs(refs: DataFrame, sessions: DataFrame, messages: DataFrame, pref
     characters join by equality; shorter ones are matched from their own length."""
     parsed = parse_refs(refs)
     good = parsed.where("status = 'ok'")
-    lengths = [r[0] for r in good.select(F.length("session_ref")).distinct().limit(64).collect()]
-    keys = F.explode(F.array_distinct(F.array(*[F.left("id", F.lit(n)) for n in lengths]) if lengths else F.array().cast("array<string>")))
-    found = good.join(sessions.select("id", keys.alias("session_ref")), "session_ref", "left")
+    lengths = good.agg(F.collect_set(F.length("session_ref")).alias("lengths"))  # one row
+    keys = F.explode(F.array_distinct(F.transform("lengths", lambda n: F.left("id", n))))
+    found = good.join(sessions.select("id").join(F.broadcast(lengths)).select("id", keys.alias("session_ref")), "session_ref", "left")
     per = found.groupBy("ref_id", "session_ref", "uuid_ref").agg(F.count("id").alias("n"), F.min("id").alias("session_id"))
     rows = per.where("n = 1").join(messages.select("session_id", F.col("id").alias("mid"), "uuid"), "session_id", "left")
     hit = F.when(F.startswith("uuid", "uuid_ref"), F.col("mid"))
