@@ -6,6 +6,13 @@ import numpy as np
 import pytest
 
 from threadloom.llm import near_dedup as nd
+from threadloom.llm.common import Workspace
+
+
+def rounded(x):
+    """To 16 significant bits."""
+    m, e = math.frexp(x)
+    return math.ldexp(round(m * 65536), e - 16)
 
 
 def brute(rows, similarity=nd.SIMILARITY):
@@ -16,7 +23,7 @@ def brute(rows, similarity=nd.SIMILARITY):
         tf.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter())
     df = Counter(s for c in tf for s in c)
     n = len(rows)
-    ws = [{s: float(np.float16((1 + math.log(n / max(df[s] if df[s] > max(nd.RARE * n, 2) else 0, max(nd.RARE * n, 2)))) * k)) for s, k in c.items()} for c in tf]
+    ws = [{s: rounded((1 + math.log(n / max(df[s], nd.RARE * n, 2))) * k) for s, k in c.items()} for c in tf]
     up = list(range(n))
 
     def top(i):
@@ -65,12 +72,15 @@ def test_edges(spark):
     assert nd.near_classes(docs.limit(0)).count() == 0
 
 
-def test_many_near_copies_stay_one_class(spark):
-    base = [f"w{i}" for i in range(200)]
+@pytest.mark.parametrize("n", [200, 400])
+def test_many_near_copies(spark, n):
+    """A word put into each of 190 places of one text. With 200 words their similarity is 0.797, with 400 words 0.89."""
+    base = [f"w{i}" for i in range(n)]
     rows = [(i, " ".join(base[:j] + [f"x{i}"] + base[j:])) for i, j in enumerate(range(5, 195))] + [(1000 + i, f"other {i} " + " ".join(f"o{i}_{j}" for j in range(50))) for i in range(50)]
-    got = nd.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.class_id for r in got if r.doc_id < 1000} == {0}
-    assert all(r.class_id == r.doc_id for r in got if r.doc_id >= 1000)
+    got = {r.doc_id: r.class_id for r in nd.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert len({got[i] for i in range(190)}) == (1 if n == 400 else 190)
+    assert all(got[i] == i for i in got if i >= 1000)
 
 
 @pytest.mark.parametrize("partitions", [1, 7])
@@ -82,8 +92,63 @@ def test_same_on_any_partitioning(spark, sf_small, partitions):
 
 def test_weighted_jaccard():
     def pack(d):
-        return (np.array(sorted(d), np.uint64) << np.uint64(16) | np.array([d[k] for k in sorted(d)], np.float16).view(np.uint16).astype(np.uint64)).tobytes()
+        return nd.packed(np.array(sorted(d), np.uint64) << np.uint64(8), np.array([d[k] for k in sorted(d)], np.float32)).tobytes()
 
     assert nd.weighted_jaccard(pack({1: 2.0, 5: 1.0}), pack({1: 1.0, 7: 4.0})) == pytest.approx(1 / 7)
     assert nd.weighted_jaccard(pack({1: 2.0}), pack({1: 2.0})) == 1
+    assert nd.weighted_jaccard(pack({1: 3e6}), pack({1: 1.5e6})) == 0.5
     assert nd.weighted_jaccard(b"", b"") == 0
+
+
+def test_one_shingle_many_times(spark):
+    """Weights are not cut off: of 20,000 and 40,000 equal words the similarity is 0.5, of 40,000 and 41,000 it is 0.98."""
+    rows = [(1, "w " * 20_000), (2, "w " * 40_000), (3, "w " * 41_000), (4, "v " * 41_000)]
+    got = {r.doc_id: r.class_id for r in nd.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4}
+
+
+@pytest.mark.parametrize("weights", [[8.0], [8.0, 16.0, 3.0, 24.0], [2.0, 5.0], [800.0, 1600.0]])
+def test_samples_agree_as_often_as_sets_are_similar(weights):
+    """Over 40 pairs of sets, samples of usual, heavier and lighter weights meet at the weighted Jaccard similarity."""
+    rng, usual = np.random.default_rng(7), np.float32(8)
+    agree, similar = [], []
+    for _ in range(40):
+        ids = np.unique(rng.integers(0, 1 << 48, 240, dtype=np.uint64))
+        w = rng.choice(weights, len(ids)).astype(np.float32)
+        other = np.where(rng.random(len(ids)) < 0.6, w, rng.choice(weights, len(ids))).astype(np.float32)
+        a, b = slice(0, 200), slice(20, None)
+        drawn = nd.samples(np.concatenate([ids[a], ids[b]]), np.concatenate([w[a], other[b]]), np.array([0, 200]), usual)
+        assert (nd.samples(ids[b], other[b], np.array([0]), usual)[:, 0] == drawn[:, 1]).all()
+        agree.append((drawn[:, 0] == drawn[:, 1]).mean())
+        x, y = np.zeros(len(ids)), np.zeros(len(ids))
+        x[a], y[b] = w[a], other[b]
+        similar.append(np.minimum(x, y).sum() / np.maximum(x, y).sum())
+    assert np.mean(agree) == pytest.approx(np.mean(similar), abs=0.015)
+
+
+def test_frequent_shingles_are_counted_exactly(spark, sf_tiny):
+    texts = spark.read.parquet(f"{sf_tiny}/documents.parquet").repartition(5).select("text")
+    with Workspace(spark) as work:
+        n, floor, known, df = nd.document_frequencies(texts, work)
+    every = Counter()
+    for r in texts.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        every.update({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else ())
+    assert n == texts.count() and floor == 2
+    assert sorted(df.tolist()) == sorted(v for v in every.values() if v > floor)
+
+
+def test_links_are_as_in_all_pairs_of_a_family(spark):
+    """Near copies of one text whose similarities lie on both sides of the limit: the classes are those of all pairs."""
+    rng = np.random.default_rng(3)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(150):
+        text = list(base)
+        for at in rng.choice(120, rng.integers(1, 6), replace=False):
+            text[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + i, " ".join(f"o{i}_{j}" for j in range(60))) for i in range(600)]
+    got = {r.doc_id: r.class_id for r in nd.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = brute(rows)
+    assert got == want
+    assert 2 < len({want[i] for i in range(150)}) < 150

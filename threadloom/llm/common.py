@@ -17,20 +17,19 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share: spark.checkpoint.dir where it is set.
+    """A folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Where it is unset, a local session (tests) gets a temporary folder and a cluster gets a
-    folder beside the warehouse, which executors reach as well.
+    Where it is unset, a session in one process (tests) gets a temporary folder; a cluster
+    has no folder that is known to be shared, so that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _local:
-        if spark.sparkContext.master.startswith("local"):
-            _local[app] = "file://" + tempfile.mkdtemp(prefix="spark-threadloom-")
-        else:
-            _local[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_threadloom"
+        _local[app] = "file://" + tempfile.mkdtemp(prefix="spark-threadloom-")
     return _local[app]
 
 
@@ -42,11 +41,39 @@ def scratch(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage safely:
     the files outlive executors, unlike local checkpoints."""
-    path = scratch(df.sparkSession, name)
+    return _saved(df, scratch(df.sparkSession, name))
+
+
+def _saved(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Materialised tables of one computation; on leaving, they are removed from the shared folder.
+    What the computation returns is materialised outside it."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(scratch(self.spark, name))
+        return _saved(df, self.paths[-1])
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder by the file system that its path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

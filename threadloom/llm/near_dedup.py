@@ -1,23 +1,24 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is a weighted set of five-word shingles, weight = tf * idf with
-idf = 1 + ln(N / max(df, RARE * N, 2)), rounded to half precision. Only shingles of
-df > RARE * N need their df listed, and there are at most (shingles a text) / RARE of them
-at any corpus size, so that list may be broadcast. It is exact: tasks first report shingles
-that are frequent in a window of their documents, with an error of at most SLACK of the
-documents; the sums name every shingle that can be frequent; a second pass counts those.
-
-Each text gets BANDS * ROWS consistent weighted samples (Ioffe 2010). Candidates are texts
-that share all samples of a band and whose samples agree in number: of PRINT samples, packed
-to four bits each, AGREE must be equal (a pair at the wanted similarity passes but for some
-1 in 10,000). A candidate is a link when its weighted Jaccard similarity, computed from both
-whole sets, is at least SIMILARITY; classes are the connected components.
-
-Buckets are not expanded into all pairs. First each bucket's members meet its smallest key,
-then those outside its largest component some more members of that; then, in buckets that are still in several components, the members outside the largest one
-meet all members of other components. So every candidate pair is either tested or already
-inside one component. For the tests, texts that candidates connect form families, families
-are cut into chunks of bounded size, and a task gets the sets of one pair of chunks once.
+idf = 1 + ln(N / max(df, floor)) and floor = max(RARE * N, S / LISTED, 2), where S is the sum
+of all df. Only shingles of df > floor need their df listed, and these are LISTED at most in
+any corpus, so that list may be broadcast. It is exact: tasks first report the shingles that
+are frequent in a window of what they read, the sums name every shingle that can be frequent,
+and a second pass counts those.
+
+Each text gets SAMPLES consistent weighted samples (Ioffe 2010). The first BANDS * ROWS form
+bands; of all, four bits each are kept as a print. Candidates are texts that share all samples
+of a band (a pair at the wanted similarity does, but for 6 in 100,000) and of whose samples
+AGREE are equal (but for 3 in 100,000). A candidate is a link when its weighted Jaccard
+similarity, computed from both whole sets, is at least SIMILARITY; classes are the connected
+components.
+
+Buckets are not expanded into all pairs. First each bucket's members meet its smallest key.
+Then, in buckets that are still in several components, the members outside the largest one
+meet some HEADS members of other components, and at last all that are left. Prints are
+compared inside the tasks, by blocks; only close pairs leave them. So every candidate pair is
+either tested or already inside one component.
 
 Defined results: equal texts share a class (copies take part once, as one text); texts
 without words, and null, are each alone in their class; a class is named by its smallest
@@ -30,84 +31,81 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, text_key, text_of
+from .common import Workspace, free_name, materialize, text_key, text_of
 from .shingles import counted, mix, shingles, slices
 
 SIMILARITY = 0.8
-BANDS, ROWS = 28, 6
-#: Samples in a print and how many must agree: at similarity 0.8 it is 130 on average, with a deviation of 5.
-PRINT, AGREE = 160, 111
-#: Of one bit of each sample, how many must agree before all four are looked at: 144 on average, deviation 4.
-AGREE_BITS = 129
+SAMPLES, BANDS, ROWS = 384, 32, 6
+#: How many samples of two prints must be equal: at similarity 0.8 it is 312 on average, with a deviation of 7.7.
+AGREE = 281
+#: Of one bit of each sample, how many must agree before all four are looked at: 346 on average, deviation 5.9.
+AGREE_BITS = 322
 #: Members of a bucket that are compared at once.
 BLOCK = 4_096
-#: Heads of each bucket in the second round, at most.
+#: Partners of a member that are tested before all.
 HEADS = 16
-#: Texts and bytes of sets in a chunk, about; a task holds two chunks.
-CHUNK_TEXTS, CHUNK_BYTES = 1_500, 16 << 20
+#: Partners of one text that a task tests with one copy of its set.
+PARTNERS = 512
 #: Document frequencies under this share of the corpus count as this share.
 RARE = 0.001
-#: Error of the first frequency pass, as a share of the documents.
-SLACK = RARE / 4
+#: Shingles whose document frequency is listed, at most.
+LISTED = 1 << 20
+#: Distinct shingles of texts in a window of the first frequency pass.
+WINDOW = 1 << 22
 #: Candidate texts whose keys are broadcast (some 50 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 200_000
-#: Random variates for each sample; shingles pick theirs by hash.
-POOL_BITS = 15
 SEED = 41
 
-_pools: dict[float, tuple[np.ndarray, ...]] = {}
-
-
-def idf(df: np.ndarray, n: int) -> np.ndarray:
-    return 1 + np.log(n / np.maximum(df, max(RARE * n, 2)))
+_rng = np.random.Generator(np.random.PCG64(SEED))
+#: Odd factors: of the hash that orders the shingles of each sample, and of a second one.
+_FIRST, _SECOND = (_rng.integers(1, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1) for _ in range(2))
+_BAND_FACTORS = _rng.integers(1 << 62, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+_NONE = np.uint32(0xFFFFFFFF)
 
 
 def frequent_candidates(texts: DataFrame) -> DataFrame:
-    """(shingle, n): a superset of the shingles with df > RARE * N, with sums too low by SLACK * N at most."""
+    """(shingle, n): a superset of the shingles with df > floor, with sums too low by floor / 2 at
+    most; n of the null shingle is S."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, held, docs = int(1 / SLACK), [], 0
-        done: tuple[np.ndarray, np.ndarray] | None = None
-
-        def count(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        held, size, docs, every = [], 0, 0, 0
 
-        def told(found: tuple[np.ndarray, np.ndarray], n: int) -> pa.RecordBatch:
-            often = found[1] > SLACK * n
-            return pa.RecordBatch.from_arrays([pa.array(found[0][often].astype(np.int64)), pa.array(found[1][often].astype(np.int64))], ["shingle", "n"])
+        def told() -> pa.RecordBatch:
+            ids, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n > max(RARE / 4 * docs, size / LISTED / 4)
+            return pa.RecordBatch.from_arrays([pa.array(ids[often].astype(np.int64)), pa.array(n[often])], ["shingle", "n"])
 
         for batch in batches:
             for first, end, data, offsets in slices(batch.column(0)):
                 held.append(counted(shingles(data, offsets)[0])[1])
-                docs += end - first
-                if docs >= width:
-                    if done:
-                        yield told(done, width)
-                    done, held, docs = count(held), [], 0
-        last = count(held)
-        if done:  # a short last window would report all it has, so it joins the one before
-            ids, at = np.unique(np.concatenate([done[0], last[0]]), return_inverse=True)
-            yield told((ids, np.bincount(at, np.concatenate([done[1], last[1]]), len(ids))), width + docs)
-        elif docs:
-            yield told(last, docs)
-
-    return texts.select("text").mapInArrow(windows, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-
-
-def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """N, the shingles with df > RARE * N in ascending order and their exact df."""
+                docs, size, every = docs + end - first, size + len(held[-1]), every + len(held[-1])
+                if size >= WINDOW:
+                    yield told()
+                    held, size, docs = [], 0, 0
+        if size:
+            yield told()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([every])], ["shingle", "n"])
+
+    # Few large tasks: a short window can tell little apart and reports much.
+    few = texts.select("text").coalesce(4 * texts.sparkSession.sparkContext.defaultParallelism)
+    return few.mapInArrow(windows, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+
+
+def document_frequencies(texts: DataFrame, work: Workspace) -> tuple[int, float, np.ndarray, np.ndarray]:
+    """N, the floor, the shingles with df > floor in ascending order and their exact df."""
     spark = texts.sparkSession
     total = texts.count()
     if not total:
-        return 0, np.zeros(0, np.uint64), np.zeros(0)
-    least = max(RARE * total, 2)
-    likely = frequent_candidates(texts).where(F.col("n") > least - SLACK * total).select("shingle").toPandas()
-    known = spark.sparkContext.broadcast(np.sort(likely["shingle"].to_numpy(np.uint64)))
+        return 0, 2.0, np.zeros(0, np.uint64), np.zeros(0)
+    likely = work.save(frequent_candidates(texts), "likely")
+    every = likely.where("shingle IS NULL").agg(F.sum("n")).first()[0] or 0
+    floor = max(RARE * total, every / LISTED, 2)
+    listed = likely.where(F.col("shingle").isNotNull() & (F.col("n") > floor / 2)).select("shingle").toPandas()  # 2 * LISTED rows at most
+    known = spark.sparkContext.broadcast(np.sort(listed["shingle"].to_numpy(np.uint64)))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n = known.value, np.zeros(len(known.value), np.int64)
@@ -122,9 +120,9 @@ def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray, np.ndarray]
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(table[some].astype(np.int64)), pa.array(n[some])], ["shingle", "n"])
 
-    counts = texts.select("text").mapInArrow(tally, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df")).where(F.col("df") > least).toPandas().sort_values("shingle")
+    counts = texts.select("text").mapInArrow(tally, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df")).where(F.col("df") > floor).toPandas().sort_values("shingle")
     known.unpersist()
-    return total, counts["shingle"].to_numpy(np.uint64), counts["df"].to_numpy(np.float64)
+    return total, floor, counts["shingle"].to_numpy(np.uint64), counts["df"].to_numpy(np.float64)
 
 
 def _marks(ids: np.ndarray) -> np.ndarray:
@@ -134,210 +132,173 @@ def _marks(ids: np.ndarray) -> np.ndarray:
     return marks
 
 
-def weights(ids: np.ndarray, tf: np.ndarray, total: int, known: np.ndarray, idfs: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """tf * idf in half precision, and where it differs from that of a rare shingle seen once."""
-    w = np.full(len(ids), idf(np.zeros(1), total)[0])
-    odd = tf > 1
-    maybe = np.flatnonzero(marks[(ids & np.uint64(0xFFFFF)).astype(np.int64)])
-    if len(maybe):
-        at = np.minimum(np.searchsorted(known, ids[maybe]), len(known) - 1)
-        hit = known[at] == ids[maybe]
-        w[maybe[hit]] = idfs[at[hit]]
-        odd[maybe[hit]] = True
-    return np.minimum(w * tf, 60_000).astype(np.float16), odd
-
-
-def _ordered(x: np.ndarray) -> np.ndarray:
-    """float32 values as uint64 numbers of the same order, shifted by 32 bits."""
-    bits = np.ascontiguousarray(x, np.float32).view(np.uint32)
-    return np.where(bits >> 31, ~bits, bits | np.uint32(0x80000000)).astype(np.uint64) << np.uint64(32)
-
-
-def _variates(usual: float) -> tuple[np.ndarray, ...]:
-    """r, ln c and beta by sample and pool entry; ordered ln a of the usual weight; hash factors."""
-    if usual not in _pools:
-        rng, shape = np.random.Generator(np.random.PCG64(SEED)), (BANDS * ROWS, 1 << POOL_BITS)
-        r, lnc, beta = rng.gamma(2, 1, shape).astype(np.float32), np.log(rng.gamma(2, 1, shape)).astype(np.float32), rng.random(shape, np.float32)
-        factors = rng.integers(1 << 62, 1 << 63, shape[0], dtype=np.uint64) | np.uint64(1)
-        _pools.clear()
-        _pools[usual] = (r, lnc, beta, _ordered(_ln_a(np.float32(np.log(usual)), r, lnc, beta)), factors)
-    return _pools[usual]
-
-
-def _ln_a(ln_w, r: np.ndarray, lnc: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    t = np.floor(ln_w / r + beta)
-    return lnc - r * (t - beta) - r
-
-
-def samples(ids: np.ndarray, w: np.ndarray, odd: np.ndarray, starts: np.ndarray, usual: float) -> np.ndarray:
-    """One row a sample, one column a text: ln a of the chosen shingle above, its hash below.
-    With the shingle given, ln a tells t of (shingle, t)."""
-    r, lnc, beta, table, factors = _variates(usual)
-    low, shift = ids >> np.uint64(16), np.uint64(64 - POOL_BITS)
-    some = np.flatnonzero(odd)
-    ln_w = np.log(w[some].astype(np.float32))
-    out = np.empty((len(factors), len(starts)), np.uint64)
-    for k, factor in enumerate(factors):
-        at = ((ids * factor) >> shift).astype(np.int64)
-        key = table[k][at]
-        if len(some):
-            x = at[some]
-            key[some] = _ordered(_ln_a(ln_w, r[k][x], lnc[k][x], beta[k][x]))
-        key |= low
-        out[k] = np.minimum.reduceat(key, starts)
+class Weights:
+    """tf * idf of shingles, as float32."""
+
+    def __init__(self, total: int, floor: float, known: np.ndarray, df: np.ndarray) -> None:
+        self.known, self.marks = known, _marks(known)
+        self.usual = np.float32(1 + np.log(max(total, 1) / floor))  # of a rare shingle that the text has once
+        self.idf = 1 + np.log(max(total, 1) / df)
+
+    def __call__(self, ids: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        w = np.full(len(ids), self.usual, np.float64)
+        maybe = np.flatnonzero(self.marks[(ids & np.uint64(0xFFFFF)).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.known, ids[maybe]), len(self.known) - 1)
+            hit = self.known[at] == ids[maybe]
+            w[maybe[hit]] = self.idf[at[hit]]
+        return (w * tf).astype(np.float32)
+
+
+def _exponential(u: np.ndarray) -> np.ndarray:
+    """Uniform 32-bit hashes as exponential variates, in the same order."""
+    return -np.log1p(u * -(0.5**32))
+
+
+def samples(ids: np.ndarray, w: np.ndarray, starts: np.ndarray, usual: np.float32) -> np.ndarray:
+    """One row a sample, one column a text: a number for the chosen shingle and its t.
+
+    Of weight w, a shingle's variate a is exponential with rate w. At the usual weight w0 it is
+    taken from a hash u, so that texts of usual weights need the smallest u only. Given that a0,
+    the other variates of the method follow: with e1, e2 exponential, z = w0 + e1 / a0,
+    r = ln(z / w0) + e2 and ln y0 = ln z - r, another weight w has t = floor((ln w - ln y0) / r)
+    steps of r and a = a0 exp(-r t). As a >= a0 (w0 / w) exp(-e2), few need to be computed.
+    """
+    x = (ids >> np.uint64(16)).astype(np.uint32)
+    odd = np.flatnonzero(w != usual)
+    light = odd[w[odd] < usual]
+    out, u = np.empty((SAMPLES, len(starts)), np.uint32), np.empty_like(x)
+    for k in range(SAMPLES):
+        np.multiply(x, _FIRST[k], out=u)
+        u[light] = _NONE
+        np.minimum.reduceat(u, starts, out=out[k])
+    if not len(odd):
+        return out
+    best = np.where(out == _NONE, np.inf, _exponential(out))
+    owners, found = np.searchsorted(starts, odd, "right") - 1, []
+    for at in range(0, len(odd), 2_048):
+        part, owner = odd[at : at + 2_048], owners[at : at + 2_048]
+        ratio = w[part].astype(np.float64) / usual
+        first, second = x[part] * _FIRST[:, None], x[part] * _SECOND[:, None]
+        least = first.astype(np.float32) * second.astype(np.float32) * (0.5**64 / ratio).astype(np.float32)
+        k, i = np.nonzero(least <= best[:, owner] * 1.001)
+        a0, e2 = _exponential(first[k, i] + 0.0), -np.log((second[k, i] + 0.5) * 0.5**32)
+        e1 = _exponential((mix(first[k, i].astype(np.uint64) << np.uint64(32) | second[k, i]) >> np.uint64(32)) + 0.0)
+        r = np.log1p(e1 / np.maximum(a0, 1e-300)) + e2
+        t = np.floor((np.log(ratio[i]) + e2) / r)
+        key = np.where(t == 0, first[k, i], (mix(first[k, i] + (t.astype(np.int64).astype(np.uint64) << np.uint64(32))) >> np.uint64(32)).astype(np.uint32))
+        found.append((k * len(starts) + owner[i], a0 * np.exp(-r * t), key))
+    cell, a, key = (np.concatenate(v) for v in zip(*found))
+    order = np.lexsort((key, a, cell))
+    cell, a, key = cell[order], a[order], key[order]
+    head = np.concatenate([[True], cell[1:] != cell[:-1]]) & (a <= best.reshape(-1)[cell])
+    out.reshape(-1)[cell[head]] = key[head]
     return out
 
 
 def sketch(docs: DataFrame, model) -> DataFrame:
-    """doc_id, tid, the keys of the bands and the print of every document (no bands for a text without words)."""
+    """doc_id, tid, the keys of the bands and the print of every document (none for a text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known, idfs = model.value
-        marks, usual = _marks(known), float(np.float16(idf(np.zeros(1), total)[0]))
-        rng = np.random.Generator(np.random.PCG64(SEED + 1))
-        factors = rng.integers(1 << 62, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+        weights = Weights(*model.value)
+        shifts = (np.arange(16, dtype=np.uint64) * np.uint64(4))[None, :, None]
         for batch in batches:
             for first, end, data, offsets in slices(batch.column(2)):
                 text, ids, tf = counted(shingles(data, offsets)[0])
-                has, keys = np.zeros(end - first, np.int64), np.zeros((0, BANDS), np.uint64)
-                prints = np.zeros((end - first, PRINT // 16), np.uint64)
+                has = np.zeros(end - first, np.int64)
+                keys, prints = np.zeros((0, BANDS), np.uint64), np.zeros((0, SAMPLES // 16), np.uint64)
                 if len(ids):
-                    w, odd = weights(ids, tf, total, known, idfs, marks)
                     starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-                    has[text[starts].astype(np.int64)] = BANDS
-                    drawn = samples(ids, w, odd, starts, usual)
-                    nibbles = (mix(drawn[:PRINT]) >> np.uint64(60)).reshape(PRINT // 16, 16, -1)
-                    prints[text[starts].astype(np.int64)] = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))[None, :, None]).sum(1, dtype=np.uint64).T
-                    drawn = drawn.reshape(BANDS, ROWS, -1)
-                    keys = np.stack([mix((drawn[b] * factors[b][:, None]).sum(0, dtype=np.uint64) + np.uint64(b)) for b in range(BANDS)], 1)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has)]).astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), lists, pa.FixedSizeListArray.from_arrays(pa.array(prints.reshape(-1).view(np.int64)), PRINT // 16).cast(pa.list_(pa.int64()))], ["doc_id", "tid", "bands", "print"])
+                    has[text[starts].astype(np.int64)] = 1
+                    drawn = samples(ids, weights(ids, tf), starts, weights.usual).astype(np.uint64)
+                    nibbles = (mix(drawn + np.uint64(1)) >> np.uint64(60)).reshape(SAMPLES // 16, 16, -1)
+                    prints = (nibbles << shifts).sum(1, dtype=np.uint64).T
+                    drawn = drawn[: BANDS * ROWS].reshape(BANDS, ROWS, -1)
+                    keys = np.stack([mix((drawn[b] * _BAND_FACTORS[b][:, None]).sum(0, dtype=np.uint64) + np.uint64(b)) for b in range(BANDS)], 1)
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * x.shape[1])]).astype(np.int32)), pa.array(np.ascontiguousarray(x).reshape(-1).view(np.int64))) for x in (keys, prints)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), *lists], ["doc_id", "tid", "bands", "print"])
 
     return docs.select("doc_id", "tid", "text").mapInArrow(run, "doc_id long, tid binary, bands array<long>, print array<long>")
 
 
+def packed(ids: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """40 bits of each shingle's hash above its weight, a float32 rounded to 24 bits; in ascending order as ids are."""
+    return ids >> np.uint64(8) << np.uint64(24) | ((w.view(np.uint32).astype(np.uint64) + np.uint64(0x80)) >> np.uint64(8))
+
+
+def unpacked(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return flat >> np.uint64(24), ((flat & np.uint64(0xFFFFFF)).astype(np.uint32) << np.uint32(8)).view(np.float32).astype(np.float64)
+
+
 def weighted_sets(docs: DataFrame, model) -> DataFrame:
-    """tid and its weighted shingles: 48-bit hash and half-precision weight in 8 bytes each, ascending."""
+    """tid and its weighted shingles, packed in 8 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known, idfs = model.value
-        marks = _marks(known)
+        weights = Weights(*model.value)
         for batch in batches:
             for first, end, data, offsets in slices(batch.column(1)):
                 text, ids, tf = counted(shingles(data, offsets)[0])
-                w, _ = weights(ids, tf, total, known, idfs, marks)
-                packed = ids << np.uint64(16) | w.view(np.uint16).astype(np.uint64)
+                both = packed(ids, weights(ids, tf))
                 edges = np.searchsorted(text, np.arange(end - first + 1, dtype=np.uint64))
-                sets = pa.array([packed[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())
+                sets = pa.array([both[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), sets], ["tid", "weighted"])
 
     return docs.select("tid", "text").mapInArrow(run, "tid binary, weighted binary")
 
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = np.concatenate([x, y])
+    both = np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
     both.sort()
-    ids = both >> np.uint64(16)
-    w = (both & np.uint64(0xFFFF)).astype(np.uint16).view(np.float16).astype(np.float64)
+    ids, w = unpacked(both)
     shared = w[:-1][ids[1:] == ids[:-1]].sum()  # of two equal shingles the lighter one comes first
     return float(shared / (w.sum() - shared)) if len(both) else 0.0
 
 
 def agree(p: str, q: str) -> Column:
     """How many samples of two prints are equal: of each four bits that differ, one is counted."""
-    differ = " + ".join(f"bit_count(((x{i} | shiftrightunsigned(x{i}, 1) | shiftrightunsigned(x{i}, 2) | shiftrightunsigned(x{i}, 3)) & {0x1111111111111111}L))" for i in range(PRINT // 16))
-    for i in reversed(range(PRINT // 16)):
-        differ = differ.replace(f"x{i}", f"({p}[{i}] ^ {q}[{i}])")
-    return F.lit(PRINT) - F.expr(differ)
-
-
-def links(pairs: DataFrame, sets: DataFrame, similarity: float, labels: DataFrame | None = None) -> DataFrame:
-    """Links among the pairs (a, b), enough to connect all that are connected by links, given
-    that the nodes of labels (node, comp) are connected within their comp already."""
-    tids = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
-    if labels is None:
-        known = tids.withColumn("comp", F.col("tid"))
-    else:
-        known = tids.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
-    known = materialize(known, "known")
-    # Families: components that the pairs connect.
-    between = pairs
-    if labels is not None:
-        of = known.select(F.col("tid").alias("t"), F.col("comp").alias("c"))
-        between = pairs.join(of.withColumnsRenamed({"t": "a", "c": "ca"}), "a").join(of.withColumnsRenamed({"t": "b", "c": "cb"}), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    family = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("family"))
-    sized = known.join(family, "comp").join(sets.select("tid", F.octet_length("weighted").alias("bytes")), "tid")
-    chunks = sized.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / CHUNK_TEXTS, F.sum("bytes") / CHUNK_BYTES)).cast("int").alias("chunks"))
-    placed = materialize(sized.join(chunks, "family").select("tid", "comp", "family", F.pmod(F.xxhash64("tid"), F.col("chunks")).cast("int").alias("chunk")), "placed")
-    key = ["family", "lo", "hi"]
-    dealt = pairs.join(placed.select(F.col("tid").alias("a"), "family", F.col("chunk").alias("ca")), "a").join(placed.select(F.col("tid").alias("b"), F.col("chunk").alias("cb")), "b")
-    dealt = materialize(dealt.select("family", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi"), "a", "b"), "dealt")
-    wanted = dealt.select(*[F.col(k).alias(f"{k}_") for k in key], F.explode(F.array("a", "b")).alias("tid")).distinct()
-    texts = wanted.join(placed.select("tid", "comp"), "tid").join(sets, "tid")
-
-    def test(key: tuple, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_tested(pairs, sets, similarity), columns=["a", "b"])
-
-    return dealt.groupBy(*key).cogroup(texts.groupBy(*[f"{k}_" for k in key])).applyInPandas(test, "a binary, b binary")
-
-
-def _tested(pairs: pd.DataFrame, sets: pd.DataFrame, similarity: float) -> list[tuple[bytes, bytes]]:
-    """The links of one pair of chunks that connect something new. A text's weights are laid out
-    by shingle, and its partners' sets are looked up in them many at a time."""
-    tids = sets["tid"].tolist()
-    place = {t: i for i, t in enumerate(tids)}
-    flat = np.frombuffer(b"".join(sets["weighted"]), np.uint64)
-    starts = np.concatenate([[0], np.cumsum([len(x) // 8 for x in sets["weighted"]])]).astype(np.int64)
-    w = (flat & np.uint64(0xFFFF)).astype(np.uint16).view(np.float16).astype(np.float64)
-    code = np.unique(flat >> np.uint64(16), return_inverse=True)[1]
-    total = np.array([w[a:b].sum() for a, b in zip(starts[:-1], starts[1:])])
-    laid, up, first, found = np.zeros(int(code.max(initial=-1)) + 1), list(range(len(tids))), {}, []
-
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    for i, c in enumerate(sets["comp"]):
-        up[i] = top(first.setdefault(c, i))
-    a, b = (np.fromiter(map(place.__getitem__, pairs[k]), np.int64, len(pairs)) for k in ("a", "b"))
-    busy = np.bincount(np.concatenate([a, b]), minlength=len(tids))
-    a, b = np.where(busy[a] >= busy[b], a, b), np.where(busy[a] >= busy[b], b, a)
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], b[order]
-    cuts = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]]) if len(a) else np.zeros(1, np.int64)
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
-        x = int(a[lo])
-        own = slice(starts[x], starts[x + 1])
-        laid[code[own]] = w[own]
-        for at in range(lo, hi, 64):
-            ys = np.array([y for y in b[at : min(at + 64, hi)].tolist() if top(y) != top(x)], np.int64)
-            if not len(ys):
-                continue
-            n = starts[ys + 1] - starts[ys]
-            ends = np.cumsum(n)
-            rows = np.repeat(starts[ys] - (ends - n), n) + np.arange(ends[-1])
-            shared = np.add.reduceat(np.minimum(laid[code[rows]], w[rows]), ends - n)
-            for y in ys[shared >= similarity * (total[x] + total[ys] - shared)].tolist():
-                if top(y) != top(x):
-                    up[top(y)] = top(x)
-                    found.append((tids[x], tids[y]))
-        laid[code[own]] = 0
-    return found
-
-
-def components(edges: DataFrame) -> DataFrame:
+    differ = " + ".join(f"bit_count(((x{i}_ | shiftrightunsigned(x{i}_, 1) | shiftrightunsigned(x{i}_, 2) | shiftrightunsigned(x{i}_, 3)) & {0x1111111111111111}L))" for i in range(SAMPLES // 16))
+    for i in range(SAMPLES // 16):
+        differ = differ.replace(f"x{i}_", f"({p}[{i}] ^ {q}[{i}])")
+    return F.lit(SAMPLES) - F.expr(differ)
+
+
+def links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose weighted Jaccard similarity is at least the given one.
+
+    A text's partners are dealt into parts of some PARTNERS. A task meets each part as a run of
+    rows, the text's own set first, and holds no more than that set and one batch of partners.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    partners = dealt.join(sets.withColumnRenamed("tid", "b"), "b").select("a", "part", F.lit(1).alias("turn"), "b", "weighted")
+    own = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(sets.withColumnRenamed("tid", "a"), "a").select("a", "part", F.lit(0).alias("turn"), F.col("a").alias("b"), "weighted")
+    rows = own.union(partners).repartition("a", "part").sortWithinPartitions("a", "part", "turn")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = b""
+        for batch in batches:
+            a, b = [], []
+            for x, turn, y, weighted in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
+                if not turn:
+                    own = weighted
+                elif weighted_jaccard(own, weighted) >= similarity:
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return rows.mapInArrow(test, "a binary, b binary")
+
+
+def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """node and comp, the smallest node that it is connected to. Labels spread over edges and
     then jump to their label's label, so a chain of length n takes some log(n) rounds."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")), "edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
+    both = work.save(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = work.save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near")).withColumnRenamed("a", "node")
         spread = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         jump = spread.select(F.col("node").alias("comp"), F.col("comp").alias("beyond"))
-        after = materialize(spread.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("beyond", "comp")).alias("comp")), "labels")
+        after = work.save(spread.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("beyond", "comp")).alias("comp")), "labels")
         labels = after.select("node", "comp")
         if after.where(F.col("was") != F.col("comp")).isEmpty():
             return labels
@@ -348,65 +309,70 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Of the texts of the document that names the class, class_tid is the smallest key."""
     spark = docs.sparkSession
     keyed = docs.select("doc_id", text_key().alias("tid"), text_of().alias("text"))
-    model = spark.sparkContext.broadcast(document_frequencies(keyed))
-    sketched = materialize(sketch(keyed, model), "sketches")
-    members = materialize(_shared_buckets(sketched), "buckets")
-    wanted = members.select("tid").distinct()
-    firsts = (
-        sketched.groupBy("tid", "doc_id").agg(F.count("*").alias("n")).groupBy("tid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "n")).alias("f"))
-        .join(wanted, "tid", "left_semi").select(F.col("tid").alias("want"), F.col("f.doc_id").alias("first"), F.col("f.n").alias("n"))
-    )
-    chosen = materialize(firsts, "candidates")
-    want = F.broadcast(chosen) if chosen.count() <= BROADCAST_KEYS else chosen
-    picked = keyed.join(want, (F.col("tid") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("first")))
-    if not chosen.where("n > 1").isEmpty():  # repeated rows
-        picked = picked.where("n = 1").union(picked.where("n > 1").dropDuplicates(["tid"]))
-    sets = materialize(weighted_sets(picked, model), "sets")
-    return _classes(sketched, _labels(members, sets, similarity))
+    with Workspace(spark) as work:
+        model = spark.sparkContext.broadcast(document_frequencies(keyed, work))
+        sketched = work.save(sketch(keyed, model), "sketches")
+        members = work.save(_shared_buckets(sketched), "buckets")
+        wanted = members.select("tid").distinct()
+        firsts = (
+            sketched.groupBy("tid", "doc_id").agg(F.count("*").alias("n")).groupBy("tid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "n")).alias("f"))
+            .join(wanted, "tid", "left_semi").select(F.col("tid").alias("want"), F.col("f.doc_id").alias("first"), F.col("f.n").alias("n"))
+        )
+        chosen = work.save(firsts, "candidates")
+        want = F.broadcast(chosen) if chosen.count() <= BROADCAST_KEYS else chosen
+        picked = keyed.join(want, (F.col("tid") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("first")))
+        if not chosen.where("n > 1").isEmpty():  # repeated rows
+            picked = picked.where("n = 1").union(picked.where("n > 1").dropDuplicates(["tid"]))
+        sets = work.save(weighted_sets(picked, model), "sets")
+        found = materialize(_classes(sketched, _labels(members, sets, similarity, work), work), "classes")
+        model.unpersist()
+        return found
 
 
 def _shared_buckets(sketched: DataFrame) -> DataFrame:
     """bucket, tid, print: the texts of each bucket that holds several. Buckets of one text, the most, go first."""
-    rows = sketched.select(F.explode("bands").alias("bucket"), "tid").distinct()
+    rows = sketched.select(F.explode("bands").alias("bucket"), "tid")
     several = rows.groupBy("bucket").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo < hi").select("bucket")
-    prints = sketched.select("tid", "print").distinct()
-    return rows.join(several, "bucket").join(prints, "tid")
+    prints = sketched.groupBy("tid").agg(F.first("print").alias("print"))
+    return rows.join(several, "bucket").distinct().join(prints, "tid")
 
 
-def _labels(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _labels(members: DataFrame, sets: DataFrame, similarity: float, work: Workspace) -> DataFrame:
     """node, comp of the texts that have links. members: bucket, tid, print."""
-    close = agree("print", "hprint") >= AGREE
     heads = members.groupBy("bucket").agg(F.min(F.struct("tid", "print")).alias("h")).select("bucket", F.col("h.tid").alias("head"), F.col("h.print").alias("hprint"))
-    star = members.join(heads, "bucket").where((F.col("tid") != F.col("head")) & close)
-    tested = materialize(star.select(F.col("head").alias("a"), F.col("tid").alias("b")).distinct(), "pairs")
-    found = materialize(links(tested, sets, similarity), "links")
-    labels = components(found)
-    # Some more heads from each bucket's largest component: most members that belong to it find it here.
-    split = _split(members, labels)
-    order = F.xxhash64("tid", F.lit(SEED))
-    heads = split.where("comp = main").groupBy("bucket", F.pmod(order, F.lit(HEADS)).alias("slot")).agg(F.min(F.struct(order.alias("o"), "tid", "print")).alias("h")).select("bucket", F.col("h.tid").alias("head"), F.col("h.print").alias("hprint"))
-    star = split.where("comp <> main").join(heads, "bucket").where(close)
-    fresh = materialize(_untested(star, tested), "pairs")
-    if not fresh.isEmpty():
-        tested, found = tested.union(fresh), found.union(materialize(links(fresh, sets, similarity, labels), "links"))
-        labels = components(found)
-        split = _split(split.select("bucket", "tid", "print"), labels)
-    fresh = materialize(_untested(_all_close(split), tested), "pairs")
-    if fresh.isEmpty():
-        return labels
-    return components(found.union(materialize(links(fresh, sets, similarity, labels), "links")))
-
-
-def _all_close(split: DataFrame) -> DataFrame:
-    """tid, head: every close pair of a bucket's members in different components, one of them
-    (head) outside the largest. Buckets are cut into blocks of bounded size; a task takes pairs
-    of blocks one after another and compares all their prints at once: first one bit of each
-    sample by a matrix product, then all four bits of the pairs that this leaves."""
+    star = members.join(heads, "bucket").where((F.col("tid") != F.col("head")) & (agree("print", "hprint") >= AGREE))
+    tested = work.save(star.select(F.col("head").alias("a"), F.col("tid").alias("b")).distinct(), "pairs")
+    found = work.save(links(tested, sets, similarity), "links")
+    labels = components(found, work)
+    for rest in (False, True):
+        members = _split(members, labels, work)
+        pairs = _close_pairs(members, rest).select(F.least("tid", "head").alias("a"), F.greatest("tid", "head").alias("b")).distinct()
+        fresh = work.save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not fresh.isEmpty():
+            tested, found = tested.union(fresh), found.union(work.save(links(fresh, sets, similarity), "links"))
+            labels = components(found, work)
+    return labels
+
+
+def _split(members: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
+    """members with comp, n (their bucket's members) and main (its largest component), of the buckets in several components."""
+    rows = work.save(members.select("bucket", "tid", "print").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("comp", F.coalesce("comp", "tid")), "members")
+    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1").select("bucket", "n", F.col("m.comp").alias("main"))
+    return work.save(rows.join(largest, "bucket"), "members")
+
+
+def _close_pairs(split: DataFrame, rest: bool) -> DataFrame:
+    """tid, head: close pairs of a bucket's members in different components, one of them (head)
+    outside the largest: of each head, those some HEADS partners that a hash of the pair names,
+    or the rest. Buckets are cut into blocks of bounded size; a task takes pairs of blocks one
+    after another and compares all their prints at once: first one bit of each sample by a matrix
+    product, then all four bits of the pairs that this leaves."""
     counts = split.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("comp") != F.col("main")) / BLOCK).cast("int").alias("headblocks")).withColumnRenamed("bucket", "_bucket")
     rows = split.join(counts, F.col("bucket") == F.col("_bucket")).withColumn("order", F.xxhash64("tid"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod("order", F.col(n)).cast("int")
-    columns = ["bucket", "block", "headblock", "is_head", "tid", "comp", "print"]
+    columns = ["bucket", "block", "headblock", "is_head", "tid", "comp", "main", "n", "print"]
     members = rows.withColumn("block", own("blocks")).withColumn("headblock", each("headblocks")).withColumn("is_head", F.lit(False))
     heads = rows.where("comp <> main").withColumn("headblock", own("headblocks")).withColumn("block", each("blocks")).withColumn("is_head", F.lit(True))
     key = ["bucket", "block", "headblock"]
@@ -421,59 +387,51 @@ def _all_close(split: DataFrame) -> DataFrame:
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
             left = table.slice(int(cuts[-1])) if len(cuts) else table
             if len(cuts):
-                yield from _close_pairs(table.slice(0, int(cuts[-1])), np.concatenate([[0], cuts]))
+                yield from _close_in(table.slice(0, int(cuts[-1])), np.concatenate([[0], cuts]), rest)
         if left is not None and len(left):
-            yield from _close_pairs(left, np.array([0, len(left)]))
+            yield from _close_in(left, np.array([0, len(left)]), rest)
 
     return dealt.mapInArrow(run, "tid binary, head binary")
 
 
-def _close_pairs(table: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _close_in(table: pa.Table, edges: np.ndarray, rest: bool) -> Iterator[pa.RecordBatch]:
     """The close pairs within each run of rows, edges[i] to edges[i + 1]."""
     tids = table.column("tid").combine_chunks()
-    comp = table.column("comp").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    order = np.array([int.from_bytes(t[:8], "big") for t in tids.to_pylist()], np.uint64)
+    comps = pa.concat_arrays([table.column(k).combine_chunks() for k in ("comp", "main")]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    comp, main, size = comps[: len(table)], comps[len(table) :], table.column("n").to_numpy()
     head = table.column("is_head").to_numpy()
-    prints = table.column("print").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, PRINT // 16)
+    prints = table.column("print").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SAMPLES // 16)
     ones = np.uint64(0x1111111111111111)
     for a, b in zip(edges[:-1], edges[1:]):
         h, m = a + np.flatnonzero(head[a:b]), a + np.flatnonzero(~head[a:b])
         if not len(h) or not len(m):
             continue
-        signs = _signs(prints[m])
+        signs, outside = _signs(prints[m]), comp[m] != main[a]
         for at in range(0, len(h), 512):
             part = h[at : at + 512]
-            near = (_signs(prints[part]) @ signs.T >= 2 * AGREE_BITS - PRINT) & (comp[part][:, None] != comp[m])
-            i, j = np.nonzero(near)
-            for k in range(0, len(i), 1 << 17):
-                x, y = part[i[k : k + (1 << 17)]], m[j[k : k + (1 << 17)]]
+            near = (_signs(prints[part]) @ signs.T >= 2 * AGREE_BITS - SAMPLES) & (comp[part][:, None] != comp[m])
+            near &= ~outside | (order[part][:, None] <= order[m])  # of two outside, one order will do
+            early = mix(order[part][:, None] ^ order[m]) * 0.5**64 * size[a] < HEADS
+            i, j = np.nonzero(near & (early != rest))
+            for k in range(0, len(i), 1 << 16):
+                x, y = part[i[k : k + (1 << 16)]], m[j[k : k + (1 << 16)]]
                 differ = prints[x] ^ prints[y]
                 differ |= differ >> np.uint64(1)
                 differ |= differ >> np.uint64(2)
-                same = PRINT - np.bitwise_count(differ & ones).sum(1, dtype=np.int64) >= AGREE
+                same = SAMPLES - np.bitwise_count(differ & ones).sum(1, dtype=np.int64) >= AGREE
                 yield pa.RecordBatch.from_arrays([tids.take(pa.array(y[same])), tids.take(pa.array(x[same]))], ["tid", "head"])
 
 
 def _signs(prints: np.ndarray) -> np.ndarray:
     """One bit of each sample as 1 or -1."""
     bits = (prints[:, :, None] >> (np.arange(16, dtype=np.uint64) * np.uint64(4))) & np.uint64(1)
-    return bits.reshape(len(prints), PRINT).astype(np.float32) * 2 - 1
-
-
-def _untested(star: DataFrame, tested: DataFrame) -> DataFrame:
-    return star.select(F.least("tid", "head").alias("a"), F.greatest("tid", "head").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-
-
-def _split(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """members with comp and main, its bucket's largest component, of the buckets in several components."""
-    rows = materialize(members.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("comp", F.coalesce("comp", "tid")), "members")
-    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("bucket", F.col("m.comp").alias("main"))
-    return materialize(rows.join(largest, "bucket"), "members")
+    return bits.reshape(len(prints), SAMPLES).astype(np.float32) * 2 - 1
 
 
-def _classes(sketched: DataFrame, labels: DataFrame) -> DataFrame:
+def _classes(sketched: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
     rows = sketched.select("doc_id", "tid", (F.size("bands") == 0).alias("alone"))
-    rows = materialize(rows.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("comp", F.coalesce("comp", "tid")), "labelled")
+    rows = work.save(rows.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("comp", F.coalesce("comp", "tid")), "labelled")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tid"))
     names = rows.where(~F.col("alone")).groupBy("comp").agg(first.alias("f")).select("comp", F.col("f.doc_id").alias("class_id"), F.col("f.tid").alias("class_tid"))
     named = rows.where(~F.col("alone")).join(names, "comp").select("doc_id", "tid", "class_id", "class_tid")
@@ -482,14 +440,16 @@ def _classes(sketched: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs, one document of each class: the smallest doc_id. Texts without words all stay."""
-    key, want, cid = (free_name(docs, x) for x in ("tid", "want", "first_id"))
-    keep = near_classes(docs, similarity).where("doc_id <=> class_id AND tid <=> class_tid").select(F.col("doc_id").alias(cid), F.col("tid").alias(want)).distinct()
-    keep = materialize(keep, "kept")
-    keep = F.broadcast(keep) if keep.count() <= BROADCAST_KEYS else keep
-    keyed = docs.withColumn(key, text_key())
-    kept = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col(cid)) & (F.col(key) == F.col(want)), "left_semi")
-    repeated = keyed.groupBy("doc_id", key).count().where("count > 1").select(F.col("doc_id").alias(cid), F.col(key).alias(want))
+    key, want, cid, n = (free_name(docs, x) for x in ("tid", "want", "first_id", "copies"))
+    classes = near_classes(docs, similarity)
+    rows = classes.groupBy("doc_id", "tid", (F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("tid").eqNullSafe(F.col("class_tid"))).alias("stays")).agg(F.count("*").alias(n))
+    gone = rows.where("NOT stays").select(F.col("doc_id").alias(cid), F.col("tid").alias(want))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
     same = F.col("doc_id").eqNullSafe(F.col(cid)) & (F.col(key) == F.col(want))
+    kept = docs.withColumn(key, text_key()).join(gone, same, "left_anti")
+    repeated = rows.where(F.col("stays") & (F.col(n) > 1)).select(F.col("doc_id").alias(cid), F.col("tid").alias(want))
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
     once = kept.join(repeated, same, "left_anti")
     some = kept.join(repeated, same, "left_semi")
     blank = ~text_of().rlike(r"[^\x20\x09-\x0D]")

@@ -13,24 +13,24 @@ import numpy as np
 import pyarrow as pa
 
 SIZE = 5
-#: Bytes of text handled at once; a longer text is handled alone.
-SLICE_BYTES = 4 << 20
+#: Bytes of text handled at once, so that working arrays stay in a core's cache; a longer text is handled alone.
+SLICE_BYTES = 1 << 18
 #: Bits of a shingle's hash. A slice numbers its texts in the other 16.
 BITS = 48
 _MASK = np.uint64((1 << BITS) - 1)
 
-_space = np.zeros(256, bool)
-_space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BASE = int(_rng.integers(1 << 62, 1 << 63)) | 1
 _FACTORS = _rng.integers(1 << 62, 1 << 63, SIZE, dtype=np.uint64) | np.uint64(1)
-_powers = np.ones(1, np.uint64)
+_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
-def _power_table(n: int) -> np.ndarray:
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse modulo 2 ** 64, n of each at least."""
     global _powers
-    if len(_powers) < n:
-        _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 256) - 1, _BASE, np.uint64))])
+    if len(_powers[0]) < n:
+        n = max(n, SLICE_BYTES)
+        _powers = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
     return _powers
 
 
@@ -57,27 +57,26 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and how many words each text has."""
+    """Hash of each word, and how many words each text has. A word's hash is the polynomial of
+    its bytes, taken from running sums over the whole slice, to which white space adds nothing."""
     counts = np.zeros(len(offsets) - 1, np.int64)
     if not len(data):
         return np.zeros(0, np.uint64), counts
-    space = _space[data]
-    first = np.empty(len(data), bool)
-    first[0] = True
-    first[1:] = space[:-1]
-    first[offsets[:-1][offsets[:-1] < len(data)]] = True
-    first &= ~space
+    word = ((data - np.uint8(9)) > 4) & (data != 0x20)
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    opening = offsets[:-1][offsets[:-1] < len(data)]
+    first[opening] = word[opening]
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, np.uint64), counts
-    ends = np.append(starts[1:], len(data))
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, ends - starts)
-    value = data[starts[0] :].astype(np.uint64) + np.uint64(1)
-    value[space[starts[0] :]] = 0
-    np.multiply(value, _power_table(int((ends - starts).max()) + 1)[place], out=value)
-    hashes = mix(np.add.reduceat(value, starts - starts[0]))
-    edges = np.searchsorted(starts, offsets)
-    return hashes, np.diff(edges)
+    up, down = _power_tables(len(data))
+    sums = ((data + np.uint8(1)) * word).astype(np.uint64)  # no byte of UTF-8 is 255
+    np.multiply(sums, up[: len(data)], out=sums)
+    np.cumsum(sums, out=sums)
+    until = np.append(sums[starts[1:] - 1], sums[-1])
+    before = np.concatenate([[np.uint64(0)], until[:-1]])
+    return mix((until - before) * down[starts]), np.diff(np.searchsorted(starts, offsets))
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
