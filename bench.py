@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +14,9 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 
 
-def asked(spark: SparkSession, docs: DataFrame, n: int) -> DataFrame:
+def asked(spark: SparkSession, index, n: int) -> DataFrame:
     """n queries of two corpus words each, chosen by hash."""
-    from threadloom.operators import search as S
-
-    words = [r[0] for r in S.term_stats(docs).where("df > 1 AND length(term) > 3").orderBy(F.xxhash64("term")).limit(2 * n).collect()]
+    words = [r[0] for r in index.terms.where("df > 1 AND length(term) > 3").orderBy(F.xxhash64("term")).limit(2 * n).collect()]
     return spark.createDataFrame([(i, f"{words[2 * i]} {words[2 * i + 1]}") for i in range(min(n, len(words) // 2))], "query_id int, text string")
 
 
@@ -27,32 +26,42 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    from threadloom.operators import index as I
     from threadloom.operators import search as S
     from threadloom.operators import vectors as V
     from threadloom.plans import catalog
     from threadloom.plans import fixtures as D
+    from threadloom.sources.shared import shared_path
 
     docs = D.table(spark, SF_DIR, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     talk, sessions = D.messages(spark, SF_DIR), D.sessions(spark, SF_DIR)
     vectors = D.table(spark, SF_DIR, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    runs: dict[str, DataFrame] = {}
+    # Each run builds its frame inside the clock. The word indexes are stored once, as a user's would be, and timed by themselves.
+    took: dict[str, float] = {}
+
+    def timed(name: str, build: Callable[[], DataFrame | None], times: int = 2) -> None:
+        best = float("inf")
+        for _ in range(times):
+            start = time.time()
+            frame = build()
+            if frame is not None:
+                frame.write.format("noop").mode("overwrite").save()
+            best = min(best, time.time() - start)
+        took[name] = round(best, 3)
+
+    indexes = {}
+    for name, rows in (("documents", docs), ("conversations", talk)):
+        path = shared_path(spark, f"bench-{name}")
+        timed(f"build_index_{name}", lambda: indexes.update({name: I.write_index(rows, path)}), 1)
     for n in (1, 100, 1000):
-        on_docs, on_talk = asked(spark, docs, n), asked(spark, talk, n)
-        runs[f"bm25_documents_{n}"] = S.bm25(docs, S.query_terms(on_docs))
-        runs[f"bm25_conversations_{n}"] = S.bm25(talk, S.query_terms(on_talk))
-        runs[f"keyword_search_{n}"] = S.keyword_search(talk, sessions, on_talk)
+        on_docs, on_talk = asked(spark, indexes["documents"], n), asked(spark, indexes["conversations"], n)
+        timed(f"bm25_documents_{n}", lambda: S.bm25(indexes["documents"], S.query_terms(on_docs)))
+        timed(f"bm25_conversations_{n}", lambda: S.bm25(indexes["conversations"], S.query_terms(on_talk)))
+        timed(f"keyword_search_{n}", lambda: S.keyword_search(talk, sessions, on_talk, index=indexes["conversations"]))
     for n in (1, 100):
-        runs[f"vector_knn_{n}"] = V.vector_knn(vectors, vectors.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec")))
+        timed(f"vector_knn_{n}", lambda: V.vector_knn(vectors, vectors.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))))
     for name in ("tokenize", "build_sessions", "merge_messages", "reconcile_retention", "session_preview", "lineage_root"):
-        runs[name] = catalog.QUERIES[name](spark, SF_DIR)
-    took = {}
-    for name, frame in runs.items():
-        times = []
-        for _ in range(2):
-            start = time.time()
-            frame.write.format("noop").mode("overwrite").save()
-            times.append(time.time() - start)
-        took[name] = round(min(times), 3)
+        timed(name, lambda: catalog.QUERIES[name](spark, SF_DIR))
     print(json.dumps({"metric": "total wall time of the headline queries", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 

@@ -142,7 +142,7 @@ def test_block_records(spark, tmp_path):
     (folder / "kid.jsonl").write_text(lines[0])
     raw = transcripts.lines(spark, str(tmp_path))
     got = [(r.session_id, r.role, r.content, r.uuid) for r in transcripts.read_block_jsonl(raw).orderBy("session_id", "line").collect()]
-    assert got == [("abc", "user", "plain", "u1"), ("abc", "assistant", 'a [THINKING]  [TOOL:sh] {"k":1} [TOOL_RESULT] out', "u2"), ("abc", "summary", "[SUMMARY] short", "u3"), ("t/kid", "user", "plain", "u1")]
+    assert got == [("abc", "user", "plain", "u1"), ("abc", "assistant", 'a [THINKING]  [TOOL:sh] {"k": 1} [TOOL_RESULT] out', "u2"), ("abc", "summary", "[SUMMARY] short", "u3"), ("t/kid", "user", "plain", "u1")]
     assert registry.detect_source("/x/rollout-1.jsonl") == "rollout" and registry.detect_source("/x/y.txt") is None
 
 

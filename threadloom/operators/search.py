@@ -7,10 +7,11 @@ only remove rows afterwards. Scores are rounded to nine decimals and ties end in
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .index import WordIndex, as_index, bucket_of, few_terms, of_terms
 from .stemming import stem as stem_word
 
 # Words dropped from plain queries.
@@ -94,54 +95,83 @@ def idf(df: Column, n: Column) -> Column:
     return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
 
 
-def bm25(docs: DataFrame, terms: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
-    """query_id, id, score from terms (query_id, term). Of every text only the words that some
-    query asks for leave the scan, already counted."""
-    asked = small(terms.select("query_id", "term").distinct())
-    wanted = small(terms.select("term").distinct())
-    words = docs.select(F.col(id_column).alias("id"), X.tokens(F.col(text)).alias("w")).select("id", F.size("w").alias("len"), F.explode("w").alias("term"))
-    tf = words.join(wanted, "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    size = corpus_size(docs, text)  # one row
+def _asked(frame: DataFrame, known: list[str] | None) -> DataFrame:
+    return frame if known is None else F.broadcast(frame)
+
+
+def bm25(docs: DataFrame | WordIndex, terms: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
+    """query_id, id, score from terms (query_id, term). Of a stored index only the postings of
+    the terms are read; of texts only the words that some query asks for leave the scan."""
+    asked, known = terms.select("query_id", "term").distinct(), few_terms(terms)
+    if isinstance(docs, WordIndex):
+        size = docs.totals
+        tf = of_terms(docs.postings, terms, known).select("id", "len", "term", F.size("positions").alias("tf"))
+        df = of_terms(docs.terms, terms, known).select("term", "df")
+    else:
+        size = corpus_size(docs, text)  # one row
+        words = docs.select(F.col(id_column).alias("id"), X.tokens(F.col(text)).alias("w")).select("id", F.size("w").alias("len"), F.explode("w").alias("term"))
+        tf = _semi(words, terms, known).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+        df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.round(F.sum(idf(F.col("df"), F.col("n_docs")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))), 9)
-    return tf.join(small(df), "term").join(F.broadcast(size)).join(asked, "term").groupBy("query_id", "id").agg(weight.alias("score"))
+    return tf.join(_asked(df, known), "term").join(F.broadcast(size)).join(_asked(asked, known), "term").groupBy("query_id", "id").agg(weight.alias("score"))
+
 
+def _semi(words: DataFrame, terms: DataFrame, known: list[str] | None) -> DataFrame:
+    return words.join(_asked(terms.select("term").distinct(), known), "term", "left_semi") if known is None or len(known) > 40 else words.where(F.col("term").isin(known))
 
-def phrase_search(docs: DataFrame, terms: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
-    """query_id, id, term of phrases (any terms of one word or more) whose words are adjacent."""
-    asked = terms.select("query_id", "term", X.tokens(F.col("term")).alias("words")).where(F.size("words") > 0)
-    heads = small(asked.withColumn("head", F.element_at("words", 1)))
-    held = docs.select(F.col(id_column).alias("id"), X.tokens(F.col(text)).alias("tokens"))
-    first = held.select("id", "tokens", F.explode(F.array_distinct("tokens")).alias("head")).join(heads, "head")
-    found = F.expr("exists(sequence(1, greatest(size(tokens) - size(words) + 1, 1)), i -> slice(tokens, i, size(words)) = words)")
-    return first.where(found).select("query_id", "id", "term").distinct()
 
+def phrase_search(docs: DataFrame | WordIndex, terms: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
+    """query_id, id, term of phrases (any terms of one word or more) whose words are adjacent:
+    the place at which a phrase would start is told by each of its words, and counts if all
+    of them tell it."""
+    asked = terms.select("query_id", F.col("term").alias("phrase"), X.tokens(F.col("term")).alias("words")).where(F.size("words") > 0).distinct()
+    words = asked.select("query_id", "phrase", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
+    known, index = few_terms(words), as_index(docs, id_column, text)
+    places = of_terms(index.postings, words, known).select("id", "term", F.explode("positions").alias("pos"))
+    starts = places.join(_asked(words, known), "term").groupBy("query_id", "phrase", "n", "id", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count("*").alias("told"))
+    return starts.where("told = n").select("query_id", "id", F.col("phrase").alias("term")).distinct()
 
-def prefix_search(docs: DataFrame, prefixes: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
+
+def prefix_search(docs: DataFrame | WordIndex, prefixes: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
     """query_id, id, n: how many words of a text begin with the query's prefix (query_id, prefix).
-    Each word meets the prefixes of its own first letters only."""
+    Prefixes meet the distinct terms, each by its own first letters only, and these the postings."""
     p = prefixes.select("query_id", X.fold(F.col("prefix")).alias("prefix"))
+    index = as_index(docs, id_column, text)
     lengths = p.agg(F.collect_set(F.length("prefix")).alias("lengths"))  # one row
-    words = docs.select(F.col(id_column).alias("id"), F.explode(X.tokens(F.col(text))).alias("term")).join(F.broadcast(lengths))
     fit = F.filter("lengths", lambda n: n <= F.length("term"))
-    starts = words.select("id", F.explode(F.transform(fit, lambda n: F.left("term", n))).alias("prefix"))
-    return starts.join(small(p), "prefix").groupBy("query_id", "id").agg(F.count("*").alias("n"))
+    starts = index.terms.join(F.broadcast(lengths)).select("term", F.explode(F.transform(fit, lambda n: F.left("term", n))).alias("prefix"))
+    expanded = starts.join(small(p), "prefix").select("query_id", "term", bucket_of("term").alias("bucket"))
+    hits = index.postings.select("term", "id", "bucket", F.size("positions").alias("tf")).join(expanded, ["bucket", "term"])
+    return hits.groupBy("query_id", "id").agg(F.sum("tf").alias("n"))
 
 
-def boolean_search(docs: DataFrame, clauses: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
+def boolean_search(docs: DataFrame | WordIndex, clauses: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
     """query_id, id of texts that have every must term, a should term (if any is named) and no
     must_not term. A query needs a must or should term."""
     need = clauses.groupBy("query_id").agg(F.count_if(F.col("role") == "must").alias("musts"), F.count_if(F.col("role") == "should").alias("shoulds")).where("musts + shoulds > 0")
-    words = docs.select(F.col(id_column).alias("id"), F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("term"))
-    hits = words.join(small(clauses), "term").groupBy("query_id", "id").agg(*[F.count_if(F.col("role") == r).alias(r) for r in ("must", "should", "must_not")])
-    return hits.join(small(need), "query_id").where("must = musts AND must_not = 0 AND (shoulds = 0 OR should > 0)").select("query_id", "id")
+    known = few_terms(clauses)
+    if isinstance(docs, WordIndex):
+        words = of_terms(docs.postings, clauses, known).select("id", "term")
+    else:
+        words = _semi(docs.select(F.col(id_column).alias("id"), F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("term")), clauses, known)
+    hits = words.join(_asked(clauses, known), "term").groupBy("query_id", "id").agg(*[F.count_if(F.col("role") == r).alias(r) for r in ("must", "should", "must_not")])
+    return hits.join(_asked(need, known), "query_id").where("must = musts AND must_not = 0 AND (shoulds = 0 OR should > 0)").select("query_id", "id")
+
+
+def grams(text: Column) -> Column:
+    """The distinct trigrams of a text of three characters or more (else the text itself)."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substr(text, i, F.lit(3))))
 
 
 def substring_fallback(docs: DataFrame, queries: DataFrame, answered: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
     """query_id, id of texts that contain the probe (query_id, text) of a query without any
-    answer; probes of three characters or more."""
+    answer; probes of three characters or more. Texts and probes meet by one trigram of each
+    probe, so the work does not grow with texts times probes."""
     left = queries.join(answered.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lower(F.trim("text")).alias("probe")).where(F.length("probe") >= 3)
-    return docs.select(F.col(id_column).alias("id"), F.lower(text).alias("low")).join(small(left), F.contains("low", "probe")).select("query_id", "id")
+    probes = left.withColumn("gram", F.array_max(F.transform(grams(F.col("probe")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
+    held = docs.select(F.col(id_column).alias("id"), F.lower(text).alias("low"))
+    pairs = held.select("id", "low", F.explode(grams(F.col("low"))).alias("gram")).join(probes, "gram")
+    return pairs.where(F.contains("low", "probe")).select("query_id", "id")
 
 
 def scan_search(docs: DataFrame, terms: DataFrame, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
@@ -181,37 +211,40 @@ def path_scope(sessions: DataFrame, include: str | None = None, exclude: str | N
     keep = F.lit(True)
     for pattern, wanted in ((include, True), (exclude, False)):
         if pattern:
-            hit = F.col("cwd").rlike(pattern) if _is_regex(pattern) else F.contains("cwd", F.lit(pattern))
+            hit = F.col("cwd").rlike(pattern) if _is_regex(pattern, sessions.sparkSession) else F.contains("cwd", F.lit(pattern))
             keep = keep & (hit if wanted else ~hit)
     chosen = scopes.where(keep).select(F.col("project").alias("_p"), F.col("cwd").alias("_c"))
     return sessions.join(chosen, F.col("project").eqNullSafe(F.col("_p")) & F.col("cwd").eqNullSafe(F.col("_c")), "left_semi")
 
 
-def _is_regex(pattern: str) -> bool:
-    import re
+def _is_regex(pattern: str, spark: SparkSession) -> bool:
+    """Whether Java, which runs the pattern, takes it."""
+    from py4j.protocol import Py4JJavaError
 
     try:
-        re.compile(pattern)
-    except re.error:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
         return False
     return True
 
 
-def keyword_search(messages: DataFrame, sessions: DataFrame, queries: DataFrame, limit: int = 8, fetch: int | None = None, sort: str = "relevance", subagents: bool = False, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
+def keyword_search(messages: DataFrame, sessions: DataFrame, queries: DataFrame, limit: int = 8, fetch: int | None = None, sort: str = "relevance", subagents: bool = False, first_day: str | None = None, last_day: str | None = None, index: WordIndex | None = None) -> DataFrame:
     """query_id, id, session_id, uuid, score, bm25_rank, coverage, rank. Statistics are global;
     filters, then the best fetch rows, then only displayable rows that contain a term, then by
-    coverage (or by time) and bm25. Queries that find no word try their text as a substring."""
+    coverage (or by time) and bm25. Queries that find no word try their text as a substring.
+    With an index of messages, texts are read of the best rows only."""
     terms = query_terms(queries)
-    scored = bm25(messages, terms)
+    scored = bm25(index or messages, terms)
     fallback = substring_fallback(messages, queries, scored).withColumn("score", F.lit(0.0))
     words = terms.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     probes = queries.select("query_id", F.array(F.lower(F.trim("text"))).alias("probe"))
     wanted = probes.join(words, "query_id", "left").select("query_id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), "probe")
-    scope = scope_filter(date_bounds(messages, first_day, last_day), sessions, subagents)
+    scope = scope_filter(date_bounds(messages, first_day, last_day), sessions, subagents).select("id", "session_id", "uuid", "ts")
     hits = scored.withColumn("by_word", F.lit(True)).union(fallback.withColumn("by_word", F.lit(False)))
     order = {"relevance": [F.desc("score"), F.col("id")], "newest": [F.desc("ts"), F.desc("id")], "oldest": [F.col("ts"), F.col("id")]}[sort]
     best = Window.partitionBy("query_id").orderBy(*order)
-    rows = hits.join(scope, "id").join(small(wanted), "query_id").withColumn("bm25_rank", F.row_number().over(best)).where(F.col("bm25_rank") <= (fetch or max(8 * limit, 30)))
+    rows = hits.join(scope, "id").withColumn("bm25_rank", F.row_number().over(best)).where(F.col("bm25_rank") <= (fetch or max(8 * limit, 30)))
+    rows = rows.join(wanted, "query_id").join(messages.select("id", "content"), "id")
     human = X.strip_generated(F.col("content"))
     rows = rows.withColumn("coverage", X.coverage(human, F.when(F.col("by_word"), F.col("terms")).otherwise(F.col("probe")))).where(X.is_displayable(F.col("content")) & (F.col("coverage") > 0))
     final = Window.partitionBy("query_id").orderBy(*([F.desc("coverage")] if sort == "relevance" else []), F.col("bm25_rank"))
@@ -226,16 +259,15 @@ def explain_search(hits: DataFrame, queries: DataFrame) -> DataFrame:
     return hits.join(small(n), "query_id", "left").select("query_id", "id", method.alias("method"), "coverage", "bm25_rank", F.col("rank").alias("final_rank"))
 
 
-def search_all_projects(messages: DataFrame, sessions: DataFrame, queries: DataFrame) -> DataFrame:
+def search_all_projects(messages: DataFrame, sessions: DataFrame, queries: DataFrame, index: WordIndex | None = None) -> DataFrame:
     """query_id, project, n_hits, the most recent hit's id and time; by recency within a query."""
-    hits = bm25(messages, query_terms(queries)).join(messages.select("id", "session_id", "ts_iso"), "id").join(sessions.where("NOT is_subagent").select(F.col("id").alias("session_id"), "project"), "session_id")
+    hits = bm25(index or messages, query_terms(queries)).join(messages.select("id", "session_id", "ts_iso"), "id").join(sessions.where("NOT is_subagent").select(F.col("id").alias("session_id"), "project"), "session_id")
     best = hits.groupBy("query_id", "project").agg(F.count("*").alias("n_hits"), F.max(F.struct("ts_iso", "id")).alias("m"))
     return best.select("query_id", "project", "n_hits", F.col("m.id").alias("id"), F.col("m.ts_iso").alias("ts_iso"))
 
 
 def trigram_candidates(docs: DataFrame, probes: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
     """query_id, id of texts that hold every trigram of a probe: what a substring index returns."""
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3))))
     asked = probes.select("query_id", F.lower(F.trim("text")).alias("probe")).where(F.length("probe") >= 3).withColumn("grams", grams(F.col("probe")))
     held = docs.select(F.col(id_column).alias("id"), F.explode(grams(F.lower(text))).alias("gram"))
     rows = held.join(small(asked.select("query_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))), "gram")

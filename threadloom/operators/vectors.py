@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import shared_path
 
 #: Texts and bytes handed to an embedder at once.
 BATCH_TEXTS, BATCH_BYTES = 128, 150_000
@@ -87,21 +86,12 @@ def vector_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries
     blocks = -(-asked.count() // most_queries)
     if blocks <= 1:
         return met(asked)
-    spark, path = vectors.sparkSession, _shared(vectors.sparkSession, "knn")
+    spark, path = vectors.sparkSession, shared_path(vectors.sparkSession, "knn")
     for i in range(blocks):
         met(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).write.parquet(f"{path}/block={i}")
     return spark.read.schema(met(asked).schema).parquet(*[f"{path}/block={i}" for i in range(blocks)])
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = spark.sparkContext.master.startswith("local")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-vectors-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_vectors"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def rrf_fuse(keyword: DataFrame, vector: DataFrame, limit: int | None = None) -> DataFrame:
     """query_id, id, score (nine decimals), in_keyword, in_vector, rank of two ranked lists
     (query_id, id, rank) by reciprocal ranks; ties go to the smaller id."""

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import index as I
 from ..operators import merging as M
+from ..operators import recall as R
 from ..operators import search as S
 from ..operators import sessions as O
 from ..operators import topics as T
 from ..operators import vectors as V
+from ..sources.shared import shared_path
 from . import fixtures as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,18 +117,31 @@ covered AS (SELECT r.query_id, r.id, r.session_id, r.uuid, r.score, r.bm25_rank,
 keyword AS (SELECT query_id, id, session_id, uuid, score, bm25_rank, coverage, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, bm25_rank) AS rank FROM covered WHERE coverage > 0) WHERE rank <= 8)"""
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def word_index(spark, sf) -> I.WordIndex:
+    """The stored index of the messages, written once a session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexes:
+        path = shared_path(spark, "word-index")
+        I.write_index(D.messages(spark, sf), path)
+        _indexes[key] = path
+    return I.open_index(spark, _indexes[key])
+
+
 def terms(spark):
     return S.query_terms(D.queries(spark))
 
 
 def keyword(spark, sf):
-    return S.keyword_search(D.messages(spark, sf), D.sessions(spark, sf), D.queries(spark)).withColumns({c: F.col(c).cast("long") for c in ("coverage", "rank", "bm25_rank")})
+    return S.keyword_search(D.messages(spark, sf), D.sessions(spark, sf), D.queries(spark), index=word_index(spark, sf)).withColumns({c: F.col(c).cast("long") for c in ("coverage", "rank", "bm25_rank")})
 
 
-@query(f", {TERMS} SELECT query_id, term, is_phrase FROM terms")
+@query(f", {D.ASKED}, {TERMS.replace('FROM queries', 'FROM asked')} SELECT query_id, term, is_phrase FROM terms")
 def query_terms(spark, sf):
-    vocabulary = S.term_stats(D.messages(spark, sf)).limit(1)  # the queries are those asked of this corpus
-    return terms(spark).select("query_id", "term", "is_phrase").distinct().join(F.broadcast(vocabulary.agg(F.count("*").alias("n"))), F.col("n") >= 0).drop("n")
+    """Terms of queries made of the first words of every message."""
+    return S.query_terms(D.asked(spark, sf)).select("query_id", "term", "is_phrase").distinct()
 
 
 @query(f"SELECT term, CAST(count(*) AS BIGINT) AS df FROM (SELECT DISTINCT id, unnest({D.tokens_sql('content')}) AS term FROM messages) GROUP BY term")
@@ -145,7 +161,19 @@ def tokenize_porter(spark, sf):
 
 @query(f", {BM25} SELECT query_id, id, score FROM scored")
 def bm25(spark, sf):
-    return S.bm25(D.messages(spark, sf), terms(spark))
+    return S.bm25(word_index(spark, sf), terms(spark))
+
+
+@query(f", w AS (SELECT id, unnest({D.tokens_sql('content')}) AS term, len({D.tokens_sql('content')}) AS len FROM messages) SELECT term, id, CAST(len AS INTEGER) AS len, CAST(count(*) AS INTEGER) AS tf, CAST(count(*) OVER (PARTITION BY term) AS BIGINT) AS df FROM w GROUP BY term, id, len")
+def build_index(spark, sf):
+    """What the stored index holds of every term and message."""
+    index = word_index(spark, sf)
+    return index.postings.join(index.terms, ["bucket", "term"]).select("term", "id", "len", F.size("positions").alias("tf"), "df")
+
+
+@query(f", w AS (SELECT id, unnest({D.tokens_sql('content')}) AS term, generate_subscripts({D.tokens_sql('content')}, 1) - 1 AS pos FROM messages) SELECT term, id, array_to_string(list_sort(list(pos)), ',') AS positions FROM w GROUP BY term, id")
+def index_positions(spark, sf):
+    return word_index(spark, sf).postings.select("term", "id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 @query(f", {BM25.replace('FROM messages', 'FROM (SELECT doc_id AS id, text AS content FROM documents)')} SELECT query_id, id, score FROM scored")
@@ -157,33 +185,38 @@ def bm25_documents(spark, sf):
 @query(f"SELECT p.query_id, w.id, p.term FROM (SELECT id, ' ' || array_to_string({D.tokens_sql('content')}, ' ') || ' ' AS t FROM messages) w, (VALUES (1, 'of the'), (2, 'the and'), (3, 'scum')) p(query_id, term) WHERE contains(w.t, ' ' || p.term || ' ')")
 def phrase_search(spark, sf):
     phrases = spark.createDataFrame([(1, "of the"), (2, "the and"), (3, "scum")], "query_id int, term string")
-    return S.phrase_search(D.messages(spark, sf), phrases)
+    return S.phrase_search(word_index(spark, sf), phrases)
 
 
 @query(f"SELECT p.query_id, w.id, count(*) AS n FROM (SELECT id, unnest({D.tokens_sql('content')}) AS term FROM messages) w, (VALUES (1, 'tra'), (2, 'thn'), (3, 'idio')) p(query_id, prefix) WHERE starts_with(w.term, p.prefix) GROUP BY ALL")
 def prefix_search(spark, sf):
     prefixes = spark.createDataFrame([(1, "tra"), (2, "thn"), (3, "idio")], "query_id int, prefix string")
-    return S.prefix_search(D.messages(spark, sf), prefixes)
+    return S.prefix_search(word_index(spark, sf), prefixes)
 
 
-CLAUSES = "clauses(query_id, term, role) AS (VALUES (3, 'stupid', 'must'), (3, 'clown', 'must_not'), (6, 'scum', 'must'), (6, 'moron', 'must'), (7, 'disgusting', 'should'), (7, 'idiot', 'should'), (9, 'trash', 'must_not'))"
+CLAUSES = "clauses(query_id, term, role) AS (VALUES (3, 'stupid', 'must'), (3, 'clown', 'must_not'), (6, 'scum', 'must'), (6, 'moron', 'must'), (7, 'disgusting', 'should'), (7, 'idiot', 'should'), (9, 'trash', 'must_not'), (12, 'thou', 'must'), (12, 'thwh', 'must'), (13, 'ernt', 'must'), (13, 'onti', 'must_not'), (14, 'erth', 'should'), (14, 'einst', 'should'))"
 
 
-@query("SELECT * FROM (VALUES (1, 'the', 'must'), (1, 'trash', 'must'), (1, 'of', 'must'), (1, 'idiot', 'must'), (2, 'of', 'must'), (2, 'the', 'must'), (3, 'stupid', 'must'), (3, 'clown', 'must_not'), (4, 'loser', 'must'), (4, 'pathetic', 'must'), (5, 'worthless', 'must'), (6, 'scum', 'must'), (6, 'moron', 'must'), (7, 'disgusting', 'should'), (7, 'idiot', 'should'), (8, 'hthnd', 'must'), (9, 'trash', 'must_not')) t(query_id, term, role) WHERE (SELECT count(*) FROM messages) > 0")
+ASKED_CLAUSES = r"""marked AS (SELECT query_id, regexp_replace(regexp_replace(text, '(\S)\s+NOT\s+', '\1 !', 'g'), '(^|\W)!\s*', '\1!', 'g') AS t FROM asked),
+pieces AS (SELECT query_id, contains(t, '||') AS either, unnest(string_split_regex(regexp_replace(t, '&&|\|\||[()"\s]+', ' ', 'g'), '\s+')) AS w FROM marked)"""
+
+
+@query(f""", {D.ASKED}, {ASKED_CLAUSES} SELECT DISTINCT query_id, ltrim(lower(w), '!') AS term, CASE WHEN starts_with(w, '!') THEN 'must_not' WHEN either THEN 'should' ELSE 'must' END AS role
+FROM pieces WHERE lower(w) NOT IN ('', 'and', 'or', 'not', '!') AND ltrim(lower(w), '!') <> ''""")
 def query_clauses(spark, sf):
-    some = D.messages(spark, sf).agg(F.count("*").alias("n"))
-    return S.query_clauses(D.queries(spark)).join(F.broadcast(some), F.col("n") > 0).drop("n")
+    """Clauses of queries made of the first words of every message."""
+    return S.query_clauses(D.asked(spark, sf))
 
 
 @query(f", {CLAUSES}, w AS (SELECT DISTINCT id, unnest({D.tokens_sql('content')}) AS term FROM messages), need AS (SELECT query_id, count(*) FILTER (role = 'must') AS musts, count(*) FILTER (role = 'should') AS shoulds FROM clauses GROUP BY 1) SELECT query_id, id FROM w JOIN clauses USING (term) JOIN need USING (query_id) WHERE musts + shoulds > 0 GROUP BY query_id, id, musts, shoulds HAVING count(*) FILTER (role = 'must') = musts AND count(*) FILTER (role = 'must_not') = 0 AND (shoulds = 0 OR count(*) FILTER (role = 'should') > 0)")
 def boolean_search(spark, sf):
-    return S.boolean_search(D.messages(spark, sf), S.query_clauses(D.queries(spark).where("query_id IN (3, 6, 7, 9)")))
+    return S.boolean_search(word_index(spark, sf), S.query_clauses(D.queries(spark).where("query_id IN (3, 6, 7, 9, 12, 13, 14)")))
 
 
 @query(f", {FALLBACK} SELECT query_id, id FROM fallback")
 def substring_fallback(spark, sf):
     m = D.messages(spark, sf)
-    return S.substring_fallback(m, D.queries(spark), S.bm25(m, terms(spark)))
+    return S.substring_fallback(m, D.queries(spark), S.bm25(word_index(spark, sf), terms(spark)))
 
 
 @query("SELECT q.query_id, m.id FROM messages m, (VALUES (1, 'hthnd'), (2, 'of the')) q(query_id, text) WHERE list_has_all([substr(lower(m.content), i, 3) FOR i IN range(1, greatest(length(m.content) - 1, 2))], [substr(q.text, i, 3) FOR i IN range(1, length(q.text) - 1)])")
@@ -209,7 +242,7 @@ def explain_search(spark, sf):
 
 @query(f", {BM25} SELECT query_id, project, count(*) AS n_hits, max_by(m.id, m.ts_iso || lpad(CAST(m.id AS VARCHAR), 20, '0')) AS id, max(m.ts_iso) AS ts_iso FROM scored JOIN messages m USING (id) JOIN sessions s ON m.session_id = s.id AND NOT is_subagent GROUP BY query_id, project")
 def search_all_projects(spark, sf):
-    return S.search_all_projects(D.messages(spark, sf), D.sessions(spark, sf), D.queries(spark))
+    return S.search_all_projects(D.messages(spark, sf), D.sessions(spark, sf), D.queries(spark), word_index(spark, sf))
 
 
 @query(f", {KEYWORD} SELECT query_id, rank, id, count(*) OVER (PARTITION BY query_id) AS total, rank <= 3 AND count(*) OVER (PARTITION BY query_id) > 3 AS has_more FROM keyword QUALIFY rank <= 3")
@@ -285,6 +318,84 @@ def search(spark, sf):
     return T.annotate_hits(deduped(spark, sf).select("query_id", "rank", "id", "session_id"), T.topic_for_message(m, segs(spark, sf)), O.session_preview(m), O.last_activity(m))
 
 
+MSG_VECTORS = "msg_vectors AS (SELECT (vec_id // 4) * 1000 + vec_id % 4 AS msg_id, lpad(CAST(vec_id // 4 AS VARCHAR), 8, '0') AS session_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"
+NEAR = f"""{MSG_VECTORS}, qv AS (SELECT query_id, CAST(embedding AS DOUBLE[]) AS q FROM queries JOIN embeddings ON vec_id = 7 * query_id),
+sims AS (SELECT query_id, msg_id, session_id, round(list_dot_product(vec, q) / (sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(q, q))), 9) AS similarity FROM msg_vectors, qv WHERE len(vec) = len(q)),
+first_near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, msg_id DESC, session_id DESC) AS place FROM sims QUALIFY place <= 24),
+near AS (SELECT n.query_id, m.id, m.session_id, n.similarity, row_number() OVER (PARTITION BY n.query_id ORDER BY place) AS rank FROM first_near n JOIN messages m ON m.id = n.msg_id JOIN sessions s ON s.id = m.session_id AND NOT s.is_subagent QUALIFY rank <= 8)"""
+
+
+def near_inputs(spark, sf):
+    e = D.table(spark, sf, "embeddings")
+    n = F.col("vec_id")
+    vectors = e.select((F.floor(n / 4) * 1000 + n % 4).alias("msg_id"), F.lpad(F.floor(n / 4).cast("string"), 8, "0").alias("session_id"), F.col("embedding").alias("vec"))
+    asked = D.queries(spark).join(e, F.col("vec_id") == 7 * F.col("query_id")).select("query_id", F.col("embedding").alias("qvec"))
+    return vectors, asked
+
+
+@query(f", {NEAR} SELECT query_id, id, session_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM near")
+def nearest_messages(spark, sf):
+    vectors, asked = near_inputs(spark, sf)
+    return R.nearest_messages(vectors, asked, D.messages(spark, sf), D.sessions(spark, sf), 8).withColumn("similarity", F.round("similarity", 6))
+
+
+FULL = f"""{KEYWORD}, {ROOTS}, {NEAR}, turns AS (SELECT session_id, max(id) AS turn_start FROM messages WHERE {D.human_sql('role', 'content')} GROUP BY 1),
+callers AS (SELECT query_id, min(session_id) AS caller FROM keyword GROUP BY 1),
+fused AS (SELECT coalesce(k.query_id, n.query_id) AS query_id, coalesce(k.id, n.id) AS id, coalesce(coverage, 0) AS coverage, round(coalesce(1.0 / (60 + k.rank), 0) + coalesce(1.0 / (60 + n.rank), 0), 9) AS fused FROM keyword k FULL JOIN near n ON k.query_id = n.query_id AND k.id = n.id),
+placed_hits AS (SELECT f.*, m.session_id, m.uuid, m.ts_iso, row_number() OVER (PARTITION BY f.query_id ORDER BY fused DESC, f.id) AS place FROM fused f JOIN messages m USING (id)),
+at_most AS (SELECT query_id, count(*) >= 8 AS at_ceiling FROM placed_hits GROUP BY 1),
+own AS (SELECT h.query_id, h.id FROM placed_hits h JOIN callers c ON c.query_id = h.query_id AND c.caller = h.session_id JOIN turns t ON t.session_id = c.caller WHERE h.id >= t.turn_start),
+ordered AS (SELECT h.*, row_number() OVER (PARTITION BY h.query_id ORDER BY fused DESC, coverage DESC, place, h.id) AS n FROM placed_hits h ANTI JOIN own o ON o.query_id = h.query_id AND o.id = h.id),
+single AS (SELECT o.*, s.project, s.missing_since IS NOT NULL AS missing FROM ordered o LEFT JOIN roots r ON r.id = o.session_id LEFT JOIN sessions s ON s.id = o.session_id WHERE uuid <> '' QUALIFY row_number() OVER (PARTITION BY query_id, s.project, r.root ORDER BY n) = 1),
+full_hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n) AS rank, count(*) OVER (PARTITION BY query_id) AS total FROM single)"""
+
+
+def searched(spark, sf):
+    """Search by words and vectors; each query's caller is the first session that words find."""
+    vectors, asked = near_inputs(spark, sf)
+    callers = keyword(spark, sf).groupBy("query_id").agg(F.min("session_id").alias("caller_session"))
+    return R.full_search(D.messages(spark, sf), D.sessions(spark, sf), D.queries(spark), 3, 8, index=word_index(spark, sf), vectors=vectors, query_vectors=asked, callers=callers)
+
+
+@query(f", {FULL} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, session_id, project, left(session_id, 8) || ':' || left(uuid, 8) AS read_ref, ts_iso, missing, fused, total, total > 3 OR at_ceiling AS has_more, CASE WHEN total > 3 OR at_ceiling THEN 20 END AS widen_to, at_ceiling FROM full_hits JOIN at_most USING (query_id) WHERE rank <= 3")
+def full_search(spark, sf):
+    return searched(spark, sf)
+
+
+STATES = "states AS (SELECT project AS scope, CASE project WHEN 'p1' THEN 'skipped_error' WHEN 'p2' THEN 'stale_fallback' WHEN 'p3' THEN 'not_consolidated' WHEN 'p4' THEN 'empty' ELSE 'searched' END AS state FROM (SELECT DISTINCT project FROM sessions))"
+
+
+def scopes(spark, sf):
+    s = D.sessions(spark, sf).groupBy("project").agg(F.sum("message_count").alias("n"))
+    p = F.col("project")
+    return s.select(p.alias("scope"), (p != "p3").alias("in_store"), F.when(p.isin("p1", "p2"), "no lock").alias("error"), (p == "p2").alias("busy"), F.when(p == "p4", 0).otherwise(F.col("n")).alias("n_rows"))
+
+
+@query(f", {STATES} SELECT scope, state, CASE WHEN scope IN ('p1', 'p2') THEN 'no lock' END AS detail, state IN ('searched', 'empty') AS complete FROM states")
+def scope_states(spark, sf):
+    return R.scope_states(scopes(spark, sf))
+
+
+@query(f""", {FULL}, {STATES}, shown AS (SELECT * FROM full_hits WHERE rank <= 3),
+per AS (SELECT query_id, max(ts_iso) AS newest, min_by(ts_iso, rank) AS top, max(total) AS total, any_value(at_ceiling) AS ceiling, count(DISTINCT project) AS projects, array_to_string(list_sort(list(DISTINCT project))[1:5], ',') AS sample FROM shown JOIN at_most USING (query_id) GROUP BY query_id),
+gone AS (SELECT query_id, count(*) AS dropped FROM own GROUP BY 1),
+st AS (SELECT count(*) AS scopes, count(*) FILTER (state = 'skipped_error') AS e, count(*) FILTER (state = 'stale_fallback') AS f, count(*) FILTER (state = 'not_consolidated') AS u FROM states)
+SELECT query_id, 0 AS ord, 'recency_skew' AS code, left(newest, 10) AS detail FROM per WHERE CAST(replace(rtrim(newest, 'Z'), 'T', ' ') AS TIMESTAMP) - CAST(replace(rtrim(top, 'Z'), 'T', ' ') AS TIMESTAMP) > INTERVAL 1 DAY
+UNION ALL SELECT query_id, 1, 'broad', CAST(total AS VARCHAR) FROM per WHERE ceiling OR total >= 20
+UNION ALL SELECT query_id, 2, 'current_turn_excluded', CAST(dropped AS VARCHAR) FROM per JOIN gone USING (query_id)
+UNION ALL SELECT query_id, 3, 'scope_incomplete', scopes || ',' || e || ',' || f FROM per, st WHERE e + f > 0
+UNION ALL SELECT query_id, 4, 'not_consolidated', CAST(u AS VARCHAR) FROM per, st WHERE u > 0
+UNION ALL SELECT query_id, 5, 'store_fallback', 'store busy' FROM per
+UNION ALL SELECT query_id, 6, 'spread', projects || ',' || sample FROM per WHERE projects >= 2""")
+def advisories(spark, sf):
+    m, s = D.messages(spark, sf), D.sessions(spark, sf)
+    vectors, asked = near_inputs(spark, sf)
+    before = R.candidates(m, s, D.queries(spark), 8, index=word_index(spark, sf), vectors=vectors, query_vectors=asked)
+    callers = keyword(spark, sf).groupBy("query_id").agg(F.min("session_id").alias("caller_session"))
+    dropped = before.join(S.drop_current_turn(before, m, callers).select("query_id", "id"), ["query_id", "id"], "left_anti").groupBy("query_id").agg(F.count("*").alias("n"))
+    return R.advisories(searched(spark, sf), R.scope_states(scopes(spark, sf)), dropped=dropped, store_note="store busy")
+
+
 # Sessions and views
 
 

@@ -88,13 +88,31 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The query table: plain, quoted, negated, and a probe inside words.
-QUERIES = [(1, "the trash of idiot"), (2, '"of the"'), (3, "stupid NOT clown"), (4, "loser pathetic"), (5, "worthless"), (6, "scum && moron"), (7, "disgusting || idiot"), (8, "hthnd"), (9, "and !trash")]
+QUERIES = [(1, "the trash of idiot"), (2, '"of the"'), (3, "stupid NOT clown"), (4, "loser pathetic"), (5, "worthless"), (6, "scum && moron"), (7, "disgusting || idiot"), (8, "hthnd"), (9, "and !trash"),
+           (10, "thth thre"), (11, "bleha anedat tion"), (12, "thou && thwh"), (13, "ernt NOT onti"), (14, "erth || einst"), (15, "erin \"of the\" from"), (16, "anlyer")]
 
 
 def queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUERIES, "query_id int, text string")
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries in every form, made of the first three words of each message."""
+    w = X.tokens(F.col("content"))
+    rows = messages(spark, sf_dir).select("id", w.alias("w")).where(F.size("w") >= 3).select("id", *[F.element_at("w", i + 1).alias(f"w{i}") for i in range(3)])
+    kind = (F.col("id") % 1000 + F.floor(F.col("id") / 1000)) % 6
+    text = (
+        F.when(kind == 0, F.format_string("%s %s", "w0", "w1")).when(kind == 1, F.format_string('"%s %s" %s', "w0", "w1", "w2")).when(kind == 2, F.format_string("%s NOT %s", "w0", "w1"))
+        .when(kind == 3, F.format_string("%s && !%s", "w0", "w2")).when(kind == 4, F.format_string("%s || %s", "w0", "w1")).otherwise(F.format_string("%s/%s AND %s", "w0", "w1", "w2"))
+    )
+    return rows.select(F.col("id").alias("query_id"), text.alias("text"))
+
+
+ASKED = """asked AS (SELECT id AS query_id, CASE (id % 1000 + id // 1000) % 6 WHEN 0 THEN w[1] || ' ' || w[2] WHEN 1 THEN '"' || w[1] || ' ' || w[2] || '" ' || w[3] WHEN 2 THEN w[1] || ' NOT ' || w[2]
+ WHEN 3 THEN w[1] || ' && !' || w[3] WHEN 4 THEN w[1] || ' || ' || w[2] ELSE w[1] || '/' || w[2] || ' AND ' || w[3] END AS text
+ FROM (SELECT id, regexp_extract_all(strip_accents(lower(content)), '[\\p{L}\\p{N}]+') AS w FROM messages) WHERE len(w) >= 3)"""
+
+
 def base_sql() -> str:
     """Common table expressions of the same tables."""
     start = f"({START} + conv_id * 3600 + turn * 60)"

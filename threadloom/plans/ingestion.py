@@ -3,8 +3,6 @@ conversations, with the same result as SQL where SQL can say it."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +12,7 @@ from ..functions import text as X
 from ..operators import vectors as V
 from ..sources import registry
 from ..sources import transcripts as R
+from ..sources.shared import shared_path as shared
 from ..streaming import streams
 from . import fixtures as D
 from .catalog import hashed
@@ -32,15 +31,6 @@ def query(sql: str | None = None):
     return add
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = spark.sparkContext.master.startswith("local")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-streams-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_streams"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Block records, one a message; every seventh line is broken, every eleventh of another type."""
     m = R.to_block_jsonl(D.messages(spark, sf))
@@ -48,6 +38,41 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
     return R.text_lines(m, F.concat(F.lit("/t/"), "session_id", F.lit(".jsonl")), F.col("id") % 1000, raw)
 
 
+def tool_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Block records with thinking, tool calls and tool results as text and as a list."""
+    m = D.messages(spark, sf)
+    told, k = F.to_json(F.col("content").cast("variant")), F.col("id") % 1000 % 5
+    part = (
+        F.when(k == 0, F.concat(F.lit('{"type": "thinking", "thinking": '), told, F.lit('}, {"type": "text", "text": "so"}')))
+        .when(k == 1, F.concat(F.lit('{"type": "tool_use", "name": "sh", "input": {"cmd": '), told, F.lit(', "a": [1, {"z": 2, "b": "x,y:z"}]}}')))
+        .when(k == 2, F.concat(F.lit('{"type": "tool_use"}, {"type": "tool_result", "content": '), told, F.lit("}")))
+        .when(k == 3, F.concat(F.lit('{"type": "tool_result", "content": [{"type": "text", "text": '), told, F.lit('}, {"type": "image"}, {"text": "second"}]}')))
+        .otherwise(F.concat(F.lit('{"type": "text", "text": ""}, {"type": "other"}, {"type": "text", "text": '), told, F.lit("}")))
+    )
+    raw = F.concat(F.lit('{"type": "assistant", "uuid": "'), "uuid", F.lit('", "message": {"role": "assistant", "content": ['), part, F.lit("]}}"))
+    return R.text_lines(m, F.concat(F.lit("/t/"), "session_id", F.lit(".jsonl")), F.col("id") % 1000, raw)
+
+
+@query("""SELECT session_id, CAST(id % 1000 AS INTEGER) AS line, CASE id % 1000 % 5 WHEN 0 THEN '[THINKING] ' || left(content, 8000) || ' so'
+WHEN 1 THEN '[TOOL:sh] ' || left('{"a": [1, {"b": "x,y:z", "z": 2}], "cmd": ' || CAST(to_json(content) AS VARCHAR) || '}', 500) WHEN 2 THEN '[TOOL:?] {} [TOOL_RESULT] ' || left(content, 1000)
+WHEN 3 THEN '[TOOL_RESULT] ' || left(content, 1000) || ' [TOOL_RESULT] second' ELSE left(content, 8000) END AS content FROM messages""")
+def read_tool_blocks(spark, sf):
+    return R.read_block_jsonl(tool_blocks(spark, sf)).select("session_id", "line", "content")
+
+
+@query("""SELECT session_id, left(trim(regexp_replace(min_by(CASE WHEN id % 2 = 0 THEN content ELSE 'own ' || id END, id), '\\s+', ' ', 'g')), 80) AS title FROM messages WHERE id % 3 = 0 GROUP BY session_id""")
+def native_titles(spark, sf):
+    m = D.messages(spark, sf)
+    record = F.when(F.col("id") % 3 != 0, F.to_json(F.struct(F.lit("user").alias("type"), F.lit(" ").alias("title")))).when(F.col("id") % 2 == 0, F.to_json(F.struct(F.lit("late").alias("title"), F.col("content").alias("summary")))).otherwise(F.to_json(F.struct(F.concat(F.lit("own "), F.col("id").cast("string")).alias("title"))))
+    return R.native_titles(R.text_lines(m, F.concat(F.lit("/t/"), "session_id", F.lit(".jsonl")), F.col("id") % 1000, record))
+
+
+@query("SELECT id AS session_id, cwd, parent_id, is_subagent FROM sessions")
+def aliased_sessions(spark, sf):
+    s = D.sessions(spark, sf)
+    return R.aliased_sessions(s.select(F.col("id").alias("Name"), F.col("cwd").alias("project_path"), F.col("parent_id").alias("Parent_Session_ID"), F.when(F.col("is_subagent"), "1").otherwise("0").alias("is_sub")))
+
+
 def rollouts(spark: SparkSession, sf: str) -> DataFrame:
     """Rollout files: a header, then a message or a tool call for each message."""
     m, s = D.messages(spark, sf), D.sessions(spark, sf)
@@ -206,7 +231,7 @@ def stream_vectors_all(spark, sf):
     return topped_up(spark, sf).select("session_id", "content_hash")
 
 
-@query("SELECT least(count(*), 50) AS n FROM (SELECT DISTINCT session_id, content FROM messages WHERE length(trim(regexp_replace(content, '\\s+', ' ', 'g'))) >= 12)")
+@query("SELECT session_id, left(sha1(content), 16) AS content_hash, max(id) AS msg_id, CAST(len(content) - len(replace(lower(content), 'e', '')) AS DOUBLE) AS e_count FROM messages WHERE length(content) >= 12 GROUP BY session_id, content")
 def stream_vectors(spark, sf):
-    """Vector top-up of the whole stream; its SQL tells the number of texts up to fifty only."""
-    return topped_up(spark, sf).agg(F.least(F.countDistinct("session_id", "content_hash"), F.lit(50)).alias("n"))
+    """Vector top-up of the whole stream: the stored table."""
+    return topped_up(spark, sf).select("session_id", "content_hash", "msg_id", F.element_at("vec", 5).cast("double").alias("e_count"))

@@ -7,12 +7,8 @@ JSON, or have no text are left out.
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import text as X
 
@@ -42,17 +38,18 @@ def containers_from_paths(paths: DataFrame) -> DataFrame:
     return paths.select("path", F.when(sub, F.concat(parent, F.lit("/"), stem)).otherwise(stem).alias("session_id"), sub.alias("is_subagent"), F.when(sub, parent).alias("parent_id"))
 
 
-@F.pandas_udf(StringType())
-def json_dump(values: pd.Series) -> pd.Series:
-    """JSON with sorted keys and a space after each comma and colon; other text as it is."""
+def json_dump(values: Column | str) -> Column:
+    """JSON with sorted keys and a space after each comma and colon outside strings; other text
+    as it is."""
+    value = F.col(values) if isinstance(values, str) else values
+    parsed = F.try_parse_json(value)
+    return F.when(parsed.isNull(), value).otherwise(spaced(F.to_json(parsed)))
 
-    def one(v):
-        try:
-            return None if v is None else json.dumps(json.loads(v), sort_keys=True, ensure_ascii=False)
-        except ValueError:
-            return v
 
-    return values.map(one)
+def spaced(compact: Column) -> Column:
+    """Compact JSON with a space after each comma and colon outside strings."""
+    parts = F.regexp_extract_all(compact, F.lit(r'("(?:[^"\\]|\\.)*"|[^"]+)'), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit('"')), p).otherwise(F.regexp_replace(p, "([,:])", "$1 "))), "")
 
 
 def _get(path: str, kind: str = "string", record: str = "rec") -> Column:
@@ -60,24 +57,51 @@ def _get(path: str, kind: str = "string", record: str = "rec") -> Column:
 
 
 def block_text() -> Column:
-    """Text of a block record (column rec): a plain text, or its blocks joined by a space."""
-    blocks = F.coalesce(F.from_json(_get("$.message.content"), "array<struct<type:string,text:string,thinking:string,name:string,input:string,content:string>>"), F.array())
-    one = lambda b: (
-        F.when(b["type"] == "text", F.left(b["text"], F.lit(BLOCK_CAP)))
-        .when(b["type"] == "thinking", F.concat(F.lit("[THINKING] "), F.left(F.coalesce(b["thinking"], F.lit("")), F.lit(BLOCK_CAP))))
-        .when(b["type"] == "tool_use", F.concat(F.lit("[TOOL:"), F.coalesce(b["name"], F.lit("")), F.lit("] "), F.left(F.coalesce(b["input"], F.lit("")), F.lit(TOOL_INPUT_CAP))))
-        .when(b["type"] == "tool_result", F.concat(F.lit("[TOOL_RESULT] "), F.left(F.coalesce(b["content"], F.lit("")), F.lit(TOOL_RESULT_CAP))))
-    )
-    parts = F.filter(F.transform(blocks, one), lambda t: t.isNotNull() & (F.trim(t) != ""))
-    plain = F.left(_get("$.message.content"), F.lit(BLOCK_CAP))
-    is_list = F.schema_of_variant(F.try_variant_get("rec", "$.message.content", "variant")).startswith("ARRAY")
+    """Text of a block record (column rec): a plain text, or the parts of its blocks joined by a
+    space: texts, thinking, tool calls with their input as spaced JSON, and of tool results the
+    text or each text of a list."""
+    content = F.try_variant_get("rec", "$.message.content", "variant")
+    kind = lambda v: F.schema_of_variant(v)
+    text = lambda v, path: F.when(kind(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+    none = F.array().cast("array<string>")
+    result = lambda t: F.concat(F.lit("[TOOL_RESULT] "), F.left(t, F.lit(TOOL_RESULT_CAP)))
+
+    def parts(b: Column) -> Column:
+        tool_input = F.coalesce(F.to_json(F.try_variant_get(b, "$.input", "variant")), F.lit("{}"))
+        listed = F.coalesce(F.try_variant_get(b, "$.content", "array<variant>"), F.array().cast("array<variant>"))
+        block = F.try_variant_get(b, "$.type", "string")
+        return (
+            F.when(block == "text", F.array(F.left(text(b, "$.text"), F.lit(BLOCK_CAP))))
+            .when(block == "thinking", F.array(F.concat(F.lit("[THINKING] "), F.left(text(b, "$.thinking"), F.lit(BLOCK_CAP)))))
+            .when(block == "tool_use", F.array(F.concat(F.lit("[TOOL:"), F.coalesce(text(b, "$.name"), F.lit("?")), F.lit("] "), F.left(spaced(tool_input), F.lit(TOOL_INPUT_CAP)))))
+            .when((block == "tool_result") & text(b, "$.content").isNotNull(), F.array(result(text(b, "$.content"))))
+            .when(block == "tool_result", F.transform(listed, lambda x: result(text(x, "$.text"))))
+            .otherwise(none)
+        )
+
+    blocks = F.coalesce(F.try_variant_get("rec", "$.message.content", "array<variant>"), F.array().cast("array<variant>"))
+    shown = F.filter(F.flatten(F.transform(blocks, parts)), lambda t: t.isNotNull() & (t != ""))
     return (
         F.when(_get("$.type") == "summary", F.concat(F.lit("[SUMMARY] "), F.coalesce(_get("$.summary"), F.lit(""))))
-        .when((_get("$.type") == "system") & _get("$.message.content").isNull(), F.concat(F.lit("[SYSTEM] "), F.coalesce(_get("$.content"), F.lit(""))))
-        .when(is_list, F.array_join(parts, " ")).otherwise(plain)
+        .when((_get("$.type") == "system") & content.isNull(), F.concat(F.lit("[SYSTEM] "), F.coalesce(_get("$.content"), F.lit(""))))
+        .when(kind(content).startswith("ARRAY"), F.array_join(shown, " ")).otherwise(F.left(text("rec", "$.message.content"), F.lit(BLOCK_CAP)))
     )
 
 
+# Fields that carry a title, in order of preference, and its cap in code points.
+TITLE_FIELDS, TITLE_CAP = ("ai_title", "summary", "custom_title", "title"), 80
+
+
+def native_titles(rows: DataFrame) -> DataFrame:
+    """session_id, title: the first title field of the first record (lines as from lines()) that
+    carries one, as one line."""
+    r = rows.withColumn("rec", F.try_parse_json("raw"))
+    each = F.filter(F.array(*[F.left(X.collapse(F.coalesce(_get(f"$.{k}"), F.lit(""))), F.lit(TITLE_CAP)) for k in TITLE_FIELDS]), lambda t: t != "")
+    titled = r.withColumn("title", F.get(each, F.lit(0))).where(F.col("title").isNotNull())
+    named = titled.join(containers_from_paths(rows.select("path").distinct()).select("path", "session_id"), "path")
+    return named.groupBy("session_id").agg(F.min_by("title", "line").alias("title"))
+
+
 def read_block_jsonl(rows: DataFrame) -> DataFrame:
     """Messages of block records (lines as from lines())."""
     r = rows.withColumn("rec", F.try_parse_json("raw")).where(_get("$.type").isin(*INDEXED))
@@ -149,17 +173,35 @@ def steplog_containers(rows: DataFrame, history: DataFrame, look: int = 50) -> D
     return own.join(h, "session_id", "left").join(spawned, "session_id", "left").select("session_id", F.coalesce(F.nullif("workspace", F.lit("")), "own").alias("cwd"), "parent_id")
 
 
-#: Names that columns of databases go by.
+# Names that columns of databases go by, in order of preference.
 ALIASES = {
-    "session_id": ("session_id", "sessionId", "conversation_id", "thread_id"), "id": ("id", "message_id", "seq", "rowid"), "role": ("role", "sender", "author", "type"),
-    "content": ("content", "text", "body", "message"), "ts": ("created_at", "timestamp", "ts", "created", "time"),
+    "session_id": ("session_id", "session", "sess_id", "thread_id", "conversation_id", "sessionId"), "id": ("id", "message_id", "mid", "rowid", "seq"), "role": ("role", "sender", "author", "type"),
+    "content": ("content_json", "content", "text", "body", "message", "payload"), "ts": ("created_timestamp", "created_at", "timestamp", "created", "ts", "time", "date"),
+}
+SESSION_ALIASES = {
+    "session_id": ("id", "session_id", "name"), "cwd": ("working_dir", "cwd", "workdir", "directory", "project_path"), "parent_id": ("parent_id", "parent_session_id", "parent"), "is_subagent": ("is_subagent", "subagent", "is_sub"),
 }
 
 
+def _named(rows: DataFrame, aliases: dict[str, tuple[str, ...]]) -> dict[str, str | None]:
+    have = {c.lower(): c for c in rows.columns}
+    return {k: next((have[a.lower()] for a in names if a.lower() in have), None) for k, names in aliases.items()}
+
+
+def aliased_sessions(rows: DataFrame) -> DataFrame:
+    """session_id, cwd, parent_id, is_subagent of a database's table of sessions; rows without
+    an id are left out."""
+    found = _named(rows, SESSION_ALIASES)
+    if found["session_id"] is None:
+        raise ValueError("an id column is needed")
+    col = lambda k: F.coalesce(F.col(found[k]).cast("string"), F.lit("")) if found[k] else F.lit("")
+    out = rows.select(col("session_id").alias("session_id"), col("cwd").alias("cwd"), F.nullif(col("parent_id"), F.lit("")).alias("parent_id"), F.lower(col("is_subagent")).isin("1", "true", "yes").alias("is_subagent"))
+    return out.where("session_id <> ''")
+
+
 def normalize_aliased_table(rows: DataFrame) -> DataFrame:
     """Messages of a database's table, whatever its columns are called."""
-    have = {c.lower(): c for c in rows.columns}
-    found = {k: next((have[a.lower()] for a in names if a.lower() in have), None) for k, names in ALIASES.items()}
+    found = _named(rows, ALIASES)
     if found["session_id"] is None or found["content"] is None:
         raise ValueError("a session and a content column are needed")
     col = lambda k, other: F.col(found[k]).cast("string") if found[k] else F.lit(other)
