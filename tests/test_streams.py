@@ -30,8 +30,27 @@ def test_results_are_files_of_the_last_batch(spark, tmp_path):
         return sorted(tuple(r) for r in got.collect())
 
     ids = {s: sorted(r.id for r in read.where(f"session_id = '{s}'").collect()) for s in "abc"}
-    assert run(streams.stream_tail(rows, 3), "update", "tail", ["session_id"]) == [(s, ",".join(map(str, ids[s][-3:]))) for s in "abc"]
+    assert run(streams.stream_tail(rows, 3), "update", "tail", ["session_id"]) == [(s, ids[s][-3:]) for s in "abc"]
     for mode in ("update", "complete"):
         assert run(streams.stream_activity(rows), mode, mode, ["session_id"]) == [(s, float(ids[s][-1]), len(ids[s])) for s in "abc"]
-    assert run(streams.stream_dedup(rows).select("session_id", "uuid"), "append", "dedup") == sorted({(r.session_id, r.uuid) for r in read.collect()})
+    assert run(streams.stream_dedup(rows, None).select("session_id", "uuid"), "append", "dedup") == sorted({(r.session_id, r.uuid) for r in read.collect()})
     assert run(streams.stream_activity(rows.where("id < 0")), "update", "none", ["session_id"]) == []
+
+
+def test_merge_publishes_changed_sessions_only(spark, tmp_path):
+    """The second batch repeats the store's rows and changes nothing."""
+    source, schema = f"file://{tmp_path}/in", "id long, session_id string, uuid string"
+    for first in (0, 0, 6):
+        spark.range(first, first + 6).selectExpr("id", "concat('s', id DIV 3) AS session_id", "concat('u', id) AS uuid").coalesce(1).write.mode("append").parquet(source)
+    state = {"rows": spark.createDataFrame([(0, "s0", "u0"), (9, "s9", "u9")], schema), "written": []}
+
+    def write(rows, number):
+        rows = spark.createDataFrame(rows.collect(), rows.schema)
+        state["written"].append(sorted({r.session_id for r in rows.collect()}))
+        kept = state["rows"].join(rows.select("session_id").distinct(), "session_id", "left_anti").select("id", "session_id", "uuid")
+        state["rows"] = spark.createDataFrame(kept.union(rows.select("id", "session_id", "uuid")).collect(), schema)
+
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    streams.stream_merge(rows, lambda: state["rows"], write, f"file://{tmp_path}/state").awaitTermination()
+    assert state["written"] == [["s0", "s1"], ["s2", "s3"]]
+    assert sorted(r.uuid for r in state["rows"].collect()) == sorted([f"u{i}" for i in range(12)] + ["u9"])

@@ -252,11 +252,13 @@ def keyword_search(messages: DataFrame, sessions: DataFrame, queries: DataFrame,
     return rows.select("query_id", "id", "session_id", "uuid", "score", "bm25_rank", "coverage", "rank")
 
 
-def explain_search(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """hits with how they were ranked."""
+def explain_search(hits: DataFrame, queries: DataFrame, sort: str = "relevance") -> DataFrame:
+    """hits with how they were ranked: the method, the bm25 ordinal (-1 for hits by substring,
+    which have none), and whether time replaced relevance (recency)."""
     n = query_terms(queries).groupBy("query_id").agg(F.countDistinct("term").alias("n_terms"))
     method = F.when(F.col("score") == 0, "substring").when(F.col("n_terms") > 1, "coverage+bm25").otherwise("bm25")
-    return hits.join(small(n), "query_id", "left").select("query_id", "id", method.alias("method"), "coverage", "bm25_rank", F.col("rank").alias("final_rank"))
+    ordinal = F.when(F.col("score") == 0, -1).otherwise(F.col("bm25_rank"))
+    return hits.join(small(n), "query_id", "left").select("query_id", "id", method.alias("method"), "coverage", ordinal.alias("bm25_rank"), F.lit(sort != "relevance").alias("recency"), F.col("rank").alias("final_rank"))
 
 
 def search_all_projects(messages: DataFrame, sessions: DataFrame, queries: DataFrame, index: WordIndex | None = None) -> DataFrame:
@@ -291,10 +293,13 @@ def dedup_lineage(hits: DataFrame, roots: DataFrame, sessions: DataFrame) -> Dat
 
 def drop_current_turn(hits: DataFrame, messages: DataFrame, callers: DataFrame) -> DataFrame:
     """hits without those of the caller's own current turn (query_id, caller_session): rows of
-    that session from its newest human message on."""
+    that session from its newest human message on. The caller may be named by the first eight
+    characters of its session or more; children of a session are never the caller."""
     turns = messages.where(X.is_human_turn(F.col("role"), F.col("content"))).groupBy("session_id").agg(F.max("id").alias("turn_start"))
-    cut = callers.where(~F.contains("caller_session", F.lit("/"))).join(turns, F.col("caller_session") == F.col("session_id")).select(F.col("query_id").alias("_q"), F.col("caller_session").alias("_s"), "turn_start")
-    return hits.join(cut, (F.col("query_id") == F.col("_q")) & (F.col("session_id") == F.col("_s")) & (F.col("id") >= F.col("turn_start")), "left_anti")
+    named = callers.where(~F.contains("caller_session", F.lit("/"))).select("query_id", "caller_session")
+    same = (F.col("session_id") == F.col("caller_session")) | ((F.length("caller_session") >= 8) & F.startswith("session_id", "caller_session") & ~F.contains("session_id", F.lit("/")))
+    own = hits.select("query_id", "id", "session_id").join(named, "query_id").where(same).join(turns, "session_id").where("id >= turn_start").select("query_id", "id")
+    return hits.join(own, ["query_id", "id"], "left_anti").select(*hits.columns)
 
 
 def search_warnings(hits: DataFrame, sessions: DataFrame, messages: DataFrame, now: float) -> DataFrame:
@@ -313,6 +318,38 @@ def scope_report(sessions: DataFrame, hits: DataFrame, messages: DataFrame) -> D
     return per.join(found, "project", "left").select("project", "n_sessions", F.when(F.col("m") > 0, "searched").otherwise("empty").alias("status"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.bool_and(F.col("m") > 0).over(Window.partitionBy(F.lit(1))).alias("complete"))
 
 
+def token_snippet(hits: DataFrame, texts: DataFrame, terms: DataFrame, size: int = 16) -> DataFrame:
+    """query_id, id, snippet: size words of a hit's text (id, content) around its best match. Of
+    the runs of size words that start at a hit word or end at the text's end, the one with most
+    distinct terms counts, the first of equal ones; hit words stand in >>> and <<<, and … marks
+    what is left out on either side."""
+    wanted = terms.select("query_id", F.explode(X.tokens(F.col("term"))).alias("t")).groupBy("query_id").agg(F.collect_set("t").alias("terms"))
+    rows = hits.select("query_id", "id").join(small(wanted), "query_id").join(texts.select("id", "content"), "id")
+    words = F.filter(F.split("content", r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])|(?<=[^\p{L}\p{N}])(?=[\p{L}\p{N}])"), lambda w: w != "")
+    is_word = lambda w: w.rlike(r"[\p{L}\p{N}]")
+    rows = rows.withColumn("parts", words).withColumn("words", F.transform(F.filter("parts", is_word), lambda w: X.fold(w)))
+    last = F.greatest(F.size("words") - size, F.lit(0))
+    starts = F.array_distinct(F.transform(F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains("terms", F.get("words", i))), lambda i: F.least(i, last)))
+    scored = F.transform(starts, lambda i: F.struct((-F.size(F.array_intersect(F.slice("words", i + 1, F.lit(size)), "terms"))).alias("k"), i.alias("i")))
+    rows = rows.where(F.size("words") > 0).withColumn("from", F.array_min(scored)["i"]).where("from IS NOT NULL")
+    # The place of each part among the words: of what stands between, that of the word before it.
+    places = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.size(F.filter(F.slice("parts", F.lit(1), i), is_word)) - 1)
+    shown = F.filter(F.arrays_zip("parts", places.alias("places")), lambda p: (p["places"] >= F.col("from")) & (p["places"] < F.col("from") + size))
+    marked = F.transform(shown, lambda p: F.when(is_word(p["parts"]) & F.array_contains("terms", X.fold(p["parts"])), F.concat(F.lit(">>>"), p["parts"], F.lit("<<<"))).otherwise(p["parts"]))
+    body = F.regexp_replace(F.array_join(marked, ""), r"^[^\p{L}\p{N}>]+|[^\p{L}\p{N}<]+$", "")
+    before, after = F.when(F.col("from") > 0, "…").otherwise(""), F.when(F.col("from") + size < F.size("words"), "…").otherwise("")
+    return rows.select("query_id", "id", F.concat(before, body, after).alias("snippet"))
+
+
+def exists_probes(vectors: DataFrame, segments: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One row: has_vectors, has_topics (any segment or verdict), has_real_segments (a segment
+    with a topic)."""
+    any_row = lambda d, name: d.limit(1).agg((F.count("*") > 0).alias(name))
+    topics = segments.select("session_id").limit(1).union(verdicts.select("session_id").limit(1))
+    real = segments.where("topic <> ''")
+    return any_row(vectors.select(F.lit(1)), "has_vectors").join(any_row(topics, "has_topics")).join(any_row(real.select(F.lit(1)), "has_real_segments"))  # one row each
+
+
 def project_spread(hits: DataFrame, sessions: DataFrame) -> DataFrame:
     """query_id, n_sessions, n_projects and up to five projects."""
     rows = hits.join(sessions.select(F.col("id").alias("session_id"), "project"), "session_id")

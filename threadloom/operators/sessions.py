@@ -58,11 +58,14 @@ def live_sessions(sessions: DataFrame, now: float, limit: int = 20) -> DataFrame
     return sessions.orderBy(F.desc("last_ts"), "id").limit(limit).select("id", "project", "message_count", F.greatest(F.lit(0.0), now - F.col("last_ts")).alias("age"))
 
 
-def session_tail(messages: DataFrame, sessions: DataFrame, n: int = 5) -> DataFrame:
-    """The last n messages of each of the sessions (session_id), with the session's total."""
-    w = Window.partitionBy("session_id").orderBy(F.desc("id"))
+def session_tail(messages: DataFrame, sessions: DataFrame, n: int = 5, now: float | None = None) -> DataFrame:
+    """The last n messages of each of the sessions (session_id), with the session's total and,
+    given the time now, the age of its newest message in seconds, never negative."""
+    w, whole = Window.partitionBy("session_id").orderBy(F.desc("id")), Window.partitionBy("session_id")
     m = messages.join(sessions.select("session_id").distinct(), "session_id", "left_semi")
-    return m.withColumn("back", F.row_number().over(w)).withColumn("total", F.count("*").over(Window.partitionBy("session_id"))).where(F.col("back") <= n).select("session_id", "id", "role", "back", "total")
+    age = [] if now is None else [F.greatest(F.lit(0.0), now - F.col("_last")).alias("age")]
+    rows = m.withColumn("back", F.row_number().over(w)).withColumn("total", F.count("*").over(whole)).withColumn("_last", F.max("ts").over(whole))
+    return rows.where(F.col("back") <= n).select("session_id", "id", "role", "back", "total", *age)
 
 
 def lineage_root(sessions: DataFrame) -> DataFrame:
@@ -117,12 +120,14 @@ def last_activity(messages: DataFrame, look: int = 40, cap: int = 70) -> DataFra
 def anchored_window(messages: DataFrame, anchors: DataFrame, n: int = 3, cap: int = 200, around: int = 0, more: int = 0) -> DataFrame:
     """Rows of each anchor (ref_id, session_id, id) within n of it, by place in the session, with
     the rows before and after; around shifts the centre, more widens to (more + 1) * 8. Only
-    user and assistant rows and the anchor are shown; all but the anchor are cut at cap."""
+    user and assistant rows and the anchor are shown; all but the anchor are cut at cap. Anchors
+    are turned into the places they ask for, so that a session's rows meet these alone."""
     width = (more + 1) * 8 if more else n
     w = Window.partitionBy("session_id").orderBy("id")
     placed = messages.withColumn("rn", F.row_number().over(w)).withColumn("size", F.count("*").over(Window.partitionBy("session_id")))
     at = anchors.join(placed.select("session_id", "id", (F.col("rn") + around).alias("centre")), ["session_id", "id"]).select("ref_id", "session_id", F.col("id").alias("anchor"), "centre")
-    rows = placed.join(at, "session_id").where(F.abs(F.col("rn") - F.col("centre")) <= width)
+    wanted = at.withColumn("rn", F.explode(F.sequence(F.col("centre") - width, F.col("centre") + width)))
+    rows = placed.join(wanted, ["session_id", "rn"])
     is_anchor = F.col("id") == F.col("anchor")
     shown = rows.where(is_anchor | F.col("role").isin("user", "assistant"))
     body = F.when(is_anchor, F.col("content")).otherwise(F.left("content", F.lit(cap)))
@@ -171,14 +176,16 @@ def parse_refs(refs: DataFrame) -> DataFrame:
 
 
 def resolve_refs(refs: DataFrame, sessions: DataFrame, messages: DataFrame, prefix: int = 8) -> DataFrame:
-    """ref_id, session_id, id, status: ok, not_found, ambiguous, or as parsed. Prefixes of prefix
-    characters join by equality; shorter ones are matched from their own length."""
+    """ref_id, session_id, id, status: ok, not_found, ambiguous, or as parsed. Prefixes of any
+    length join by equality. Top-level sessions come first: subagents count only where no
+    top-level session matches."""
     parsed = parse_refs(refs)
     good = parsed.where("status = 'ok'")
     lengths = good.agg(F.collect_set(F.length("session_ref")).alias("lengths"))  # one row
     keys = F.explode(F.array_distinct(F.transform("lengths", lambda n: F.left("id", n))))
-    found = good.join(sessions.select("id").join(F.broadcast(lengths)).select("id", keys.alias("session_ref")), "session_ref", "left")
-    per = found.groupBy("ref_id", "session_ref", "uuid_ref").agg(F.count("id").alias("n"), F.min("id").alias("session_id"))
+    found = good.join(sessions.select("id", "is_subagent").join(F.broadcast(lengths)).select("id", "is_subagent", keys.alias("session_ref")), "session_ref", "left")
+    top = F.when(~F.col("is_subagent"), F.col("id"))
+    per = found.groupBy("ref_id", "session_ref", "uuid_ref").agg(F.when(F.count(top) > 0, F.count(top)).otherwise(F.count("id")).alias("n"), F.coalesce(F.min(top), F.min("id")).alias("session_id"))
     rows = per.where("n = 1").join(messages.select("session_id", F.col("id").alias("mid"), "uuid"), "session_id", "left")
     hit = F.when(F.startswith("uuid", "uuid_ref"), F.col("mid"))
     located = rows.groupBy("ref_id", "session_id").agg(F.count(hit).alias("k"), F.min(hit).alias("id"))
@@ -195,6 +202,25 @@ def read_refs(refs: DataFrame, sessions: DataFrame, messages: DataFrame, n: int
     return apply_budget(anchored_window(messages, found, n), budget).select("ref_id", "session_id", "id", "ord", "is_anchor", "truncated", "used", "before", "after")
 
 
+def read_full(refs: DataFrame, sessions: DataFrame, messages: DataFrame, n: int = 3, budget: int = 2000, around: int = 0, more: int = 0, ends: int = 2, needles: DataFrame | None = None) -> DataFrame:
+    """ref_id, section (start, window, end or focus), ord, id, text, n_subagents: all that a
+    reader of resolved references sees. Bookends are rows of the session outside the window;
+    focus is the text around the first window row that holds the reference's needle."""
+    found = resolve_refs(refs, sessions, messages).where("status = 'ok'").select("ref_id", "session_id", "id")
+    shown = apply_budget(anchored_window(messages, found, n, around=around, more=more), budget)
+    window = shown.select("ref_id", F.lit("window").alias("section"), "ord", "id", "text")
+    edges = found.select("ref_id", "session_id").join(bookends(messages, ends), "session_id").join(shown.select("ref_id", "id"), ["ref_id", "id"], "left_anti")
+    text = F.left(X.strip_generated(F.col("content")), F.lit(200))
+    edges = edges.join(messages.select("id", text.alias("text")), "id").select("ref_id", "section", "ord", "id", "text")
+    rows = window.unionByName(edges)
+    if needles is not None:
+        focus = focus_snippet(shown, needles)
+        rows = rows.unionByName(focus.select("ref_id", F.lit("focus").alias("section"), F.lit(0).alias("ord"), F.lit(None).cast("long").alias("id"), F.col("focus").alias("text")))
+    subs = subagents(sessions).groupBy(F.col("parent").alias("session_id")).agg(F.count("*").alias("n_subagents"))
+    counts = found.join(subs, "session_id", "left").select("ref_id", F.coalesce("n_subagents", F.lit(0)).alias("n_subagents"))
+    return rows.join(counts, "ref_id").select("ref_id", "section", "ord", "id", "text", "n_subagents")
+
+
 def focus_snippet(rows: DataFrame, needles: DataFrame, before: int = 60, after: int = 120) -> DataFrame:
     """ref_id and, around the first row that contains its needle (ref_id, needle), that text."""
     at = F.position("needle", F.lower("text"))

@@ -235,7 +235,7 @@ def keyword_search(spark, sf):
     return keyword(spark, sf)
 
 
-@query(f", {KEYWORD}, n AS (SELECT query_id, count(DISTINCT term) AS n_terms FROM terms GROUP BY 1) SELECT query_id, id, CASE WHEN score = 0 THEN 'substring' WHEN n_terms > 1 THEN 'coverage+bm25' ELSE 'bm25' END AS method, coverage, bm25_rank, rank AS final_rank FROM keyword LEFT JOIN n USING (query_id)")
+@query(f", {KEYWORD}, n AS (SELECT query_id, count(DISTINCT term) AS n_terms FROM terms GROUP BY 1) SELECT query_id, id, CASE WHEN score = 0 THEN 'substring' WHEN n_terms > 1 THEN 'coverage+bm25' ELSE 'bm25' END AS method, coverage, CASE WHEN score = 0 THEN -1 ELSE bm25_rank END AS bm25_rank, false AS recency, rank AS final_rank FROM keyword LEFT JOIN n USING (query_id)")
 def explain_search(spark, sf):
     return S.explain_search(keyword(spark, sf), D.queries(spark))
 
@@ -440,10 +440,10 @@ def live_sessions(spark, sf):
     return O.live_sessions(D.sessions(spark, sf), NOW)
 
 
-@query("SELECT session_id, id, role, CAST(back AS INTEGER) AS back, total FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS back, count(*) OVER (PARTITION BY session_id) AS total FROM messages) WHERE back <= 3")
+@query("SELECT session_id, id, role, CAST(back AS INTEGER) AS back, total, age FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS back, count(*) OVER (PARTITION BY session_id) AS total, greatest(0, 1.705e9 - max(ts) OVER (PARTITION BY session_id)) AS age FROM messages) WHERE back <= 3")
 def session_tail(spark, sf):
     m = D.messages(spark, sf)
-    return O.session_tail(m, m.select("session_id"), 3)
+    return O.session_tail(m, m.select("session_id"), 3, 1.705e9)
 
 
 @query("SELECT DISTINCT parent_id AS parent, id AS child FROM sessions WHERE is_subagent AND parent_id IS NOT NULL")
@@ -515,7 +515,7 @@ def refs(spark, sf):
 
 REFS = """refs AS (SELECT id AS ref_id, CASE WHEN id % 3 = 0 THEN 'ref=' || left(session_id, 8) || ':' || left(uuid, 8) WHEN id % 5 = 0 THEN session_id WHEN id % 7 = 0 THEN left(session_id, 7) || ':' || left(uuid, 8) ELSE left(session_id, 8) || ':ffffffffffff' END AS ref FROM messages WHERE id % 17 = 0),
 parsed AS (SELECT ref_id, split_part(regexp_replace(ref, '^ref=', ''), ':', 1) AS session_ref, lower(split_part(ref, ':', 2)) AS uuid_ref, CASE WHEN NOT contains(ref, ':') THEN 'invalid' WHEN regexp_matches(split_part(ref, ':', 2), '^[0-9]{1,7}$') THEN 'legacy' ELSE 'ok' END AS status FROM refs),
-owner AS (SELECT ref_id, uuid_ref, count(s.id) AS n, min(s.id) AS session_id FROM parsed LEFT JOIN sessions s ON starts_with(s.id, session_ref) WHERE status = 'ok' GROUP BY 1, 2),
+owner AS (SELECT ref_id, uuid_ref, CASE WHEN count(s.id) FILTER (NOT is_subagent) > 0 THEN count(s.id) FILTER (NOT is_subagent) ELSE count(s.id) END AS n, coalesce(min(s.id) FILTER (NOT is_subagent), min(s.id)) AS session_id FROM parsed LEFT JOIN sessions s ON starts_with(s.id, session_ref) WHERE status = 'ok' GROUP BY 1, 2),
 found AS (SELECT ref_id, o.session_id, count(m.id) AS k, min(m.id) AS id FROM owner o LEFT JOIN messages m ON m.session_id = o.session_id AND starts_with(m.uuid, uuid_ref) WHERE n = 1 GROUP BY 1, 2),
 resolved AS (SELECT ref_id, session_id, CASE WHEN k = 1 THEN id END AS id, CASE k WHEN 1 THEN 'ok' WHEN 0 THEN 'not_found' ELSE 'ambiguous' END AS status FROM found
  UNION ALL SELECT ref_id, NULL, NULL, CASE n WHEN 0 THEN 'not_found' ELSE 'ambiguous' END FROM owner WHERE n <> 1 UNION ALL SELECT ref_id, NULL, NULL, status FROM parsed WHERE status <> 'ok')"""
@@ -536,6 +536,29 @@ def read_refs(spark, sf):
     return O.read_refs(refs(spark, sf), D.sessions(spark, sf), D.messages(spark, sf)).withColumns({c: F.col(c).cast("long") for c in ("used", "before", "after")})
 
 
+FULL_READ = BUDGET.replace('WHERE id % 17 = 0)', 'JOIN resolved r USING (session_id, id) WHERE r.status = chr(111) || chr(107))').replace('id AS ref_id, session_id', 'r.ref_id, session_id').replace('500', '2000')
+
+
+@query(f""", {REFS}, {FULL_READ}, {ENDS}, ok AS (SELECT ref_id, session_id FROM resolved WHERE status = 'ok'),
+two AS (SELECT * FROM s WHERE ord <= 2 UNION ALL SELECT * FROM e WHERE ord <= 2 AND id NOT IN (SELECT id FROM s WHERE ord <= 2)),
+book AS (SELECT ref_id, section, ord, t.id, left({GEN.replace('content', 'm.content')}, 200) AS text FROM ok JOIN two t USING (session_id) JOIN messages m ON m.id = t.id WHERE NOT EXISTS (SELECT 1 FROM cut c WHERE c.ref_id = ok.ref_id AND c.id = t.id)),
+hit AS (SELECT ref_id, min_by(t, ord) AS text FROM cut WHERE contains(lower(t), 'th') GROUP BY 1), spot AS (SELECT *, instr(lower(text), 'th') AS a FROM hit),
+seen AS (SELECT ref_id, 'window' AS section, ord, id, t AS text FROM cut UNION ALL SELECT * FROM book
+ UNION ALL SELECT ref_id, 'focus', 0, NULL, {D.clean_sql("regexp_replace(substr(text, greatest(a - 60, 1), a + 120 - greatest(a - 60, 1)), '(th)', '>>>\\1<<<', 'gi')")} FROM spot)
+SELECT ref_id, section, CAST(ord AS INTEGER) AS ord, seen.id, text, (SELECT count(*) FROM sessions c WHERE c.is_subagent AND c.parent_id = ok.session_id) AS n_subagents FROM seen JOIN ok USING (ref_id)""")
+def read_full(spark, sf):
+    asked = refs(spark, sf)
+    return O.read_full(asked, D.sessions(spark, sf), D.messages(spark, sf), needles=asked.select("ref_id", F.lit("Th").alias("needle")))
+
+
+@query(f", {WINDOW.replace('rn AS centre', 'rn + 2 AS centre').replace('<= 3', '<= 16').replace('centre - 4', 'centre - 17').replace('centre - 3', 'centre - 16')} SELECT ref_id, id, ord, before, after FROM win")
+def widened_window(spark, sf):
+    """Windows re-centred two rows on and widened by one level."""
+    m = D.messages(spark, sf)
+    rows = O.anchored_window(m, m.where("id % 17 = 0").select(F.col("id").alias("ref_id"), "session_id", "id"), around=2, more=1)
+    return rows.select("ref_id", "id", "ord", F.col("before").cast("long").alias("before"), F.col("after").cast("long").alias("after"))
+
+
 @query(f", {WINDOW}, f AS (SELECT ref_id, min_by(text, ord) AS text FROM win WHERE contains(lower(text), 'tion') GROUP BY 1), p AS (SELECT ref_id, text, instr(lower(text), 'tion') AS a FROM f) SELECT ref_id, {D.clean_sql('''regexp_replace(substr(text, greatest(a - 60, 1), a + 120 - greatest(a - 60, 1)), '(tion)', '>>>\\1<<<', 'gi')''')} AS focus FROM p")
 def focus_snippet(spark, sf):
     w = window(spark, sf)
@@ -557,6 +580,22 @@ def path_scope(spark, sf):
     return S.path_scope(D.sessions(spark, sf), "/p[1-4]$", "p2").select("id", "project")
 
 
+@query(f""", {KEYWORD}, term_words AS (SELECT query_id, list(DISTINCT w) AS ws FROM (SELECT query_id, unnest({D.tokens_sql('term')}) AS w FROM terms) GROUP BY 1),
+cut AS (SELECT k.query_id, k.id, ws, {D.tokens_sql('content')} AS w FROM keyword k JOIN term_words USING (query_id) JOIN messages m ON m.id = k.id),
+runs AS (SELECT *, unnest(list_transform(list_filter(range(len(w)), lambda i: list_contains(ws, w[i + 1])), lambda i: least(i, greatest(len(w) - 16, 0)))) AS i FROM cut),
+best AS (SELECT query_id, id, w, ws, arg_min(i, -100000.0 * len(list_intersect(w[i + 1:i + 16], ws)) + i) AS i FROM runs GROUP BY ALL)
+SELECT query_id, id, CASE WHEN i > 0 THEN '…' ELSE '' END || array_to_string(list_transform(w[i + 1:i + 16], lambda x: CASE WHEN list_contains(ws, x) THEN '>>>' || x || '<<<' ELSE x END), ' ') || CASE WHEN i + 16 < len(w) THEN '…' ELSE '' END AS words FROM best""")
+def token_snippet(spark, sf):
+    """Snippets of the hits by words; compared as their folded words."""
+    rows = S.token_snippet(keyword(spark, sf), D.messages(spark, sf), terms(spark))
+    return rows.select("query_id", "id", F.regexp_replace(F.regexp_replace(X.fold(F.col("snippet")), r"[^\p{L}\p{N}…<>]+", " "), "> *>>>", ">>>").alias("words"))
+
+
+@query("SELECT (SELECT count(*) FROM embeddings) > 0 AS has_vectors, (SELECT count(*) FROM segments) + (SELECT count(*) FROM verdicts) > 0 AS has_topics, (SELECT count(*) FROM segments WHERE topic <> '') > 0 AS has_real_segments")
+def exists_probes(spark, sf):
+    return S.exists_probes(D.table(spark, sf, "embeddings"), D.segments(spark, sf), D.verdicts(spark, sf))
+
+
 # Vectors
 
 
@@ -864,10 +903,22 @@ def effective_routine(spark, sf):
     return T.effective_routine(D.verdicts(spark, sf), D.segments(spark, sf))
 
 
-@query(f", {SEG2} SELECT session_id, max(origin_machine) AS origin_machine, count(DISTINCT origin_machine) > 1 AS conflict FROM seg2 WHERE topic <> '' GROUP BY session_id")
+#: Sets of segments by machine and their hashes; the NULs between fields are written in hex, as SQL text can't hold them.
+SETS = f"""{SEG2}, sets AS (SELECT session_id, origin_machine, sha1(unhex(string_agg(hex(start_uuid) || '0000' || hex(topic) || '00' || hex(summary || origin_machine), '00' ORDER BY start_uuid, topic, summary))) AS hash FROM seg2 WHERE topic <> '' GROUP BY 1, 2)"""
+
+
+def tag_sets(spark, sf):
+    return T.segment_sets(seg2(spark, sf).withColumn("end_uuid", F.lit(None).cast("string")).withColumn("summary", F.concat("summary", "origin_machine")))
+
+
+@query(f", {SETS} SELECT session_id, origin_machine, hash FROM sets")
+def segment_sets(spark, sf):
+    return tag_sets(spark, sf)
+
+
+@query(f", {SETS} SELECT session_id, max(origin_machine) AS origin_machine, arg_max(hash, origin_machine) AS hash, count(DISTINCT hash) > 1 AS conflict FROM sets GROUP BY session_id")
 def resolve_tags(spark, sf):
-    sets = T.segment_sets(seg2(spark, sf).where("NOT (origin_machine = 'm1' AND topic <> 'later' AND start_id % 2 = 0 AND false)").withColumn("end_uuid", F.lit(None).cast("string")).withColumn("summary", F.concat("summary", "origin_machine")))
-    return T.resolve_tags(sets).select("session_id", "origin_machine", "conflict")
+    return T.resolve_tags(tag_sets(spark, sf))
 
 
 @query("SELECT session_id, 'm' || (CAST(session_id AS BIGINT) % 3) AS origin_machine FROM (SELECT DISTINCT session_id FROM segments WHERE topic <> '') WHERE CAST(session_id AS BIGINT) % 2 = 0")
@@ -883,9 +934,15 @@ def upsert_by_key(spark, sf):
     return T.upsert_by_key(s, s.where("start_id % 2 = 0").withColumn("topic", F.lit("new")), ["session_id", "start_uuid"]).select("session_id", "start_uuid", "topic")
 
 
-@query("SELECT DISTINCT session_id FROM segments UNION SELECT session_id FROM verdicts")
+@query("""SELECT coalesce(g.session_id, v.session_id) AS session_id, coalesce(n, 0) AS n_segments, topics, starts, summaries, times, verdict, source, v.tagged_at AS verdict_at FROM
+(SELECT session_id, count(*) AS n, string_agg(topic, '|' ORDER BY start_uuid) AS topics, string_agg(start_uuid, '|' ORDER BY start_uuid) AS starts, string_agg(summary, '|' ORDER BY start_uuid) AS summaries, CAST(sum(tagged_at) AS DOUBLE) AS times FROM segments GROUP BY 1) g FULL JOIN verdicts v ON v.session_id = g.session_id""")
 def export_tags(spark, sf):
-    return T.export_tags(D.segments(spark, sf), D.verdicts(spark, sf)).where(F.length("document") > 2).select("session_id")
+    """The documents, read again as JSON."""
+    kind = "session_id string, segments array<struct<start_uuid: string, topic: string, summary: string, tagged_at: double>>, verdict struct<verdict: string, source: string, tagged_at: double>"
+    d = T.export_tags(D.segments(spark, sf), D.verdicts(spark, sf)).select(F.from_json("document", kind).alias("d")).select("d.*")
+    listed = lambda c: F.when(F.col("segments").isNotNull(), F.array_join(F.transform("segments", lambda s: s[c]), "|", ""))
+    times = F.when(F.col("segments").isNotNull(), F.aggregate("segments", F.lit(0.0), lambda t, s: t + s["tagged_at"]))
+    return d.select("session_id", F.coalesce(F.size("segments"), F.lit(0)).cast("long").alias("n_segments"), listed("topic").alias("topics"), listed("start_uuid").alias("starts"), listed("summary").alias("summaries"), times.alias("times"), "verdict.verdict", "verdict.source", F.col("verdict.tagged_at").alias("verdict_at"))
 
 
 @query("SELECT session_id, start_uuid, topic FROM segments WHERE CAST(session_id AS BIGINT) % 4 <> 0 UNION ALL SELECT session_id, start_uuid, 'whole' FROM segments WHERE CAST(session_id AS BIGINT) % 4 = 0 AND start_id % 1000 = 0")

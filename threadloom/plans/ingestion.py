@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import merging as M
 from ..operators import vectors as V
 from ..sources import registry
 from ..sources import transcripts as R
@@ -194,7 +195,24 @@ def stream_activity(spark, sf):
 
 @query("SELECT session_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM (SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS n FROM messages) WHERE n <= 3 GROUP BY session_id")
 def stream_tail(spark, sf):
-    return streams.run_once(spark, streams.stream_tail(stream(spark, sf), 3), shared(spark, "tail-rows"), "update", shared(spark, "tail"), ["session_id"])
+    rows = streams.run_once(spark, streams.stream_tail(stream(spark, sf), 3), shared(spark, "tail-rows"), "update", shared(spark, "tail"), ["session_id"])
+    return rows.select("session_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query("SELECT session_id, uuid, content FROM messages WHERE id % 3 <> 0 UNION ALL SELECT session_id, uuid, 'stored' FROM messages WHERE id % 3 = 0")
+def stream_merge(spark, sf):
+    """A store that holds a third of the messages, and the stream merged into it."""
+    store, state = shared(spark, "merged"), {"n": 0}
+    columns = ["id", "session_id", "uuid", "content"]
+    D.messages(spark, sf).where("id % 3 = 0").withColumn("content", F.lit("stored")).select(*columns).write.parquet(f"{store}/0")
+
+    def write(rows: DataFrame, number: int) -> None:
+        old = spark.read.parquet(f"{store}/{state['n']}")
+        M.replace_sessions(old, rows, rows).write.parquet(f"{store}/{state['n'] + 1}")
+        state["n"] += 1
+
+    streams.stream_merge(stream(spark, sf).select(*columns), lambda: spark.read.parquet(f"{store}/{state['n']}"), write, shared(spark, "merge")).awaitTermination()
+    return spark.read.parquet(f"{store}/{state['n']}").select("session_id", "uuid", "content")
 
 
 @query("SELECT session_id, id, content FROM messages")

@@ -26,8 +26,25 @@ def stream_ingest(batches: DataFrame, read: Callable[[], DataFrame | None], writ
     return batches.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_dedup(messages: DataFrame, delay: str | None = None, time: str = "event_time") -> DataFrame:
-    """messages without repeats of (session_id, uuid); with a delay, state is kept for that long."""
+def stream_merge(batches: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Each batch of messages is merged into the store: read() gives the stored messages, and
+    write(rows, batch) publishes the sessions that the batch has changed, whole and without
+    copies. Batches that bring nothing new publish nothing."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        fresh = batch.join(read().select("session_id", "uuid"), ["session_id", "uuid"], "left_anti")
+        if fresh.isEmpty():
+            return
+        stored = read().join(fresh.select("session_id").distinct(), "session_id", "left_semi")
+        both = stored.withColumn("store", F.lit(0)).unionByName(batch.select(*stored.columns).withColumn("store", F.lit(1)).join(fresh.select("session_id").distinct(), "session_id", "left_semi"))
+        write(merging.merge_messages(both).drop("store", "new_id"), number)
+
+    return batches.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_dedup(messages: DataFrame, delay: str | None = "7 days", time: str = "event_time") -> DataFrame:
+    """messages without repeats of (session_id, uuid) within the delay, for which state is kept;
+    with None, without any repeat, at the price of state that grows with the stream."""
     if delay is None:
         return messages.dropDuplicates(["session_id", "uuid"])
     return messages.withWatermark(time, delay).dropDuplicatesWithinWatermark(["session_id", "uuid"])
@@ -39,16 +56,16 @@ def stream_activity(messages: DataFrame) -> DataFrame:
 
 
 def stream_tail(messages: DataFrame, n: int = 5) -> DataFrame:
-    """session_id, ids (comma-joined): the n largest ids of each session so far, after each batch."""
+    """session_id, ids: the n largest ids of each session so far, after each batch."""
 
     def tail(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
         for frame in frames:
             held = sorted({*held, *frame["id"].tolist()})[-n:]
         state.update((held,))
-        yield pd.DataFrame({"session_id": [key[0]], "ids": [",".join(map(str, held))]})
+        yield pd.DataFrame({"session_id": [key[0]], "ids": [held]})
 
-    return messages.select("session_id", "id").groupBy("session_id").applyInPandasWithState(tail, "session_id string, ids string", "held array<long>", "update", GroupStateTimeout.NoTimeout)
+    return messages.select("session_id", "id").groupBy("session_id").applyInPandasWithState(tail, "session_id string, ids array<long>", "held array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
 def stream_vectors(corpus: DataFrame, embed: Callable, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
