@@ -1,5 +1,8 @@
 import html
 import re
+import time
+
+import pytest
 
 from threadloom.llm import html_text as ht
 
@@ -54,3 +57,27 @@ def test_comments_do_not_count_as_article():
     assert ht.extract(f"<body><article><p>{text}</p>{said}</article></body>") == text
     assert ht.extract(f"<body><article><p>{text}</p><section class=comments>{said}</section></article></body>") == text
     assert ht.extract(f"<body><article><p>{text}</p></article><section class=comments>{said.replace('article', 'div')}</section></body>") == text
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<td><b>", "<p><b>", "<div class='", "<", "<x ", "<!--", "&amp", "<a '> <b \"> ", "<title>", "</script "])
+def test_malformed_pages_take_linear_time(unit):
+    def took(n):
+        start = time.process_time()
+        ht.extract(unit * (n // len(unit)))
+        return time.process_time() - start
+
+    took(1 << 17)
+    assert took(5 << 20) < max(15 * took(5 << 18), 5)
+
+
+def test_nested_inline_elements_take_linear_time():
+    start = time.process_time()
+    ht.extract("<span>" * 200_000 + "<td>" * 200_000 + "<div></div>" * 200_000)
+    assert time.process_time() - start < 30
+
+
+def test_tags_whose_quotes_do_not_end():
+    assert ht.extract("<p>one <b class='x>two</b> three</p>") == "one two three"
+    assert ht.extract("<p>one <b class='x'>two</b> <i>three") == "one two three"
+    assert ht.extract("<p>one <b title='a>b'>two</b> three</p>") == "one two three"
+    assert ht.extract("<p>one < two <b three") == "one < two <b three"

@@ -5,16 +5,16 @@ Liao, 2011): C/T * log(C/LC * T/LT) to the base ln(LC/(C-LC) * C + LCb/Cb * C +
 and T count a node's characters and tags, LC and LT those inside links and b is the body. The
 sums of its children's densities are compared over all nodes; from the node of the largest
 sum, the smallest density on the path up to the body is the threshold, and the highest
-ancestor-or-self whose density reaches it is the main subtree; but an article or main element
-around the node of the largest sum, or a sole one with half of the subtree's text, is taken
-instead. Within it, and before densities are counted, parts that are never article text are
+ancestor-or-self whose density reaches it and whose sum is half of the largest is the main
+subtree. Within it, and before densities are counted, parts that are never article text are
 left out: by element (scripts, styles, navigation, footers and the like), and forms and what
 words in class, id and role mark. A form or marked part stays, and is judged by its density, if
 it has more text outside links than what is around it and in no such part, and most of the text
 of article and main elements, or of the page if there are none: it is a wrapper of the page.
 
 Defined results: a null page is empty; text of a page without tags is taken as a whole; every
-page is read whole in one pass, whatever its errors; a page without text gives the empty
+page is read whole in linear time, whatever its errors (a tag whose quotes leave it without an
+end has the next > as its end, and so have all after it; without any >, the rest is text); a page without text gives the empty
 string; repeated rows repeat; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -23,6 +23,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,13 +48,14 @@ MARKED = re.compile(
     re.I,
 )
 HEADERS = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_OPENING = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+_QUOTE_OR_END = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "link", "doubtful", "own")
+    __slots__ = ("name", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "link", "doubtful", "own", "in_article")
 
     def __init__(self, name: str, parent: Node | None, dropped: bool, link: bool):
         self.name, self.parent, self.dropped, self.link = name, parent, dropped, link
@@ -60,22 +63,15 @@ class Node:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.doubtful, self.own = False, 0
-
-
-def _in_article(node: Node | None) -> bool:
-    """Headers in an article hold its title; others are the page's."""
-    while node:
-        if node.name in ("article", "main"):
-            return True
-        node = node.parent
-    return False
+        #: Headers in an article hold its title; others are the page's.
+        self.in_article = name in ("article", "main") or parent is not None and parent.in_article
 
 
 def _unwanted(name: str, attributes: str, within: Node) -> bool:
     if name in DROPPED:
         return True
     if name == "header":
-        return not _in_article(within)
+        return not within.in_article
     if not attributes or name in ("html", "body", "article", "main"):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
@@ -89,12 +85,12 @@ def _doubtful(name: str, attributes: str, within: Node) -> bool:
     """Forms and marked parts; an article or main is marked only within another."""
     if name == "form":
         return True
-    if not attributes or name in ("html", "body") or name in ("article", "main") and not _in_article(within):
+    if not attributes or name in ("html", "body") or name in ("article", "main") and not within.in_article:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         if m[1].lower() in ("class", "id", "role"):
             value = m[2] or m[3] or m[4] or ""
-            if MARKED.search(value) or HEADERS.search(value) and not _in_article(within):
+            if MARKED.search(value) or HEADERS.search(value) and not within.in_article:
                 return True
     return False
 
@@ -130,61 +126,86 @@ def settle(nodes: list[Node]) -> None:
         n.dropped = n.dropped or gone[i] or i > 0 and nodes[up[i]].dropped
 
 
+class _Tags:
+    """Comments, declarations and tags of a page one after another, each place of it looked at
+    a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.last = page, True, {q: page.rfind(q) for q in "\"'"}
+
+    def end(self, at: int) -> int:
+        """Where the > is that ends the tag whose attributes start here, or -1."""
+        start = at
+        while self.quotes:
+            m = _QUOTE_OR_END.search(self.page, at)
+            if not m:
+                self.quotes = False  # from here on quotes hide no >
+            elif m[0] == ">":
+                return m.start()
+            else:
+                at = self.page.find(m[0], m.end()) + 1 if m.start() < self.last[m[0]] else m.end()
+        return self.page.find(">", start)
+
+    def next(self, at: int) -> tuple[int, int, str, str, str]:
+        """Start, end, slash, name and attributes of the next one; a name only for tags."""
+        m = _OPENING.search(self.page, at)
+        if not m:
+            return len(self.page), -1, "", "", ""
+        if m[2]:
+            end = self.end(m.end())
+            return (m.start(), end + 1, m[1], m[2].lower(), self.page[m.end() : end]) if end >= 0 else (len(self.page), -1, "", "", "")
+        mark = "-->" if m[0] == "<!--" else ">"
+        end = self.page.find(mark, m.end())
+        return m.start(), len(self.page) if end < 0 else end + len(mark), "", "", ""
+
+
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The root and all nodes, parents first."""
     root = Node("", None, False, False)
-    nodes, at, here = [root], 0, root
-    open_by_name: dict[str, int] = {}
+    nodes, at, tags = [root], 0, _Tags(page)
+    # Open elements from the root down, and their places: by name, and of those that are no inline elements.
+    stack, places, blocks = [root], defaultdict(list), [0]
 
-    def close_to(node: Node) -> None:
-        nonlocal here
-        while here is not node:
-            open_by_name[here.name] -= 1
-            here = here.parent
+    def close(place: int) -> None:
+        while len(stack) > place:
+            places[stack.pop().name].pop()
+            if blocks[-1] == len(stack):
+                blocks.pop()
 
     while True:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text:
-            here.children.append(text)
-        if not m:
+        start, end, slash, name, attributes = tags.next(at)
+        if start > at:
+            stack[-1].children.append(page[at:start])
+        if end < 0:
             return root, nodes
-        at = m.end()
-        if not m[2]:
+        at = end
+        if not name:
             continue
-        name = m[2].lower()
-        if m[1]:
-            if open_by_name.get(name):
-                node = here
-                while node.name != name:
-                    node = node.parent
-                close_to(node.parent)
+        if slash:
+            if places[name]:
+                close(places[name][-1])
             continue
-        if name in BLOCKS and open_by_name.get("p"):
-            node = here
-            while node.name in INLINE:
-                node = node.parent
-            if node.name == "p":
-                close_to(node.parent)
+        if name in BLOCKS and stack[blocks[-1]].name == "p":
+            close(blocks[-1])
         if name in CLOSES:
             ends, bounds = CLOSES[name]
-            node, last = here, None
-            while node.parent and node.name not in bounds:
-                if node.name in ends.split():
-                    last = node
-                node = node.parent
-            if last:
-                close_to(last.parent)
-        node = Node(name, here, here.dropped or _unwanted(name, m[3], here), here.link or name == "a")
-        node.doubtful = not node.dropped and _doubtful(name, m[3], here)
+            bound = max((places[b][-1] for b in bounds if places[b]), default=0)
+            over = [places[e][k] for e in ends.split() if (k := bisect_right(places[e], bound)) < len(places[e])]
+            if over:
+                close(min(over))
+        here = stack[-1]
+        node = Node(name, here, here.dropped or _unwanted(name, attributes, here), here.link or name == "a")
+        node.doubtful = not node.dropped and _doubtful(name, attributes, here)
         here.children.append(node)
         nodes.append(node)
-        if name in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif name not in VOID and not m[3].endswith("/"):
-            open_by_name[name] = open_by_name.get(name, 0) + 1
-            here = node
+        if name in RAW and not attributes.endswith("/"):
+            m = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            at = m.end() if m else len(page)
+        elif name not in VOID and not attributes.endswith("/"):
+            places[name].append(len(stack))
+            if name not in INLINE:
+                blocks.append(len(stack))
+            stack.append(node)
 
 
 def main_node(root: Node, nodes: list[Node]) -> Node:
@@ -217,15 +238,7 @@ def main_node(root: Node, nodes: list[Node]) -> Node:
     while path[-1] is not body and path[-1].parent:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
-    main = next((n for n in reversed(path) if n.density >= threshold and n.total >= best.total * 0.5), best)
-    # A named article around or inside is the page's own word for where the text is.
-    node: Node | None = best
-    while node:
-        if node.name in ("article", "main"):
-            return node
-        node = node.parent
-    named = [n for n in nodes if n.name in ("article", "main") and not n.dropped and n.chars * 2 >= main.chars]
-    return named[0] if len(named) == 1 else main
+    return next((n for n in reversed(path) if n.density >= threshold and n.total >= best.total * 0.5), best)
 
 
 def text_of_tree(top: Node) -> str:
