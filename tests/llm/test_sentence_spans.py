@@ -66,3 +66,52 @@ def test_whole_passages_go(spark):
         own += [rows[-2], (2 * k + 1, f"Start {k} b. End {k} b.")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in ss.clean(docs).collect()) == own
+
+
+def test_short_runs_are_a_parameter(spark):
+    run = "Red one. Blue two. Green three."  # 6 words
+    docs = spark.createDataFrame([(1, f"Alpha begins here. {run} Beta."), (2, f"Gamma begins there. {run} Delta.")], "doc_id long, text string")
+    assert [r.n_removed for r in ss.clean(docs).orderBy("doc_id").collect()] == [0, 0]
+    assert [r.text for r in ss.clean(docs, least_words=0).orderBy("doc_id").collect()] == [f"Alpha begins here. {run} Beta.", "Gamma begins there. Delta."]
+
+
+def test_own_columns_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "One. Two.", 7, "kept")], "doc_id long, text string, N_Removed int, key string")
+    got = ss.clean(docs)
+    assert got.columns == ["doc_id", "text", "key", "n_sentences", "n_removed", "first_ids"]
+    assert [tuple(r) for r in got.collect()] == [(1, "One. Two.", "kept", 2, 0, [])]
+
+
+def sentences_plainly(text):
+    """(words, end) of every sentence: line by line, a sentence ends after a run of . ! ? before white space or the line's end."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        start = 0
+        for i, c in enumerate(line):
+            if i + 1 == len(line) or c in ".!?" and line[i + 1].isspace():
+                words = line[start : i + 1].split()
+                if words:
+                    out.append((words, at + i + 1))
+                start = i + 1
+        at += len(line) + 1
+    return out
+
+
+def test_corpus_by_plain_rules(spark, sf_tiny):
+    """Against every run of sentences, listed and compared without the operator's own functions."""
+    docs = spark.read.parquet(f"{sf_tiny}/documents.parquet")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    seen, want = {}, {}
+    for doc, text in rows:
+        found, gone = sentences_plainly(text), set()
+        for i, n in listed([len(w) for w, _ in found]):
+            key = tuple(x for w, _ in found[i : i + n] for x in w)
+            if seen.setdefault(key, (doc, i)) != (doc, i):
+                gone.update(range(i, i + n))
+        kept, at = [], 0
+        for i, (_, end) in enumerate(found):
+            kept += [text[at:end]] if i not in gone else []
+            at = end
+        want[doc] = ("".join([*kept, text[at:]]).strip() if gone else text, len(gone))
+    assert {r.doc_id: (r.text or "", r.n_removed) for r in ss.clean(docs).collect()} == want
+    assert any(n for _, n in want.values())

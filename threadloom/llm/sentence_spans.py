@@ -1,10 +1,12 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (at line ends, and after . ! ? before white space). Every run of
-SPAN consecutive sentences that has SPAN_WORDS words is a span; so that no long passage falls
+SPAN consecutive sentences that has least_words words is a span; so that no long passage falls
 between, the shortest runs that reach MIN_WORDS words, one from each sentence onwards and one
 back from each sentence, are spans too. These cover every sentence of a repeated passage of
-MIN_WORDS words or more.
+MIN_WORDS words or more. least_words is a parameter, SPAN_WORDS unless given: shorter runs, as
+"Yes. No. Thank you.", repeat in any corpus without being copied, and stay; with 0 every run of
+SPAN sentences counts.
 Spans are compared without regard to white space. Of equal spans the first in corpus order
 (doc_id, then place) stays; sentences covered by any other are removed.
 
@@ -54,12 +56,12 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
     return out
 
 
-def spans(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int]]:
+def spans(found: list[tuple[int, int, str, int]], least_words: int = SPAN_WORDS) -> list[tuple[int, int]]:
     """First sentence and number of sentences of every span."""
     out, n, end, back = set(), len(found), 0, 0
     upto = [0, *accumulate(s[3] for s in found)]
     for i in range(n):
-        if i + SPAN <= n and upto[i + SPAN] - upto[i] >= SPAN_WORDS:
+        if i + SPAN <= n and upto[i + SPAN] - upto[i] >= least_words:
             out.add((i, SPAN))
         while end < n and upto[end] - upto[i] < MIN_WORDS:
             end += 1
@@ -72,7 +74,7 @@ def spans(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def span_rows(docs: DataFrame) -> DataFrame:
+def span_rows(docs: DataFrame, least_words: int = SPAN_WORDS) -> DataFrame:
     """h1, h2 (hash), doc_id, tid, first, n of every span of docs (doc_id, tid, text)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,7 +84,7 @@ def span_rows(docs: DataFrame) -> DataFrame:
                 h1, h2, row, first, size = [], [], [], [], []
                 for k, text in enumerate(frame["text"]):
                     found = sentences(text)
-                    for i, n in spans(found):
+                    for i, n in spans(found, least_words):
                         h = xxhash.xxh3_128_intdigest(" ".join(s[2] for s in found[i : i + n]))
                         h1.append((h & (2**64 - 1)) - 2**63)
                         h2.append((h >> 64 & (2**32 - 1)) - 2**31)
@@ -102,7 +104,7 @@ def copies(keyed: DataFrame) -> DataFrame:
     return rows.select(F.col("doc_id").alias("_doc"), "_key", "head")
 
 
-def repeated(keyed: DataFrame) -> DataFrame:
+def repeated(keyed: DataFrame, least_words: int = SPAN_WORDS) -> DataFrame:
     """From doc_id, key (of the text) and text: _doc, _key, found (first sentence and length of
     each span that is a non-first repeat; null for copies of whole texts) and first_ids (the
     documents that hold the first ones), for the documents that have any."""
@@ -110,9 +112,10 @@ def repeated(keyed: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))
     few = whole.count() <= BROADCAST_DOCS
     own = keyed.join(F.broadcast(whole) if few else whole, same, "left_anti")
-    rows = materialize(span_rows(own.select("doc_id", F.xxhash64("key").alias("tid"), "text")), "spans")
+    rows = materialize(span_rows(own.select("doc_id", F.xxhash64("key").alias("tid"), "text"), least_words), "spans")
     place = F.struct("doc_id", "tid", "first")
-    heads = rows.groupBy("h1", "h2").agg(F.min(place).alias("lo"), F.count("*").alias("c")).where("c > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "lo")
+    # Written first, so that the join's sides are plain shuffles, of which adaptive execution splits the hot keys.
+    heads = materialize(rows.groupBy("h1", "h2").agg(F.min(place).alias("lo"), F.count("*").alias("c")).where("c > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "lo"), "heads")
     later = rows.join(heads, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).where(place > F.col("lo"))
     some = later.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("first", "n")).alias("found"), F.array_sort(F.collect_set("lo.doc_id")).alias("first_ids"))
     keys = own.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.xxhash64("key").alias("_tid")).distinct()
@@ -130,10 +133,10 @@ def _without(text: str, removed: set[int]) -> str:
     return "".join([*parts, text[at:]]).strip() if removed else text
 
 
-def clean(docs: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, least_words: int = SPAN_WORDS) -> DataFrame:
     """docs with text cleaned, n_sentences, n_removed and first_ids."""
-    names = {c: free_name(docs, c) for c in ("key", "_doc", "_key", "found", "first_ids", "hit")}
-    gone = materialize(repeated(docs.select("doc_id", text_key().alias("key"), text_of().alias("text"))), "repeated")
+    names = {c: free_name(docs, f"span_{c.strip('_')}_{i}") for i, c in enumerate(("key", "_doc", "_key", "found", "first_ids", "hit"))}
+    gone = materialize(repeated(docs.select("doc_id", text_key().alias("key"), text_of().alias("text")), least_words), "repeated")
     gone = gone.select(*[F.col(c).alias(names[c]) for c in ("_doc", "_key", "found", "first_ids")], F.lit(True).alias(names["hit"]))
     joined = docs.withColumn(names["key"], text_key()).join(gone, F.col("doc_id").eqNullSafe(F.col(names["_doc"])) & (F.col(names["key"]) == F.col(names["_key"])), "left")
 
@@ -142,7 +145,7 @@ def clean(docs: DataFrame) -> DataFrame:
         out = []
         for t, f, h in zip(texts, found, hit):
             own = [] if t is None else sentences(t)
-            runs = [] if h is None or h is pd.NA or h != True else spans(own) if f is None else [(x["first"], x["n"]) for x in f]  # noqa: E712
+            runs = [] if h is None or h is pd.NA or h != True else spans(own, least_words) if f is None else [(x["first"], x["n"]) for x in f]  # noqa: E712
             gone = {k for i, n in runs for k in range(i, i + n)}
             out.append((None if t is None else _without(t, gone), len(own), len(gone)))
         return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])
