@@ -4,13 +4,22 @@ Every document gets a few statistics (built-in functions only). Their distributi
 as log-bucket quantile sketches: a value falls into bucket ceil(log(x) / log(GAMMA)), a sketch
 is the count of each bucket, and two sketches merge by adding counts. Merging is exact and
 does not depend on order, so reruns and retried tasks agree, and a quantile read from a
-sketch is within 1 % of the true value. A statistic fails where it lies beyond the outer
-fence of its (language, source) sketch, q75 + 3 * (q75 - q25) plus a tolerance.
+sketch is within 1 % of the true value.
+
+A ratio fails above its fence q75 + 3 * max(q75 - q25, q90 - q75) by more than STEPS times its
+step: what one more event (a symbol, a repeated line, one repeated window of five words) adds
+to a document of this size, or of the median size if that is smaller. So where most documents
+have no event at all, single ones are no ground for rejection, and the limit still follows the
+sketches. Mean word length has a fence on either side and STEPS of its standard error, taken as
+half the median over the square root of the number of words.
+
+The quantiles of a (language, source) group are drawn towards those of its language, and these
+towards those of all, by the weight of PRIOR documents; so small groups lean on larger ones by
+degrees and no size is treated differently.
 
 Defined results: a null text counts as empty, so it fails the base rule; null languages and
-sources are groups of their own; groups under MIN_GROUP documents use the merged sketch of
-their language, and if that is too small the sketch of all; repeated rows are judged one by
-one and alike; an empty table gives an empty result. Extra columns are carried along.
+sources are groups of their own; repeated rows are judged one by one and alike; an empty table
+gives an empty result. Extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -25,13 +34,13 @@ from .common import materialize, text_of
 
 #: Ratio between neighbouring bucket bounds: quantiles are within 1 %.
 GAMMA = 1.02
-#: Documents that a sketch needs before its quantiles are used.
-MIN_GROUP = 200
+#: Documents that the quantiles of the next larger group count for.
+PRIOR = 200
 #: Values under this share bucket ZERO.
 SMALLEST = 1e-4
 ZERO = -10_000
-#: Tolerance beyond the fence, by statistic.
-TOLERANCE = {"symbol_ratio": 0.10, "upper_ratio": 0.10, "dup_line_ratio": 0.40, "repeat_ratio": 0.10, "word_length": 1.0}
+#: Events, or standard errors, beyond the fence that are no ground for rejection.
+STEPS = 3
 #: Up to so many (language, source) groups the fences are broadcast (some 100 bytes each);
 #: more of them are joined by a salted shuffle.
 BROADCAST_GROUPS = 50_000
@@ -78,17 +87,20 @@ def with_statistics(docs: DataFrame, distinct: bool = False) -> DataFrame:
     return counted.drop("_t", "_w", "_l")
 
 
-#: The judged ratios, as expressions over the statistics.
-RATIOS = {
-    "symbol_ratio": "n_symbols / greatest(n_words, 1)",
-    "upper_ratio": "n_upper / greatest(word_chars, 1)",
-    "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
-    "repeat_ratio": "n_repeat_words / greatest(n_words, 1)",
-    "word_length": "word_chars / greatest(n_words, 1)",
+#: The judged ratios: numerator, denominator and what one event adds to the numerator.
+PARTS = {
+    "symbol_ratio": ("n_symbols", "n_words", 1),
+    "upper_ratio": ("n_upper", "word_chars", 1),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 1),
+    "repeat_ratio": ("n_repeat_words", "n_words", 10),
+    "word_length": ("word_chars", "n_words", 0),
 }
+RATIOS = {k: f"{a} / greatest({b}, 1)" for k, (a, b, _) in PARTS.items()}
+#: What is sketched: the ratios and the sizes they refer to.
+SKETCHED = RATIOS | {b: f"double({b})" for _, b, _ in PARTS.values()}
 
 
-def sketch(stats: DataFrame, keys: list[str], ratios: dict[str, str] = RATIOS) -> DataFrame:
+def sketch(stats: DataFrame, keys: list[str], ratios: dict[str, str] = SKETCHED) -> DataFrame:
     """Quantile sketches: one row for each group, ratio and bucket that occurs, with its count."""
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), F.expr(v).cast("double").alias("x")) for k, v in ratios.items()]))
     bucket = F.when(F.col("r.x") < SMALLEST, ZERO).otherwise(F.ceil(F.log(F.col("r.x")) / math.log(GAMMA)).cast("int"))
@@ -110,21 +122,23 @@ def quantiles(sketches: DataFrame, keys: list[str], at: dict[str, float]) -> Dat
 
 
 def fences(sketches: DataFrame) -> DataFrame:
-    """lang, source and for each ratio its bounds, from the finest group that is large enough."""
-    at = {"q25": 0.25, "q75": 0.75}
+    """lang, source and for each ratio its fences and the median of its size."""
+    at = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
     levels = [quantiles(merge(sketches, keys), keys, at) for keys in (["lang", "source"], ["lang"], [])]
-    fine, lang, whole = (q.select(*[c for c in q.columns if c in ("lang", "source")], "ratio", F.struct("total", "q25", "q75").alias(f"s{i}")) for i, q in enumerate(levels))
+    fine, lang, whole = (q.select(*[c for c in q.columns if c in ("lang", "source")], "ratio", F.struct("total", *at).alias(f"s{i}")) for i, q in enumerate(levels))
     joined = (
         fine.alias("f")
         .join(lang.alias("l"), F.col("f.lang").eqNullSafe(F.col("l.lang")) & (F.col("f.ratio") == F.col("l.ratio")))
         .join(F.broadcast(whole.alias("w")), F.col("f.ratio") == F.col("w.ratio"))  # one row a ratio
         .select("f.lang", "f.source", "f.ratio", "s0", "s1", "s2")
     )
-    s = F.when(F.col("s0.total") >= MIN_GROUP, F.col("s0")).when(F.col("s1.total") >= MIN_GROUP, F.col("s1")).otherwise(F.col("s2"))
-    slack = F.element_at(F.create_map(*[x for k, v in TOLERANCE.items() for x in (F.lit(k), F.lit(v))]), F.col("ratio"))
-    spread = 3 * (F.col("s.q75") - F.col("s.q25")) + slack
-    bounds = joined.withColumn("s", s).select("lang", "source", "ratio", (F.col("s.q75") + spread).alias("high"), (F.col("s.q25") - spread).alias("low"))
-    return bounds.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == k, F.col(b))).alias(f"{k}_{b}") for k in RATIOS for b in ("high", "low")])
+    drawn = lambda own, k, prior: (F.col(f"{own}.total") * F.col(f"{own}.{k}") + PRIOR * prior) / (F.col(f"{own}.total") + PRIOR)
+    q = {k: drawn("s0", k, drawn("s1", k, F.col(f"s2.{k}"))) for k in at}
+    bounds = joined.select(
+        "lang", "source", "ratio", q["q50"].alias("middle"),
+        (q["q75"] + 3 * F.greatest(q["q75"] - q["q25"], q["q90"] - q["q75"])).alias("high"), (q["q25"] - 3 * F.greatest(q["q75"] - q["q25"], q["q25"] - q["q10"])).alias("low"),
+    )
+    return bounds.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == k, F.col(b))).alias(f"{k}_{b}") for k in SKETCHED for b in ("high", "low", "middle")])
 
 
 def judge(stats: DataFrame) -> DataFrame:
@@ -137,10 +151,12 @@ def judge(stats: DataFrame) -> DataFrame:
         salted = bounds.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = stats.withColumn("_spread", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_spread") == F.col("_salt")), "left").drop("_salt", "_spread")
     within = F.lit(True)
-    for k, v in RATIOS.items():
-        within = within & (F.expr(v) <= F.col(f"{k}_high"))
-    within = within & (F.expr(RATIOS["word_length"]) >= F.col("word_length_low"))
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True))).drop("_lang", "_source", *[c for c in bounds.columns if c.endswith(("_high", "_low"))])
+    for k, (_, size, unit) in PARTS.items():
+        step = f"{unit} / least(greatest({size}, 1), greatest({size}_middle, 1))" if unit else f"0.5 * {k}_middle / sqrt(greatest({size}, 1))"
+        within = within & F.expr(f"{RATIOS[k]} <= {k}_high + {STEPS} * {step}")
+        if not unit:
+            within = within & F.expr(f"{RATIOS[k]} >= {k}_low - {STEPS} * {step}")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True))).drop("_lang", "_source", *[c for c in bounds.columns if c.endswith(("_high", "_low", "_middle"))])
 
 
 #: What the query returns beside doc_id.
