@@ -4,8 +4,9 @@ The model file is read by a small reader of its protobuf fields. From these the
 the metaspace marker, the scores and the byte fallback are rebuilt: unigram models as a
 Unigram model with their scores; BPE models as merges, each piece's possible halves ranked by
 the piece's score. Texts are encoded in multithreaded batches. Parity with the sentencepiece
-library is verified for every word that a worker meets for the first time, and where the two
-differ sentencepiece's ids are taken and the documents are marked.
+library is verified for every word that a worker meets for the first time, and for every text
+that is encoded whole; the ids are always those of the rebuilt tokenizer, and documents in
+which the two differ are marked.
 
 Defined results: a null text counts as empty and has no ids; repeated rows are encoded alike;
 very long texts are encoded whole; an empty table gives an empty result; in encode(), columns
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .wordwise import WordEncoder
+from .wordwise import WordEncoder, flattened
 
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -145,7 +146,7 @@ class Codec:
         self.bytes = np.array([kind == BYTE for *_, kind in self.model.pieces])
         self.differing_words: set[str] = set()
 
-    def _words(self, words: list[str]) -> list[list[int]]:
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, compared with sentencepiece's: it has every text start with a space, so
         words without one are given to it after a newline."""
         own = [e.ids for e in self.part.encode_batch_fast([w[1:] if w[:1] == "\x01" else w if w == "\n" else f" {w}" for w in words], add_special_tokens=False)]
@@ -153,14 +154,15 @@ class Codec:
         lead = len(self.other.encode("\n"))
         theirs = self.other.encode(["" if w == "\x01" else "\n" + (w.lstrip("\x01") or " ") if b else w for w, b in zip(words, bare)], num_threads=self.threads)
         theirs = [t[lead:] if b else t for t, b in zip(theirs, bare)]
-        self.differing_words.update(w for w, a, b in zip(words, own, theirs) if a != b)
-        return theirs if own != theirs else own
+        if own != theirs:
+            self.differing_words.update(w for w, a, b in zip(words, own, theirs) if a != b)
+        return flattened(own)
 
     def _texts(self, texts: list[str]) -> list[list[int]]:
         own = [e.ids for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
         theirs = self.other.encode(texts, num_threads=self.threads)
         self.differing_words.update(t for t, a, b in zip(texts, own, theirs) if a != b)
-        return theirs
+        return own
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
         """All ids, how many each text has, and whether both libraries agree on it."""

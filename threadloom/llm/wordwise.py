@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,11 @@ PART = 4 << 20
 
 
 class WordEncoder:
-    """encode_words: words, each after a space unless it starts with BARE, to lists of ids.
-    encode_texts: whole texts to lists of ids. first_bare: no space stands before a text.
+    """encode_words: words, each after a space unless it starts with BARE, to all their ids one
+    after another and how many each word has. encode_texts: whole texts to lists of ids. first_bare: no space stands before a text.
     whole: pattern of texts that can't be cut into words."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], encode_texts: Callable[[list[str]], list[list[int]]], first_bare: bool, whole: str = "(?!)"):
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], encode_texts: Callable[[list[str]], list[list[int]]], first_bare: bool, whole: str = "(?!)"):
         self.encode_words, self.encode_texts, self.first_bare = encode_words, encode_texts, first_bare
         self.whole = re.compile(whole)
         self._forget()
@@ -79,11 +80,10 @@ class WordEncoder:
             self._forget()
             new = words
         if new:
-            found = self.encode_words(new)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            ids, sizes = self.encode_words(new)
             ends = len(self.pool) + np.cumsum(sizes)
             self.places.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
-            self.pool = np.concatenate([self.pool, np.fromiter((x for w in found for x in w), np.uint32, int(sizes.sum()))])
+            self.pool = np.concatenate([self.pool, ids])
             self.starts, self.sizes = np.concatenate([self.starts, ends - sizes]), np.concatenate([self.sizes, sizes])
         return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
 
@@ -91,3 +91,9 @@ class WordEncoder:
         self.places: dict[str, int] = {}
         self.pool = np.zeros(0, np.uint32)
         self.starts = self.sizes = np.zeros(0, np.int64)
+
+
+def flattened(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as encode_words gives them."""
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
