@@ -152,3 +152,31 @@ def test_links_are_as_in_all_pairs_of_a_family(spark):
     want = brute(rows)
     assert got == want
     assert 2 < len({want[i] for i in range(150)}) < 150
+
+
+def test_components_of_chains_stars_and_pieces(spark):
+    """Against union-find, at once and in two steps."""
+    rng = np.random.default_rng(5)
+    names = [rng.bytes(16) for _ in range(400)]
+    edges = [(i, i + 1) for i in range(0, 120)] + [(200, j) for j in range(201, 260)] + [(i, i) for i in range(300, 303)] + [(int(a), int(b)) for a, b in rng.integers(300, 400, (60, 2))]
+    up = list(range(400))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        up[top(a)] = top(b)
+    nodes = {i for e in edges for i in e if e[0] != e[1]}
+    groups = defaultdict(list)
+    for i in nodes:
+        groups[top(i)].append(names[i])
+    want = {n: min(g) for g in groups.values() for n in g}
+    frame = lambda es: spark.createDataFrame([(names[a], names[b]) for a, b in es], "a binary, b binary")
+    with Workspace(spark) as work:
+        at_once = {bytes(r.node): bytes(r.comp) for r in nd.components(frame(edges), work).collect()}
+        steps = nd.extended(nd.components(frame(edges[::2]), work), frame(edges[1::2]), work)
+        assert at_once == want
+        assert {bytes(r.node): bytes(r.comp) for r in steps.collect()} == want
+        assert nd.components(frame([(0, 0)]), work).count() == 0

@@ -56,6 +56,8 @@ RARE = 0.001
 LISTED = 1 << 20
 #: Distinct shingles of texts in a window of the first frequency pass.
 WINDOW = 1 << 22
+#: Bytes of text for each task of that pass: two windows of usual texts.
+TASK_BYTES = 48 << 20
 #: Candidate texts whose keys are broadcast (some 50 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 200_000
 SEED = 41
@@ -67,41 +69,50 @@ _BAND_FACTORS = _rng.integers(1 << 62, 1 << 63, (BANDS, ROWS), dtype=np.uint64)
 _NONE = np.uint32(0xFFFFFFFF)
 
 
-def frequent_candidates(texts: DataFrame) -> DataFrame:
+def frequent_candidates(texts: DataFrame, text_bytes: int) -> DataFrame:
     """(shingle, n): a superset of the shingles with df > floor, with sums too low by floor / 2 at
     most; n of the null shingle is S."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, docs, every = [], 0, 0, 0
+        room = np.empty(2 * WINDOW, np.uint64)  # one array for all of the task, as many small ones leave the heap in pieces
+        full = full_docs = size = docs = every = 0  # room[:full] is a whole window, the next size are those after it
 
-        def told() -> pa.RecordBatch:
-            ids, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n > max(RARE / 4 * docs, size / LISTED / 4)
-            return pa.RecordBatch.from_arrays([pa.array(ids[often].astype(np.int64)), pa.array(n[often])], ["shingle", "n"])
+        def told(ids: np.ndarray, docs: int) -> pa.RecordBatch:
+            least = int(max(RARE / 4 * docs, len(ids) / LISTED / 4)) + 1
+            ids.sort()
+            often = ids[: len(ids) - least + 1] == ids[least - 1 :] if least <= len(ids) else np.zeros(0, bool)
+            often[1:] &= ids[1 : len(often)] != ids[: max(len(often) - 1, 0)]
+            first = np.flatnonzero(often)
+            return pa.RecordBatch.from_arrays([pa.array(ids[first].astype(np.int64)), pa.array(np.searchsorted(ids, ids[first], "right") - first)], ["shingle", "n"])
 
         for batch in batches:
-            for first, end, data, offsets in slices(batch.column(0)):
-                held.append(counted(shingles(data, offsets)[0])[1])
-                docs, size, every = docs + end - first, size + len(held[-1]), every + len(held[-1])
+            for start, end, data, offsets in slices(batch.column(0)):
+                ids = counted(shingles(data, offsets)[0])[1]
+                if full + size + len(ids) > len(room):
+                    room = np.concatenate([room[: full + size], np.empty(len(ids) + WINDOW, np.uint64)])
+                room[full + size : full + size + len(ids)] = ids
+                docs, size, every = docs + end - start, size + len(ids), every + len(ids)
                 if size >= WINDOW:
-                    yield told()
-                    held, size, docs = [], 0, 0
-        if size:
-            yield told()
+                    if full:
+                        yield told(room[:full], full_docs)
+                        room[:size] = room[full : full + size].copy()
+                    full, full_docs, size, docs = size, docs, 0, 0
+        if full + size:  # what is left joins the last window, as a short one would report much
+            yield told(room[: full + size], full_docs + docs)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([every])], ["shingle", "n"])
 
-    # Few large tasks: a short window can tell little apart and reports much.
-    few = texts.select("text").coalesce(4 * texts.sparkSession.sparkContext.defaultParallelism)
+    # Few large tasks, for the same reason.
+    few = texts.select("text").coalesce(max(1, text_bytes // TASK_BYTES))
     return few.mapInArrow(windows, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
 def document_frequencies(texts: DataFrame, work: Workspace) -> tuple[int, float, np.ndarray, np.ndarray]:
     """N, the floor, the shingles with df > floor in ascending order and their exact df."""
     spark = texts.sparkSession
-    total = texts.count()
+    total, text_bytes = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if not total:
         return 0, 2.0, np.zeros(0, np.uint64), np.zeros(0)
-    likely = work.save(frequent_candidates(texts), "likely")
+    likely = work.save(frequent_candidates(texts, text_bytes), "likely")
     every = likely.where("shingle IS NULL").agg(F.sum("n")).first()[0] or 0
     floor = max(RARE * total, every / LISTED, 2)
     listed = likely.where(F.col("shingle").isNotNull() & (F.col("n") > floor / 2)).select("shingle").toPandas()  # 2 * LISTED rows at most
@@ -175,29 +186,36 @@ def samples(ids: np.ndarray, w: np.ndarray, starts: np.ndarray, usual: np.float3
     if not len(odd):
         return out
     best = np.where(out == _NONE, np.inf, _exponential(out))
-    owners, found = np.searchsorted(starts, odd, "right") - 1, []
+    owners = np.searchsorted(starts, odd, "right") - 1
     for at in range(0, len(odd), 2_048):
         part, owner = odd[at : at + 2_048], owners[at : at + 2_048]
         ratio = w[part].astype(np.float64) / usual
         first, second = x[part] * _FIRST[:, None], x[part] * _SECOND[:, None]
         least = first.astype(np.float32) * second.astype(np.float32) * (0.5**64 / ratio).astype(np.float32)
-        k, i = np.nonzero(least <= best[:, owner] * 1.001)
-        a0, e2 = _exponential(first[k, i] + 0.0), -np.log((second[k, i] + 0.5) * 0.5**32)
-        e1 = _exponential((mix(first[k, i].astype(np.uint64) << np.uint64(32) | second[k, i]) >> np.uint64(32)) + 0.0)
-        r = np.log1p(e1 / np.maximum(a0, 1e-300)) + e2
-        t = np.floor((np.log(ratio[i]) + e2) / r)
-        key = np.where(t == 0, first[k, i], (mix(first[k, i] + (t.astype(np.int64).astype(np.uint64) << np.uint64(32))) >> np.uint64(32)).astype(np.uint32))
-        found.append((k * len(starts) + owner[i], a0 * np.exp(-r * t), key))
-    cell, a, key = (np.concatenate(v) for v in zip(*found))
-    order = np.lexsort((key, a, cell))
-    cell, a, key = cell[order], a[order], key[order]
-    head = np.concatenate([[True], cell[1:] != cell[:-1]]) & (a <= best.reshape(-1)[cell])
-    out.reshape(-1)[cell[head]] = key[head]
+        near = np.flatnonzero(least <= (best * 1.001).astype(np.float32)[:, owner])
+        k, i = np.divmod(near, len(part))
+        first, second = first.reshape(-1)[near], second.reshape(-1)[near]
+        a, e2 = _exponential(first + 0.0), -np.log((second + 0.5) * 0.5**32)
+        e1 = _exponential((mix(first.astype(np.uint64) << np.uint64(32) | second) >> np.uint64(32)) + 0.0)
+        r = np.log1p(e1 / np.maximum(a, 1e-300)) + e2
+        t = np.floor((np.log(ratio)[i] + e2) / r)
+        moved = np.flatnonzero(t)
+        a[moved] *= np.exp(-r[moved] * t[moved])
+        first[moved] = (mix(first[moved] + (t[moved].astype(np.int64).astype(np.uint64) << np.uint64(32))) >> np.uint64(32)).astype(np.uint32)
+        cell = k * len(starts) + owner[i]  # ascending
+        heads = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+        if len(heads):
+            lowest = np.minimum.reduceat(a, heads)
+            won = np.flatnonzero(a == np.repeat(lowest, np.diff(np.append(heads, len(a)))))
+            won = won[np.unique(cell[won], return_index=True)[1]]
+            won = won[a[won] <= best.reshape(-1)[cell[won]]]
+            best.reshape(-1)[cell[won]], out.reshape(-1)[cell[won]] = a[won], first[won]
     return out
 
 
 def sketch(docs: DataFrame, model) -> DataFrame:
-    """doc_id, tid, the keys of the bands and the print of every document (none for a text without words)."""
+    """doc_id, tid, the keys of the bands, their low halves side by side, and the print of every
+    document (none of them for a text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(*model.value)
@@ -216,9 +234,11 @@ def sketch(docs: DataFrame, model) -> DataFrame:
                     drawn = drawn[: BANDS * ROWS].reshape(BANDS, ROWS, -1)
                     keys = np.stack([mix((drawn[b] * _BAND_FACTORS[b][:, None]).sum(0, dtype=np.uint64) + np.uint64(b)) for b in range(BANDS)], 1)
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * x.shape[1])]).astype(np.int32)), pa.array(np.ascontiguousarray(x).reshape(-1).view(np.int64))) for x in (keys, prints)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), *lists], ["doc_id", "tid", "bands", "print"])
+                lows = np.ascontiguousarray(keys.astype(np.uint32)).tobytes()
+                low = pa.Array.from_buffers(pa.binary(), end - first, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(has * 4 * BANDS)]).astype(np.int32)), pa.py_buffer(lows)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), lists[0], low, lists[1]], ["doc_id", "tid", "bands", "low", "print"])
 
-    return docs.select("doc_id", "tid", "text").mapInArrow(run, "doc_id long, tid binary, bands array<long>, print array<long>")
+    return docs.select("doc_id", "tid", "text").mapInArrow(run, "doc_id long, tid binary, bands array<long>, low binary, print array<long>")
 
 
 def packed(ids: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -246,7 +266,7 @@ def weighted_sets(docs: DataFrame, model) -> DataFrame:
     return docs.select("tid", "text").mapInArrow(run, "tid binary, weighted binary")
 
 
-def weighted_jaccard(a: bytes, b: bytes) -> float:
+def weighted_jaccard(a: bytes | pa.Buffer, b: bytes | pa.Buffer) -> float:
     both = np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
     both.sort()
     ids, w = unpacked(both)
@@ -277,33 +297,48 @@ def links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = b""
         for batch in batches:
-            a, b = [], []
-            for x, turn, y, weighted in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
+            found = []
+            for i, turn in enumerate(batch.column(2).to_pylist()):
+                weighted = batch.column(4)[i].as_buffer()
                 if not turn:
-                    own = weighted
+                    own = weighted.to_pybytes()
                 elif weighted_jaccard(own, weighted) >= similarity:
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                    found.append(i)
+            yield batch.select([0, 3]).take(pa.array(found, pa.int64())).rename_columns(["a", "b"])
 
     return rows.mapInArrow(test, "a binary, b binary")
 
 
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
-    """node and comp, the smallest node that it is connected to. Labels spread over edges and
-    then jump to their label's label, so a chain of length n takes some log(n) rounds."""
-    both = work.save(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = work.save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
+    """node and comp, the smallest node that it is connected to. In each round every node is named
+    by its smallest neighbour, or itself, and edges become edges between names; those within one
+    name go. Keys are hashes, so few nodes are the smallest around and edges dwindle fast."""
+    both = work.save(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
+    labels = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near")).withColumnRenamed("a", "node")
-        spread = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        jump = spread.select(F.col("node").alias("comp"), F.col("comp").alias("beyond"))
-        after = work.save(spread.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("beyond", "comp")).alias("comp")), "labels")
-        labels = after.select("node", "comp")
-        if after.where(F.col("was") != F.col("comp")).isEmpty():
+        near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"))
+        labels = work.save(near if labels is None else _renamed(labels, near), "labels")
+        names = [near.select(F.col("node").alias(k), F.col("comp").alias(f"c{k}")) for k in ("a", "b")]
+        both = work.save(both.join(names[0], "a").join(names[1], "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "edges")
+        if both.isEmpty():
             return labels
 
 
+def _renamed(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """labels with their comp named anew by names (node, comp)."""
+    new = names.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+    return labels.join(new, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp"))
+
+
+def extended(labels: DataFrame, found: DataFrame, work: Workspace) -> DataFrame:
+    """labels (node, comp) after more links (a, b): only these are followed, between components."""
+    of = [labels.select(F.col("node").alias(k), F.col("comp").alias(f"c{k}")) for k in ("a", "b")]
+    between = found.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    names = components(between, work)
+    fresh = names.join(labels.select(F.col("comp").alias("node")).distinct(), "node", "left_anti")
+    return work.save(_renamed(labels, names).union(fresh.select("node", "comp")), "labels")
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, tid (the key of its text), class_id and class_tid, a row for each document.
     Of the texts of the document that names the class, class_tid is the smallest key."""
@@ -330,33 +365,31 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def _shared_buckets(sketched: DataFrame) -> DataFrame:
-    """bucket, tid, print: the texts of each bucket that holds several. Buckets of one text, the most, go first."""
+    """bucket, tid, low, print: the texts of each bucket that holds several. Buckets of one text, the most, go first."""
     rows = sketched.select(F.explode("bands").alias("bucket"), "tid")
     several = rows.groupBy("bucket").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).where("lo < hi").select("bucket")
-    prints = sketched.groupBy("tid").agg(F.first("print").alias("print"))
-    return rows.join(several, "bucket").distinct().join(prints, "tid")
+    prints = sketched.groupBy("tid").agg(F.first("low").alias("low"), F.first("print").alias("print"))
+    return rows.join(several.hint("merge"), "bucket").distinct().join(prints, "tid")  # both grow with the corpus
 
 
 def _labels(members: DataFrame, sets: DataFrame, similarity: float, work: Workspace) -> DataFrame:
-    """node, comp of the texts that have links. members: bucket, tid, print."""
+    """node, comp of the texts that have links. members: bucket, tid, low, print."""
     heads = members.groupBy("bucket").agg(F.min(F.struct("tid", "print")).alias("h")).select("bucket", F.col("h.tid").alias("head"), F.col("h.print").alias("hprint"))
     star = members.join(heads, "bucket").where((F.col("tid") != F.col("head")) & (agree("print", "hprint") >= AGREE))
     tested = work.save(star.select(F.col("head").alias("a"), F.col("tid").alias("b")).distinct(), "pairs")
-    found = work.save(links(tested, sets, similarity), "links")
-    labels = components(found, work)
+    labels = components(work.save(links(tested, sets, similarity), "links"), work)
     for rest in (False, True):
         members = _split(members, labels, work)
         pairs = _close_pairs(members, rest).select(F.least("tid", "head").alias("a"), F.greatest("tid", "head").alias("b")).distinct()
         fresh = work.save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not fresh.isEmpty():
-            tested, found = tested.union(fresh), found.union(work.save(links(fresh, sets, similarity), "links"))
-            labels = components(found, work)
+            tested, labels = tested.union(fresh), extended(labels, work.save(links(fresh, sets, similarity), "links"), work)
     return labels
 
 
 def _split(members: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
     """members with comp, n (their bucket's members) and main (its largest component), of the buckets in several components."""
-    rows = work.save(members.select("bucket", "tid", "print").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("comp", F.coalesce("comp", "tid")), "members")
+    rows = members.select("bucket", "tid", "low", "print").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
     sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1").select("bucket", "n", F.col("m.comp").alias("main"))
     return work.save(rows.join(largest, "bucket"), "members")
@@ -365,14 +398,15 @@ def _split(members: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
 def _close_pairs(split: DataFrame, rest: bool) -> DataFrame:
     """tid, head: close pairs of a bucket's members in different components, one of them (head)
     outside the largest: of each head, those some HEADS partners that a hash of the pair names,
-    or the rest. Buckets are cut into blocks of bounded size; a task takes pairs of blocks one
+    or the rest. A pair is told in the bucket of the first band that its texts share, and in no
+    other. Buckets are cut into blocks of bounded size; a task takes pairs of blocks one
     after another and compares all their prints at once: first one bit of each sample by a matrix
     product, then all four bits of the pairs that this leaves."""
     counts = split.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("comp") != F.col("main")) / BLOCK).cast("int").alias("headblocks")).withColumnRenamed("bucket", "_bucket")
     rows = split.join(counts, F.col("bucket") == F.col("_bucket")).withColumn("order", F.xxhash64("tid"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod("order", F.col(n)).cast("int")
-    columns = ["bucket", "block", "headblock", "is_head", "tid", "comp", "main", "n", "print"]
+    columns = ["bucket", "block", "headblock", "is_head", "tid", "comp", "main", "n", "low", "print"]
     members = rows.withColumn("block", own("blocks")).withColumn("headblock", each("headblocks")).withColumn("is_head", F.lit(False))
     heads = rows.where("comp <> main").withColumn("headblock", own("headblocks")).withColumn("block", each("blocks")).withColumn("is_head", F.lit(True))
     key = ["bucket", "block", "headblock"]
@@ -402,14 +436,16 @@ def _close_in(table: pa.Table, edges: np.ndarray, rest: bool) -> Iterator[pa.Rec
     comp, main, size = comps[: len(table)], comps[len(table) :], table.column("n").to_numpy()
     head = table.column("is_head").to_numpy()
     prints = table.column("print").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SAMPLES // 16)
+    lows = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint32).reshape(-1, BANDS)
+    bucket = table.column("bucket").to_numpy().view(np.uint64).astype(np.uint32)
     ones = np.uint64(0x1111111111111111)
     for a, b in zip(edges[:-1], edges[1:]):
         h, m = a + np.flatnonzero(head[a:b]), a + np.flatnonzero(~head[a:b])
         if not len(h) or not len(m):
             continue
         signs, outside = _signs(prints[m]), comp[m] != main[a]
-        for at in range(0, len(h), 512):
-            part = h[at : at + 512]
+        for at in range(0, len(h), 128):
+            part = h[at : at + 128]
             near = (_signs(prints[part]) @ signs.T >= 2 * AGREE_BITS - SAMPLES) & (comp[part][:, None] != comp[m])
             near &= ~outside | (order[part][:, None] <= order[m])  # of two outside, one order will do
             early = mix(order[part][:, None] ^ order[m]) * 0.5**64 * size[a] < HEADS
@@ -420,7 +456,11 @@ def _close_in(table: pa.Table, edges: np.ndarray, rest: bool) -> Iterator[pa.Rec
                 differ |= differ >> np.uint64(1)
                 differ |= differ >> np.uint64(2)
                 same = SAMPLES - np.bitwise_count(differ & ones).sum(1, dtype=np.int64) >= AGREE
-                yield pa.RecordBatch.from_arrays([tids.take(pa.array(y[same])), tids.take(pa.array(x[same]))], ["tid", "head"])
+                x, y = x[same], y[same]
+                band = (lows[x] == lows[y]).argmax(1)
+                here = lows[x, band] == bucket[a]
+                x, y = x[here], y[here]
+                yield pa.RecordBatch.from_arrays([tids.take(pa.array(y)), tids.take(pa.array(x))], ["tid", "head"])
 
 
 def _signs(prints: np.ndarray) -> np.ndarray:
@@ -433,7 +473,8 @@ def _classes(sketched: DataFrame, labels: DataFrame, work: Workspace) -> DataFra
     rows = sketched.select("doc_id", "tid", (F.size("bands") == 0).alias("alone"))
     rows = work.save(rows.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("comp", F.coalesce("comp", "tid")), "labelled")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tid"))
-    names = rows.where(~F.col("alone")).groupBy("comp").agg(first.alias("f")).select("comp", F.col("f.doc_id").alias("class_id"), F.col("f.tid").alias("class_tid"))
+    # Written first, so that the join's sides are plain shuffles, of which adaptive execution splits the hot keys.
+    names = work.save(rows.where(~F.col("alone")).groupBy("comp").agg(first.alias("f")).select("comp", F.col("f.doc_id").alias("class_id"), F.col("f.tid").alias("class_tid")), "names")
     named = rows.where(~F.col("alone")).join(names, "comp").select("doc_id", "tid", "class_id", "class_tid")
     return named.union(rows.where("alone").select("doc_id", "tid", F.col("doc_id").alias("class_id"), F.col("tid").alias("class_tid")))
 
