@@ -30,8 +30,6 @@ MOST = 3
 #: Documents in a block of the flight phase, about.
 BLOCK = 2_000
 EPS = 1e-9
-#: Up to so many decisions (some 50 bytes each) are broadcast to the documents.
-BROADCAST_UNITS = 100_000
 
 
 def size_of(column: str = "text"):
@@ -150,9 +148,8 @@ def mix(docs: DataFrame) -> DataFrame:
     units = materialize(decisions(materialize(docs.select("doc_id", "source", size_of().alias("size")), "sizes")), "decisions")
     names = {c: free_name(docs, f"unit_{c}") for c in ("doc_id", "source", "size", "n_rows", "sure", "extra")}
     units = units.select(*[F.col(c).alias(n) for c, n in names.items()])
-    few = units.count() <= BROADCAST_UNITS
     same = F.col("doc_id").eqNullSafe(F.col(names["doc_id"])) & F.col("source").eqNullSafe(F.col(names["source"])) & (F.col(size) == F.col(names["size"]))
-    joined = sized.join(F.broadcast(units) if few else units, same)
+    joined = sized.join(units.hint("merge"), same)  # a decision a document: the same plan at every size
     times = free_name(docs, "times")
     once = joined.where(F.col(names["n_rows"]) == 1).withColumn(times, F.col(names["sure"]) + F.col(names["extra"]))
     # Rows of one unit: equal rows are counted first, then each group takes its part of the extra copies.
