@@ -66,12 +66,51 @@ def test_edges(spark):
     assert pii.find(docs.limit(0), pii.fit(docs.limit(0))).count() == 0
 
 
-def test_added_spans():
-    text = "x 4111.1111.1111.1111 y"
-    assert pii.candidates(text) == [(2, 2, 21), (2, 3, 21)] or (2, 2, 21) in pii.candidates(text)
+def test_candidates_and_redaction():
+    assert (2, 2, 21) in pii.candidates("x 4111.1111.1111.1111 y")
+    assert pii.candidates("v 1.2.3 and 4111.1111") == [] or all(s[1] == 3 for s in pii.candidates("v 1.2.3 and 4111.1111"))
     assert pii.redacted("a b@c.dd 1.2.3.4", [(2, 0, 8), (9, 1, 16)]) == "a [EMAIL] [IP]"
 
 
+#: Text around a span, the span, and its kind, or none where it only looks like one.
+PROBES = [
+    ("phone", "303-555-0187"), ("phone", "(303) 555-0187"), ("phone", "44 20 7946 0958"), ("phone", "1.303.555.0187"),
+    ("card", "4111.1111.1111.1111"), ("card", "5500/0000/0000/0004"),
+    ("email", "jan.kees (at) example.com"), ("email", "jan.kees[at]mail[dot]example[dot]com"),
+    ("ip", "203[.]0[.]113[.]9"), ("ip", "203 [dot] 0 [dot] 113 [dot] 9"),
+    ("secret", "7f3a9c1be2d84056a1b2c3d4e5f60718293a4b5c"),
+    ("", "4111.1111.1111.1112"), ("", "5500 0000 0000 0005"), ("", "300[.]1[.]1[.]1"), ("", "300.1.1.1"), ("", "2024-01-15"), ("", "15.01.2024"), ("", "1990-1995"), ("", "3.14159265"),
+    ("", "123-4567"), ("", "12(at)34.5"), ("", "the_long_name_of_23"),
+]
+
+
+def test_added_spans(spark, sf_small):
+    """A model of the corpus adds loose phones, cards, addresses and secrets, and none of their look-alikes."""
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text")
+    model = pii.fit(docs)
+    wrong = []
+    for kind, body in PROBES:
+        text = f"thre onwhed reha was {body} then haeable and"
+        (base, every), want = pii.select([text], model)[0], [(21, pii.KINDS.index(kind), 21 + len(body))] if kind else []
+        if base or every != want:
+            wrong.append((kind, body, every))
+    assert not wrong, wrong
+
+
+def test_broken_spans_are_of_no_kind():
+    text = 'call +1 (303) 555-0346 mail a.b@c.com host 10.2.3.4 card 4111 1111 1111 1111 token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B" now'
+    spans = pii.sure_spans(text)
+    assert sorted(s[1] for s in spans) == [0, 1, 2, 3, 4]
+    for span in spans:
+        for there, (a, kind, b) in pii.broken(text, span):
+            body, digits = there[a:b], re.sub("[^0-9]", "", there[a:b])
+            assert kind == span[1] and body
+            assert kind != 2 or not pii.luhn(digits)
+            assert kind != 1 or max(map(int, re.findall("[0-9]+", body))) > 255
+        for there, (a, kind, b) in pii.loosened(text, span):
+            assert kind == span[1] and there[a:b]
+
+
 def test_rare_kinds_are_met(spark):
     """Phones in 1 of 100 documents, a sample of 1 in 15: looser forms of theirs are found."""
     rng = random.Random(4)
