@@ -83,5 +83,5 @@ def of_terms(rows: DataFrame, terms: DataFrame, known: list[str] | None) -> Data
         return rows.join(wanted, F.col("term") == F.col("_term"), "left_semi")
     if not known:
         return rows.where(F.lit(False))
-    buckets = [r[0] for r in rows.sparkSession.createDataFrame([(t,) for t in known], "term string").select(bucket_of("term")).distinct().collect()] if len(known) < BUCKETS else list(range(BUCKETS))
+    buckets = [bucket_of(F.lit(t)) for t in known] if len(known) < BUCKETS else list(range(BUCKETS))  # constants, which prune folders
     return rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(known))

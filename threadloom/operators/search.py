@@ -169,6 +169,8 @@ def substring_fallback(docs: DataFrame, queries: DataFrame, answered: DataFrame,
     probe, so the work does not grow with texts times probes."""
     left = queries.join(answered.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lower(F.trim("text")).alias("probe")).where(F.length("probe") >= 3)
     probes = left.withColumn("gram", F.array_max(F.transform(grams(F.col("probe")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
+    if queries.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        probes = F.broadcast(probes)  # where no query is left, the texts are not read at all
     held = docs.select(F.col(id_column).alias("id"), F.lower(text).alias("low"))
     pairs = held.select("id", "low", F.explode(grams(F.col("low"))).alias("gram")).join(probes, "gram")
     return pairs.where(F.contains("low", "probe")).select("query_id", "id")
