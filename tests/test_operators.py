@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
-from threadloom.operators import merging, search, sessions, topics, vectors
+from threadloom.operators import matching, merging, search, sessions, topics, vectors
 from threadloom.operators.stemming import stem
 from threadloom.sources import registry, transcripts
 
@@ -24,6 +24,9 @@ def test_cleaning(spark):
     assert one(spark, X.strip_tools, "a [TOOL:sh] {x} [SYSTEM] b", "[TOOL_RESULT] all of it", "a [TOOLS] b", "x [TOOL] y\nz") == ["a [SYSTEM] b", "", "a [TOOLS] b", "x"]
     assert one(spark, X.strip_envelopes, "<system-reminder>x</system-reminder>y", "a <bash-input k='1'>b", "<command-names>x", "<b>x</b>") == ["y", "a ", "<command-names>x", "<b>x</b>"]
     assert one(spark, X.strip_thinking, "[THINKING] deep\nshown", "[THINKING] a [SYSTEM] b", "[THINKING]") == ["shown", "[SYSTEM] b", ""]
+    text = "[THINKING] deep\nshown [TOOL:sh] x [SYSTEM]  y"
+    shown = {(t, k): one(spark, lambda c: X.display_text(c, t, k), text)[0] for t in (False, True) for k in (False, True)}
+    assert shown == {(False, False): "shown [SYSTEM] y", (False, True): "[THINKING] deep shown [SYSTEM] y", (True, False): "shown [TOOL:sh] x [SYSTEM] y", (True, True): "[THINKING] deep shown [TOOL:sh] x [SYSTEM] y"}
     assert one(spark, X.is_low_signal, "", " Hi ", "/clear now", "/path/x", "<command-name>x", "{1}", "real words") == [True, True, True, False, True, True, False]
     assert one(spark, X.is_displayable, "[THINKING] ", "[Request interrupted by user]", "[TOOL:x] y", "text") == [False, False, False, True]
 
@@ -76,8 +79,10 @@ def test_queries(spark):
     q = spark.createDataFrame([(1, 'Find "Exact Phrase" of the deploy*'), (2, "and or"), (3, "a.b_c ~/x/y")], "query_id int, text string")
     got = {(r.query_id, r.term, r.is_phrase) for r in search.query_terms(q).collect()}
     assert got == {(1, "exact phrase", True), (1, "find", False), (1, "deploy", False), (3, "a.b_c", True), (3, "~/x/y", True)}
-    clauses = {(r.term, r.role) for r in search.query_clauses(spark.createDataFrame([(1, "deploy && !staging prod NOT test")], "query_id int, text string")).collect()}
-    assert clauses == {("deploy", "must"), ("prod", "must"), ("staging", "must_not"), ("test", "must_not")}
+    open_quote = spark.createDataFrame([(1, 'foo "bar baz')], "query_id int, text string")
+    assert [r.term for r in search.query_terms(open_quote).orderBy("pos").collect()] == ["foo", "bar", "baz"]
+    clauses = {(r.alt, r.seg, r.negative, r.term) for r in matching.query_clauses(spark.createDataFrame([(1, 'deploy && !staging || "in prod" NOT test')], "query_id int, text string")).collect()}
+    assert clauses == {(0, 0, False, "deploy"), (0, 2, True, "staging"), (1, 3, False, "in prod"), (1, 4, True, "test")}
 
 
 @pytest.mark.parametrize("partitions", [1, 5])

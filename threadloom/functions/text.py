@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,12 +54,10 @@ def strip_generated(c: Column) -> Column:
 
 
 def display_text(c: Column, tools: bool = False, thinking: bool = True, cap: int = -1) -> Column:
-    """Text as shown: with tools nothing is removed; cap counts code points, -1 is none."""
-    shown = c
-    if not tools:
-        shown = strip_generated(c) if thinking else strip_thinking(strip_generated(c))
-    elif not thinking:
-        shown = strip_thinking(c)
+    """Text as shown, on one line: without thinking, which goes first, as its runs may end at a
+    line, and without what tools said; cap counts code points, -1 is none."""
+    shown = c if thinking else F.regexp_replace(c, _THINKING_RUN, "")
+    shown = collapse(shown) if tools else strip_generated(shown)
     return shown if cap < 0 else F.left(shown, F.lit(cap))
 
 
@@ -201,6 +200,12 @@ def fold(c: Column) -> Column:
     return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, marked, plain)).otherwise(low)
 
 
+def folder() -> Callable[[str], str]:
+    """The same of a Python text."""
+    table = str.maketrans(*_folding())
+    return lambda text: text.lower() if text.isascii() else text.lower().translate(table)
+
+
 def n_tokens(c: Column) -> Column:
     """How many word tokens a text has (folding keeps their number)."""
     return F.regexp_count(c, F.lit(r"[\p{L}\p{N}]+"))

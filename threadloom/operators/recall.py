@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import written
 from . import search as S
 from . import sessions as O
 from . import vectors as V
@@ -30,9 +31,9 @@ def candidates(
 ) -> DataFrame:
     """query_id, id, session_id, uuid, ts_iso, coverage, rank, fused: hits by words and, where
     vectors are given and relevance is asked for, by nearness, fused by reciprocal ranks.
-    Without vectors no query vector is used."""
-    hits = S.keyword_search(messages, sessions, queries, fetch, 8 * fetch, sort, subagents, index=index)
-    if vectors is None or query_vectors is None or sort != "relevance":
+    Without any vector no query vector is asked for, so a plan that embeds the queries never runs."""
+    hits = written(S.keyword_search(messages, sessions, queries, fetch, 8 * fetch, sort, subagents, index=index), "keyword")
+    if sort != "relevance" or vectors is None or query_vectors is None or not vectors.limit(1).count():
         rows = hits.select("query_id", "id", "coverage", "rank", F.lit(0.0).alias("fused"))
     else:
         near = nearest_messages(vectors, query_vectors, messages, sessions, fetch, subagents)
@@ -51,7 +52,7 @@ def full_search(
     what is left before the cut; where a query fetched as many rows as it may (at_ceiling), it
     is a lower bound, and there is more."""
     fetch = fetch or 4 * limit
-    rows = candidates(messages, sessions, queries, fetch, sort, subagents, index, vectors, query_vectors)
+    rows = written(candidates(messages, sessions, queries, fetch, sort, subagents, index, vectors, query_vectors), "candidates")
     ceiling = rows.groupBy("query_id").agg((F.count("*") >= fetch).alias("at_ceiling"))
     if callers is not None:
         rows = S.drop_current_turn(rows, messages, callers)

@@ -6,21 +6,19 @@ only remove rows afterwards. Scores are rounded to nine decimals and ties end in
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .index import WordIndex, as_index, bucket_of, few_terms, of_terms
-from .stemming import stem as stem_word
-
-# Words dropped from plain queries.
-STOPWORDS = (
-    "a", "an", "the", "of", "to", "in", "on", "for", "and", "or", "not", "near", "is", "are", "was", "were", "be", "it", "its", "this", "that",
-    "with", "as", "at", "by", "we", "i", "you", "do", "did", "what", "where", "when", "how", "our", "your", "from", "about",
-)
-K1, B = 1.2, 0.75
-LEAST_IDF = 1e-6
+from ..sources.shared import held
+from . import matching as Q
+from .index import WordIndex, as_index
+from .stemming import porter
+from .substrings import GramIndex, probes_of, substring_search
+
 #: Rows of query terms that are broadcast; larger query tables are joined by shuffle.
 BROADCAST_TERMS = 100_000
 
@@ -30,30 +28,17 @@ def small(frame: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame
 
 
-def query_terms(queries: DataFrame, stopwords: bool = True) -> DataFrame:
-    """query_id, term, is_phrase, pos: quoted phrases and bare words, lower case, without
-    boolean words and trailing stars; stopwords drops common words outside quotes. Words that
-    hold a path or dots are phrases. Queries without any term give no rows."""
-    text = F.regexp_replace(F.col("text"), r"&&|\|\||(?<!\w)!", " ")
-    phrases = F.filter(F.transform(F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1)), lambda p: F.trim(F.lower(p))), lambda p: p != "")
-    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(text, '"[^"]*"?', " "), r'[+(){}^\s]+', " ")), " ")
-    words = F.filter(F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"^\*+|\*+$", "")), lambda w: (w != "") & ~w.isin("and", "or", "not"))
-    if stopwords:
-        words = F.filter(words, lambda w: ~w.isin(*STOPWORDS))
-    each = F.concat(F.transform(phrases, lambda p: F.struct(p.alias("term"), F.lit(True).alias("is_phrase"))), F.transform(words, lambda w: F.struct(w.alias("term"), w.rlike(r"\w[./_-]\w").alias("is_phrase"))))
-    rows = queries.select("query_id", F.posexplode(each).alias("pos", "t"))
-    return rows.select("query_id", "t.term", "t.is_phrase", "pos")
+def local(frame: DataFrame, most: int = 5_000) -> tuple[DataFrame, bool]:
+    """frame as a table that the plan holds, if it has few rows, so that it is read once; and
+    whether it has."""
+    rows = frame.limit(most + 1).collect()
+    return (held(frame.sparkSession, rows, frame.schema), True) if len(rows) <= most else (frame, False)
 
 
-def query_clauses(queries: DataFrame) -> DataFrame:
-    """query_id, term, role: must, should or must_not. A pair of bars makes terms alternatives,
-    an exclamation mark or an infix NOT excludes the next term; else all are required."""
-    marked = F.regexp_replace(F.regexp_replace(F.col("text"), r"(\S)\s+NOT\s+(?=\S)", "$1 !"), r"(?<!\w)!\s*", "!")
-    either = F.contains(marked, F.lit("||"))
-    words = F.filter(F.split(F.regexp_replace(marked, r'&&|\|\||[()"\s]+', " "), r"\s+"), lambda w: ~F.lower(w).isin("", "and", "or", "not", "!"))
-    rows = queries.select("query_id", either.alias("either"), F.explode(words).alias("w"))
-    role = F.when(F.startswith("w", F.lit("!")), "must_not").when(F.col("either"), "should").otherwise("must")
-    return rows.select("query_id", F.regexp_replace(F.lower("w"), r"^!|\*+$", "").alias("term"), role.alias("role")).where("term <> ''").distinct()
+def query_terms(queries: DataFrame, stopwords: bool = True) -> DataFrame:
+    """query_id, term, is_phrase, pos (see matching.plain_terms). Queries without any term give no rows."""
+    rows = queries.select("query_id", F.posexplode(Q.plain_terms(F.col("text"), stopwords)).alias("pos", "t"))
+    return rows.select("query_id", "t.term", "t.is_phrase", "pos")
 
 
 def tokenize(docs: DataFrame, stem: str | None = None, id_column: str = "id", text: str = "content") -> DataFrame:
@@ -66,16 +51,6 @@ def tokenize(docs: DataFrame, stem: str | None = None, id_column: str = "id", te
     return rows.join(stems, F.col("term") == F.col("word")).select("id", "pos", F.col("stem").alias("term"))
 
 
-def porter(word: str) -> Column:
-    """Porter stems of a column of words."""
-
-    @F.pandas_udf("string")
-    def run(words: pd.Series) -> pd.Series:
-        return words.map(stem_word)
-
-    return run(word)
-
-
 def with_tokens(docs: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
     return docs.select(F.col(id_column).alias("id"), X.tokens(F.col(text)).alias("tokens"))
 
@@ -91,45 +66,26 @@ def corpus_size(docs: DataFrame, text: str = "content") -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.avg(X.n_tokens(F.col(text))).alias("avg_len"))
 
 
-def idf(df: Column, n: Column) -> Column:
-    return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-
-
-def _asked(frame: DataFrame, known: list[str] | None) -> DataFrame:
-    return frame if known is None else F.broadcast(frame)
+def bm25(docs: DataFrame | WordIndex, terms: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
+    """query_id, id, score from terms (query_id, term): words, and phrases where their words are
+    adjacent. Of a stored index only the postings of the terms are read; without one the texts
+    are indexed on the way."""
+    index = as_index(docs, id_column, text)
+    return Q.matches(index, Q.Asked.plain(terms, index.stem))[0]
 
 
-def bm25(docs: DataFrame | WordIndex, terms: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
-    """query_id, id, score from terms (query_id, term). Of a stored index only the postings of
-    the terms are read; of texts only the words that some query asks for leave the scan."""
-    asked, known = terms.select("query_id", "term").distinct(), few_terms(terms)
-    if isinstance(docs, WordIndex):
-        size = docs.totals
-        tf = of_terms(docs.postings, terms, known).select("id", "len", "term", F.size("positions").alias("tf"))
-        df = of_terms(docs.terms, terms, known).select("term", "df")
-    else:
-        size = corpus_size(docs, text)  # one row
-        words = docs.select(F.col(id_column).alias("id"), X.tokens(F.col(text)).alias("w")).select("id", F.size("w").alias("len"), F.explode("w").alias("term"))
-        tf = _semi(words, terms, known).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-        df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.round(F.sum(idf(F.col("df"), F.col("n_docs")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))), 9)
-    return tf.join(_asked(df, known), "term").join(F.broadcast(size)).join(_asked(asked, known), "term").groupBy("query_id", "id").agg(weight.alias("score"))
-
-
-def _semi(words: DataFrame, terms: DataFrame, known: list[str] | None) -> DataFrame:
-    return words.join(_asked(terms.select("term").distinct(), known), "term", "left_semi") if known is None or len(known) > 40 else words.where(F.col("term").isin(known))
+def matches(docs: DataFrame | WordIndex, queries: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
+    """query_id, id, score of the texts that answer a query: any term of a plain one; what meets
+    the clauses of a boolean one, scored by the items that it does not exclude."""
+    index = as_index(docs, id_column, text)
+    return Q.matches(index, Q.Asked.of(queries, index.stem))[0]
 
 
 def phrase_search(docs: DataFrame | WordIndex, terms: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
-    """query_id, id, term of phrases (any terms of one word or more) whose words are adjacent:
-    the place at which a phrase would start is told by each of its words, and counts if all
-    of them tell it."""
-    asked = terms.select("query_id", F.col("term").alias("phrase"), X.tokens(F.col("term")).alias("words")).where(F.size("words") > 0).distinct()
-    words = asked.select("query_id", "phrase", F.size("words").alias("n"), F.posexplode("words").alias("offset", "term"))
-    known, index = few_terms(words), as_index(docs, id_column, text)
-    places = of_terms(index.postings, words, known).select("id", "term", F.explode("positions").alias("pos"))
-    starts = places.join(_asked(words, known), "term").groupBy("query_id", "phrase", "n", "id", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count("*").alias("told"))
-    return starts.where("told = n").select("query_id", "id", F.col("phrase").alias("term")).distinct()
+    """query_id, id, term of phrases (any terms of one word or more) whose words are adjacent."""
+    index = as_index(docs, id_column, text)
+    items = Q.with_items(terms.select("query_id", "term").distinct(), index.stem)
+    return Q.item_hits(index, items).select("item", "id").join(items.select("query_id", "term", "item"), "item").select("query_id", "id", "term")
 
 
 def prefix_search(docs: DataFrame | WordIndex, prefixes: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
@@ -139,41 +95,24 @@ def prefix_search(docs: DataFrame | WordIndex, prefixes: DataFrame, id_column: s
     index = as_index(docs, id_column, text)
     lengths = p.agg(F.collect_set(F.length("prefix")).alias("lengths"))  # one row
     fit = F.filter("lengths", lambda n: n <= F.length("term"))
-    starts = index.terms.join(F.broadcast(lengths)).select("term", F.explode(F.transform(fit, lambda n: F.left("term", n))).alias("prefix"))
-    expanded = starts.join(small(p), "prefix").select("query_id", "term", bucket_of("term").alias("bucket"))
-    hits = index.postings.select("term", "id", "bucket", F.size("positions").alias("tf")).join(expanded, ["bucket", "term"])
+    starts = index.terms.join(F.broadcast(lengths)).select("term", "bucket", F.explode(F.transform(fit, lambda n: F.left("term", n))).alias("prefix"))
+    expanded = starts.join(small(p), "prefix").select("query_id", "term", "bucket")
+    hits = index.postings.select("term", "id", "bucket", "tf").join(expanded, ["bucket", "term"])
     return hits.groupBy("query_id", "id").agg(F.sum("tf").alias("n"))
 
 
 def boolean_search(docs: DataFrame | WordIndex, clauses: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
-    """query_id, id of texts that have every must term, a should term (if any is named) and no
-    must_not term. A query needs a must or should term."""
-    need = clauses.groupBy("query_id").agg(F.count_if(F.col("role") == "must").alias("musts"), F.count_if(F.col("role") == "should").alias("shoulds")).where("musts + shoulds > 0")
-    known = few_terms(clauses)
-    if isinstance(docs, WordIndex):
-        words = of_terms(docs.postings, clauses, known).select("id", "term")
-    else:
-        words = _semi(docs.select(F.col(id_column).alias("id"), F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("term")), clauses, known)
-    hits = words.join(_asked(clauses, known), "term").groupBy("query_id", "id").agg(*[F.count_if(F.col("role") == r).alias(r) for r in ("must", "should", "must_not")])
-    return hits.join(_asked(need, known), "query_id").where("must = musts AND must_not = 0 AND (shoulds = 0 OR should > 0)").select("query_id", "id")
-
-
-def grams(text: Column) -> Column:
-    """The distinct trigrams of a text of three characters or more (else the text itself)."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substr(text, i, F.lit(3))))
-
-
-def substring_fallback(docs: DataFrame, queries: DataFrame, answered: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
-    """query_id, id of texts that contain the probe (query_id, text) of a query without any
-    answer; probes of three characters or more. Texts and probes meet by one trigram of each
-    probe, so the work does not grow with texts times probes."""
-    left = queries.join(answered.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lower(F.trim("text")).alias("probe")).where(F.length("probe") >= 3)
-    probes = left.withColumn("gram", F.array_max(F.transform(grams(F.col("probe")), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
-    if queries.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        probes = F.broadcast(probes)  # where no query is left, the texts are not read at all
-    held = docs.select(F.col(id_column).alias("id"), F.lower(text).alias("low"))
-    pairs = held.select("id", "low", F.explode(grams(F.col("low"))).alias("gram")).join(probes, "gram")
-    return pairs.where(F.contains("low", "probe")).select("query_id", "id")
+    """query_id, id of texts that meet the clauses (as of matching.query_clauses)."""
+    index = as_index(docs, id_column, text)
+    items = Q.with_items(clauses, index.stem)
+    return Q.satisfied(Q.item_hits(index, items), items)
+
+
+def substring_fallback(docs: DataFrame, queries: DataFrame, answered: DataFrame, id_column: str = "id", text: str = "content", index: GramIndex | None = None) -> DataFrame:
+    """query_id, id of texts that contain the text of a query without any answer. Boolean queries
+    have none: their operators are the intent."""
+    left = probes_of(queries.where(~Q.is_boolean(F.col("text")))).join(answered.select("query_id").distinct(), "query_id", "left_anti")
+    return substring_search(docs, left, id_column, text, index)
 
 
 def scan_search(docs: DataFrame, terms: DataFrame, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
@@ -230,25 +169,36 @@ def _is_regex(pattern: str, spark: SparkSession) -> bool:
     return True
 
 
-def keyword_search(messages: DataFrame, sessions: DataFrame, queries: DataFrame, limit: int = 8, fetch: int | None = None, sort: str = "relevance", subagents: bool = False, first_day: str | None = None, last_day: str | None = None, index: WordIndex | None = None) -> DataFrame:
+def keyword_search(
+    messages: DataFrame, sessions: DataFrame, queries: DataFrame, limit: int = 8, fetch: int | None = None, sort: str = "relevance", subagents: bool = False,
+    first_day: str | None = None, last_day: str | None = None, index: WordIndex | None = None, grams: GramIndex | None = None, tools: bool = False,
+) -> DataFrame:
     """query_id, id, session_id, uuid, score, bm25_rank, coverage, rank. Statistics are global;
-    filters, then the best fetch rows, then only displayable rows that contain a term, then by
-    coverage (or by time) and bm25. Queries that find no word try their text as a substring.
-    With an index of messages, texts are read of the best rows only."""
-    terms = query_terms(queries)
-    scored = bm25(index or messages, terms)
-    fallback = substring_fallback(messages, queries, scored).withColumn("score", F.lit(0.0))
-    words = terms.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    probes = queries.select("query_id", F.array(F.lower(F.trim("text"))).alias("probe"))
-    wanted = probes.join(words, "query_id", "left").select("query_id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), "probe")
+    filters, then the best fetch rows, then only displayable rows that contain a term (with
+    tools, in what tools said too), then by coverage (or by time) and bm25. Boolean queries are
+    answered by their clauses alone, without coverage; plain ones that find no word try their
+    text as a substring. By default four times limit rows are fetched, eight times for several
+    terms; with tools as many, and twice as many. With an index of messages, texts are read of
+    the best rows only."""
+    words_of = as_index(index or messages)
+    asked = Q.Asked.of(queries.select("query_id", "text"), words_of.stem)
+    few = asked.rows is not None
+    scored, unanswered = Q.matches(words_of, asked)
+    hits, probes = scored.withColumn("by_word", F.lit(True)), unanswered.where("length(probe) >= 3")
+    if not few or probes.limit(1).count():
+        hits = hits.unionByName(substring_search(messages, probes, index=grams).withColumn("score", F.lit(0.0)).withColumn("by_word", F.lit(False)))
+    many = (F.size("terms") > 1) & ~F.col("boolean")
+    factor = F.when(many, 2).otherwise(1) if tools else F.when(many, 8).otherwise(4)
+    wanted = asked.queries.select("query_id", "boolean", F.array("probe").alias("probe"), "terms", (F.lit(fetch) if fetch else limit * factor).alias("most"))
+    wanted = F.broadcast(wanted) if few else wanted
     scope = scope_filter(date_bounds(messages, first_day, last_day), sessions, subagents).select("id", "session_id", "uuid", "ts")
-    hits = scored.withColumn("by_word", F.lit(True)).union(fallback.withColumn("by_word", F.lit(False)))
     order = {"relevance": [F.desc("score"), F.col("id")], "newest": [F.desc("ts"), F.desc("id")], "oldest": [F.col("ts"), F.col("id")]}[sort]
     best = Window.partitionBy("query_id").orderBy(*order)
-    rows = hits.join(scope, "id").withColumn("bm25_rank", F.row_number().over(best)).where(F.col("bm25_rank") <= (fetch or max(8 * limit, 30)))
-    rows = rows.join(wanted, "query_id").join(messages.select("id", "content"), "id")
-    human = X.strip_generated(F.col("content"))
-    rows = rows.withColumn("coverage", X.coverage(human, F.when(F.col("by_word"), F.col("terms")).otherwise(F.col("probe")))).where(X.is_displayable(F.col("content")) & (F.col("coverage") > 0))
+    rows = hits.join(scope, "id").withColumn("bm25_rank", F.row_number().over(best)).where(F.col("bm25_rank") <= (fetch or 8 * limit)).join(wanted, "query_id").where("bm25_rank <= most")
+    rows = messages.select("id", "content").join(F.broadcast(rows) if few else rows, "id")  # of few queries, few rows each
+    human = F.col("content") if tools else X.strip_generated(F.col("content"))
+    found = X.coverage(human, F.when(F.col("by_word"), F.col("terms")).otherwise(F.col("probe")))
+    rows = rows.withColumn("coverage", F.when(F.col("boolean"), F.least(found, F.lit(1))).otherwise(found)).where(X.is_displayable(F.col("content")) & (F.col("coverage") > 0))
     final = Window.partitionBy("query_id").orderBy(*([F.desc("coverage")] if sort == "relevance" else []), F.col("bm25_rank"))
     rows = rows.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= limit)
     return rows.select("query_id", "id", "session_id", "uuid", "score", "bm25_rank", "coverage", "rank")
@@ -257,7 +207,7 @@ def keyword_search(messages: DataFrame, sessions: DataFrame, queries: DataFrame,
 def explain_search(hits: DataFrame, queries: DataFrame, sort: str = "relevance") -> DataFrame:
     """hits with how they were ranked: the method, the bm25 ordinal (-1 for hits by substring,
     which have none), and whether time replaced relevance (recency)."""
-    n = query_terms(queries).groupBy("query_id").agg(F.countDistinct("term").alias("n_terms"))
+    n = query_terms(queries.where(~Q.is_boolean(F.col("text")))).groupBy("query_id").agg(F.countDistinct("term").alias("n_terms"))
     method = F.when(F.col("score") == 0, "substring").when(F.col("n_terms") > 1, "coverage+bm25").otherwise("bm25")
     ordinal = F.when(F.col("score") == 0, -1).otherwise(F.col("bm25_rank"))
     return hits.join(small(n), "query_id", "left").select("query_id", "id", method.alias("method"), "coverage", ordinal.alias("bm25_rank"), F.lit(sort != "relevance").alias("recency"), F.col("rank").alias("final_rank"))
@@ -265,19 +215,11 @@ def explain_search(hits: DataFrame, queries: DataFrame, sort: str = "relevance")
 
 def search_all_projects(messages: DataFrame, sessions: DataFrame, queries: DataFrame, index: WordIndex | None = None) -> DataFrame:
     """query_id, project, n_hits, the most recent hit's id and time; by recency within a query."""
-    hits = bm25(index or messages, query_terms(queries)).join(messages.select("id", "session_id", "ts_iso"), "id").join(sessions.where("NOT is_subagent").select(F.col("id").alias("session_id"), "project"), "session_id")
+    hits = matches(index or messages, queries).join(messages.select("id", "session_id", "ts_iso"), "id").join(sessions.where("NOT is_subagent").select(F.col("id").alias("session_id"), "project"), "session_id")
     best = hits.groupBy("query_id", "project").agg(F.count("*").alias("n_hits"), F.max(F.struct("ts_iso", "id")).alias("m"))
     return best.select("query_id", "project", "n_hits", F.col("m.id").alias("id"), F.col("m.ts_iso").alias("ts_iso"))
 
 
-def trigram_candidates(docs: DataFrame, probes: DataFrame, id_column: str = "id", text: str = "content") -> DataFrame:
-    """query_id, id of texts that hold every trigram of a probe: what a substring index returns."""
-    asked = probes.select("query_id", F.lower(F.trim("text")).alias("probe")).where(F.length("probe") >= 3).withColumn("grams", grams(F.col("probe")))
-    held = docs.select(F.col(id_column).alias("id"), F.explode(grams(F.lower(text))).alias("gram"))
-    rows = held.join(small(asked.select("query_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))), "gram")
-    return rows.groupBy("query_id", "id", "n").agg(F.count("*").alias("k")).where("k = n").select("query_id", "id")
-
-
 def envelope(hits: DataFrame, limit: int) -> DataFrame:
     """hits up to limit, each with its query's total, has_more and the limit to ask for next."""
     total = F.count("*").over(Window.partitionBy("query_id"))
@@ -320,27 +262,48 @@ def scope_report(sessions: DataFrame, hits: DataFrame, messages: DataFrame) -> D
     return per.join(found, "project", "left").select("project", "n_sessions", F.when(F.col("m") > 0, "searched").otherwise("empty").alias("status"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.bool_and(F.col("m") > 0).over(Window.partitionBy(F.lit(1))).alias("complete"))
 
 
+_PARTS = re.compile(r"[^\W_]+|[\W_]+")
+
+
+def _excerpt(text: str, terms: set[str], size: int, fold) -> str | None:
+    parts = _PARTS.findall(text)
+    at = [k for k, p in enumerate(parts) if p[0] != "_" and p[0].isalnum()]
+    words = [fold(parts[k]) for k in at]
+    last = max(len(words) - size, 0)
+    count: dict[str, int] = {}
+    best, start, end = None, 0, 0
+    for i in sorted({min(i, last) for i, w in enumerate(words) if w in terms}):  # one window slides over the text
+        while end < min(i + size, len(words)):
+            count[words[end]] = count.get(words[end], 0) + (words[end] in terms)
+            end += 1
+        while start < i:
+            count[words[start]] -= words[start] in terms
+            start += 1
+        distinct = sum(count.get(t, 0) > 0 for t in terms)
+        if best is None or distinct > best[0]:
+            best = (distinct, i)
+    if best is None:
+        return None
+    first, end = best[1], min(best[1] + size, len(words))
+    marked = {at[i] for i in range(first, end) if words[i] in terms}
+    body = "".join(f">>>{p}<<<" if k in marked else p for k, p in enumerate(parts[at[first] : at[end - 1] + 1], at[first]))
+    return ("…" if first else "") + body + ("…" if end < len(words) else "")
+
+
 def token_snippet(hits: DataFrame, texts: DataFrame, terms: DataFrame, size: int = 16) -> DataFrame:
     """query_id, id, snippet: size words of a hit's text (id, content) around its best match. Of
     the runs of size words that start at a hit word or end at the text's end, the one with most
     distinct terms counts, the first of equal ones; hit words stand in >>> and <<<, and … marks
-    what is left out on either side."""
+    what is left out on either side. A window slides over each text once."""
     wanted = terms.select("query_id", F.explode(X.tokens(F.col("term"))).alias("t")).groupBy("query_id").agg(F.collect_set("t").alias("terms"))
     rows = hits.select("query_id", "id").join(small(wanted), "query_id").join(texts.select("id", "content"), "id")
-    words = F.filter(F.split("content", r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])|(?<=[^\p{L}\p{N}])(?=[\p{L}\p{N}])"), lambda w: w != "")
-    is_word = lambda w: w.rlike(r"[\p{L}\p{N}]")
-    rows = rows.withColumn("parts", words).withColumn("words", F.transform(F.filter("parts", is_word), lambda w: X.fold(w)))
-    last = F.greatest(F.size("words") - size, F.lit(0))
-    starts = F.array_distinct(F.transform(F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains("terms", F.get("words", i))), lambda i: F.least(i, last)))
-    scored = F.transform(starts, lambda i: F.struct((-F.size(F.array_intersect(F.slice("words", i + 1, F.lit(size)), "terms"))).alias("k"), i.alias("i")))
-    rows = rows.where(F.size("words") > 0).withColumn("from", F.array_min(scored)["i"]).where("from IS NOT NULL")
-    # The place of each part among the words: of what stands between, that of the word before it.
-    places = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.size(F.filter(F.slice("parts", F.lit(1), i), is_word)) - 1)
-    shown = F.filter(F.arrays_zip("parts", places.alias("places")), lambda p: (p["places"] >= F.col("from")) & (p["places"] < F.col("from") + size))
-    marked = F.transform(shown, lambda p: F.when(is_word(p["parts"]) & F.array_contains("terms", X.fold(p["parts"])), F.concat(F.lit(">>>"), p["parts"], F.lit("<<<"))).otherwise(p["parts"]))
-    body = F.regexp_replace(F.array_join(marked, ""), r"^[^\p{L}\p{N}>]+|[^\p{L}\p{N}<]+$", "")
-    before, after = F.when(F.col("from") > 0, "…").otherwise(""), F.when(F.col("from") + size < F.size("words"), "…").otherwise("")
-    return rows.select("query_id", "id", F.concat(before, body, after).alias("snippet"))
+    fold = X.folder()
+
+    @F.pandas_udf("string")
+    def cut(contents: pd.Series, terms: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else _excerpt(c, set(t), size, fold) for c, t in zip(contents, terms)], dtype=object)
+
+    return rows.select("query_id", "id", cut("content", "terms").alias("snippet")).where("snippet IS NOT NULL")
 
 
 def exists_probes(vectors: DataFrame, segments: DataFrame, verdicts: DataFrame) -> DataFrame:

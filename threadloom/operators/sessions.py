@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import written
 
 #: Hops that a lineage is followed, at most.
 HOPS = 64
@@ -70,12 +71,16 @@ def session_tail(messages: DataFrame, sessions: DataFrame, n: int = 5, now: floa
 
 def lineage_root(sessions: DataFrame) -> DataFrame:
     """id, root: parents are followed HOPS times at most; a parent that is not there is the root
-    itself; in a cycle the smallest id is. Steps double each round, so six joins do."""
-    links = sessions.select("id", F.when(F.col("parent_id") != F.col("id"), F.col("parent_id")).alias("up"))
+    itself; in a cycle the smallest id is. Steps double each round, whose result is written, so a
+    round is one join; rounds end when no session has moved."""
+    links = written(sessions.select("id", F.when(F.col("parent_id") != F.col("id"), F.col("parent_id")).alias("up")), "links")
     step = links.select("id", F.coalesce("up", "id").alias("at"), F.least("id", F.coalesce("up", "id")).alias("low"))
-    for _ in range(6):
+    for _ in range(HOPS.bit_length() - 1):
         onward = step.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("low").alias("_low"))
-        step = step.join(onward, F.col("at") == F.col("_id"), "left").select("id", F.coalesce("_at", "at").alias("at"), F.least("low", F.coalesce("_low", "low")).alias("low"))
+        moved = step.join(onward, F.col("at") == F.col("_id"), "left").select("id", F.coalesce("_at", "at").alias("at"), F.least("low", F.coalesce("_low", "low")).alias("low"), (F.coalesce("_at", "at") != F.col("at")).alias("moved"))
+        step = written(moved, "lineage")
+        if not step.where("moved").limit(1).count():
+            break
     ends = links.select(F.col("id").alias("_id"), F.col("up").isNotNull().alias("goes_on"))
     return step.join(ends, F.col("at") == F.col("_id"), "left").select("id", F.when(F.coalesce("goes_on", F.lit(False)), F.col("low")).otherwise(F.col("at")).alias("root"))
 
@@ -178,7 +183,9 @@ def parse_refs(refs: DataFrame) -> DataFrame:
 def resolve_refs(refs: DataFrame, sessions: DataFrame, messages: DataFrame, prefix: int = 8) -> DataFrame:
     """ref_id, session_id, id, status: ok, not_found, ambiguous, or as parsed. Prefixes of any
     length join by equality. Top-level sessions come first: subagents count only where no
-    top-level session matches."""
+    top-level session matches. Sessions without the column is_subagent are all top-level."""
+    if "is_subagent" not in sessions.columns:
+        sessions = sessions.withColumn("is_subagent", F.lit(False))
     parsed = parse_refs(refs)
     good = parsed.where("status = 'ok'")
     lengths = good.agg(F.collect_set(F.length("session_ref")).alias("lengths"))  # one row

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _VOWELS = "aeiou"
 
 
@@ -50,6 +54,8 @@ def _replace(word: str, table: dict[str, str]) -> str:
 
 
 def stem(word: str) -> str:
+    if len(word) > 64:
+        return word
     if len(word) < 3 or not (word.isascii() and word.isalpha()):
         return word
     if word.endswith("sses") or word.endswith("ies"):
@@ -87,3 +93,13 @@ def stem(word: str) -> str:
     if word.endswith("ll") and _measure(word[:-1]) > 1:
         word = word[:-1]
     return word
+
+
+def porter(word: str) -> Column:
+    """Porter stems of a column of words."""
+
+    @F.pandas_udf("string")
+    def run(words: pd.Series) -> pd.Series:
+        return words.map(stem)
+
+    return run(word)

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import index as I
+from ..operators import matching as Q
 from ..operators import merging as M
 from ..operators import recall as R
 from ..operators import search as S
 from ..operators import sessions as O
+from ..operators import substrings as G
 from ..operators import topics as T
 from ..operators import vectors as V
 from ..sources.shared import shared_path
@@ -51,7 +53,9 @@ text_query("strip_tools", lambda: X.strip_tools(C()), D.clean_sql(D.tools_sql("c
 text_query("strip_envelopes", lambda: X.strip_envelopes(C()), D.envelopes_sql("content"))
 text_query("strip_thinking", lambda: X.strip_thinking(C()), D.thinking_sql("content"))
 text_query("strip_generated", lambda: X.strip_generated(C()), GEN)
-text_query("display_text", lambda: X.display_text(C(), thinking=False, cap=60), f"left({D.thinking_sql(GEN)}, 60)")
+text_query("display_text", lambda: X.display_text(C(), thinking=False, cap=60), f"left({D.generated_sql(D.thinking_runs_sql('content'))}, 60)")
+text_query("display_all", lambda: X.display_text(C(), tools=True), D.clean_sql("content"))
+text_query("display_tools", lambda: X.display_text(C(), tools=True, thinking=False), D.thinking_sql("content"))
 text_query("is_low_signal", lambda: X.is_low_signal(C()), D.low_signal_sql("content"))
 text_query("is_displayable", lambda: X.is_displayable(C()), D.displayable_sql("content"))
 text_query("is_human_turn", lambda: X.is_human_turn(F.col("role"), C()), D.human_sql("role", "content"))
@@ -97,24 +101,52 @@ def segment_hash(spark, sf):
 
 # Terms and search
 
-STOPS = ", ".join(f"'{w}'" for w in S.STOPWORDS)
+STOPS = ", ".join(f"'{w}'" for w in Q.STOPWORDS)
 TERMS = f"""terms_0 AS (SELECT query_id, regexp_replace(text, '&&|\\|\\||(^|[^\\w])!', '\\1 ', 'g') AS t FROM queries),
 terms AS (SELECT DISTINCT query_id, trim(lower(p), '" ') AS term, true AS is_phrase FROM (SELECT query_id, unnest(regexp_extract_all(t, '"[^"]+"')) AS p FROM terms_0)
- UNION SELECT query_id, w, regexp_matches(w, '\\w[./_-]\\w') FROM (SELECT query_id, lower(unnest(string_split_regex(trim(regexp_replace(regexp_replace(t, '"[^"]*"?', ' ', 'g'), '[+(){{}}^\\s]+', ' ', 'g')), ' '))) AS w FROM terms_0)
+ UNION SELECT query_id, w, regexp_matches(w, '\\w[./_-]\\w') FROM (SELECT query_id, lower(unnest(string_split_regex(trim(regexp_replace(regexp_replace(t, '"[^"]*"', ' ', 'g'), '[+(){{}}^"\\s]+', ' ', 'g')), ' '))) AS w FROM terms_0)
  WHERE w NOT IN ('', 'and', 'or', 'not', {STOPS}))"""
-BM25 = f"""{TERMS}, words AS (SELECT id, {D.tokens_sql("content")} AS w FROM messages),
+#: What the boolean queries of the table ask for, written out: alternative, segment, whether it is excluded, words.
+CLAUSES = """clauses(query_id, alt, seg, negative, item) AS (VALUES (3, 0, 0, false, 'stupid'), (3, 0, 1, true, 'clown'), (6, 0, 0, false, 'scum'), (6, 0, 1, false, 'moron'), (7, 0, 0, false, 'disgusting'), (7, 1, 1, false, 'idiot'),
+ (9, 0, 1, true, 'trash'), (12, 0, 0, false, 'thou'), (12, 0, 1, false, 'thwh'), (13, 0, 0, false, 'ernt'), (13, 0, 1, true, 'onti'), (14, 0, 0, false, 'erth'), (14, 1, 1, false, 'einst'), (17, 0, 0, false, 'thou'), (17, 1, 1, false, 'thwh'),
+ (17, 1, 3, true, 'erin'), (18, 0, 0, false, 'of the'), (18, 0, 2, true, 'trash'), (20, 0, 0, false, 'disgusting'), (20, 0, 1, true, 'clown'), (20, 0, 2, true, 'moron'), (21, 0, 0, false, 'hthnd'), (21, 0, 1, false, 'zzz'))"""
+
+
+def scored_sql(items: str) -> str:
+    """scored: BM25 of items (query_id, item) over messages."""
+    return f"""words AS (SELECT id, {D.tokens_sql("content")} AS w FROM messages),
 corpus AS (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM words),
-tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM words) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-scored AS (SELECT query_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) AS score
-  FROM tf JOIN df USING (term) JOIN (SELECT DISTINCT query_id, term FROM terms) USING (term) CROSS JOIN corpus GROUP BY query_id, id)"""
-FALLBACK = f"""{BM25}, fallback AS (SELECT query_id, id, 0.0 AS score FROM messages, (SELECT query_id, lower(trim(text)) AS probe FROM queries WHERE query_id NOT IN (SELECT query_id FROM scored)) q WHERE length(probe) >= 3 AND contains(lower(content), probe))"""
-KEYWORD = f"""{FALLBACK}, hits AS (SELECT *, true AS by_word FROM scored UNION ALL SELECT *, false FROM fallback),
-ranked AS (SELECT h.query_id, h.id, m.session_id, m.uuid, m.content, h.score, h.by_word, row_number() OVER (PARTITION BY h.query_id ORDER BY h.score DESC, h.id) AS bm25_rank
+items AS ({items}),
+each_item AS (SELECT DISTINCT item, string_split(item, ' ') AS ws FROM items),
+tf AS (SELECT id, len, item, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS item FROM words) WHERE item IN (SELECT item FROM each_item) GROUP BY ALL
+ UNION ALL SELECT id, len, item, tf FROM (SELECT id, len(w) AS len, item, len(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(ws) - 1] = ws)) AS tf FROM words, each_item WHERE len(ws) > 1) WHERE tf > 0),
+df AS (SELECT item, count(*) AS df FROM tf GROUP BY item),
+scored_items AS (SELECT query_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) AS score
+  FROM tf JOIN df USING (item) JOIN items USING (item) CROSS JOIN corpus WHERE NOT negative GROUP BY query_id, id)"""
+
+
+ITEMS = f"SELECT DISTINCT query_id, array_to_string({D.tokens_sql('term')}, ' ') AS item, false AS negative FROM terms WHERE len({D.tokens_sql('term')}) > 0"
+BM25 = f"{TERMS}, {scored_sql(ITEMS)}, scored AS (SELECT * FROM scored_items)"
+MATCH = f"""{TERMS}, {CLAUSES}, {scored_sql(ITEMS + " AND query_id NOT IN (SELECT query_id FROM clauses) UNION SELECT query_id, item, negative FROM clauses")},
+met AS (SELECT DISTINCT query_id, id FROM (SELECT c.query_id, c.alt, c.seg, c.negative, d.id, bool_and(tf.id IS NOT NULL) AS has FROM clauses c CROSS JOIN messages d LEFT JOIN tf ON tf.item = c.item AND tf.id = d.id GROUP BY ALL)
+ GROUP BY query_id, alt, id HAVING bool_and(has <> negative) AND count(*) FILTER (NOT negative) > 0),
+scored AS (SELECT * FROM scored_items s WHERE query_id NOT IN (SELECT query_id FROM clauses) OR EXISTS (SELECT 1 FROM met WHERE met.query_id = s.query_id AND met.id = s.id))"""
+FALLBACK = f"""{MATCH}, fallback AS (SELECT query_id, id, 0.0 AS score FROM messages, (SELECT query_id, lower(trim(text)) AS probe FROM queries WHERE query_id NOT IN (SELECT query_id FROM scored) AND query_id NOT IN (SELECT query_id FROM clauses)) q WHERE length(probe) >= 3 AND contains(lower(content), probe))"""
+
+
+def keyword_sql(order: str = "h.score DESC, h.id", final: str = "coverage DESC, bm25_rank") -> str:
+    return f"""{FALLBACK}, hits AS (SELECT *, true AS by_word FROM scored UNION ALL SELECT *, false FROM fallback),
+ranked AS (SELECT h.query_id, h.id, m.session_id, m.uuid, m.content, h.score, h.by_word, row_number() OVER (PARTITION BY h.query_id ORDER BY {order}) AS bm25_rank
   FROM hits h JOIN messages m USING (id) JOIN sessions s ON m.session_id = s.id AND NOT s.is_subagent),
-covered AS (SELECT r.query_id, r.id, r.session_id, r.uuid, r.score, r.bm25_rank, CASE WHEN by_word THEN (SELECT count(DISTINCT term) FROM terms t WHERE t.query_id = r.query_id AND contains(lower({GEN.replace("content", "r.content")}), t.term))
-  ELSE 1 END AS coverage FROM ranked r WHERE bm25_rank <= 64 AND {D.displayable_sql("content")}),
-keyword AS (SELECT query_id, id, session_id, uuid, score, bm25_rank, coverage, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, bm25_rank) AS rank FROM covered WHERE coverage > 0) WHERE rank <= 8)"""
+shown_terms AS (SELECT query_id, term FROM terms WHERE query_id NOT IN (SELECT query_id FROM clauses) UNION SELECT query_id, item FROM clauses),
+fetched AS (SELECT q.query_id, CASE WHEN q.query_id NOT IN (SELECT query_id FROM clauses) AND count(DISTINCT term) > 1 THEN 64 ELSE 32 END AS most FROM queries q LEFT JOIN shown_terms t USING (query_id) GROUP BY q.query_id),
+covered AS (SELECT r.query_id, r.id, r.session_id, r.uuid, r.score, r.bm25_rank, CASE WHEN by_word THEN (SELECT count(DISTINCT term) FROM shown_terms t WHERE t.query_id = r.query_id AND contains(lower({GEN.replace("content", "r.content")}), t.term))
+  ELSE 1 END AS n_found FROM ranked r JOIN fetched f USING (query_id) WHERE bm25_rank <= most AND {D.displayable_sql("content")}),
+keyword AS (SELECT query_id, id, session_id, uuid, score, bm25_rank, coverage, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {final}) AS rank FROM
+  (SELECT *, CASE WHEN query_id IN (SELECT query_id FROM clauses) THEN least(n_found, 1) ELSE n_found END AS coverage FROM covered) WHERE coverage > 0) WHERE rank <= 8)"""
+
+
+KEYWORD = keyword_sql()
 
 
 _indexes: dict[tuple[str, str], str] = {}
@@ -130,12 +162,22 @@ def word_index(spark, sf) -> I.WordIndex:
     return I.open_index(spark, _indexes[key])
 
 
+def gram_index(spark, sf) -> G.GramIndex:
+    """The stored trigrams of the messages, written once a session and folder."""
+    key = (spark.sparkContext.applicationId, f"{sf}#grams")
+    if key not in _indexes:
+        path = shared_path(spark, "gram-index")
+        G.write_gram_index(D.messages(spark, sf), path)
+        _indexes[key] = path
+    return G.open_gram_index(spark, _indexes[key])
+
+
 def terms(spark):
     return S.query_terms(D.queries(spark))
 
 
-def keyword(spark, sf):
-    return S.keyword_search(D.messages(spark, sf), D.sessions(spark, sf), D.queries(spark), index=word_index(spark, sf)).withColumns({c: F.col(c).cast("long") for c in ("coverage", "rank", "bm25_rank")})
+def keyword(spark, sf, sort="relevance"):
+    return S.keyword_search(D.messages(spark, sf), D.sessions(spark, sf), D.queries(spark), sort=sort, index=word_index(spark, sf)).withColumns({c: F.col(c).cast("long") for c in ("coverage", "rank", "bm25_rank")})
 
 
 @query(f", {D.ASKED}, {TERMS.replace('FROM queries', 'FROM asked')} SELECT query_id, term, is_phrase FROM terms")
@@ -168,7 +210,7 @@ def bm25(spark, sf):
 def build_index(spark, sf):
     """What the stored index holds of every term and message."""
     index = word_index(spark, sf)
-    return index.postings.join(index.terms, ["bucket", "term"]).select("term", "id", "len", F.size("positions").alias("tf"), "df")
+    return index.postings.join(index.terms, ["bucket", "term"]).select("term", "id", "len", "tf", "df")
 
 
 @query(f", w AS (SELECT id, unnest({D.tokens_sql('content')}) AS term, generate_subscripts({D.tokens_sql('content')}, 1) - 1 AS pos FROM messages) SELECT term, id, array_to_string(list_sort(list(pos)), ',') AS positions FROM w GROUP BY term, id")
@@ -194,35 +236,46 @@ def prefix_search(spark, sf):
     return S.prefix_search(word_index(spark, sf), prefixes)
 
 
-CLAUSES = "clauses(query_id, term, role) AS (VALUES (3, 'stupid', 'must'), (3, 'clown', 'must_not'), (6, 'scum', 'must'), (6, 'moron', 'must'), (7, 'disgusting', 'should'), (7, 'idiot', 'should'), (9, 'trash', 'must_not'), (12, 'thou', 'must'), (12, 'thwh', 'must'), (13, 'ernt', 'must'), (13, 'onti', 'must_not'), (14, 'erth', 'should'), (14, 'einst', 'should'))"
-
-
-ASKED_CLAUSES = r"""marked AS (SELECT query_id, regexp_replace(regexp_replace(text, '(\S)\s+NOT\s+', '\1 !', 'g'), '(^|\W)!\s*', '\1!', 'g') AS t FROM asked),
-pieces AS (SELECT query_id, contains(t, '||') AS either, unnest(string_split_regex(regexp_replace(t, '&&|\|\||[()"\s]+', ' ', 'g'), '\s+')) AS w FROM marked)"""
+ASKED_CLAUSES = r"""said AS (SELECT query_id, text, regexp_extract_all(text, '"[^"]*"|&&|\|\||!|[^\s"&|!]+') AS ps FROM asked WHERE regexp_matches(text, '&&|\|\||(^|\W)!|\S\s+NOT\s+\S')),
+said_parts AS (SELECT query_id, ps, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM said),
+said_ops AS (SELECT *, len(list_filter(ps[1:i], lambda x: x = '||' OR x = 'OR')) AS alt, len(list_filter(ps[1:i], lambda x: x IN ('||', 'OR', '&&', 'AND', '!', 'NOT'))) AS seg,
+  list_filter(ps[1:i], lambda x: x IN ('||', 'OR', '&&', 'AND', '!', 'NOT'))[-1] IN ('!', 'NOT') AS negative FROM said_parts)"""
 
 
-@query(f""", {D.ASKED}, {ASKED_CLAUSES} SELECT DISTINCT query_id, ltrim(lower(w), '!') AS term, CASE WHEN starts_with(w, '!') THEN 'must_not' WHEN either THEN 'should' ELSE 'must' END AS role
-FROM pieces WHERE lower(w) NOT IN ('', 'and', 'or', 'not', '!') AND ltrim(lower(w), '!') <> ''""")
+@query(f", {D.ASKED}, {ASKED_CLAUSES} SELECT DISTINCT query_id, CAST(alt AS BIGINT) AS alt, CAST(seg AS BIGINT) AS seg, coalesce(negative, false) AS negative, trim(lower(p), '\"') AS term FROM said_ops WHERE lower(p) NOT IN ('||', 'or', '&&', 'and', '!', 'not')")
 def query_clauses(spark, sf):
     """Clauses of queries made of the first words of every message."""
-    return S.query_clauses(D.asked(spark, sf))
+    return Q.query_clauses(D.asked(spark, sf)).select("query_id", "alt", "seg", "negative", "term")
 
 
-@query(f", {CLAUSES}, w AS (SELECT DISTINCT id, unnest({D.tokens_sql('content')}) AS term FROM messages), need AS (SELECT query_id, count(*) FILTER (role = 'must') AS musts, count(*) FILTER (role = 'should') AS shoulds FROM clauses GROUP BY 1) SELECT query_id, id FROM w JOIN clauses USING (term) JOIN need USING (query_id) WHERE musts + shoulds > 0 GROUP BY query_id, id, musts, shoulds HAVING count(*) FILTER (role = 'must') = musts AND count(*) FILTER (role = 'must_not') = 0 AND (shoulds = 0 OR count(*) FILTER (role = 'should') > 0)")
+@query(f", {MATCH} SELECT query_id, id FROM met")
 def boolean_search(spark, sf):
-    return S.boolean_search(word_index(spark, sf), S.query_clauses(D.queries(spark).where("query_id IN (3, 6, 7, 9, 12, 13, 14)")))
+    return S.boolean_search(word_index(spark, sf), Q.query_clauses(D.queries(spark)))
+
+
+@query(f", {MATCH} SELECT query_id, id, score FROM scored")
+def matches(spark, sf):
+    return S.matches(word_index(spark, sf), D.queries(spark))
 
 
 @query(f", {FALLBACK} SELECT query_id, id FROM fallback")
 def substring_fallback(spark, sf):
     m = D.messages(spark, sf)
-    return S.substring_fallback(m, D.queries(spark), S.bm25(word_index(spark, sf), terms(spark)))
+    return S.substring_fallback(m, D.queries(spark), S.matches(word_index(spark, sf), D.queries(spark)))
 
 
 @query("SELECT q.query_id, m.id FROM messages m, (VALUES (1, 'hthnd'), (2, 'of the')) q(query_id, text) WHERE list_has_all([substr(lower(m.content), i, 3) FOR i IN range(1, greatest(length(m.content) - 1, 2))], [substr(q.text, i, 3) FOR i IN range(1, length(q.text) - 1)])")
 def trigram_candidates(spark, sf):
     probes = spark.createDataFrame([(1, "hthnd"), (2, "of the")], "query_id int, text string")
-    return S.trigram_candidates(D.messages(spark, sf), probes)
+    return G.trigram_candidates(D.messages(spark, sf), probes)
+
+
+@query("SELECT q.query_id, m.id FROM messages m JOIN (SELECT id AS query_id, substr(lower(content), 5, 7) AS probe FROM messages) q ON contains(lower(m.content), q.probe) WHERE length(trim(probe)) = 7 AND q.query_id % 20 = 0")
+def substring_search(spark, sf):
+    """Seven characters from within every twentieth message, searched by the stored trigrams."""
+    m = D.messages(spark, sf)
+    probes = m.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.substring(F.lower("content"), 5, 7).alias("probe")).where("length(trim(probe)) = 7")
+    return G.substring_search(m, probes, index=gram_index(spark, sf))
 
 
 @query(f", {TERMS}, wanted AS (SELECT query_id, list(DISTINCT term) AS ts FROM terms GROUP BY 1) SELECT query_id, id, session_id, ts FROM wanted, deco WHERE len(list_filter(wanted.ts, lambda t: NOT contains(lower({GEN}), t))) = 0 AND left(ts_iso, 10) >= '2024-01-02'".replace("SELECT query_id, id, session_id, ts FROM", "SELECT query_id, id, session_id, deco.ts FROM"))
@@ -235,12 +288,22 @@ def keyword_search(spark, sf):
     return keyword(spark, sf)
 
 
-@query(f", {KEYWORD}, n AS (SELECT query_id, count(DISTINCT term) AS n_terms FROM terms GROUP BY 1) SELECT query_id, id, CASE WHEN score = 0 THEN 'substring' WHEN n_terms > 1 THEN 'coverage+bm25' ELSE 'bm25' END AS method, coverage, CASE WHEN score = 0 THEN -1 ELSE bm25_rank END AS bm25_rank, false AS recency, rank AS final_rank FROM keyword LEFT JOIN n USING (query_id)")
+@query(f", {keyword_sql('m.ts DESC, m.id DESC', 'bm25_rank')} SELECT query_id, id, bm25_rank, coverage, rank FROM keyword")
+def keyword_newest(spark, sf):
+    return keyword(spark, sf, "newest").select("query_id", "id", "bm25_rank", "coverage", "rank")
+
+
+@query(f", {keyword_sql('m.ts, m.id', 'bm25_rank')} SELECT query_id, id, bm25_rank, coverage, rank FROM keyword")
+def keyword_oldest(spark, sf):
+    return keyword(spark, sf, "oldest").select("query_id", "id", "bm25_rank", "coverage", "rank")
+
+
+@query(f", {KEYWORD}, n AS (SELECT query_id, count(DISTINCT term) AS n_terms FROM terms WHERE query_id NOT IN (SELECT query_id FROM clauses) GROUP BY 1) SELECT query_id, id, CASE WHEN score = 0 THEN 'substring' WHEN n_terms > 1 THEN 'coverage+bm25' ELSE 'bm25' END AS method, coverage, CASE WHEN score = 0 THEN -1 ELSE bm25_rank END AS bm25_rank, false AS recency, rank AS final_rank FROM keyword LEFT JOIN n USING (query_id)")
 def explain_search(spark, sf):
     return S.explain_search(keyword(spark, sf), D.queries(spark))
 
 
-@query(f", {BM25} SELECT query_id, project, count(*) AS n_hits, max_by(m.id, m.ts_iso || lpad(CAST(m.id AS VARCHAR), 20, '0')) AS id, max(m.ts_iso) AS ts_iso FROM scored JOIN messages m USING (id) JOIN sessions s ON m.session_id = s.id AND NOT is_subagent GROUP BY query_id, project")
+@query(f", {MATCH} SELECT query_id, project, count(*) AS n_hits, max_by(m.id, m.ts_iso || lpad(CAST(m.id AS VARCHAR), 20, '0')) AS id, max(m.ts_iso) AS ts_iso FROM scored JOIN messages m USING (id) JOIN sessions s ON m.session_id = s.id AND NOT is_subagent GROUP BY query_id, project")
 def search_all_projects(spark, sf):
     return S.search_all_projects(D.messages(spark, sf), D.sessions(spark, sf), D.queries(spark), word_index(spark, sf))
 
@@ -624,12 +687,12 @@ def embed_corpus(spark, sf):
 
 
 KNN = """knn AS (SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id DESC) AS rank FROM
- (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 9) AS similarity FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0))"""
+ (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 9) AS similarity FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0))"""
 
 
 def knn(spark, sf, k):
     e = D.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    return V.vector_knn(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec")), k)
+    return V.vector_knn(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec")), k)
 
 
 @query(f"WITH {KNN} SELECT query_id, vec_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM knn WHERE rank <= 10", base=False)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.shared import held
 
 START = 1704067200
 
@@ -29,7 +30,7 @@ def messages(spark: SparkSession, sf_dir: str, decorated: bool = False) -> DataF
         k = F.col("turn") % 6
         content = (
             F.when(k == 0, content).when(k == 1, F.concat(content, F.lit(' [TOOL:sh] {"cmd": "ls"}'))).when(k == 2, F.concat(F.lit("[TOOL_RESULT] "), content))
-            .when(k == 3, F.concat(F.lit("[THINKING] "), content, F.lit(" [SYSTEM] end"))).when(k == 4, F.concat(F.lit("<system-reminder>x</system-reminder>"), content))
+            .when(k == 3, F.concat(F.lit("[THINKING] "), content, F.lit(" [SYSTEM] end [THINKING] so\n"), F.left(content, F.lit(9)))).when(k == 4, F.concat(F.lit("<system-reminder>x</system-reminder>"), content))
             .otherwise(F.concat(content, F.lit(" <bash-stdout>tail")))
         )
     return c.select(
@@ -89,27 +90,28 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The query table: plain, quoted, negated, and a probe inside words.
 QUERIES = [(1, "the trash of idiot"), (2, '"of the"'), (3, "stupid NOT clown"), (4, "loser pathetic"), (5, "worthless"), (6, "scum && moron"), (7, "disgusting || idiot"), (8, "hthnd"), (9, "and !trash"),
-           (10, "thth thre"), (11, "bleha anedat tion"), (12, "thou && thwh"), (13, "ernt NOT onti"), (14, "erth || einst"), (15, "erin \"of the\" from"), (16, "anlyer")]
+           (10, "thth thre"), (11, "bleha anedat tion"), (12, "thou && thwh"), (13, "ernt NOT onti"), (14, "erth || einst"), (15, "erin \"of the\" from"), (16, "anlyer"),
+           (17, "thou || thwh && !erin"), (18, '"of the" && !trash'), (19, 'pathetic "scum moron'), (20, "disgusting NOT clown NOT moron"), (21, "hthnd && zzz")]
 
 
 def queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUERIES, "query_id int, text string")
+    return held(spark, QUERIES, "query_id int, text string")
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries in every form, made of the first three words of each message."""
     w = X.tokens(F.col("content"))
     rows = messages(spark, sf_dir).select("id", w.alias("w")).where(F.size("w") >= 3).select("id", *[F.element_at("w", i + 1).alias(f"w{i}") for i in range(3)])
-    kind = (F.col("id") % 1000 + F.floor(F.col("id") / 1000)) % 6
+    kind = (F.col("id") % 1000 + F.floor(F.col("id") / 1000)) % 7
     text = (
         F.when(kind == 0, F.format_string("%s %s", "w0", "w1")).when(kind == 1, F.format_string('"%s %s" %s', "w0", "w1", "w2")).when(kind == 2, F.format_string("%s NOT %s", "w0", "w1"))
-        .when(kind == 3, F.format_string("%s && !%s", "w0", "w2")).when(kind == 4, F.format_string("%s || %s", "w0", "w1")).otherwise(F.format_string("%s/%s AND %s", "w0", "w1", "w2"))
+        .when(kind == 3, F.format_string("%s && !%s", "w0", "w2")).when(kind == 4, F.format_string("%s || %s", "w0", "w1")).when(kind == 5, F.format_string('%s "%s %s', "w0", "w1", "w2")).otherwise(F.format_string("%s/%s AND %s", "w0", "w1", "w2"))
     )
     return rows.select(F.col("id").alias("query_id"), text.alias("text"))
 
 
-ASKED = """asked AS (SELECT id AS query_id, CASE (id % 1000 + id // 1000) % 6 WHEN 0 THEN w[1] || ' ' || w[2] WHEN 1 THEN '"' || w[1] || ' ' || w[2] || '" ' || w[3] WHEN 2 THEN w[1] || ' NOT ' || w[2]
- WHEN 3 THEN w[1] || ' && !' || w[3] WHEN 4 THEN w[1] || ' || ' || w[2] ELSE w[1] || '/' || w[2] || ' AND ' || w[3] END AS text
+ASKED = """asked AS (SELECT id AS query_id, CASE (id % 1000 + id // 1000) % 7 WHEN 0 THEN w[1] || ' ' || w[2] WHEN 1 THEN '"' || w[1] || ' ' || w[2] || '" ' || w[3] WHEN 2 THEN w[1] || ' NOT ' || w[2]
+ WHEN 3 THEN w[1] || ' && !' || w[3] WHEN 4 THEN w[1] || ' || ' || w[2] WHEN 5 THEN w[1] || ' "' || w[2] || ' ' || w[3] ELSE w[1] || '/' || w[2] || ' AND ' || w[3] END AS text
  FROM (SELECT id, regexp_extract_all(strip_accents(lower(content)), '[\\p{L}\\p{N}]+') AS w FROM messages) WHERE len(w) >= 3)"""
 
 
@@ -118,7 +120,7 @@ def base_sql() -> str:
     start = f"({START} + conv_id * 3600 + turn * 60)"
     iso_sql = lambda s: f"strftime(make_timestamp(CAST({s} AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
     deco = """CASE turn % 6 WHEN 0 THEN text WHEN 1 THEN text || ' [TOOL:sh] {"cmd": "ls"}' WHEN 2 THEN '[TOOL_RESULT] ' || text
-      WHEN 3 THEN '[THINKING] ' || text || ' [SYSTEM] end' WHEN 4 THEN '<system-reminder>x</system-reminder>' || text ELSE text || ' <bash-stdout>tail' END"""
+      WHEN 3 THEN '[THINKING] ' || text || ' [SYSTEM] end [THINKING] so' || chr(10) || left(text, 9) WHEN 4 THEN '<system-reminder>x</system-reminder>' || text ELSE text || ' <bash-stdout>tail' END"""
     cols = lambda content: f"""SELECT conv_id * 1000 + turn AS id, lpad(CAST(conv_id AS VARCHAR), 8, '0') AS session_id, role, {content} AS content,
       CAST({start} AS DOUBLE) AS ts, {iso_sql(start)} AS ts_iso, left(sha1(concat(conv_id, ':', turn)), 16) AS uuid FROM conversations"""
     values = ", ".join(f"({i}, '{t}')" for i, t in QUERIES)
@@ -156,9 +158,13 @@ def envelopes_sql(c: str) -> str:
     return c
 
 
-def thinking_sql(c: str) -> str:
+def thinking_runs_sql(c: str) -> str:
     marked = f"regexp_replace({c}, '(\\s\\[[A-Z]|\\n[^ \\t])', chr(1) || '\\1', 'g')"
-    return clean_sql(f"replace(regexp_replace({marked}, '\\[THINKING[:\\]][^\\x01]*', '', 'g'), chr(1), '')")
+    return f"replace(regexp_replace({marked}, '\\[THINKING[:\\]][^\\x01]*', '', 'g'), chr(1), '')"
+
+
+def thinking_sql(c: str) -> str:
+    return clean_sql(thinking_runs_sql(c))
 
 
 def generated_sql(c: str) -> str:

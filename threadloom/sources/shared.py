@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _local: dict[str, str] = {}
 
@@ -22,3 +26,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
         root = _local.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="spark-threadloom-")
         _local[app] = root
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def children(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a pattern names, in any store that Spark reads; [] if there are none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return [str(f.getPath()) for f in found or []]
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """frame, computed once: written to the shared folder and read from there."""
+    path = shared_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def held(spark: SparkSession, rows: Iterable[Sequence], schema: StructType | str) -> DataFrame:
+    """A table of few rows that the plan itself holds, so that reading it starts no job."""
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    fields = to_arrow_schema(schema)
+    found = [dict(zip(schema.names, (x.asDict(True) if isinstance(x, Row) else x for x in r))) for r in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(found, schema=fields), schema)
