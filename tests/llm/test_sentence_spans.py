@@ -30,21 +30,29 @@ def test_sentences():
     assert [(text[a:b], n) for a, b, _, n in ss.sentences(text)] == [("One two.", 2), ("Three?", 1), ("four!!", 1), ("Five six", 2), (".", 1), ("1.5 is it.", 3)]
 
 
+def test_a_lone_sentence_is_no_span(spark):
+    lone = " ".join(f"w{i}" for i in range(35)) + "."
+    docs = spark.createDataFrame([(1, f"Own start. {lone} Own end."), (2, f"Other. {lone} Another.")], "doc_id long, text string")
+    assert all(r.n_removed == 0 for r in ss.clean(docs).collect())
+    long = " ".join(f"w{i}" for i in range(120))
+    assert [s[3] for s in ss.sentences(long)] == [50, 50, 20] and "".join(long[a:b] for a, b, _, _ in ss.sentences(long)) == long
+
+
 def test_edges(spark):
     passage = " ".join(f"w{i}" for i in range(55)) + "."
     rows = [(1, "Own start. " + passage + " Own end.", "e"), (2, "Other start.\n" + passage + "\nOther end.", "e"), (3, None, None), (4, "", None), (5, "Short. Short. Short. Short. Short.", "e"), (6, passage + " " + passage, "e"), (None, passage, "e"), (2, "Other start.\n" + passage + "\nOther end.", "e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, removed string")
     out = ss.clean(docs.withColumnRenamed("removed", "extra"))
     got = sorted((r.doc_id or 0, r.text or "", r.n_removed) for r in out.collect())
-    two = (2, "Other start.\nOther end.", 1)
-    assert got == [(0, passage, 0), (1, "Own start. Own end.", 1), two, two, (3, "", 0), (4, "", 0), (5, rows[4][1], 0), (6, "", 2)]
+    two = (2, "Other start.\nOther end.", 2)  # 55 words without an end count as two sentences
+    assert got == [(0, passage, 0), (1, "Own start. Own end.", 2), two, two, (3, "", 0), (4, "", 0), (5, rows[4][1], 0), (6, "", 4)]
     assert ss.clean(docs.drop("removed").limit(0)).count() == 0
 
 
 def listed(words):
     """Every run, kept by the rule alone: first sentence and number of sentences."""
     runs = {(i, j - i): sum(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)}
-    long = {r for r, n in runs.items() if n >= 30}
+    long = {(i, n) for (i, n), w in runs.items() if w >= 30 and n > 1}
     shortest = {(i, n) for i, n in long if (i, n - 1) not in long or (i + 1, n - 1) not in long}
     return sorted(shortest | {(i, n) for (i, n), w in runs.items() if n == 3 and w >= 20})
 

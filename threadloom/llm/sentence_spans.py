@@ -1,12 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (at line ends, and after . ! ? before white space). Every run of
-SPAN consecutive sentences that has least_words words is a span; so that no long passage falls
-between, the shortest runs that reach MIN_WORDS words, one from each sentence onwards and one
-back from each sentence, are spans too. These cover every sentence of a repeated passage of
-MIN_WORDS words or more. least_words is a parameter, SPAN_WORDS unless given: shorter runs, as
-"Yes. No. Thank you.", repeat in any corpus without being copied, and stay; with 0 every run of
-SPAN sentences counts.
+A text is cut into sentences (at line ends, after . ! ? before white space, and every LONGEST
+words where these do not come). Every run of
+SPAN consecutive sentences that has least_words words is a span; so that no long passage of few
+sentences falls between, the shortest runs of two sentences or more that reach MIN_WORDS words,
+one from each sentence onwards and one back from each sentence, are spans too. A sentence by
+itself is none. least_words is a parameter, SPAN_WORDS unless given: shorter runs, as "Yes. No.
+Thank you.", repeat in any corpus without being copied, and stay; with 0 every run of SPAN
+sentences counts.
 Spans are compared without regard to white space. Of equal spans the first in corpus order
 (doc_id, then place) stays; sentences covered by any other are removed.
 
@@ -38,20 +39,32 @@ from .common import free_name, materialize, text_key, text_of
 SPAN = 3
 SPAN_WORDS = 20
 MIN_WORDS = 30
+#: Words of a sentence, at most; what has no sentence ends is cut into as many.
+LONGEST = 50
 #: Texts whose spans are listed at once.
 ROWS = 500
 #: Documents (some 40 bytes each) that are broadcast; more are joined by shuffle.
 BROADCAST_DOCS = 200_000
 
+_WORD = re.compile(r"\S+")
 _SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=\s|\Z)|[^\n]+(?=\n|\Z)")
 
 
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
-    """Start, end, words joined by one space, and how many, of every sentence with a word."""
+    """Start, end, words joined by one space, and how many, of every sentence with a word; one of
+    more than LONGEST words counts as several, of LONGEST words each."""
     out = []
     for m in _SENTENCE.finditer(text):
         words = m[0].split()
-        if words:
+        if len(words) > LONGEST:
+            ends = [m.start() + w.end() for w in _WORD.finditer(m[0])]
+            at = m.start() + len(m[0]) - len(m[0].lstrip())
+            for k in range(0, len(words), LONGEST):
+                part = words[k : k + LONGEST]
+                end = ends[k + len(part) - 1]
+                out.append((at, end, " ".join(part), len(part)))
+                at = end
+        elif words:
             out.append((m.start() + len(m[0]) - len(m[0].lstrip()), m.end(), " ".join(words), len(words)))
     return out
 
@@ -63,13 +76,14 @@ def spans(found: list[tuple[int, int, str, int]], least_words: int = SPAN_WORDS)
     for i in range(n):
         if i + SPAN <= n and upto[i + SPAN] - upto[i] >= least_words:
             out.add((i, SPAN))
+        end = max(end, i + 2)
         while end < n and upto[end] - upto[i] < MIN_WORDS:
             end += 1
-        if upto[end] - upto[i] >= MIN_WORDS:
+        if end <= n and upto[end] - upto[i] >= MIN_WORDS:
             out.add((i, end - i))
-        while upto[i + 1] - upto[back + 1] >= MIN_WORDS:
+        while back + 2 <= i and upto[i + 1] - upto[back + 1] >= MIN_WORDS:
             back += 1
-        if upto[i + 1] - upto[back] >= MIN_WORDS:
+        if back < i and upto[i + 1] - upto[back] >= MIN_WORDS:
             out.add((back, i + 1 - back))
     return sorted(out)
 
