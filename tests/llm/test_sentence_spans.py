@@ -91,13 +91,20 @@ def test_own_columns_are_replaced(spark):
 
 
 def sentences_plainly(text):
-    """(words, end) of every sentence: line by line, a sentence ends after a run of . ! ? before white space or the line's end."""
+    """(words, end) of every sentence: line by line, a sentence ends after a run of . ! ? before white space or the line's end, or
+    after fifty words."""
     out, at = [], 0
     for line in text.split("\n"):
         start = 0
         for i, c in enumerate(line):
             if i + 1 == len(line) or c in ".!?" and line[i + 1].isspace():
                 words = line[start : i + 1].split()
+                while len(words) > 50:  # the end of the fiftieth word
+                    end = start
+                    for w in words[:50]:
+                        end = line.index(w, end) + len(w)
+                    out.append((words[:50], at + end))
+                    start, words = end, words[50:]
                 if words:
                     out.append((words, at + i + 1))
                 start = i + 1
