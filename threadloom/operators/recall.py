@@ -77,8 +77,8 @@ def scope_states(scopes: DataFrame) -> DataFrame:
 
 def advisories(results: DataFrame, states: DataFrame, sort: str = "relevance", dropped: DataFrame | None = None, store_note: str = "") -> DataFrame:
     """query_id, ord, code, detail: what a reader should know of results (query_id, rank, ts_iso,
-    project, total, at_ceiling). In fixed order: recency_skew, broad, current_turn_excluded,
-    scope_incomplete, not_consolidated, store_fallback, spread. dropped: query_id, n rows left
+    project, total, at_ceiling). In fixed order: recency_skew, broad_query, current_turn_excluded,
+    scope_incomplete, not_consolidated, store_fallback, project_spread, raw_history. dropped: query_id, n rows left
     out as the caller's own; states: as of scope_states."""
     per = results.groupBy("query_id").agg(
         F.max("ts_iso").alias("newest"), F.min_by("ts_iso", "rank").alias("top"), F.max("total").alias("total"), F.bool_or("at_ceiling").alias("ceiling"), F.countDistinct("project").alias("projects"),
@@ -94,12 +94,13 @@ def advisories(results: DataFrame, states: DataFrame, sort: str = "relevance", d
     text = lambda c: c.cast("string")
     told = [
         ("recency_skew", skewed, F.left("newest", F.lit(10))),
-        ("broad", F.col("ceiling") | (F.col("total") >= 20), text(F.col("total"))),
+        ("broad_query", F.col("ceiling") | (F.col("total") >= 20), text(F.col("total"))),
         ("current_turn_excluded", own > 0, text(own)),
         ("scope_incomplete", F.col("skipped_error") + F.col("stale_fallback") > 0, F.concat_ws(",", text(F.col("scopes")), text(F.col("skipped_error")), text(F.col("stale_fallback")))),
         ("not_consolidated", F.col("not_consolidated") > 0, text(F.col("not_consolidated"))),
         ("store_fallback", F.lit(bool(store_note)), F.lit(store_note)),
-        ("spread", F.col("projects") >= 2, F.concat_ws(",", text(F.col("projects")), F.col("sample"))),
+        ("project_spread", F.col("projects") >= 2, F.concat_ws(",", text(F.col("projects")), F.col("sample"))),
+        ("raw_history", F.lit(True), F.lit(None).cast("string")),  # of every answer: these are transcripts, not the present state
     ]
     each = F.filter(F.array(*[F.struct(F.lit(i).alias("ord"), F.when(when, F.lit(code)).alias("code"), detail.alias("detail")) for i, (code, when, detail) in enumerate(told)]), lambda c: c["code"].isNotNull())
     return rows.select("query_id", F.explode(each).alias("w")).select("query_id", "w.ord", "w.code", "w.detail")

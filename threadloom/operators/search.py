@@ -248,18 +248,19 @@ def drop_current_turn(hits: DataFrame, messages: DataFrame, callers: DataFrame)
 
 def search_warnings(hits: DataFrame, sessions: DataFrame, messages: DataFrame, now: float) -> DataFrame:
     """query_id and codes, in fixed order: recency_skew (newest hit over a day older than the
-    corpus), broad (20 hits or more), spread (two projects or more)."""
+    corpus), broad_query (20 hits or more), project_spread (two projects or more)."""
     rows = hits.join(messages.select("id", "ts"), "id").join(sessions.select(F.col("id").alias("session_id"), "project"), "session_id")
     per = rows.groupBy("query_id").agg(F.max("ts").alias("newest"), F.count("*").alias("n"), F.countDistinct("project").alias("projects"))
-    codes = F.array(F.when(now - F.col("newest") > 86400, "recency_skew"), F.when(F.col("n") >= 20, "broad"), F.when(F.col("projects") >= 2, "spread"))
+    codes = F.array(F.when(now - F.col("newest") > 86400, "recency_skew"), F.when(F.col("n") >= 20, "broad_query"), F.when(F.col("projects") >= 2, "project_spread"))
     return per.select("query_id", F.array_join(F.filter(codes, lambda c: c.isNotNull()), ",").alias("codes"))
 
 
 def scope_report(sessions: DataFrame, hits: DataFrame, messages: DataFrame) -> DataFrame:
-    """project, n_sessions, status (searched or empty), n_hits, complete."""
+    """project, n_sessions, status (searched or empty), n_hits, complete (of all projects)."""
     found = hits.join(sessions.select(F.col("id").alias("session_id"), "project"), "session_id").groupBy("project").agg(F.count("*").alias("n_hits"))
     per = sessions.groupBy("project").agg(F.count("*").alias("n_sessions"), F.sum("message_count").alias("m"))
-    return per.join(found, "project", "left").select("project", "n_sessions", F.when(F.col("m") > 0, "searched").otherwise("empty").alias("status"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.bool_and(F.col("m") > 0).over(Window.partitionBy(F.lit(1))).alias("complete"))
+    whole = per.agg(F.coalesce(F.bool_and(F.col("m") > 0), F.lit(True)).alias("complete"))  # one row
+    return per.join(found, "project", "left").join(F.broadcast(whole)).select("project", "n_sessions", F.when(F.col("m") > 0, "searched").otherwise("empty").alias("status"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "complete")
 
 
 _PARTS = re.compile(r"[^\W_]+|[\W_]+")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -14,6 +17,8 @@ from ..sources.shared import shared_path
 #: Texts and bytes handed to an embedder at once.
 BATCH_TEXTS, BATCH_BYTES = 128, 150_000
 LEAST_LENGTH = 12
+#: Vectors that meet a block of queries in one product.
+ROWS = 2_048
 
 
 def vector_corpus(messages: DataFrame) -> DataFrame:
@@ -66,30 +71,82 @@ def embed_corpus(corpus: DataFrame, embed: Callable[[list[str]], list[list[float
     return corpus.select("session_id", "content_hash", "msg_id", "text").mapInPandas(run, "session_id string, content_hash string, msg_id long, vec array<float>")
 
 
+def _pool(pool: list[tuple[np.ndarray, np.ndarray, pa.Array]], k: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The k best of each query: query, similarity, vector id; by similarity, then larger id."""
+    query, sim = (np.concatenate([p[i] for p in pool]) for i in (0, 1))
+    ids = pa.concat_arrays([p[2] for p in pool])
+    keys = ids.flatten() if pa.types.is_struct(ids.type) else [ids]
+    ranks = [pc.rank(x, "descending", tiebreaker="dense").to_numpy() for x in keys]
+    order = np.lexsort([*reversed(ranks), -sim, query])
+    query, sim = query[order], sim[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    keep = place < k
+    return query[keep], sim[keep], ids.take(pa.array(order[keep]))
+
+
 def vector_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 5_000) -> DataFrame:
     """query_id, vec_id, similarity (nine decimals), rank: the k most similar vectors of equal
-    length for each query (query_id, qvec), by similarity, then larger id. Norms are taken once
-    a vector. Queries are broadcast: in one block up to most_queries rows, beyond that in hash
-    blocks of about as many, one at a time, whose results are written to the shared folder. Each
-    task keeps its k best of each query before they are shuffled."""
-    norm = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    unit = lambda c: F.when(norm(c) == 0, 1.0).otherwise(F.sqrt(norm(c)))
-    held = vectors.select("vec_id", "vec", F.size("vec").alias("dim"), unit(F.col("vec")).alias("norm"))
-    asked = queries.select("query_id", "qvec", F.size("qvec").alias("dim"), unit(F.col("qvec")).alias("qnorm"))
-    dot = F.aggregate(F.zip_with("vec", "qvec", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    length for each query (query_id, qvec), by cosine in double precision, then larger id; a zero
+    norm counts as 1. Queries are met in blocks of most_queries at most, by hash, which is all
+    that is sent to the tasks; a task takes one matrix product of a block and an Arrow batch of
+    vectors, and keeps its k best of each query, so that only these are shuffled."""
+    spark = vectors.sparkSession
+    kind, asked_kind = (d.schema[c].dataType.simpleString() for d, c in ((vectors, "vec_id"), (queries, "query_id")))
+    asked = queries.where("qvec IS NOT NULL").select("query_id", "qvec")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("vec_id"))
 
     def met(block: DataFrame) -> DataFrame:
-        rows = held.join(F.broadcast(block), "dim").select("query_id", "vec_id", F.round(dot / (F.col("norm") * F.col("qnorm")), 9).alias("similarity"))
-        return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        rows = block.toArrow()
+        names, qvecs = rows.column("query_id").combine_chunks(), rows.column("qvec").combine_chunks()
+        dims = pc.list_value_length(qvecs).to_numpy()
+        flat, start = qvecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.r_[0, np.cumsum(dims)]
+        groups = {}
+        for dim in np.unique(dims):  # the queries of each length, as unit rows
+            which = np.flatnonzero(dims == dim)
+            m = np.stack([flat[start[i] : start[i] + dim] for i in which]).reshape(len(which), dim)
+            norm = np.sqrt((m * m).sum(1))
+            groups[int(dim)] = (which, m, np.where(norm == 0, 1.0, norm))
+        sent = spark.sparkContext.broadcast(groups)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size, least = [], 0, np.full(len(dims), -np.inf)
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(at, ROWS)
+                    ids, vecs = batch.column(0), batch.column(1)
+                    lens = pc.fill_null(pc.list_value_length(vecs), -1).to_numpy(zero_copy_only=False)
+                    values = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    begin = np.cumsum(np.maximum(lens, 0)) - np.maximum(lens, 0)
+                    for dim, (which, m, norm) in sent.value.items():
+                        own = np.flatnonzero(lens == dim)
+                        if not len(own):
+                            continue
+                        v = values[begin[own][:, None] + np.arange(dim)]
+                        lengths = np.sqrt((v * v).sum(1))
+                        sims = np.round((m @ v.T) / (norm[:, None] * np.where(lengths == 0, 1.0, lengths)), 9)
+                        q, j = np.nonzero(sims >= least[which][:, None])
+                        held.append((which[q], sims[q, j], ids.take(pa.array(own[j]))))
+                        size += len(q)
+                    if size > 4 * k * len(dims) + 10_000:
+                        held = [_pool(held, k)]
+                        size = len(held[0][0])
+                        full = np.bincount(held[0][0], minlength=len(dims)) >= k
+                        last = np.searchsorted(held[0][0], np.arange(len(dims)), "right") - 1
+                        least[full] = held[0][1][last[full]]
+            if held:
+                query, sim, ids = _pool(held, k)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids, pa.array(sim)], ["query_id", "vec_id", "similarity"])
+
+        found = vectors.select("vec_id", "vec").mapInArrow(run, f"query_id {asked_kind}, vec_id {kind}, similarity double")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     blocks = -(-asked.count() // most_queries)
     if blocks <= 1:
         return met(asked)
-    spark, path = vectors.sparkSession, shared_path(vectors.sparkSession, "knn")
+    path = shared_path(spark, "knn")
     for i in range(blocks):
         met(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).write.parquet(f"{path}/block={i}")
-    return spark.read.schema(met(asked).schema).parquet(*[f"{path}/block={i}" for i in range(blocks)])
+    return spark.read.schema(f"query_id {asked_kind}, vec_id {kind}, similarity double, rank int").parquet(*[f"{path}/block={i}" for i in range(blocks)])
 
 
 def rrf_fuse(keyword: DataFrame, vector: DataFrame, limit: int | None = None) -> DataFrame:

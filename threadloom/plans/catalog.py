@@ -343,7 +343,7 @@ def drop_current_turn(spark, sf):
     return S.drop_current_turn(hits, D.messages(spark, sf), callers).select("query_id", "id")
 
 
-@query(f", {KEYWORD} SELECT query_id, array_to_string(list_filter([CASE WHEN {NOW} - max(ts) > 86400 THEN 'recency_skew' END, CASE WHEN count(*) >= 20 THEN 'broad' END, CASE WHEN count(DISTINCT project) >= 2 THEN 'spread' END], lambda x: x IS NOT NULL), ',') AS codes FROM keyword k JOIN messages m USING (id) JOIN sessions s ON k.session_id = s.id GROUP BY query_id")
+@query(f", {KEYWORD} SELECT query_id, array_to_string(list_filter([CASE WHEN {NOW} - max(ts) > 86400 THEN 'recency_skew' END, CASE WHEN count(*) >= 20 THEN 'broad_query' END, CASE WHEN count(DISTINCT project) >= 2 THEN 'project_spread' END], lambda x: x IS NOT NULL), ',') AS codes FROM keyword k JOIN messages m USING (id) JOIN sessions s ON k.session_id = s.id GROUP BY query_id")
 def search_warnings(spark, sf):
     return S.search_warnings(keyword(spark, sf), D.sessions(spark, sf), D.messages(spark, sf), NOW)
 
@@ -444,12 +444,13 @@ per AS (SELECT query_id, max(ts_iso) AS newest, min_by(ts_iso, rank) AS top, max
 gone AS (SELECT query_id, count(*) AS dropped FROM own GROUP BY 1),
 st AS (SELECT count(*) AS scopes, count(*) FILTER (state = 'skipped_error') AS e, count(*) FILTER (state = 'stale_fallback') AS f, count(*) FILTER (state = 'not_consolidated') AS u FROM states)
 SELECT query_id, 0 AS ord, 'recency_skew' AS code, left(newest, 10) AS detail FROM per WHERE CAST(replace(rtrim(newest, 'Z'), 'T', ' ') AS TIMESTAMP) - CAST(replace(rtrim(top, 'Z'), 'T', ' ') AS TIMESTAMP) > INTERVAL 1 DAY
-UNION ALL SELECT query_id, 1, 'broad', CAST(total AS VARCHAR) FROM per WHERE ceiling OR total >= 20
+UNION ALL SELECT query_id, 1, 'broad_query', CAST(total AS VARCHAR) FROM per WHERE ceiling OR total >= 20
 UNION ALL SELECT query_id, 2, 'current_turn_excluded', CAST(dropped AS VARCHAR) FROM per JOIN gone USING (query_id)
 UNION ALL SELECT query_id, 3, 'scope_incomplete', scopes || ',' || e || ',' || f FROM per, st WHERE e + f > 0
 UNION ALL SELECT query_id, 4, 'not_consolidated', CAST(u AS VARCHAR) FROM per, st WHERE u > 0
 UNION ALL SELECT query_id, 5, 'store_fallback', 'store busy' FROM per
-UNION ALL SELECT query_id, 6, 'spread', projects || ',' || sample FROM per WHERE projects >= 2""")
+UNION ALL SELECT query_id, 6, 'project_spread', projects || ',' || sample FROM per WHERE projects >= 2
+UNION ALL SELECT query_id, 7, 'raw_history', NULL FROM per""")
 def advisories(spark, sf):
     m, s = D.messages(spark, sf), D.sessions(spark, sf)
     vectors, asked = near_inputs(spark, sf)
