@@ -126,13 +126,14 @@ def build_index(docs: DataFrame, id_column: str = "id", text: str = "content", s
     return WordIndex(postings, _terms(postings), docs.agg(F.count("*").alias("n_docs"), F.avg(X.n_tokens(F.col(text))).alias("avg_len")), 1, stem)
 
 
-def _dealt(docs: DataFrame, text: str) -> tuple[int, int]:
-    """Folders, and files of each: enough files to occupy the cluster, none too small or large."""
-    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    each = min(MOST_CHARS, max(LEAST_CHARS, chars // (2 * docs.sparkSession.sparkContext.defaultParallelism)))
+def _dealt(docs: DataFrame, text: str) -> tuple[int, int, DataFrame]:
+    """Folders, and files of each: enough files to occupy the cluster, none too small or large; and
+    docs, spread over the cluster if they are so few that a scan of theirs may be a few tasks."""
+    chars, cores = docs.agg(F.sum(F.length(text))).first()[0] or 0, docs.sparkSession.sparkContext.defaultParallelism
+    each = min(MOST_CHARS, max(LEAST_CHARS, chars // (2 * cores)))
     files = max(1, -(-chars // each))
     buckets = min(MOST_BUCKETS, files)
-    return buckets, -(-files // buckets)
+    return buckets, -(-files // buckets), docs.repartition(min(files, 2 * cores)) if 1 < files and each < MOST_CHARS else docs
 
 
 def _write_segment(rows: DataFrame, path: str, buckets: int, files: int) -> None:
@@ -162,8 +163,8 @@ def _manifest(spark: SparkSession, path: str) -> tuple[Manifest, int]:
 
 def write_index(docs: DataFrame, path: str, id_column: str = "id", text: str = "content", stem: str | None = None) -> WordIndex:
     """Writes the index of docs to path and opens it."""
-    spark, (buckets, files) = docs.sparkSession, _dealt(docs, text)
-    rows, name = _counted(docs, id_column, text, stem), f"segments/{uuid.uuid4().hex}"
+    spark, (buckets, files, spread) = docs.sparkSession, _dealt(docs.select(id_column, text), text)
+    rows, name = _counted(spread, id_column, text, stem), f"segments/{uuid.uuid4().hex}"
     _write_segment(rows, f"{path}/{name}", buckets, files)
     m = _with_totals(spark, path, Manifest(buckets, stem, rows.schema["id"].dataType.simpleString(), [name], [False]))
     _save_manifest(spark, path, m, 0)
@@ -210,8 +211,8 @@ def update_index(spark: SparkSession, path: str, changed: DataFrame, removed: Da
     gone = spark.read.schema(f"id {m.id_type}").parquet(f"{path}/{name}/gone")
     lost = old.postings.select("bucket", "term", "id").join(gone, "id", "left_semi").groupBy("bucket", "term").agg((-F.count("*")).alias("df"))
     lost.select("term", "df", "bucket").write.partitionBy("bucket").parquet(f"{path}/{name}/less")
-    files = _dealt(changed, text)
-    _write_segment(_counted(changed.withColumn(id_column, F.col(id_column).cast(m.id_type)), id_column, text, m.stem), f"{path}/{name}", m.buckets, max(1, files[0] * files[1] // m.buckets))
+    buckets, files, spread = _dealt(changed.select(F.col(id_column).cast(m.id_type).alias(id_column), text), text)
+    _write_segment(_counted(spread, id_column, text, m.stem), f"{path}/{name}", m.buckets, max(1, buckets * files // m.buckets))
     m = Manifest(m.buckets, m.stem, m.id_type, [*m.segments, name], [*m.deletes, True])
     m = _with_totals(spark, path, _folded(spark, path, m) if len(m.segments) > FOLD else m)
     _save_manifest(spark, path, m, version + 1)
