@@ -148,7 +148,9 @@ def test_block_records(spark, tmp_path):
     raw = transcripts.lines(spark, str(tmp_path))
     got = [(r.session_id, r.role, r.content, r.uuid) for r in transcripts.read_block_jsonl(raw).orderBy("session_id", "line").collect()]
     assert got == [("abc", "user", "plain", "u1"), ("abc", "assistant", 'a [THINKING]  [TOOL:sh] {"k": 1} [TOOL_RESULT] out', "u2"), ("abc", "summary", "[SUMMARY] short", "u3"), ("t/kid", "user", "plain", "u1")]
-    assert registry.detect_source("/x/rollout-1.jsonl") == "rollout" and registry.detect_source("/x/y.txt") is None
+    assert one(spark, registry.detect_source, "/x/rollout-1.jsonl", "/x/steps/1.jsonl", "/x/y.jsonl", "/x/y.txt") == ["rollout", "steps", "blocks", None]
+    mixed = registry.read_mixed(raw)
+    assert {(r.session_id, r.source) for r in mixed.collect()} == {("abc", "blocks"), ("t/kid", "blocks")}
 
 
 def test_written_records_are_read_again(spark, tmp_path):

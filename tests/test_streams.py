@@ -1,3 +1,9 @@
+import time
+
+import pytest
+from pyspark.sql.types import StructType
+
+from threadloom.sources.store import SessionStore
 from threadloom.streaming import streams
 
 
@@ -31,26 +37,59 @@ def test_results_are_files_of_the_last_batch(spark, tmp_path):
 
     ids = {s: sorted(r.id for r in read.where(f"session_id = '{s}'").collect()) for s in "abc"}
     assert run(streams.stream_tail(rows, 3), "update", "tail", ["session_id"]) == [(s, ids[s][-3:]) for s in "abc"]
-    for mode in ("update", "complete"):
-        assert run(streams.stream_activity(rows), mode, mode, ["session_id"]) == [(s, float(ids[s][-1]), len(ids[s])) for s in "abc"]
+    assert run(streams.stream_activity(rows), "update", "activity", ["session_id"]) == [(s, float(ids[s][-1]), len(ids[s])) for s in "abc"]
     assert run(streams.stream_dedup(rows, None).select("session_id", "uuid"), "append", "dedup") == sorted({(r.session_id, r.uuid) for r in read.collect()})
     assert run(streams.stream_activity(rows.where("id < 0")), "update", "none", ["session_id"]) == []
 
 
+def store(spark, path, rows):
+    held = SessionStore.create(spark, path, {"messages": (rows.schema, "session_id"), "sessions": (StructType.fromDDL("id string, name string"), "id")}, 8)
+    held.replace(rows, {"messages": rows})
+    return held
+
+
 def test_merge_publishes_changed_sessions_only(spark, tmp_path):
     """The second batch repeats the store's rows and changes nothing."""
     source, schema = f"file://{tmp_path}/in", "id long, session_id string, uuid string"
     for first in (0, 0, 6):
         spark.range(first, first + 6).selectExpr("id", "concat('s', id DIV 3) AS session_id", "concat('u', id) AS uuid").coalesce(1).write.mode("append").parquet(source)
-    state = {"rows": spark.createDataFrame([(0, "s0", "u0"), (9, "s9", "u9")], schema), "written": []}
+    held = store(spark, f"file://{tmp_path}/store", spark.createDataFrame([(0, "s0", "u0"), (9, "s9", "u9")], schema))
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    streams.stream_merge(rows, held, f"file://{tmp_path}/state").awaitTermination()
+    assert held.state.version == 3  # the first content, and two batches of three
+    assert sorted(r.uuid for r in held.read("messages").collect()) == sorted([f"u{i}" for i in range(12)] + ["u9"])
 
-    def write(rows, number):
-        rows = spark.createDataFrame(rows.collect(), rows.schema)
-        state["written"].append(sorted({r.session_id for r in rows.collect()}))
-        kept = state["rows"].join(rows.select("session_id").distinct(), "session_id", "left_anti").select("id", "session_id", "uuid")
-        state["rows"] = spark.createDataFrame(kept.union(rows.select("id", "session_id", "uuid")).collect(), schema)
 
+def test_a_commit_writes_its_buckets_alone_and_once(spark, tmp_path, monkeypatch):
+    schema = "session_id string, id long"
+    first = spark.range(200).selectExpr("concat('s', id % 50) AS session_id", "id")
+    held = store(spark, f"file://{tmp_path}/store", first)
+    before, reader = dict(held.state.folders["messages"]), held.read("messages")
+    new = spark.createDataFrame([("s7", 1000)], schema)
+    assert held.replace(new, {"messages": new, "sessions": spark.createDataFrame([("s7", "n")], "id string, name string")}, ("stream", 4))
+    assert sum(before[b] != p for b, p in held.state.folders["messages"].items()) == 1
+    want = {(r.session_id, r.id) for r in first.collect() if r.session_id != "s7"} | {("s7", 1000)}
+    assert {(r.session_id, r.id) for r in held.read("messages").collect()} == want and held.read("sessions").count() == 1
+    assert not held.replace(new, {}, ("stream", 4)) and {(r.session_id, r.id) for r in held.read("messages").collect()} == want
+    assert reader.count() == 200  # what was opened stays
+    monkeypatch.setattr("threadloom.sources.store._publish", lambda *a: (_ for _ in ()).throw(OSError("disk")))
+    with pytest.raises(OSError):
+        held.replace(new, {}, ("stream", 5))
+    held.reopen()
+    assert {(r.session_id, r.id) for r in held.read("messages").collect()} == want
+
+
+def test_idle_sessions_leave_the_state(spark, tmp_path):
+    """A session that comes back after a month is counted anew; without a limit it is not."""
+    source, schema = f"file://{tmp_path}/in", "session_id string, id long, ts double, event_time timestamp"
+    for k, (session, day) in enumerate([("a", 1), ("b", 3), ("b", 20), ("b", 40), ("a", 41), ("b", 42)]):
+        spark.sql(f"SELECT '{session}' AS session_id, {k}L AS id, double({day}) AS ts, timestamp_seconds({day} * 86400) AS event_time").coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.01)
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    streams.stream_merge(rows, lambda: state["rows"], write, f"file://{tmp_path}/state").awaitTermination()
-    assert state["written"] == [["s0", "s1"], ["s2", "s3"]]
-    assert sorted(r.uuid for r in state["rows"].collect()) == sorted([f"u{i}" for i in range(12)] + ["u9"])
+
+    def run(plan, name):
+        got = streams.run_once(spark, plan, f"file://{tmp_path}/{name}", "update", f"file://{tmp_path}/{name}-state", ["session_id"])
+        return {r.session_id: r.n for r in got.collect()}
+
+    assert run(streams.stream_activity(rows), "all") == {"a": 2, "b": 4}
+    assert run(streams.stream_activity(rows, "7 days"), "idle")["a"] == 1

@@ -14,6 +14,7 @@ from ..operators import vectors as V
 from ..sources import registry
 from ..sources import transcripts as R
 from ..sources.shared import shared_path as shared
+from ..sources.store import SessionStore
 from ..streaming import streams
 from . import fixtures as D
 from .catalog import hashed
@@ -167,11 +168,20 @@ def rebuild_from_vault(spark, sf):
     return R.rebuild_from_vault(blocks(spark, sf), meta, D.tombstones(spark, sf))
 
 
-@query("SELECT id AS session_id, 'blocks' AS source FROM sessions")
-def detect_source(spark, sf):
-    """The registered reader of each kind of file takes the lines that are its own."""
-    name = registry.detect_source("/t/x.jsonl")
-    return registry.read_source(name, R.text_lines(R.to_block_jsonl(D.messages(spark, sf)), F.concat(F.lit("/t/"), "session_id", F.lit(".jsonl")), F.col("id") % 1000, F.col("value"))).select("session_id", F.lit(name).alias("source")).distinct()
+@query("""SELECT session_id, line, role, content, source FROM (
+  SELECT session_id, CAST(id % 1000 AS INTEGER) AS line, role, content, 'blocks' AS source, CAST(session_id AS BIGINT) AS k FROM messages WHERE id % 7 <> 0 AND id % 11 <> 0 AND trim(content) <> ''
+  UNION ALL SELECT session_id, CAST(id % 1000 + 1 AS INTEGER), CASE WHEN id % 3 = 0 THEN 'assistant' ELSE role END, CASE WHEN id % 3 = 0 THEN '[TOOL:sh] ' || left(content, 500) ELSE content END, 'rollout', CAST(session_id AS BIGINT) + 1 FROM messages
+  UNION ALL SELECT session_id, CAST(id % 1000 AS INTEGER), role, CASE WHEN role = 'user' THEN trim(content) ELSE content END, 'steps', CAST(session_id AS BIGINT) + 2 FROM messages WHERE role IN ('user', 'assistant')) WHERE k % 3 = 0""")
+def read_mixed(spark, sf):
+    """One folder's lines of three kinds of file, a third of the sessions each; files of a kind that nobody reads are left out."""
+    kinds = [(blocks, 0), (rollouts, 2), (steps, 1)]
+    stem = F.regexp_extract("path", r"(\d+)\.jsonl$", 1).cast("long")
+    lines = None
+    for make, rest in kinds:
+        own = make(spark, sf).where(stem % 3 == rest)
+        lines = own if lines is None else lines.unionByName(own)
+    other = blocks(spark, sf).withColumn("path", F.concat("path", F.lit(".bak")))
+    return registry.read_mixed(lines.unionByName(other)).select("session_id", "line", "role", "content", "source")
 
 
 def stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,43 +200,57 @@ def stream_dedup(spark, sf):
 
 @query("SELECT session_id, max(ts) AS last_ts, count(*) AS n FROM messages GROUP BY session_id")
 def stream_activity(spark, sf):
-    return streams.run_once(spark, streams.stream_activity(stream(spark, sf)), shared(spark, "activity-rows"), "complete", shared(spark, "activity"), ["session_id"])
+    return streams.run_once(spark, streams.stream_activity(stream(spark, sf), "30 days"), shared(spark, "activity-rows"), "update", shared(spark, "activity"), ["session_id"])
 
 
 @query("SELECT session_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM (SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS n FROM messages) WHERE n <= 3 GROUP BY session_id")
 def stream_tail(spark, sf):
-    rows = streams.run_once(spark, streams.stream_tail(stream(spark, sf), 3), shared(spark, "tail-rows"), "update", shared(spark, "tail"), ["session_id"])
+    rows = streams.run_once(spark, streams.stream_tail(stream(spark, sf), 3, "30 days"), shared(spark, "tail-rows"), "update", shared(spark, "tail"), ["session_id"])
     return rows.select("session_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
+def store_of(spark: SparkSession, sf: str, messages: DataFrame) -> SessionStore:
+    """A store of messages, sessions, segments and verdicts that holds the given messages."""
+    shapes = {"messages": (messages.schema, "session_id"), "sessions": (D.sessions(spark, sf).schema, "id"), "segments": (D.segments(spark, sf).schema, "session_id"), "verdicts": (D.verdicts(spark, sf).schema, "session_id")}
+    store = SessionStore.create(spark, shared(spark, "store"), shapes, 16)
+    store.replace(messages, {"messages": messages})
+    return store
+
+
 @query("SELECT session_id, uuid, content FROM messages WHERE id % 3 <> 0 UNION ALL SELECT session_id, uuid, 'stored' FROM messages WHERE id % 3 = 0")
 def stream_merge(spark, sf):
     """A store that holds a third of the messages, and the stream merged into it."""
-    store, state = shared(spark, "merged"), {"n": 0}
     columns = ["id", "session_id", "uuid", "content"]
-    D.messages(spark, sf).where("id % 3 = 0").withColumn("content", F.lit("stored")).select(*columns).write.parquet(f"{store}/0")
-
-    def write(rows: DataFrame, number: int) -> None:
-        old = spark.read.parquet(f"{store}/{state['n']}")
-        M.replace_sessions(old, rows, rows).write.parquet(f"{store}/{state['n'] + 1}")
-        state["n"] += 1
-
-    streams.stream_merge(stream(spark, sf).select(*columns), lambda: spark.read.parquet(f"{store}/{state['n']}"), write, shared(spark, "merge")).awaitTermination()
-    return spark.read.parquet(f"{store}/{state['n']}").select("session_id", "uuid", "content")
+    store = store_of(spark, sf, D.messages(spark, sf).where("id % 3 = 0").withColumn("content", F.lit("stored")).select(*columns))
+    streams.stream_merge(stream(spark, sf).select(*columns), store, shared(spark, "merge")).awaitTermination()
+    return store.read("messages").select("session_id", "uuid", "content")
 
 
 @query("SELECT session_id, id, content FROM messages")
 def stream_ingest(spark, sf):
     """A store that holds half of the sessions, then each batch's sessions replaced in it."""
-    store, state = shared(spark, "store"), {"n": 0}
-    D.messages(spark, sf).where("id % 2 = 0").withColumn("content", F.lit("old")).select("session_id", "id", "content").write.parquet(f"{store}/0")
-
-    def write(rows: DataFrame, number: int) -> None:
-        state["n"] += 1
-        rows.write.parquet(f"{store}/{state['n']}")
-
-    streams.stream_ingest(stream(spark, sf).select("session_id", "id", "content"), lambda: spark.read.parquet(f"{store}/{state['n']}"), write, shared(spark, "ingest")).awaitTermination()
-    return spark.read.parquet(f"{store}/{state['n']}")
+    store = store_of(spark, sf, D.messages(spark, sf).where("id % 2 = 0").withColumn("content", F.lit("old")).select("session_id", "id", "content"))
+    streams.stream_ingest(stream(spark, sf).select("session_id", "id", "content"), store, shared(spark, "ingest")).awaitTermination()
+    return store.read("messages")
+
+
+def written_through(spark: SparkSession, sf: str) -> SessionStore:
+    """The whole stream merged into a store, with its sessions, segments and verdicts."""
+    columns = ["id", "session_id", "uuid", "content", "ts"]
+    store = store_of(spark, sf, D.messages(spark, sf).where("id % 3 = 0").select(*columns))
+    sides = {"sessions": D.sessions(spark, sf).withColumn("message_count", F.lit(0).cast("long")), "segments": D.segments(spark, sf), "verdicts": D.verdicts(spark, sf)}
+    streams.stream_write_through(stream(spark, sf).select(*columns), sides, store, shared(spark, "through")).awaitTermination()
+    return store
+
+
+@query("""SELECT s.id, s.project, s.message_count, s.is_subagent, coalesce(g.n, 0) AS n_segments, v.verdict FROM sessions s
+LEFT JOIN (SELECT session_id, count(*) AS n FROM segments GROUP BY 1) g ON g.session_id = s.id LEFT JOIN (SELECT DISTINCT session_id, verdict FROM verdicts) v ON v.session_id = s.id""")
+def stream_write_through(spark, sf):
+    store = written_through(spark, sf)
+    n = store.read("segments").groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("n_segments"))
+    v = store.read("verdicts").select(F.col("session_id").alias("id"), "verdict")
+    rows = store.read("sessions").join(n, "id", "left").join(v, "id", "left")
+    return rows.select("id", "project", "message_count", "is_subagent", F.coalesce("n_segments", F.lit(0).cast("long")).alias("n_segments"), "verdict")
 
 
 def topped_up(spark: SparkSession, sf: str) -> DataFrame:
