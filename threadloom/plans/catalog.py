@@ -152,12 +152,12 @@ KEYWORD = keyword_sql()
 _indexes: dict[tuple[str, str], str] = {}
 
 
-def word_index(spark, sf) -> I.WordIndex:
-    """The stored index of the messages, written once a session and folder."""
-    key = (spark.sparkContext.applicationId, sf)
+def word_index(spark, sf, stem=None) -> I.WordIndex:
+    """The stored index of the messages, of words or stems, written once a session and folder."""
+    key = (spark.sparkContext.applicationId, f"{sf}#{stem}")
     if key not in _indexes:
         path = shared_path(spark, "word-index")
-        I.write_index(D.messages(spark, sf), path)
+        I.write_index(D.messages(spark, sf), path, stem=stem)
         _indexes[key] = path
     return I.open_index(spark, _indexes[key])
 
@@ -196,7 +196,10 @@ def tokenize(spark, sf):
     return S.tokenize(D.messages(spark, sf))
 
 
-@query()
+PORTER = f", spoken AS (SELECT id, {D.tokens_sql('content')} AS w FROM messages), {D.porter_sql('SELECT DISTINCT unnest(w) AS word FROM spoken')}"
+
+
+@query(f"{PORTER} SELECT id, pos, coalesce(stem, t.word) AS term FROM (SELECT id, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos, unnest(w) AS word FROM spoken) t LEFT JOIN stems USING (word)")
 def tokenize_porter(spark, sf):
     return S.tokenize(D.messages(spark, sf), "porter")
 
@@ -224,6 +227,17 @@ def bm25_documents(spark, sf):
     return S.bm25(docs, terms(spark))
 
 
+@query(f", now AS (SELECT id, CASE WHEN id % 10 = 3 THEN 'fresh ' || content ELSE content END AS content FROM messages WHERE id % 10 <> 7), w AS (SELECT id, unnest({D.tokens_sql('content')}) AS term, len({D.tokens_sql('content')}) AS len FROM now) SELECT term, id, CAST(len AS INTEGER) AS len, CAST(count(*) AS INTEGER) AS tf, CAST(count(*) OVER (PARTITION BY term) AS BIGINT) AS df, (SELECT count(*) FROM now) AS n_docs FROM w GROUP BY term, id, len")
+def update_index(spark, sf):
+    """An index of which a tenth of the messages was replaced and a tenth removed afterwards."""
+    m, path = D.messages(spark, sf), shared_path(spark, "updated-index")
+    I.write_index(m, path)
+    changed = m.where("id % 10 = 3").withColumn("content", F.concat(F.lit("fresh "), "content"))
+    index = I.update_index(spark, path, changed, m.where("id % 10 = 7").select("id"))
+    rows = index.postings.join(index.terms, ["bucket", "term"]).join(F.broadcast(index.totals))  # totals: one row
+    return rows.select("term", "id", "len", "tf", "df", "n_docs")
+
+
 @query(f"SELECT p.query_id, w.id, p.term FROM (SELECT id, ' ' || array_to_string({D.tokens_sql('content')}, ' ') || ' ' AS t FROM messages) w, (VALUES (1, 'of the'), (2, 'the and'), (3, 'scum')) p(query_id, term) WHERE contains(w.t, ' ' || p.term || ' ')")
 def phrase_search(spark, sf):
     phrases = spark.createDataFrame([(1, "of the"), (2, "the and"), (3, "scum")], "query_id int, term string")
@@ -253,6 +267,17 @@ def boolean_search(spark, sf):
     return S.boolean_search(word_index(spark, sf), Q.query_clauses(D.queries(spark)))
 
 
+@query(f"""{PORTER}, stemmed AS (SELECT id, coalesce(stem, t.word) AS term, pos FROM (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM spoken) t LEFT JOIN stems USING (word)),
+asked_words AS (SELECT m.id AS query_id, w[1] AS a, w[2] AS b FROM spoken m WHERE len(w) >= 2 AND m.id % 20 = 0),
+asked_stems AS (SELECT query_id, coalesce(x.stem, a) AS a, coalesce(y.stem, b) AS b FROM asked_words LEFT JOIN stems x ON x.word = a LEFT JOIN stems y ON y.word = b)
+SELECT DISTINCT query_id, p.id FROM asked_stems q JOIN stemmed p ON p.term = q.a JOIN stemmed r ON r.id = p.id AND r.term = q.b AND r.pos = p.pos + 1""")
+def stemmed_phrases(spark, sf):
+    """The first two words of every twentieth message, as a phrase of stems over a stemmed index."""
+    m, w = D.messages(spark, sf), X.tokens(F.col("content"))
+    asked = m.where("id % 20 = 0").select(F.col("id").alias("query_id"), w.alias("w")).where("size(w) >= 2").select("query_id", F.format_string('"%s %s"', F.col("w")[0], F.col("w")[1]).alias("text"))
+    return S.matches(word_index(spark, sf, "porter"), asked).select("query_id", "id")
+
+
 @query(f", {MATCH} SELECT query_id, id, score FROM scored")
 def matches(spark, sf):
     return S.matches(word_index(spark, sf), D.queries(spark))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import stemming
 from ..sources.shared import held
 
 START = 1704067200
@@ -188,3 +189,34 @@ def human_sql(role: str, c: str) -> str:
 
 def tokens_sql(c: str) -> str:
     return f"regexp_extract_all(strip_accents(lower({c})), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def porter_sql(words: str) -> str:
+    """CTEs that end in stems (word, stem) of a query of words, by patterns of vowels and consonants."""
+    con, vow = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+    some = lambda w: f"regexp_matches({w}, '^({con})?{vow}{con}')"
+    one = lambda w: f"regexp_matches({w}, '^({con})?{vow}{con}({vow})?$')"
+    more = lambda w: f"regexp_matches({w}, '^({con})?{vow}{con}{vow}{con}')"
+    vowel = lambda w: f"regexp_matches({w}, '^({con})?[aeiouy]')"
+    short = lambda w: f"regexp_matches({w}, '^{con}[aeiouy][^aeiouwxy]$')"
+    cut = lambda n: f"left(w, len(w) - {n})"
+
+    def suffixes(table: dict[str, str]) -> str:
+        found = sorted(table, key=len, reverse=True)
+        return "CASE " + " ".join(f"WHEN ends_with(w, '{x}') THEN CASE WHEN {some(cut(len(x)))} THEN {cut(len(x))} || '{table[x]}' ELSE w END" for x in found) + " ELSE w END"
+
+    fourth = "CASE " + " ".join(
+        f"WHEN ends_with(w, '{x}') THEN CASE WHEN {more(cut(len(x)))}" + (f" AND right({cut(len(x))}, 1) IN ('s', 't')" if x == "ion" else "") + f" THEN {cut(len(x))} ELSE w END" for x in sorted(stemming._STEP4, key=len, reverse=True)
+    ) + " ELSE w END"
+    return f"""p0 AS (SELECT word, regexp_replace(word, '^y', 'Y') AS w FROM ({words}) WHERE regexp_full_match(word, '[a-z]{{3,64}}')),
+p1 AS (SELECT word, CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN {cut(2)} WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN {cut(1)} ELSE w END AS w FROM p0),
+p2 AS (SELECT word, CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {some(cut(3))} THEN {cut(1)} ELSE w END WHEN ends_with(w, 'ed') AND {vowel(cut(2))} THEN {cut(2)} WHEN ends_with(w, 'ing') AND {vowel(cut(3))} THEN {cut(3)} ELSE w END AS w,
+  NOT ends_with(w, 'eed') AND (ends_with(w, 'ed') AND {vowel(cut(2))} OR ends_with(w, 'ing') AND {vowel(cut(3))}) AS again FROM p1),
+p3 AS (SELECT word, CASE WHEN NOT again THEN w WHEN right(w, 2) IN ('at', 'bl', 'iz') THEN w || 'e' WHEN len(w) > 1 AND right(w, 1) = left(right(w, 2), 1) AND right(w, 1) NOT IN ('a', 'e', 'i', 'o', 'u', 'y', 'l', 's', 'z') THEN {cut(1)} WHEN {one('w')} AND {short('w')} THEN w || 'e' ELSE w END AS w FROM p2),
+p4 AS (SELECT word, CASE WHEN ends_with(w, 'y') AND {vowel(cut(1))} THEN {cut(1)} || 'i' ELSE w END AS w FROM p3),
+p5 AS (SELECT word, {suffixes(stemming._STEP2)} AS w FROM p4),
+p6 AS (SELECT word, {suffixes(stemming._STEP3)} AS w FROM p5),
+p7 AS (SELECT word, {fourth} AS w FROM p6),
+p8 AS (SELECT word, CASE WHEN ends_with(w, 'e') AND ({more(cut(1))} OR {one(cut(1))} AND NOT {short(cut(1))}) THEN {cut(1)} ELSE w END AS w FROM p7),
+p9 AS (SELECT word, CASE WHEN ends_with(w, 'll') AND {more(cut(1))} THEN {cut(1)} ELSE w END AS w FROM p8),
+stems AS (SELECT word, lower(w) AS stem FROM p9)"""
