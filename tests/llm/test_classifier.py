@@ -1,3 +1,6 @@
+import math
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -47,3 +50,29 @@ def test_trees_by_array_walk_and_by_nodes():
     assert np.allclose(model.raw(x[:100]), [walk(r) for r in x[:100]])
     assert ((model.predict(x) > 0.5) == y).mean() > 0.95
     assert 0 < boosting.fit(x[:3], y[:3]).predict(x[:1])[0] < 1
+
+
+def features_plainly(text):
+    words, lines = re.findall(r"[^\x20\x09-\x0D]+", text), [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, chars = len(words), sum(map(len, words))
+    seen, repeated = {}, set()
+    for i in range(n - 4):
+        seen.setdefault(tuple(words[i : i + 5]), []).append(i)
+    for places in seen.values():
+        if len(places) > 1:
+            repeated.update(j for i in places for j in range(i, i + 5))
+    count = lambda pattern: len(re.findall(pattern, text))
+    upper = sum(unicodedata.category(c) == "Lu" for c in text)
+    return [
+        math.log(1 + n), math.log(1 + len(lines)), chars / max(n, 1), count(r"[#*$%&|<>]") / max(n, 1), upper / max(chars, 1), (len(lines) - len(set(lines))) / max(len(lines), 1),
+        len(repeated) / max(n, 1), len(set(words)) / max(n, 1), count("[0-9]") / max(chars, 1), count("[,;:!?]") / max(n, 1), count(r"\.") / max(n, 1), n / max(len(lines), 1),
+    ]
+
+
+def test_features_by_plain_rules(spark, sf_tiny):
+    docs = spark.read.parquet(f"{sf_tiny}/documents.parquet").select("doc_id", "text").limit(150)
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "a b c d e a b c d e\n\n A\nA\n #1."), (-4, "Ä " * 40)], "doc_id long, text string")
+    both = docs.union(odd)
+    texts = {r.doc_id: r.text or "" for r in both.collect()}
+    got = {r.doc_id: [r[k] for k in classifier.FEATURES] for r in classifier.features(both).collect()}
+    assert set(got) == set(texts) and all(np.allclose(got[i], features_plainly(t)) for i, t in texts.items())

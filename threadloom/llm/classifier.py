@@ -24,7 +24,8 @@ from .boosting import Trees, calibrated
 from .common import materialize
 from .quality_rules import with_statistics
 
-#: Labelled documents that the trees are fitted on, at most (chosen by hash).
+#: Labelled documents that the trees are fitted on, about, at most (chosen by hash); rows of theirs,
+#: where labels or documents repeat, twice as many.
 MAX_TRAIN = 20_000
 
 #: Features, as expressions over the statistics.
@@ -63,7 +64,8 @@ def train(stats: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tr
     n = usable.count()
     share = min(1.0, max_train / max(n, 1))
     few = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else usable
-    rows = few.join(stats, "doc_id").limit(2 * max_train).toPandas().sort_values(["doc_id", *FEATURES])
+    # The first by hash, so that repeated rows too are the same on every run.
+    rows = few.join(stats, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES, "quality").limit(2 * max_train).toPandas().sort_values(["doc_id", *FEATURES])
     x, y = rows[list(FEATURES)].to_numpy(np.float64), rows["quality"].to_numpy(np.float64)
     return calibrated(x, y, rows["doc_id"].to_numpy(np.int64) * 7919 % 3)[0]
 
