@@ -116,10 +116,16 @@ def substring_fallback(docs: DataFrame, queries: DataFrame, answered: DataFrame,
 
 
 def scan_search(docs: DataFrame, terms: DataFrame, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
-    """query_id, id, session_id, ts of messages whose human text contains every term."""
-    wanted = terms.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    m = date_bounds(docs, first_day, last_day).withColumn("low", F.lower(X.strip_generated(F.col("content"))))
-    return m.join(small(wanted), F.forall("terms", lambda t: F.contains("low", t))).select("query_id", "id", "session_id", "ts")
+    """query_id, id, session_id, ts of messages whose human text contains every term. Texts meet a
+    query by the rarest trigram of its longest term, and are then held against all terms; only
+    queries without any term of three characters meet every text."""
+    wanted = terms.where("term <> ''").groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"), F.max_by("term", F.struct(F.length("term"), "term")).alias("probe"))
+    m = date_bounds(docs, first_day, last_day).withColumn("low", F.lower(X.strip_generated(F.col("content")))).select("id", "session_id", "ts", "low")
+    every = lambda rows: rows.where(F.forall("terms", lambda t: F.contains("low", t))).select("query_id", "id", "session_id", "ts")
+    short, few = local(wanted.where("length(probe) < 3"))
+    met = substring_search(m, wanted.where("length(probe) >= 3").select("query_id", "probe"), text="low")
+    found = every(met.join(wanted, "query_id").join(m, "id"))
+    return found if few and not short.limit(1).count() else found.unionByName(every(m.join(F.broadcast(short) if few else short)))
 
 
 def date_bounds(messages: DataFrame, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
