@@ -38,6 +38,8 @@ LEVEL = 3
 END_ID = 0
 #: Words encoded in one go.
 ROW = 64
+#: Texts encoded at once.
+ROWS = 1_000
 #: Bytes of text in a part, about.
 PART_BYTES = 32 << 20
 
@@ -131,9 +133,10 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, unit: str = "byte",
             row = {"part": part, "chunk": chunk, "n_ids": len(ids), "unit": unit, "planes": to_planes(ids, unit), "docs": index}
             return pa.RecordBatch.from_pylist([row], schema)
 
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             coder = byte_bpe_encoder(tokenizer)
             ids, sizes = coder.encode(batch.column(1).to_pylist())
+            pa.default_memory_pool().release_unused()
             at = 0
             for doc_id, n in zip(batch.column(0).to_pylist(), sizes.tolist()):
                 left = np.append(ids[at : at + n], np.uint32(end_id))
