@@ -139,8 +139,9 @@ def _dealt(docs: DataFrame, text: str) -> tuple[int, int, DataFrame]:
 def _write_segment(rows: DataFrame, path: str, buckets: int, files: int) -> None:
     """rows: as of _counted. Writes postings, and from these the terms."""
     spark = rows.sparkSession
-    spread = F.pmod(F.xxhash64("term", "id"), F.when(F.col("term") == "", files * buckets).otherwise(files))
-    dealt = rows.withColumn("bucket", F.when(F.col("term") == "", TEXTS).otherwise(bucket_of("term", buckets))).repartition(buckets * files, "bucket", spread)
+    spread = F.pmod(F.xxhash64("term", "id"), F.lit(files))
+    home = F.when(F.col("term") == "", F.pmod(F.xxhash64("id"), F.lit(files * buckets))).otherwise(bucket_of("term", buckets) * files + spread).cast("int")
+    dealt = rows.withColumn("bucket", F.when(F.col("term") == "", TEXTS).otherwise(bucket_of("term", buckets))).repartitionById(buckets * files, home)
     dealt.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
     kind = rows.schema["id"].dataType.simpleString()
     stored = _read(spark, f"{path}/postings", kind).where(F.col("bucket") != TEXTS)
