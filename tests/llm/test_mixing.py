@@ -36,6 +36,7 @@ def test_corpus(spark, sf_small):
         taken[r.source] += r.taken
     largest = max(r.size for r in rows)
     assert all(abs(taken[s] - want[s]) <= largest for s in sizes)
+    assert all(abs(taken[s] - want[s]) <= 0.05 * want[s] for s in sizes)
     again = {(r.doc_id, r.taken) for r in mixing.mixture(docs.repartition(5)).collect()}
     assert again == {(r.doc_id, r.taken) for r in rows}
     mixed = mixing.mix(docs)
@@ -71,3 +72,28 @@ def test_flight_is_unbiased():
     size, psi = np.array([3, 5, 8, 13, 21, 3, 3]), np.array([0.3, 0.6, 0.5, 0.2, 0.4, 0.7, 0.3])
     mean = np.mean([mixing.fly(size, psi, np.random.default_rng(i), False) for i in range(4000)], 0)
     assert np.abs(mean - psi).max() < 0.03
+
+
+def test_landing_against_all_outcomes():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 12):
+        size, psi = rng.integers(1, 3000, n), rng.random(n) * 0.9 + 0.05
+        got = mixing.landing(size, psi)
+        outcomes = [[i >> j & 1 for j in range(n)] for i in range(1 << n)]
+        near = [o for o in outcomes if abs(sum(o) - psi.sum()) <= 1]
+        best = min(abs(float(np.dot(o, size) - np.dot(psi, size))) for o in near)
+        assert abs(got.sum() - psi.sum()) <= 1 and abs(float(got @ size - psi @ size)) == pytest.approx(best)
+
+
+def test_landing_of_many_documents_hits_the_words():
+    rng = np.random.default_rng(4)
+    for seed in range(20):
+        size = np.sort(np.exp(rng.normal(5, 1.3, 300)).astype(int) + 1)[::-1]
+        size = size[mixing.last_spread(size)]
+        psi = np.full(300, 0.4)
+        left = mixing.fly(size, psi, np.random.default_rng(seed), False, mixing.LANDING)
+        assert ((left > 0) & (left < 1)).sum() <= mixing.LANDING
+        got = mixing.fly(size, psi, np.random.default_rng(seed), True, mixing.LANDING)
+        assert set(got) <= {0.0, 1.0} and abs(got.sum() - 120) <= 1 + 1e-6
+        assert abs((got * size).sum() - 0.4 * size.sum()) <= 0.01 * 0.4 * size.sum()
+    assert sorted(mixing.last_spread(np.full(7, 3))) == list(range(7)) and len(mixing.last_spread(np.zeros(0, int))) == 0

@@ -4,8 +4,9 @@ A document of a source whose target is m times its size is wanted m times in exp
 floor(m) copies are certain, the rest is an inclusion probability. The flight phase moves the
 probabilities of three documents at a time through the null space of two constraints, the
 source's words and its documents, until each is 0 or 1. It runs in bounded blocks of one
-source; each block leaves two documents at most, which meet in fewer blocks the next round,
-until two at most are left in a source. Landing settles these so that words miss least.
+source; each block leaves LANDING documents at most, most of them spread over its sizes, which
+meet in fewer blocks the next round, until LANDING at most are left in a source. Landing
+settles these together: the number of documents stays within one, and words miss least.
 
 Defined results: null texts have size 0; documents of size 0 are never taken, sources of
 size 0 have target 0; null is a source, the last in order; rows of equal doc_id, source and
@@ -23,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name, materialize, text_of
+from .common import WORD, Workspace, free_name, materialize, text_of
 
 #: A target stops at so many times its source's size.
 MOST = 3
 #: Documents in a block of the flight phase, about.
 BLOCK = 2_000
+#: Documents that a block's flight leaves, and that the landing of a source settles at once.
+LANDING = 12
 EPS = 1e-9
 
 
@@ -59,17 +62,38 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return sums.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("final") * F.col("weight")).alias("target"))
 
 
-def fly(size: np.ndarray, psi: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
-    """Inclusion probabilities after the flight; with land, all of them 0 or 1."""
+def landing(size: np.ndarray, psi: np.ndarray) -> np.ndarray:
+    """The 0 and 1 for a few fractional documents: of all outcomes whose number of documents is
+    within one of the expected number, the one whose words are nearest to the expected words."""
+    n = len(size)
+    outcomes = np.arange(1 << n)[:, None] >> np.arange(n) & 1
+    fits = np.abs(outcomes.sum(1) - psi.sum()) <= 1 + EPS
+    miss = np.where(fits, np.abs(outcomes @ size - psi @ size), np.inf)
+    return outcomes[miss.argmin()].astype(float)
+
+
+def last_spread(size: np.ndarray) -> np.ndarray:
+    """The places of size with LANDING - 2 at most moved to the end: half of them evenly spaced
+    over the places, half over the words, so that the landing has small and large documents."""
+    at = (np.arange(LANDING // 2 - 1) + 0.5) / (LANDING // 2 - 1)
+    words = np.cumsum(size)
+    kept = np.unique(np.concatenate([(at * len(size)).astype(int), np.searchsorted(words, at * words[-1])])) if len(size) else np.arange(0)
+    return np.concatenate([np.setdiff1d(np.arange(len(size)), kept), kept])
+
+
+def fly(size: np.ndarray, psi: np.ndarray, rng: np.random.Generator, land: bool, left: int = 2) -> np.ndarray:
+    """Inclusion probabilities after the flight, left of which at most are not 0 or 1; with
+    land, none of them."""
     psi, held = psi.astype(float).tolist(), []
     sizes = size.tolist()
     draws = iter(rng.random(2 * len(psi) + 8).tolist())
+    open_ = sum(EPS < x < 1 - EPS for x in psi)
     for i in range(len(psi)):
         if not EPS < psi[i] < 1 - EPS:
             psi[i] = float(round(psi[i]))
             continue
         held.append(i)
-        while len(held) == 3:
+        while len(held) == 3 and open_ > left:
             a, b, c = held
             u = (sizes[c] - sizes[b], sizes[a] - sizes[c], sizes[b] - sizes[a])
             if not any(u):
@@ -77,39 +101,39 @@ def fly(size: np.ndarray, psi: np.ndarray, rng: np.random.Generator, land: bool)
             up = min(((1 - psi[k]) if x > 0 else psi[k]) / abs(x) for k, x in zip(held, u) if x)
             down = min((psi[k] if x > 0 else (1 - psi[k])) / abs(x) for k, x in zip(held, u) if x)
             step = up if next(draws) * (up + down) < down else -down
-            left = []
+            still = []
             for k, x in zip(held, u):
                 psi[k] += step * x
                 if EPS < psi[k] < 1 - EPS:
-                    left.append(k)
+                    still.append(k)
                 else:
                     psi[k] = float(round(psi[k]))
-            held = left
+            open_ -= len(held) - len(still)
+            held = still
+    after = np.array(psi)
     if land and held:
-        want = sum(psi[k] * sizes[k] for k in held)
-        outcomes = [[float(n >> j & 1) for j in range(len(held))] for n in range(1 << len(held))]
-        best = min(outcomes, key=lambda o: (abs(sum(x * sizes[k] for x, k in zip(o, held)) - want), o))
-        for k, x in zip(held, best):
-            psi[k] = x
-    return np.array(psi)
+        after[held] = landing(size[held], after[held])
+    return after
 
 
-def cube(units: DataFrame) -> DataFrame:
-    """units: doc_id, source, size, psi (distinct by the first three). The same with psi 0 or 1."""
+def cube(units: DataFrame, work: Workspace) -> DataFrame:
+    """units: doc_id, source, size, psi (distinct by the first three). The same with psi 0 or 1,
+    in tables of the workspace."""
     schema = "doc_id long, source string, size long, psi double, block long"
 
     def flight(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "size"], na_position="first")
+        frame = frame.sort_values(["size", "doc_id"], ascending=False)
+        frame = frame.iloc[last_spread(frame["size"].to_numpy())]
         _, block, blocks, turn = key
         seed = xxhash.xxh3_64_intdigest(f"{key[0]!r}:{block}:{turn}")
-        frame["psi"] = fly(frame["size"].to_numpy(), frame["psi"].to_numpy(), np.random.default_rng(seed), blocks == 1)
+        frame["psi"] = fly(frame["size"].to_numpy(), frame["psi"].to_numpy(), np.random.default_rng(seed), blocks == 1, LANDING)
         return frame[["doc_id", "source", "size", "psi", "block"]]
 
     done, turn = None, 0
     while True:
         counts = units.groupBy("source").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).withColumnRenamed("source", "name")
         dealt = units.join(counts, F.col("source").eqNullSafe(F.col("name"))).withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(turn)), F.col("blocks")))
-        moved = materialize(dealt.select("doc_id", "source", "size", "psi", "block", "blocks", F.lit(turn).alias("turn")).groupBy("source", "block", "blocks", "turn").applyInPandas(flight, schema).drop("block"), "flight")
+        moved = work.save(dealt.select("doc_id", "source", "size", "psi", "block", "blocks", F.lit(turn).alias("turn")).groupBy("source", "block", "blocks", "turn").applyInPandas(flight, schema).drop("block"), "flight")
         settled = moved.where("psi IN (0, 1)")
         done = settled if done is None else done.union(settled)
         units = moved.where("psi NOT IN (0, 1)")
@@ -118,25 +142,27 @@ def cube(units: DataFrame) -> DataFrame:
         turn += 1
 
 
-def decisions(sizes: DataFrame) -> DataFrame:
-    """From rows of doc_id, source, size: each unit with n_rows, its rows, sure, the copies of
-    each row, and extra, how many of the rows get one copy more; source_size and target."""
-    targets = materialize(source_targets(sizes), "targets").withColumnRenamed("source", "name")
-    units = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n_rows")).join(targets, F.col("source").eqNullSafe(F.col("name")))
-    times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    sure = F.when(F.col("size") > 0, F.floor(times + EPS)).otherwise(0)
-    units = units.withColumn("sure", sure).withColumn("more", F.when(F.col("size") > 0, F.greatest(F.col("n_rows") * (times - F.col("sure")), F.lit(0.0))).otherwise(0.0))
-    units = units.withColumn("whole", F.floor(F.col("more") + EPS)).withColumn("psi", F.greatest(F.col("more") - F.col("whole"), F.lit(0.0))).drop("name", "more")
-    units = materialize(units, "units")
-    picked = cube(units.where(F.col("psi") > EPS).select("doc_id", "source", "size", "psi")).select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), F.col("psi").alias("one"))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
-    return units.join(picked, same, "left").withColumn("extra", F.col("whole") + F.coalesce("one", F.lit(0.0)).cast("long")).select("doc_id", "source", "size", "n_rows", "sure", "extra", "source_size", "target")
+def decisions(docs: DataFrame) -> DataFrame:
+    """Each unit of docs (doc_id, source, size) with n_rows, its rows, sure, the copies of each
+    row, and extra, how many of the rows get one copy more; source_size and target."""
+    with Workspace(docs.sparkSession) as work:
+        sizes = work.save(docs.select("doc_id", "source", size_of().alias("size")), "sizes")
+        targets = work.save(source_targets(sizes), "targets").withColumnRenamed("source", "name")
+        units = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n_rows")).join(targets, F.col("source").eqNullSafe(F.col("name")))
+        times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+        sure = F.when(F.col("size") > 0, F.floor(times + EPS)).otherwise(0)
+        units = units.withColumn("sure", sure).withColumn("more", F.when(F.col("size") > 0, F.greatest(F.col("n_rows") * (times - F.col("sure")), F.lit(0.0))).otherwise(0.0))
+        units = units.withColumn("whole", F.floor(F.col("more") + EPS)).withColumn("psi", F.greatest(F.col("more") - F.col("whole"), F.lit(0.0))).drop("name", "more")
+        units = work.save(units, "units")
+        picked = cube(units.where(F.col("psi") > EPS).select("doc_id", "source", "size", "psi"), work).select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), F.col("psi").alias("one"))
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+        found = units.join(picked, same, "left").withColumn("extra", F.col("whole") + F.coalesce("one", F.lit(0.0)).cast("long"))
+        return materialize(found.select("doc_id", "source", "size", "n_rows", "sure", "extra", "source_size", "target"), "decisions")
 
 
 def mixture(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, size, source, source_size, target, copies and taken words."""
-    sizes = materialize(docs.select("doc_id", "source", size_of().alias("size")), "sizes")
-    rows = decisions(sizes).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n_rows"))))
+    rows = decisions(docs).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n_rows"))))
     copies = F.col("sure") + (F.col("k") <= F.col("extra")).cast("long")
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
@@ -145,7 +171,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """docs with each row repeated as often as the mix takes it."""
     size = free_name(docs, "size")
     sized = docs.withColumn(size, size_of())
-    units = materialize(decisions(materialize(docs.select("doc_id", "source", size_of().alias("size")), "sizes")), "decisions")
+    units = decisions(docs)
     names = {c: free_name(docs, f"unit_{c}") for c in ("doc_id", "source", "size", "n_rows", "sure", "extra")}
     units = units.select(*[F.col(c).alias(n) for c, n in names.items()])
     same = F.col("doc_id").eqNullSafe(F.col(names["doc_id"])) & F.col("source").eqNullSafe(F.col(names["source"])) & (F.col(size) == F.col(names["size"]))
