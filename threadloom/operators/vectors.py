@@ -17,8 +17,8 @@ from ..sources.shared import shared_path
 #: Texts and bytes handed to an embedder at once.
 BATCH_TEXTS, BATCH_BYTES = 128, 150_000
 LEAST_LENGTH = 12
-#: Vectors that meet a block of queries in one product.
-ROWS = 2_048
+#: Vectors and queries that meet in one product.
+ROWS, QUERIES = 2_048, 256
 
 
 def vector_corpus(messages: DataFrame) -> DataFrame:
@@ -88,8 +88,9 @@ def vector_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries
     """query_id, vec_id, similarity (nine decimals), rank: the k most similar vectors of equal
     length for each query (query_id, qvec), by cosine in double precision, then larger id; a zero
     norm counts as 1. Queries are met in blocks of most_queries at most, by hash, which is all
-    that is sent to the tasks; a task takes one matrix product of a block and an Arrow batch of
-    vectors, and keeps its k best of each query, so that only these are shuffled."""
+    that is sent to the tasks; a task takes matrix products of QUERIES queries and ROWS vectors, of
+    which the k best of each query are kept, so that it holds no more than these and one product,
+    and only these are shuffled."""
     spark = vectors.sparkSession
     kind, asked_kind = (d.schema[c].dataType.simpleString() for d, c in ((vectors, "vec_id"), (queries, "query_id")))
     asked = queries.where("qvec IS NOT NULL").select("query_id", "qvec")
@@ -123,16 +124,22 @@ def vector_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries
                             continue
                         v = values[begin[own][:, None] + np.arange(dim)]
                         lengths = np.sqrt((v * v).sum(1))
-                        sims = np.round((m @ v.T) / (norm[:, None] * np.where(lengths == 0, 1.0, lengths)), 9)
-                        q, j = np.nonzero(sims >= least[which][:, None])
-                        held.append((which[q], sims[q, j], ids.take(pa.array(own[j]))))
-                        size += len(q)
-                    if size > 4 * k * len(dims) + 10_000:
-                        held = [_pool(held, k)]
-                        size = len(held[0][0])
-                        full = np.bincount(held[0][0], minlength=len(dims)) >= k
-                        last = np.searchsorted(held[0][0], np.arange(len(dims)), "right") - 1
-                        least[full] = held[0][1][last[full]]
+                        lengths = np.where(lengths == 0, 1.0, lengths)
+                        for at_q in range(0, len(which), QUERIES):
+                            some = which[at_q : at_q + QUERIES]
+                            sims = np.round((m[at_q : at_q + QUERIES] @ v.T) / (norm[at_q : at_q + QUERIES, None] * lengths), 9)
+                            floor = least[some]
+                            if len(own) > k:  # what is under the batch's own k-th is not among the best
+                                floor = np.maximum(floor, np.partition(np.where(np.isnan(sims), -np.inf, sims), -k, axis=1)[:, -k])
+                            q, j = np.nonzero(sims >= floor[:, None])
+                            held.append((some[q], sims[q, j], ids.take(pa.array(own[j]))))
+                            size += len(q)
+                            if size > 4 * k * len(dims) + 10_000:
+                                held = [_pool(held, k)]
+                                size = len(held[0][0])
+                                full = np.bincount(held[0][0], minlength=len(dims)) >= k
+                                last = np.searchsorted(held[0][0], np.arange(len(dims)), "right") - 1
+                                least[full] = held[0][1][last[full]]
             if held:
                 query, sim, ids = _pool(held, k)
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), ids, pa.array(sim)], ["query_id", "vec_id", "similarity"])

@@ -19,7 +19,7 @@ from ..operators import sessions as O
 from ..operators import substrings as G
 from ..operators import topics as T
 from ..operators import vectors as V
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, written
 from . import fixtures as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -297,7 +297,8 @@ def trigram_candidates(spark, sf):
 
 @query("SELECT q.query_id, m.id FROM messages m JOIN (SELECT id AS query_id, substr(lower(content), 5, 7) AS probe FROM messages) q ON contains(lower(m.content), q.probe) WHERE length(trim(probe)) = 7 AND q.query_id % 20 = 0")
 def substring_search(spark, sf):
-    """Seven characters from within every twentieth message, searched by the stored trigrams."""
+    """Seven characters from within every twentieth message, searched by the stored trigrams, or, of
+    more probes than are looked up by value, in one pass over the texts."""
     m = D.messages(spark, sf)
     probes = m.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.substring(F.lower("content"), 5, 7).alias("probe")).where("length(trim(probe)) = 7")
     return G.substring_search(m, probes, index=gram_index(spark, sf))
@@ -728,7 +729,7 @@ def vector_knn(spark, sf):
 
 @query(f"WITH {KNN}, a AS (SELECT query_id, vec_id AS id, rank FROM knn WHERE rank <= 10), b AS (SELECT query_id, vec_id AS id, 21 - rank AS rank FROM knn WHERE rank BETWEEN 6 AND 20) SELECT query_id, id, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 9) AS score, a.rank IS NOT NULL AS in_keyword, b.rank IS NOT NULL AS in_vector FROM a FULL JOIN b USING (query_id, id)", base=False)
 def rrf_fuse(spark, sf):
-    n = knn(spark, sf, 20).select("query_id", F.col("vec_id").alias("id"), "rank")
+    n = written(knn(spark, sf, 20).select("query_id", F.col("vec_id").alias("id"), "rank"), "nearest")  # both lists are read from it
     return V.rrf_fuse(n.where("rank <= 10"), n.where("rank >= 6").withColumn("rank", 21 - F.col("rank"))).drop("rank")
 
 
