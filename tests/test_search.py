@@ -147,3 +147,21 @@ def test_many_phrases_are_met_by_runs_of_words(spark, tmp_path, monkeypatch, cap
     assert kept["hits"].count() == sum(len(want[n]) for n in range(7))
     matching.item_hits(index.open_index(spark, f"file://{tmp_path}/i"), matching.with_items(spark.createDataFrame([(p,) for p in phrases], "term string"))).explain()
     assert "explode(positions" not in capfd.readouterr().out
+
+
+def test_many_probes_meet_texts_in_one_pass(spark, monkeypatch):
+    """Repeated, short, long and absent probes, in blocks."""
+    rng = random.Random(3)
+    texts = {i: "".join(rng.choices("abC é", k=60)) for i in range(30)} | {30: None, 31: ""}
+    docs = spark.createDataFrame(list(texts.items()), "id long, content string")
+    probes = [(texts[i] or "").lower()[5 : 5 + n] for i in range(30) for n in (2, 3, 4, 9, 20)] + ["zzz", "abc"]
+    asked = spark.createDataFrame([(q, p) for q, p in enumerate(probes * 3)] + [(999, None)], "query_id int, probe string")
+    found_of, pairs = substrings._met, []
+    monkeypatch.setattr(substrings, "_met", lambda *a: pairs.append(found_of(*a)) or pairs[-1])
+    monkeypatch.setattr(substrings, "MOST_PROBES", 5)
+    monkeypatch.setattr(substrings, "BLOCK", 40)
+    got = found(substrings.substring_search(docs, asked))
+    want = {q: {i for i, t in texts.items() if t and p in t.lower()} for q, p in enumerate(probes * 3) if len(p) >= 3}
+    assert got == {q: ids for q, ids in want.items() if ids}
+    once = {p: want[q] for q, p in enumerate(probes) if len(p) >= 3}
+    assert len(pairs) > 1 and sum(d.count() for d in pairs) == sum(map(len, once.values()))

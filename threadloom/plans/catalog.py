@@ -301,7 +301,7 @@ def substring_search(spark, sf):
     more probes than are looked up by value, in one pass over the texts."""
     m = D.messages(spark, sf)
     probes = m.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.substring(F.lower("content"), 5, 7).alias("probe")).where("length(trim(probe)) = 7")
-    return G.substring_search(m, probes, index=gram_index(spark, sf))
+    return G.substring_search(m, probes, index=lambda: gram_index(spark, sf))
 
 
 @query(f", {TERMS}, wanted AS (SELECT query_id, list(DISTINCT term) AS ts FROM terms GROUP BY 1) SELECT query_id, id, session_id, ts FROM wanted, deco WHERE len(list_filter(wanted.ts, lambda t: NOT contains(lower({GEN}), t))) = 0 AND left(ts_iso, 10) >= '2024-01-02'".replace("SELECT query_id, id, session_id, ts FROM", "SELECT query_id, id, session_id, deco.ts FROM"))
