@@ -45,14 +45,15 @@ def candidates(
 def full_search(
     messages: DataFrame, sessions: DataFrame, queries: DataFrame, limit: int = 8, fetch: int | None = None, sort: str = "relevance", subagents: bool = False,
     index: WordIndex | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, callers: DataFrame | None = None, roots: DataFrame | None = None,
+    found: DataFrame | None = None,
 ) -> DataFrame:
     """query_id, rank, id, session_id, project, read_ref, ts_iso, missing, fused, total, has_more,
     widen_to, at_ceiling. In this order: candidates, without the caller's current turn; sorted;
     the best of each (project, lineage); rows without uuid left out; cut at limit. total counts
     what is left before the cut; where a query fetched as many rows as it may (at_ceiling), it
-    is a lower bound, and there is more."""
+    is a lower bound, and there is more. found: the candidates, where they are known already."""
     fetch = fetch or 4 * limit
-    rows = written(candidates(messages, sessions, queries, fetch, sort, subagents, index, vectors, query_vectors), "candidates")
+    rows = found if found is not None else written(candidates(messages, sessions, queries, fetch, sort, subagents, index, vectors, query_vectors), "candidates")
     ceiling = rows.groupBy("query_id").agg((F.count("*") >= fetch).alias("at_ceiling"))
     if callers is not None:
         rows = S.drop_current_turn(rows, messages, callers)

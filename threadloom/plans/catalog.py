@@ -440,15 +440,18 @@ full_hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n) AS
 
 
 def searched(spark, sf):
-    """Search by words and vectors; each query's caller is the first session that words find."""
-    vectors, asked = near_inputs(spark, sf)
-    callers = keyword(spark, sf).groupBy("query_id").agg(F.min("session_id").alias("caller_session"))
-    return R.full_search(D.messages(spark, sf), D.sessions(spark, sf), D.queries(spark), 3, 8, index=word_index(spark, sf), vectors=vectors, query_vectors=asked, callers=callers)
+    """Search by words and vectors, with its candidates and callers, each found once; a query's
+    caller is the first session that words find."""
+    m, s, asked = D.messages(spark, sf), D.sessions(spark, sf), D.queries(spark)
+    vectors, query_vectors = near_inputs(spark, sf)
+    callers = written(keyword(spark, sf).groupBy("query_id").agg(F.min("session_id").alias("caller_session")), "callers")
+    before = written(R.candidates(m, s, asked, 8, index=word_index(spark, sf), vectors=vectors, query_vectors=query_vectors), "candidates")
+    return R.full_search(m, s, asked, 3, 8, callers=callers, found=before), before, callers
 
 
 @query(f", {FULL} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, session_id, project, left(session_id, 8) || ':' || left(uuid, 8) AS read_ref, ts_iso, missing, fused, total, total > 3 OR at_ceiling AS has_more, CASE WHEN total > 3 OR at_ceiling THEN 20 END AS widen_to, at_ceiling FROM full_hits JOIN at_most USING (query_id) WHERE rank <= 3")
 def full_search(spark, sf):
-    return searched(spark, sf)
+    return searched(spark, sf)[0]
 
 
 STATES = "states AS (SELECT project AS scope, CASE project WHEN 'p1' THEN 'skipped_error' WHEN 'p2' THEN 'stale_fallback' WHEN 'p3' THEN 'not_consolidated' WHEN 'p4' THEN 'empty' ELSE 'searched' END AS state FROM (SELECT DISTINCT project FROM sessions))"
@@ -478,12 +481,9 @@ UNION ALL SELECT query_id, 5, 'store_fallback', 'store busy' FROM per
 UNION ALL SELECT query_id, 6, 'project_spread', projects || ',' || sample FROM per WHERE projects >= 2
 UNION ALL SELECT query_id, 7, 'raw_history', NULL FROM per""")
 def advisories(spark, sf):
-    m, s = D.messages(spark, sf), D.sessions(spark, sf)
-    vectors, asked = near_inputs(spark, sf)
-    before = R.candidates(m, s, D.queries(spark), 8, index=word_index(spark, sf), vectors=vectors, query_vectors=asked)
-    callers = keyword(spark, sf).groupBy("query_id").agg(F.min("session_id").alias("caller_session"))
-    dropped = before.join(S.drop_current_turn(before, m, callers).select("query_id", "id"), ["query_id", "id"], "left_anti").groupBy("query_id").agg(F.count("*").alias("n"))
-    return R.advisories(searched(spark, sf), R.scope_states(scopes(spark, sf)), dropped=dropped, store_note="store busy")
+    found, before, callers = searched(spark, sf)
+    dropped = before.join(S.drop_current_turn(before, D.messages(spark, sf), callers).select("query_id", "id"), ["query_id", "id"], "left_anti").groupBy("query_id").agg(F.count("*").alias("n"))
+    return R.advisories(found, R.scope_states(scopes(spark, sf)), dropped=dropped, store_note="store busy")
 
 
 # Sessions and views
