@@ -109,7 +109,8 @@ class Network:
 
     def projected(self, vectors: np.ndarray) -> np.ndarray:
         """What each word (its embedding) adds to every filter at every place: one row a word."""
-        return np.hstack([vectors @ f[i] for f in self.filters for i in range(len(f))]).astype(np.float32)
+        # Summed component by component: a matrix product's last digit depends on how many words it has.
+        return np.hstack([sum(vectors[:, d, None] * f[i, d] for d in range(f.shape[1])) for f in self.filters for i in range(len(f))]).astype(np.float32)
 
     def embedded(self, rows: Rows) -> np.ndarray:
         return np.add.reduceat(self.table[rows.flat], rows.start[:-1], axis=0) / np.diff(rows.start)[:, None]
@@ -298,7 +299,8 @@ class Scorer:
                 held = []
         full = tops[:, 0] > -np.inf if tops.shape[1] else np.zeros(len(texts), bool)
         odds = np.full(len(texts), self.net.base)
-        odds[full] += np.maximum(tops[full], 0) @ self.net.out
+        for j, w in enumerate(self.net.out):  # in this order in every batch, so equal texts get equal scores
+            odds[full] += np.maximum(tops[full, j], 0) * w
         return odds, np.where(told.any(1), told.argmax(1), len(FUNCTION_WORDS))
 
     def _raise(self, tops: np.ndarray, coded: list[np.ndarray], held: list[tuple[int, int, int]]) -> None:
