@@ -58,3 +58,12 @@ def test_edges(spark):
     assert got.columns == ["doc_id", "n", "ids", "n_ids", "n_bytes", "ids_crc32", "parity"]
     assert sorted((r.doc_id or 0, r.n or 0, r.n_ids) for r in got.collect()) == [(0, 0, 0), (1, 1, 0), (3, 2, 2), (3, 2, 2)]
     assert sc.encode(docs.limit(0), PATH).count() == 0
+
+
+def test_parts_of_a_batch_are_small(monkeypatch):
+    """A batch is taken in runs of PART_CHARS; of it no copy as Python texts is held, and what Arrow freed goes back after each."""
+    freed = []
+    monkeypatch.setattr(sc.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: freed.append(1)})())
+    batch = sc.pa.RecordBatch.from_pydict({"n": [1, 2, 3, 4], "t": ["a" * sc.PART_CHARS, "", "b", "é" * (3 * sc.PART_CHARS)]})
+    assert [p.column("n").to_pylist() for p in sc._parts(iter([batch, batch.slice(0, 0)]), "t")] == [[1, 2], [3], [4]]
+    assert len(freed) == 3 and sc.PART_CHARS <= 1 << 18

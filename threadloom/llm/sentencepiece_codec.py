@@ -24,6 +24,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,10 @@ from .wordwise import WordEncoder, flattened
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
-PART_CHARS = 1 << 20
+#: Characters of text encoded at once.
+PART_CHARS = 1 << 18
+#: Words that a worker remembers, some 200 bytes each.
+MEMORY = 200_000
 
 
 @dataclass
@@ -142,7 +147,7 @@ class Codec:
         self.wordwise = self.model.dummy_prefix and self.model.escape and not (self.model.charsmap or self.model.collapse_spaces or inner or newline) and self.model.byte_fallback
         self.differ: set[tuple[int, ...]] = set()
         special = [re.escape(p) for p, _, kind in self.model.pieces if kind == USER]
-        self.words = WordEncoder(self._words, self._texts, False, "|".join(["^ ", MARK, *special]))
+        self.words = WordEncoder(self._words, self._texts, False, "|".join(["^ ", MARK, *special]), MEMORY)
         self.bytes = np.array([kind == BYTE for *_, kind in self.model.pieces])
         self.differing_words: set[str] = set()
 
@@ -194,14 +199,24 @@ def codec(path: str, threads: int = 2) -> Codec:
     return _codecs[key]
 
 
-def _parts(frame: pd.DataFrame, column: str) -> Iterator[pd.DataFrame]:
-    """Runs of rows of some PART_CHARS of text: ids as Python numbers take many times their text."""
-    ends = np.cumsum(frame[column].str.len().to_numpy(np.int64))
-    at = 0
-    while at < len(frame):
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_CHARS, "right")))
-        yield frame.iloc[at:end].copy()
-        at = end
+def _parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of some PART_CHARS of text: ids as Python numbers take many times their text.
+    What Arrow has freed goes back to the system after each, as a worker outlives its stage."""
+    for batch in batches:
+        ends, at = np.cumsum(pc.utf8_length(batch.column(column)).to_numpy().astype(np.int64)), 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_CHARS, "right")))
+            yield batch.slice(at, end - at)
+            pa.default_memory_pool().release_unused()
+            at = end
+
+
+def _digests(own: Codec, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Where each text's ids start (and the last ends); their number, how many are of byte fallback, and their crc32."""
+    edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    fallback, raw = np.concatenate([[0], np.cumsum(own.bytes[ids])]), memoryview(ids.astype("<u4").tobytes())
+    crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+    return edges, {"n_ids": pa.array(np.diff(edges)), "n_bytes": pa.array(np.diff(fallback[edges]).astype(np.int64)), "ids_crc32": pa.array(crcs, pa.int64())}
 
 
 def encode(docs: DataFrame, path: str, threads: int = 2) -> DataFrame:
@@ -210,17 +225,16 @@ def encode(docs: DataFrame, path: str, threads: int = 2) -> DataFrame:
     kept = [c for c in docs.columns if c.lower() not in {*new, "text"}]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"{k} {v}" for k, v in new.items())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in (part for whole in frames for part in _parts(whole, "text_")):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches, "text_"):
             own = codec(path, threads)
-            ids, sizes, same = own.encode(frame.pop("text_").tolist())
-            parts = np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
-            for c in kept:
-                if frame[c].dtype == np.float64 and frame[c].isna().any():
-                    frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
-            yield frame.assign(ids=[p.astype(np.int32) for p in parts], n_ids=sizes, n_bytes=[int(own.bytes[p].sum()) for p in parts], ids_crc32=[zlib.crc32(p.astype("<u4").tobytes()) for p in parts], parity=same)
+            ids, sizes, same = own.encode(part.column("text_").to_pylist())
+            edges, told = _digests(own, ids, sizes)
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.astype(np.int32)))
+            columns = {c: part.column(c) for c in kept} | {"ids": lists} | told | {"parity": pa.array(same, pa.bool_())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.select(*kept, text_of().alias("text_")).mapInPandas(run, schema)
+    return docs.select(*kept, text_of().alias("text_")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, threads: int = 2) -> DataFrame:
@@ -236,15 +250,13 @@ def decode(encoded: DataFrame, path: str, threads: int = 2) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, threads: int = 2) -> DataFrame:
     """doc_id, n_ids, n_bytes, ids_crc32, parity and whether decoding gives the text back."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in (part for whole in frames for part in _parts(whole, "text")):
-            own, texts = codec(path, threads), frame["text"].tolist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches, "text"):
+            own, texts = codec(path, threads), part.column("text").to_pylist()
             ids, sizes, same = own.encode(texts)
-            parts = np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else []
-            back = own.decode([p.tolist() for p in parts])
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"].astype("Int64"), "n_ids": sizes, "n_bytes": [int(own.bytes[p].sum()) for p in parts], "ids_crc32": [zlib.crc32(p.astype("<u4").tobytes()) for p in parts],
-                "parity": same, "restored": [a == b for a, b in zip(texts, back)],
-            })
-
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, "doc_id long, n_ids long, n_bytes long, ids_crc32 long, parity boolean, restored boolean")
+            edges, told = _digests(own, ids, sizes)
+            back = own.decode([ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:])])
+            columns = {"doc_id": part.column("doc_id")} | told | {"parity": pa.array(same, pa.bool_()), "restored": pa.array([a == b for a, b in zip(texts, back)], pa.bool_())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_ids long, n_bytes long, ids_crc32 long, parity boolean, restored boolean")

@@ -31,11 +31,11 @@ PART = 4 << 20
 class WordEncoder:
     """encode_words: words, each after a space unless it starts with BARE, to all their ids one
     after another and how many each word has. encode_texts: whole texts to lists of ids. first_bare: no space stands before a text.
-    whole: pattern of texts that can't be cut into words."""
+    whole: pattern of texts that can't be cut into words. memory: words remembered, if not MEMORY."""
 
-    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], encode_texts: Callable[[list[str]], list[list[int]]], first_bare: bool, whole: str = "(?!)"):
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], encode_texts: Callable[[list[str]], list[list[int]]], first_bare: bool, whole: str = "(?!)", memory: int | None = None):
         self.encode_words, self.encode_texts, self.first_bare = encode_words, encode_texts, first_bare
-        self.whole = re.compile(whole)
+        self.whole, self.memory = re.compile(whole), memory or MEMORY
         self._forget()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +76,7 @@ class WordEncoder:
     def _words(self, words: list[str]) -> np.ndarray:
         """Places of the words' ids in starts and sizes; what is new is encoded and remembered."""
         new = [w for w in words if w not in self.places]
-        if len(self.places) + len(new) > MEMORY:
+        if len(self.places) + len(new) > self.memory:
             self._forget()
             new = words
         if new:
