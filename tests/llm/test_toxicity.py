@@ -78,3 +78,41 @@ def test_stems_and_thresholds():
     assert ((odds[:100] > cut) == toxic[500:]).all() and odds[100] > cut > odds[101]
     assert T.threshold(np.array([-3.0, -2.0, 4.0, 5.0]), np.array([0, 0, 1, 1])) == 1.0
     assert T.threshold(np.array([1.0, 2.0]), np.array([1, 1]), 0.7) == 0.7
+
+
+def test_every_labelled_text_is_fitted(spark, monkeypatch):
+    """Two clean texts each share a word of their own; each such word has its evidence, however the
+    texts are partitioned and dealt, and repeated rows and labels count as often as they occur."""
+    name = lambda i: "".join("bcdfghjklm"[int(d)] for d in f"{i:05d}")
+    rows = [(i, f"and {name(i // 2)}" if i < 9000 else f"and vilnak {name(i)}") for i in range(9600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 9000)) for i, _ in rows], "doc_id long, toxic int")
+    used = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 and zlib.crc32(f"c{i}".encode()) % T.CALIBRATION}
+    got = T.train(docs, labels)
+    pairs = [i // 2 for i in range(0, 9000, 2) if i in used and i + 1 in used]
+    told = np.array([got.table[zlib.crc32(f"{name(i)}$".encode()) % T.TABLE, 0] for i in pairs])
+    assert len(pairs) > 1500 and (told < -0.1).mean() > 0.99
+    monkeypatch.setattr(T, "SHARD", 1000)
+    nets = [T.train(docs.repartition(n), labels) for n in (1, 5)]
+    assert (nets[0].flat() == nets[1].flat()).all() and (nets[0].thresholds == nets[1].thresholds).all() and (nets[0].flat() != got.flat()).any()
+    some = T.examples(docs.union(docs), labels.union(labels)).where("fitted")
+    counts = T.counted(some)
+    assert counts[T.TABLE].tolist() == [4 * sum(i >= 9000 for i in used), 4 * sum(i < 9000 for i in used)] and some.count() == len(used)
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(4)
+    net = T.Network(rng.normal(size=(T.TABLE, T.DIM)), [rng.normal(size=(w, T.DIM, T.FILTERS)) for w in T.WIDTHS], [rng.normal(size=T.FILTERS) for _ in T.WIDTHS], rng.normal(size=len(T.WIDTHS) * T.FILTERS), 0.3)
+    texts, toxic, heavy = [[f"w{x}" for x in rng.integers(0, 9, n)] for n in (1, 2, 40)], np.array([1, 0, 1]), np.array([0.3, 2.0, 0.7])
+    loss = lambda n: sum(h * np.log1p(np.exp(-plain(n, t) if y else plain(n, t))) for t, y, h in zip(texts, toxic, heavy))
+    rows, g_rows, g, g_base = T._gradient(net, T.Coded(texts), np.arange(3), heavy, toxic)
+    flat, want = net.flat(), np.zeros_like(net.flat())
+    np.add.at(want, rows, g_rows)
+    rest = np.concatenate([*(p.ravel() for p in g), [g_base]])
+    want[T.TABLE :].ravel()[: len(rest)] = rest
+    for row in [*T.word_rows("w3"), *range(T.TABLE, len(flat) - 1, 5)]:
+        for d in (0, 5):
+            up, down = flat.copy(), flat.copy()
+            up[row, d] += 1e-5
+            down[row, d] -= 1e-5
+            assert abs((loss(net.with_flat(up)) - loss(net.with_flat(down))) / 2e-5 - want[row, d]) < 1e-4
