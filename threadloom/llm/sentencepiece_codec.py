@@ -3,7 +3,7 @@
 The model file is read by a small reader of its protobuf fields. From these the normaliser,
 the metaspace marker, the scores and the byte fallback are rebuilt: unigram models as a
 Unigram model with their scores; BPE models as merges, each piece's possible halves ranked by
-the piece's score. Texts are encoded in multithreaded batches. Parity with the sentencepiece
+the piece's score. Texts are encoded in multithreaded batches, new words in rows. Parity with the sentencepiece
 library is verified for every word that a worker meets for the first time, and for every text
 that is encoded whole; the ids are always those of the rebuilt tokenizer, and documents in
 which the two differ are marked.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .wordwise import WordEncoder, flattened
+from .wordwise import WordEncoder, in_rows
 
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -147,21 +147,31 @@ class Codec:
         self.wordwise = self.model.dummy_prefix and self.model.escape and not (self.model.charsmap or self.model.collapse_spaces or inner or newline) and self.model.byte_fallback
         self.differ: set[tuple[int, ...]] = set()
         special = [re.escape(p) for p, _, kind in self.model.pieces if kind == USER]
-        self.words = WordEncoder(self._words, self._texts, False, "|".join(["^ ", MARK, *special]), MEMORY)
+        self.words = WordEncoder(self._words, self._texts, False, "|".join([MARK, *special]), MEMORY)
+        self.begins = np.array([p[:1] == MARK for p, *_ in self.model.pieces])
+        self.lead = len(self.other.encode("\n"))
         self.bytes = np.array([kind == BYTE for *_, kind in self.model.pieces])
+        self.spelled = {i: _spelled(p) for p, i in self.full.get_vocab().items()}
         self.differing_words: set[str] = set()
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words, compared with sentencepiece's: it has every text start with a space, so
-        words without one are given to it after a newline."""
-        own = [e.ids for e in self.part.encode_batch_fast([w[1:] if w[:1] == "\x01" else w if w == "\n" else f" {w}" for w in words], add_special_tokens=False)]
-        bare = [w[:1] in ("\x01", "") or w == "\n" for w in words]
-        lead = len(self.other.encode("\n"))
-        theirs = self.other.encode(["" if w == "\x01" else "\n" + (w.lstrip("\x01") or " ") if b else w for w, b in zip(words, bare)], num_threads=self.threads)
-        theirs = [t[lead:] if b else t for t, b in zip(theirs, bare)]
-        if own != theirs:
-            self.differing_words.update(w for w, a, b in zip(words, own, theirs) if a != b)
-        return flattened(own)
+        """Ids of words, compared with sentencepiece's."""
+        ids, sizes = in_rows(words, self._own, self.begins)
+        theirs, their_sizes = in_rows(words, self._theirs, self.begins)
+        if not (np.array_equal(sizes, their_sizes) and np.array_equal(ids, theirs)):
+            cut = [np.split(x, np.cumsum(n)[:-1]) for x, n in ((ids, sizes), (theirs, their_sizes))]
+            self.differing_words.update(w for w, a, b in zip(words, *cut) if not np.array_equal(a, b))
+        return ids, sizes
+
+    def _own(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.part.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _theirs(self, parts: list[str]) -> list[list[int]]:
+        """sentencepiece has every text start with a space, so parts without one, and a space
+        alone, are given to it after a newline."""
+        bare = [p[:1] != " " or p == " " for p in parts]
+        found = self.other.encode(["\n" + p if b else p[1:] for p, b in zip(parts, bare)], num_threads=self.threads)
+        return [f[self.lead :] if b else f for f, b in zip(found, bare)]
 
     def _texts(self, texts: list[str]) -> list[list[int]]:
         own = [e.ids for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
@@ -181,7 +191,22 @@ class Codec:
         return ids, sizes, same
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.full.decode_batch(ids, skip_special_tokens=False)
+        return [self._decoded(own) for own in ids]
+
+    def _decoded(self, ids: list[int]) -> str:
+        """The bytes of the pieces one after another, which is what the decoder makes of them; ids
+        that the model lacks, and bytes that are no UTF-8, are left to the decoder itself."""
+        try:
+            raw = b"".join(map(self.spelled.__getitem__, ids))
+            return (raw[1:] if self.model.dummy_prefix and raw[:1] == b" " else raw).decode()
+        except (KeyError, UnicodeDecodeError):
+            return self.full.decode(ids, skip_special_tokens=False)
+
+
+def _spelled(piece: str) -> bytes:
+    """What a piece stands for: a byte of byte fallback, or its text."""
+    byte = re.fullmatch("<0x([0-9A-Fa-f]{2})>", piece)
+    return bytes.fromhex(byte[1]) if byte else piece.replace(MARK, " ").encode()
 
 
 def _cut(text: str) -> list[str]:

@@ -31,13 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_of
-from .wordwise import WordEncoder, flattened
+from .wordwise import WordEncoder, in_rows
 
 BLOCK = 1 << 16
 LEVEL = 3
 END_ID = 0
-#: Words encoded in one go.
-ROW = 64
 #: Texts encoded at once.
 ROWS = 1_000
 #: Bytes of text in a part, about.
@@ -89,26 +87,7 @@ def byte_bpe_encoder(path: str, threads: int = 2) -> WordEncoder:
         begins[[i for t, i in own.get_vocab().items() if t[:1] == "\u0120"]] = True
 
         def words(many: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            """Words after a space go to the encoder in rows of ROW, half the work of one by one;
-            a space within a row is where a word's first id is. Rows in which that does not
-            tell the words apart, and other words, are encoded one by one."""
-            plain = [i for i, w in enumerate(many) if w and w[0] != "\x01" and w != "\n"]
-            rows = [plain[at : at + ROW] for at in range(0, len(plain), ROW)]
-            ids, sizes = flattened(texts([" " + " ".join([many[i] for i in row]) for row in rows]))
-            starts, edges = np.flatnonzero(begins[ids]), np.concatenate([[0], np.cumsum(sizes)])
-            row_of = np.searchsorted(edges, starts, "right") - 1
-            told = np.bincount(row_of, minlength=len(rows)) == np.fromiter(map(len, rows), np.int64, len(rows))
-            own = np.diff(np.append(starts, len(ids)))[told[row_of]]
-            place = np.array([i for row, t in zip(rows, told.tolist()) if t for i in row], np.int64)
-            known = np.zeros(len(many), bool)
-            known[place] = True
-            rest = np.flatnonzero(~known)
-            each = flattened(texts([w[1:] if w[:1] == "\x01" else w if w == "\n" else f" {w}" for w in (many[i] for i in rest.tolist())]))
-            first, size = np.zeros(len(many), np.int64), np.zeros(len(many), np.int64)
-            first[place], size[place] = starts[told[row_of]], own
-            first[rest], size[rest] = len(ids) + np.cumsum(each[1]) - each[1], each[1]
-            ends = np.cumsum(size)
-            return np.concatenate([ids, each[0]])[np.repeat(first - (ends - size), size) + np.arange(int(size.sum()))], size
+            return in_rows(many, texts, begins)
 
         _encoders[key] = WordEncoder(words, texts, True, "|".join(map(re.escape, special)) or "(?!)")
     return _encoders[key]

@@ -26,6 +26,8 @@ _OTHER = re.compile("[\x01\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028
 MEMORY = 600_000
 #: Characters of text taken at once.
 PART = 4 << 20
+#: Words encoded in one go.
+ROW = 64
 
 
 class WordEncoder:
@@ -53,7 +55,8 @@ class WordEncoder:
         return (np.concatenate(parts), np.concatenate(sizes)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def _part(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        odd = [i for i, t in enumerate(texts) if any(p in t for p in _PAIRS) or _OTHER.search(t) or self.whole.search(t)]
+        spaced = not self.first_bare  # then a text's own first space is beside another
+        odd = [i for i, t in enumerate(texts) if (spaced and t[:1] == " ") or any(p in t for p in _PAIRS) or _OTHER.search(t) or self.whole.search(t)]
         marked = texts if not odd else list(texts)
         for i in odd:
             marked[i] = ""
@@ -97,3 +100,26 @@ def flattened(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Lists of ids as encode_words gives them."""
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+
+def in_rows(words: list[str], texts: Callable[[list[str]], list[list[int]]], begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words after a space go to texts in rows of ROW, half the work of one by one; an id of
+    begins (those that start with a space) within a row is where a word's first id is. Rows in
+    which that does not tell the words apart, and other words, are encoded one by one."""
+    plain = [i for i, w in enumerate(words) if w and w[0] != BARE and w != "\n"]
+    rows = [plain[at : at + ROW] for at in range(0, len(plain), ROW)]
+    ids, sizes = flattened(texts([" " + " ".join([words[i] for i in row]) for row in rows]))
+    starts, edges = np.flatnonzero(begins[ids]), np.concatenate([[0], np.cumsum(sizes)])
+    row_of = np.searchsorted(edges, starts, "right") - 1
+    told = np.bincount(row_of, minlength=len(rows)) == np.fromiter(map(len, rows), np.int64, len(rows))
+    own = (np.minimum(np.append(starts[1:], len(ids)), edges[row_of + 1]) - starts)[told[row_of]]
+    place = np.array([i for row, t in zip(rows, told.tolist()) if t for i in row], np.int64)
+    known = np.zeros(len(words), bool)
+    known[place] = True
+    rest = np.flatnonzero(~known)
+    each = flattened(texts([w[1:] if w[:1] == BARE else w if w == "\n" else f" {w}" for w in (words[i] for i in rest.tolist())]))
+    first, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    first[place], size[place] = starts[told[row_of]], own
+    first[rest], size[rest] = len(ids) + np.cumsum(each[1]) - each[1], each[1]
+    ends = np.cumsum(size)
+    return np.concatenate([ids, each[0]])[np.repeat(first - (ends - size), size) + np.arange(int(size.sum()))], size
