@@ -3,10 +3,10 @@
 The model file is read by a small reader of its protobuf fields. From these the normaliser,
 the metaspace marker, the scores and the byte fallback are rebuilt: unigram models as a
 Unigram model with their scores; BPE models as merges, each piece's possible halves ranked by
-the piece's score. Texts are encoded in multithreaded batches, new words in rows. Parity with the sentencepiece
-library is verified for every word that a worker meets for the first time, and for every text
-that is encoded whole; the ids are always those of the rebuilt tokenizer, and documents in
-which the two differ are marked.
+the piece's score. Texts are encoded in multithreaded batches, new words in rows. Parity with
+the sentencepiece library is verified for every word that a worker meets for the first time,
+and for every text that is encoded whole; the ids are always those of the rebuilt tokenizer,
+and documents in which the two differ are marked.
 
 Defined results: a null text counts as empty and has no ids; repeated rows are encoded alike;
 very long texts are encoded whole; an empty table gives an empty result; in encode(), columns
