@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +79,49 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: What this Python worker keeps for its later tasks: by kind and what else tells it apart.
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What make() gives, made once in a worker and kept until a task of another kind (key[0]) begins."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def lean(run: Callable[[Iterator], Iterator], kind: str | None = None) -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow, mapInPandas or an iterator UDF, in workers that outlive their stage: what
+    tasks of other kinds kept goes before it, and freed memory goes back to the system around it."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        drop_others(kind)
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def drop_others(kind: str | None) -> None:
+    """Of the module, as a closure would get a copy of _kept."""
+    other = [key for key in _kept if key[0] != kind]
+    for key in other:
+        del _kept[key]
+    if other:
+        gc.collect()
+
+
+def give_back() -> None:
+    """Freed memory that Arrow and the C library still hold goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

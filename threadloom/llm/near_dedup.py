@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, free_name, materialize, text_key, text_of
+from .common import Workspace, free_name, lean, materialize, text_key, text_of
 from .shingles import counted, mix, shingles, slices
 
 SIMILARITY = 0.8
@@ -103,7 +103,7 @@ def frequent_candidates(texts: DataFrame, text_bytes: int) -> DataFrame:
 
     # Few large tasks, for the same reason.
     few = texts.select("text").coalesce(max(1, text_bytes // TASK_BYTES))
-    return few.mapInArrow(windows, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return few.mapInArrow(lean(windows), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
 def document_frequencies(texts: DataFrame, work: Workspace) -> tuple[int, float, np.ndarray, np.ndarray]:
@@ -131,7 +131,7 @@ def document_frequencies(texts: DataFrame, work: Workspace) -> tuple[int, float,
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(table[some].astype(np.int64)), pa.array(n[some])], ["shingle", "n"])
 
-    counts = texts.select("text").mapInArrow(tally, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df")).where(F.col("df") > floor).toPandas().sort_values("shingle")
+    counts = texts.select("text").mapInArrow(lean(tally), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df")).where(F.col("df") > floor).toPandas().sort_values("shingle")
     known.unpersist()
     return total, floor, counts["shingle"].to_numpy(np.uint64), counts["df"].to_numpy(np.float64)
 
@@ -238,7 +238,7 @@ def sketch(docs: DataFrame, model) -> DataFrame:
                 low = pa.Array.from_buffers(pa.binary(), end - first, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(has * 4 * BANDS)]).astype(np.int32)), pa.py_buffer(lows)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), lists[0], low, lists[1]], ["doc_id", "tid", "bands", "low", "print"])
 
-    return docs.select("doc_id", "tid", "text").mapInArrow(run, "doc_id long, tid binary, bands array<long>, low binary, print array<long>")
+    return docs.select("doc_id", "tid", "text").mapInArrow(lean(run), "doc_id long, tid binary, bands array<long>, low binary, print array<long>")
 
 
 def packed(ids: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -263,7 +263,7 @@ def weighted_sets(docs: DataFrame, model) -> DataFrame:
                 sets = pa.array([both[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), sets], ["tid", "weighted"])
 
-    return docs.select("tid", "text").mapInArrow(run, "tid binary, weighted binary")
+    return docs.select("tid", "text").mapInArrow(lean(run), "tid binary, weighted binary")
 
 
 def weighted_jaccard(a: bytes | pa.Buffer, b: bytes | pa.Buffer) -> float:
@@ -306,7 +306,7 @@ def links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                     found.append(i)
             yield batch.select([0, 3]).take(pa.array(found, pa.int64())).rename_columns(["a", "b"])
 
-    return rows.mapInArrow(test, "a binary, b binary")
+    return rows.mapInArrow(lean(test), "a binary, b binary")
 
 
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
@@ -425,7 +425,7 @@ def _close_pairs(split: DataFrame, rest: bool) -> DataFrame:
         if left is not None and len(left):
             yield from _close_in(left, np.array([0, len(left)]), rest)
 
-    return dealt.mapInArrow(run, "tid binary, head binary")
+    return dealt.mapInArrow(lean(run), "tid binary, head binary")
 
 
 def _close_in(table: pa.Table, edges: np.ndarray, rest: bool) -> Iterator[pa.RecordBatch]:

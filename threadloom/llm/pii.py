@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, calibrated
-from .common import materialize
+from .common import lean, materialize
 
 #: Kinds in the order that breaks ties of spans with one start.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -51,6 +51,8 @@ SECRET = 4
 #: Texts that the trees are fitted on, at most (chosen by hash), and candidates of them.
 SAMPLE_DOCS = 20_000
 SAMPLE_SPANS = 50_000
+#: Texts whose spans are described at once.
+ROWS = 256
 #: Share of held-out accepted candidates that must be right, by kind.
 PRECISION = 0.98
 #: Rows that a threshold's own claim counts for beside the held-out rows.
@@ -266,7 +268,7 @@ def sample(docs: DataFrame, sample_docs: int) -> DataFrame:
             frame = pd.DataFrame({"h": frame["h"], "kinds": [strata(t) for t in frame["text"]]})
             yield frame[frame["kinds"] > 0]
 
-    found = materialize(hashed.mapInPandas(run, "h long, kinds int").distinct(), "pii-strata")
+    found = materialize(hashed.mapInPandas(lean(run), "h long, kinds int").distinct(), "pii-strata")
     each, taken = max(1, sample_docs // len(KINDS)), F.lit(False)
     for bit in range(len(KINDS)):
         own = F.col("kinds").bitwiseAND(1 << bit) != 0
@@ -280,12 +282,12 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Trees from a bounded sample of docs; without any right spans, a model that adds nothing."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (f.iloc[at : at + ROWS] for f in frames for at in range(0, len(f), ROWS)):
             rows = [(f"{h} {i}", *r) for h, text in zip(frame["h"], frame["text"]) for i, r in enumerate(fitting_rows(text))]
             yield pd.DataFrame({"r": [xxhash.xxh3_64_intdigest(r[0]) - 2**63 for r in rows], "k": [r[1] for r in rows], "y": [float(r[2]) for r in rows], "loose": [r[3] for r in rows], "fold": [r[4] for r in rows], "x": [r[5] for r in rows]})
 
     full = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    every = materialize(sample(full, sample_docs).mapInPandas(run, "r long, k int, y double, loose boolean, fold int, x array<double>"), "pii-rows")
+    every = materialize(sample(full, sample_docs).mapInPandas(lean(run), "r long, k int, y double, loose boolean, fold int, x array<double>"), "pii-rows")
     each = SAMPLE_SPANS // (2 * len(KINDS))
     parts = [every.where((F.col("k") == k) & (F.col("y") == y)).orderBy("r", "x").limit(each) for k in range(len(KINDS)) for y in (0.0, 1.0)]
     rows = reduce(DataFrame.unionAll, parts).toPandas()
@@ -310,6 +312,10 @@ def threshold(held: np.ndarray, y: np.ndarray) -> float:
 
 def select(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span]]]:
     """For each text its base spans and all its spans."""
+    return [pair for at in range(0, len(texts), ROWS) for pair in _select(texts[at : at + ROWS], model)]
+
+
+def _select(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span]]]:
     out, asked, owner = [], [], []
     for i, text in enumerate(texts):
         base = base_spans(text)
@@ -348,7 +354,7 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
             counts = {f"n_{k}": [sum(s[1] == i for s in base) for base, _ in pairs] for i, k in enumerate(KINDS[:SECRET])}
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), **counts, "base_sha256": [hashlib.sha256(told(base).encode()).hexdigest() for base, _ in pairs], "spans": [told(every) for _, every in pairs], "n_secret": [sum(s[1] == SECRET for s in every) for _, every in pairs], "n_spans": [len(every) for _, every in pairs]})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_spans long")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(lean(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_spans long")
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -365,9 +371,9 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
     """docs with every span in text replaced; null texts and all other columns stay."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        full = ["" if t is None else t for t in texts]
-        return pd.Series([None if t is None else redacted(t, every) for t, (_, every) in zip(texts, select(full, sent.value))], dtype=object)
+    def clean(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in series:
+            full = ["" if t is None else t for t in texts]
+            yield pd.Series([None if t is None else redacted(t, every) for t, (_, every) in zip(texts, select(full, sent.value))], dtype=object)
 
-    return docs.withColumn("text", clean("text")).select(*docs.columns)
+    return docs.withColumn("text", F.pandas_udf(lean(clean), "string")("text")).select(*docs.columns)

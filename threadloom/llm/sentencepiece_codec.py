@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import kept, lean, text_of
 from .wordwise import WordEncoder, in_rows
 
 UNIGRAM, BPE = 1, 2
@@ -37,6 +37,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
 #: Characters of text encoded at once.
 PART_CHARS = 1 << 18
+#: Of what workers keep.
+KIND = "sentencepiece"
 #: Words that a worker remembers, some 200 bytes each.
 MEMORY = 200_000
 
@@ -214,14 +216,8 @@ def _cut(text: str) -> list[str]:
     return words
 
 
-_codecs: dict[tuple, Codec] = {}
-
-
 def codec(path: str, threads: int = 2) -> Codec:
-    key = (path, os.getpid())
-    if key not in _codecs:
-        _codecs[key] = Codec(path, threads)
-    return _codecs[key]
+    return kept((KIND, path, os.getpid()), lambda: Codec(path, threads))
 
 
 def _parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -247,8 +243,8 @@ def _digests(own: Codec, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray
 def encode(docs: DataFrame, path: str, threads: int = 2) -> DataFrame:
     """docs without text, with ids, n_ids, n_bytes (ids of byte fallback), ids_crc32 and parity."""
     new = {"ids": "array<int>", "n_ids": "long", "n_bytes": "long", "ids_crc32": "long", "parity": "boolean"}
-    kept = [c for c in docs.columns if c.lower() not in {*new, "text"}]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"{k} {v}" for k, v in new.items())])
+    stay = [c for c in docs.columns if c.lower() not in {*new, "text"}]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in stay), *(f"{k} {v}" for k, v in new.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches, "text_"):
@@ -256,10 +252,10 @@ def encode(docs: DataFrame, path: str, threads: int = 2) -> DataFrame:
             ids, sizes, same = own.encode(part.column("text_").to_pylist())
             edges, told = _digests(own, ids, sizes)
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.astype(np.int32)))
-            columns = {c: part.column(c) for c in kept} | {"ids": lists} | told | {"parity": pa.array(same, pa.bool_())}
+            columns = {c: part.column(c) for c in stay} | {"ids": lists} | told | {"parity": pa.array(same, pa.bool_())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.select(*kept, text_of().alias("text_")).mapInArrow(run, schema)
+    return docs.select(*stay, text_of().alias("text_")).mapInArrow(lean(run, KIND), schema)
 
 
 def decode(encoded: DataFrame, path: str, threads: int = 2) -> DataFrame:
@@ -284,4 +280,4 @@ def round_trip(docs: DataFrame, path: str, threads: int = 2) -> DataFrame:
             columns = {"doc_id": part.column("doc_id")} | told | {"parity": pa.array(same, pa.bool_()), "restored": pa.array([a == b for a, b in zip(texts, back)], pa.bool_())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_ids long, n_bytes long, ids_crc32 long, parity boolean, restored boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(lean(run, KIND), "doc_id long, n_ids long, n_bytes long, ids_crc32 long, parity boolean, restored boolean")

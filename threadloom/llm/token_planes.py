@@ -30,9 +30,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import kept, lean, text_of
 from .wordwise import WordEncoder, in_rows
 
+#: Of what workers keep.
+KIND = "byte_bpe"
 BLOCK = 1 << 16
 LEVEL = 3
 END_ID = 0
@@ -66,13 +68,10 @@ def from_planes(planes: list[bytes], n: int, unit: str = "byte") -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").reshape(-1).view("<u4")
 
 
-_encoders: dict[tuple, WordEncoder] = {}
-
-
 def byte_bpe_encoder(path: str, threads: int = 2) -> WordEncoder:
     """Encoder of a byte-level BPE file of the tokenizers library, one for each worker."""
-    key = (path, os.getpid())
-    if key not in _encoders:
+
+    def make() -> WordEncoder:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         from tokenizers import Tokenizer
@@ -89,8 +88,9 @@ def byte_bpe_encoder(path: str, threads: int = 2) -> WordEncoder:
         def words(many: list[str]) -> tuple[np.ndarray, np.ndarray]:
             return in_rows(many, texts, begins)
 
-        _encoders[key] = WordEncoder(words, texts, True, "|".join(map(re.escape, special)) or "(?!)")
-    return _encoders[key]
+        return WordEncoder(words, texts, True, "|".join(map(re.escape, special)) or "(?!)")
+
+    return kept((KIND, path, os.getpid()), make)
 
 
 def write_corpus(docs: DataFrame, path: str, tokenizer: str, unit: str = "byte", block: int = BLOCK, end_id: int = END_ID) -> None:
@@ -134,7 +134,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, unit: str = "byte",
 
     doc = pa.struct([("doc_id", pa.int64()), ("ordinal", pa.int64()), ("n_ids", pa.int64()), ("last", pa.bool_())])
     schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n_ids", pa.int64()), ("unit", pa.string()), ("planes", pa.list_(pa.binary())), ("docs", pa.list_(doc))])
-    ordered.mapInArrow(run, CHUNK).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(lean(run, KIND), CHUNK).write.option("compression", "none").parquet(path)
 
 
 def chunk_index(spark: SparkSession, path: str) -> DataFrame:
