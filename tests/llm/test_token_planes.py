@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -57,3 +58,43 @@ def test_empty(spark, sf_tiny, tmp_path):
     docs = spark.read.parquet(f"{sf_tiny}/documents.parquet").limit(0)
     tp.write_corpus(docs, f"file://{tmp_path}/none", PATH)
     assert tp.corpus_digest(spark, f"file://{tmp_path}/none").count() == 0
+
+
+@functools.cache
+def whole_texts():
+    return Tokenizer.from_file(PATH)
+
+
+WORDS = st.from_regex(r"[A-Za-zÀ-ÿ]{1,6}[!-/:-@\[-`{-~]{0,3}[a-zß×÷ªµ0-9']{0,2}", fullmatch=True)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(WORDS, max_size=90).map(" ".join), max_size=4))
+def test_words_that_are_cut_before_the_encoder(texts):
+    own = whole_texts()
+    ids, sizes = tp.byte_bpe_encoder(PATH).encode(texts)
+    want = [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
+def test_usual_words_pass_by_the_pattern():
+    """New words of letters and marks don't go through the pre-tokenizer's pattern, which takes half of
+    the encoding; others do."""
+    from threadloom.llm import wordwise
+
+    given_to = {"quick": [], "texts": []}
+
+    def taken(name):
+        return lambda rows: given_to[name].extend(rows) or [[7] * len(r.split()) for r in rows]
+
+    begins = np.arange(8) == 7
+    ids, sizes = wordwise.in_rows(["Häuser,", "it's", "x1", "\x01first", "\n", "plain"], taken("texts"), begins, tp.SIMPLE, taken("quick"))
+    assert given_to == {"quick": [" Häuser, plain"], "texts": [" it's x1", "first", "\n"]}
+    assert sizes.tolist() == [1, 1, 1, 1, 0, 1] and ids.tolist() == [7] * 5
+
+
+def test_letters_of_bytes():
+    from tokenizers import pre_tokenizers
+
+    assert set(map(chr, tp._byte_letters())) - {tp.SEP, "\n"} <= set(pre_tokenizers.ByteLevel.alphabet())
+    assert "".join(map(chr, tp._byte_letters()[list(" é".encode())])) == "ĠÃ©"

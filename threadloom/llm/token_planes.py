@@ -16,6 +16,7 @@ empty table gives an empty folder and an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -35,11 +36,18 @@ from .wordwise import WordEncoder, in_rows
 
 #: Of what workers keep.
 KIND = "byte_bpe"
+#: The pre-tokenizer of byte-level files, as the library writes it.
+USUAL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 BLOCK = 1 << 16
 LEVEL = 3
 END_ID = 0
 #: Texts encoded at once.
 ROWS = 1_000
+#: Words of letters and, after them, marks: the encoder cuts them between the two, and nowhere else.
+SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[!-&(-/:-@[-`{-~]*")
+_MARKS = re.compile("[!-&(-/:-@[-`{-~]+")
+#: Between the pieces that are given to the encoder already cut.
+SEP = "\x01"
 #: Bytes of text in a part, about.
 PART_BYTES = 32 << 20
 
@@ -68,25 +76,49 @@ def from_planes(planes: list[bytes], n: int, unit: str = "byte") -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").reshape(-1).view("<u4")
 
 
+def _byte_letters() -> np.ndarray:
+    """The code point that byte-level encoders spell each byte with; SEP and line ends are left."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = np.zeros(256, "<u4")
+    out[shown] = shown
+    rest = [b for b in range(256) if b not in set(shown)]
+    out[rest] = 256 + np.arange(len(rest))
+    for b in (SEP, "\n"):
+        out[ord(b)] = ord(b)
+    return out
+
+
 def byte_bpe_encoder(path: str, threads: int = 2) -> WordEncoder:
     """Encoder of a byte-level BPE file of the tokenizers library, one for each worker."""
 
     def make() -> WordEncoder:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         own = Tokenizer.from_file(path)
+        cut = Tokenizer(own.model)  # the same model, for text that is cut and spelled in its letters for bytes
+        cut.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(SEP)
+        letters = _byte_letters()
         special = [t.content for t in own.get_added_tokens_decoder().values()]
 
         def texts(many: list[str]) -> list[list[int]]:
             return [e.ids for e in own.encode_batch_fast(many, add_special_tokens=False)]
 
+        # SIMPLE holds for the usual pattern of byte-level files alone.
+        usual = own.normalizer is None and json.loads(own.to_str())["pre_tokenizer"] == USUAL and not any(SIMPLE.fullmatch(s) for s in special)
         begins = np.zeros(own.get_vocab_size(), bool)  # ids of tokens that start with a space
         begins[[i for t, i in own.get_vocab().items() if t[:1] == "\u0120"]] = True
 
+        def quick(rows: list[str]) -> list[list[int]]:
+            """Rows of simple words: what the pre-tokenizer's pattern and its spelling of bytes would
+            give, made for all rows at once."""
+            raw = _MARKS.sub(rf"{SEP}\g<0>", "\n".join(rows)).replace(" ", f"{SEP} ").encode()
+            spelled = letters[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-32-le")
+            return [e.ids for e in cut.encode_batch_fast(spelled.split("\n"), add_special_tokens=False)]
+
         def words(many: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            return in_rows(many, texts, begins)
+            return in_rows(many, texts, begins, *((SIMPLE, quick) if usual else ()))
 
         return WordEncoder(words, texts, True, "|".join(map(re.escape, special)) or "(?!)")
 
@@ -161,20 +193,22 @@ def pieces(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Every stretch of one document in one chunk, decoded: part, chunk, ordinal, doc_id, n_ids,
     before (ids of the chunk before it), last, crc and, if asked for, the ids."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                ids, at, out = from_planes(list(row.planes), row.n_ids, row.unit), 0, []
-                for d in row.docs:
-                    own = ids[at : at + d["n_ids"]]
-                    out.append((row.part, row.chunk, d["ordinal"], d["doc_id"], d["n_ids"], at, d["last"], zlib.crc32(own.tobytes()), own.astype(np.int64) if with_ids else None))
-                    at += d["n_ids"]
-                found = pd.DataFrame(out, columns=["part", "chunk", "ordinal", "doc_id", "n_ids", "before", "last", "crc", "ids"])
-                found["doc_id"] = found["doc_id"].astype("Int64")
-                yield found if with_ids else found.drop(columns="ids")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one = batch.slice(at, 1)
+                part, chunk, n, unit, planes = (one.column(c)[0].as_py() for c in ("part", "chunk", "n_ids", "unit", "planes"))
+                doc_id, ordinal, sizes, last = one.column("docs").flatten().flatten()
+                ids = from_planes(planes, n, unit)
+                edges, raw = np.concatenate([[0], np.cumsum(sizes.to_numpy())]).astype(np.int64), memoryview(ids.tobytes())
+                crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+                columns = {"part": pa.array(np.full(len(crcs), part, np.int32)), "chunk": pa.array(np.full(len(crcs), chunk, np.int64)), "ordinal": ordinal, "doc_id": doc_id, "n_ids": sizes, "before": pa.array(edges[:-1]), "last": last, "crc": pa.array(crcs, pa.int64())}
+                if with_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = "part int, chunk long, ordinal long, doc_id long, n_ids long, before long, last boolean, crc long" + ", ids array<long>" * with_ids
-    return spark.read.schema(CHUNK).parquet(path).mapInPandas(run, schema)
+    return spark.read.schema(CHUNK).parquet(path).mapInArrow(lean(run), schema)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,9 +64,11 @@ class WordEncoder:
         words = pc.split_pattern(pa.array([start + t.replace("\n", " \n \x01") if t else BARE for t in marked], pa.large_string()), " ")
         flat = words.flatten().dictionary_encode()
         at = self._words(flat.dictionary.to_numpy(zero_copy_only=False).tolist())[flat.indices.to_numpy()]
-        begin, n = self.starts[at], self.sizes[at]
+        n = self.sizes.take(at)
         ends = np.cumsum(n)
-        out = self.pool[np.repeat(begin - (ends - n), n) + np.arange(int(n.sum()))]
+        place = np.repeat(self.starts.take(at) - ends + n, n)
+        place += np.arange(len(place))
+        out = self.pool.take(place)
         edges = np.concatenate([[0], ends])[np.asarray(words.offsets) - np.asarray(words.offsets)[0]]
         sizes = np.diff(edges)
         if odd:
@@ -77,18 +79,20 @@ class WordEncoder:
         return out, sizes
 
     def _words(self, words: list[str]) -> np.ndarray:
-        """Places of the words' ids in starts and sizes; what is new is encoded and remembered."""
-        new = [w for w in words if w not in self.places]
+        """Places of the (distinct) words' ids in starts and sizes; what is new is encoded and remembered."""
+        at = np.fromiter(map(self.places.get, words, repeat(-1)), np.int64, len(words))
+        new = [words[i] for i in np.flatnonzero(at < 0).tolist()]
         if len(self.places) + len(new) > self.memory:
             self._forget()
-            new = words
+            new, at = words, np.full(len(words), -1)
         if new:
+            at[at < 0] = np.arange(len(self.sizes), len(self.sizes) + len(new))
             ids, sizes = self.encode_words(new)
             ends = len(self.pool) + np.cumsum(sizes)
             self.places.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
             self.pool = np.concatenate([self.pool, ids])
             self.starts, self.sizes = np.concatenate([self.starts, ends - sizes]), np.concatenate([self.sizes, sizes])
-        return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        return at
 
     def _forget(self) -> None:
         self.places: dict[str, int] = {}
@@ -102,13 +106,17 @@ def flattened(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
 
-def in_rows(words: list[str], texts: Callable[[list[str]], list[list[int]]], begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def in_rows(words: list[str], texts: Callable[[list[str]], list[list[int]]], begins: np.ndarray, simple: re.Pattern | None = None, quick: Callable[[list[str]], list[list[int]]] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Words after a space go to texts in rows of ROW, half the work of one by one; an id of
     begins (those that start with a space) within a row is where a word's first id is. Rows in
-    which that does not tell the words apart, and other words, are encoded one by one."""
-    plain = [i for i, w in enumerate(words) if w and w[0] != BARE and w != "\n"]
-    rows = [plain[at : at + ROW] for at in range(0, len(plain), ROW)]
-    ids, sizes = flattened(texts([" " + " ".join([words[i] for i in row]) for row in rows]))
+    which that does not tell the words apart, and other words, are encoded one by one. Rows of
+    simple words alone (whole matches of that pattern) go to quick, which encodes them as texts would."""
+    told = list(map(simple.fullmatch, words)) if simple else [None] * len(words)
+    light = [i for i, m in enumerate(told) if m]
+    plain = [i for i, (m, w) in enumerate(zip(told, words)) if not m and w and w[0] != BARE and w != "\n"]
+    rows = [few[at : at + ROW] for few in (light, plain) for at in range(0, len(few), ROW)]
+    spelled, n = [" " + " ".join([words[i] for i in row]) for row in rows], -(-len(light) // ROW)
+    ids, sizes = flattened([*(quick(spelled[:n]) if n else []), *texts(spelled[n:])])
     starts, edges = np.flatnonzero(begins[ids]), np.concatenate([[0], np.cumsum(sizes)])
     row_of = np.searchsorted(edges, starts, "right") - 1
     told = np.bincount(row_of, minlength=len(rows)) == np.fromiter(map(len, rows), np.int64, len(rows))
